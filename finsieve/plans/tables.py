@@ -123,3 +123,189 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s_suppkey"),
     )
     return customers.union(suppliers)
+
+
+def listed_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Account file rows, in which holders at two banks are listed a second time."""
+    base = accounts(spark, sf_dir)
+    again = base.filter(F.col("bank_id").isin("N3", "N7")).select(
+        "account_number",
+        "bank_id",
+        F.concat(F.lit("Corporation of "), F.col("account_number")).alias("entity_name"),
+        F.lit(2).cast("bigint").alias("file_pos"),
+    )
+    return base.withColumn("file_pos", F.lit(1).cast("bigint")).unionByName(again)
+
+
+def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions as text, with the flaws a raw file has."""
+    t = txn(spark, sf_dir)
+    s = F.col("score_milli")
+
+    def money(cents):
+        return F.concat(F.expr(f"{cents} div 100").cast("string"), F.lit("."), F.lpad((F.col(cents) % 100).cast("string"), 2, "0"))
+
+    return t.select(
+        "row_idx",
+        F.when(s == 500, "not a date").when(s == 490, "2020-01-01 10:00").when(s == 480, F.lit(None))
+        .otherwise(F.date_format("timestamp", "yyyy/MM/dd HH:mm")).alias("timestamp"),
+        F.when(F.col("payment_format") == "NO", F.concat(F.lit("  "), "from_bank", F.lit(" "))).otherwise(F.col("from_bank")).alias("from_bank"),
+        "from_account",
+        F.concat(F.lit("0"), "to_bank").alias("to_bank"),
+        "to_account",
+        F.when(s == 470, "n/a").otherwise(money("received_cents")).alias("amount_received"),
+        "receiving_currency",
+        F.when(s == 460, F.lit(None)).otherwise(F.concat(F.lit(" "), money("paid_cents"))).alias("amount_paid"),
+        F.when(s == 450, F.lit(None)).otherwise(F.col("payment_currency")).alias("payment_currency"),
+        F.upper("payment_format").alias("payment_format"),
+        F.when(s == 440, "x").when(s == 430, F.lit(None)).otherwise(F.col("label").cast("string")).alias("is_laundering_csv"),
+    )
+
+
+def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern list: most positives, some twice, and some rows no transaction has."""
+    pos = txn(spark, sf_dir).filter("label = 1")
+    bank = F.substring("from_bank", 2, 10).cast("bigint")
+    key = ["timestamp", "from_bank", "from_account", "to_bank", "to_account", "amount_paid", "payment_currency", "payment_format"]
+
+    def part(rows, shift, kind, block, extra=0.0):
+        return rows.select(
+            (F.col("row_idx") + shift).alias("file_pos"),
+            *[(F.col(c) + extra).alias(c) if c == "amount_paid" else F.col(c) for c in key],
+            kind.alias("pattern_type"),
+            (bank + block).alias("pattern_block_id"),
+        )
+
+    first = part(pos.filter("payment_currency <> 'CUR0'"), 0, F.concat(F.lit("TYPE"), (bank % 4).cast("string")), 1)
+    second = part(pos.filter("payment_currency = 'CUR1'"), 10**12, F.lit("STACK"), 101)
+    absent = part(pos.filter("payment_currency = 'CUR2'"), 2 * 10**12, F.lit("RANDOM"), 201, 0.5)
+    return first.unionByName(second).unionByName(absent)
+
+
+def _with_runs(rows: DataFrame, runs: list[tuple]) -> DataFrame:
+    """Every row once per run; a fixed, short list of runs."""
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit(no).alias("run_no"), F.lit(model).alias("model"), F.lit(strategy).alias("strategy"),
+                F.lit(p).alias("target_prevalence"), F.lit(w).alias("_w"), F.lit(shift).alias("_shift"),
+            )
+            for no, model, strategy, p, w, shift in runs
+        ]
+    )
+    return rows.select(*rows.columns, F.inline(cells))
+
+
+def _grid_runs() -> list[tuple]:
+    from finsieve.operators.runs import GRID_MODELS, GRID_PREVALENCES, GRID_STRATEGIES
+
+    out = []
+    for s, strategy in enumerate(GRID_STRATEGIES):
+        for m, model in enumerate(GRID_MODELS):
+            for k, p in enumerate(GRID_PREVALENCES):
+                # the baseline does not depend on the prevalence
+                step = 0 if strategy == "baseline" else k
+                out.append((len(out), model, strategy, p, 900 - 100 * s - 150 * m - 40 * step, (100 * s + 10 * m + step) * 104_729))
+    return out
+
+
+def _pool_runs() -> list[tuple]:
+    from finsieve.operators.runs import GRID_PREVALENCES
+
+    return [(100 + k, "xgboost", "three_pool", p, 700 + 50 * k, (900 + k) * 104_729) for k, p in enumerate(GRID_PREVALENCES)]
+
+
+def _scored(spark: SparkSession, sf_dir: str, runs: list[tuple], keep: tuple[str, ...] = ()) -> DataFrame:
+    from finsieve.functions import scalars as S
+
+    rows = txn(spark, sf_dir).filter("split IN ('val', 'test')").select("row_idx", "split", "label", "score_milli", *keep)
+    milli = F.expr("(_w * score_milli + (1000 - _w) * ((row_idx * 7919 + _shift) % 1000)) div 1000")
+    return _with_runs(rows, runs).select(
+        "row_idx", "split", "label", *keep, "run_no", "model", "strategy", "target_prevalence",
+        S.run_id(F.col("model"), F.col("strategy"), F.col("target_prevalence")).alias("run_id"),
+        milli.alias("run_milli"),
+        (milli / 1000).cast("float").alias("score"),
+    )
+
+
+def run_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validation and test rows scored by each of the thirty grid runs."""
+    return _scored(spark, sf_dir, _grid_runs())
+
+
+def pool_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows scored by the three three-pool runs."""
+    return _scored(spark, sf_dir, _pool_runs())
+
+
+def _board(scored: DataFrame) -> DataFrame:
+    from finsieve.operators.ranking import metric_record
+    from finsieve.operators.runs import leaderboard
+    from finsieve.operators.thresholds import reevaluate
+
+    scored = scored.select("run_id", "run_no", "model", "strategy", "target_prevalence", "split", "label", "score")
+    grouped = scored.groupBy("run_id").agg(
+        *[F.first(c).alias(c) for c in ("run_no", "model", "strategy", "target_prevalence")]
+    )
+    half = materialize(metric_record(scored, ["run_id", "split"], 0.5), "metrics-default")
+    best = materialize(reevaluate(scored), "metrics-threshold")
+    records = {
+        "val": half.filter("split = 'val'"),
+        "test": half.filter("split = 'test'"),
+        "val_thresh": best.filter("split = 'val'"),
+        "test_thresh": best.filter("split = 'test'"),
+    }
+    taus = best.filter("split = 'val'").select(
+        "run_id", F.col("threshold").alias("optimal_threshold"), F.col("criterion").alias("threshold_criterion")
+    )
+    return leaderboard(grouped, records, taus).join(grouped.select("run_id", "run_no"), "run_id")
+
+
+def run_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaderboard rows of the thirty grid runs."""
+    return _once(spark, sf_dir, "run-board", lambda: _board(run_scores(spark, sf_dir)))
+
+
+def pool_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaderboard rows of the three three-pool runs."""
+    return _once(spark, sf_dir, "pool-board", lambda: _board(pool_scores(spark, sf_dir)))
+
+
+def importances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long table of importances: how far high scores of a run go with high feature values."""
+    number = lambda c, start: F.substring(c, start, 10).cast("bigint")
+    features = {
+        "paid_units": F.expr("paid_cents div 100"),
+        "received_units": F.expr("received_cents div 100"),
+        "paid_digits": F.length(F.col("paid_cents").cast("string")),
+        "hour": F.hour("timestamp"),
+        "weekday": F.weekday("timestamp"),
+        "day": F.dayofmonth("timestamp"),
+        "month": F.month("timestamp"),
+        "same_bank": (F.col("from_bank") == F.col("to_bank")).cast("int"),
+        "currency_mismatch": (F.col("payment_currency") != F.col("receiving_currency")).cast("int"),
+        "from_bank_no": number("from_bank", 2),
+        "to_bank_no": number("to_bank", 2),
+        "from_digits": F.length("from_account"),
+        "to_digits": F.length("to_account"),
+        "pay_currency_no": number("payment_currency", 4),
+        "receive_currency_no": number("receiving_currency", 4),
+        "score_milli": F.col("score_milli"),
+        "row_parity": F.col("row_idx") % 2,
+    }
+    rows = txn(spark, sf_dir).filter("split IN ('val', 'test')").select(
+        "row_idx", "score_milli", *[e.cast("bigint").alias(f"v_{n}") for n, e in features.items()]
+    )
+    milli = F.expr("(_w * score_milli + (1000 - _w) * ((row_idx * 7919 + _shift) % 1000)) div 1000")
+    scored = _with_runs(rows, _grid_runs()).withColumn("_m", milli)
+    sums = scored.groupBy("run_no", "model", "strategy", "target_prevalence").agg(
+        F.sum("_m").alias("_total"), *[F.sum(F.col("_m") * F.col(f"v_{n}")).alias(n) for n in features]
+    )
+    from finsieve.functions import scalars as S
+
+    long = sums.unpivot(["model", "strategy", "target_prevalence", "_total"], list(features), "feature", "_sum")
+    return long.select(
+        S.run_id(F.col("model"), F.col("strategy"), F.col("target_prevalence")).alias("run_id"),
+        "model", "strategy", "target_prevalence", "feature",
+        (F.col("_sum") / F.col("_total") / 1000).alias("importance"),
+    )
