@@ -160,10 +160,10 @@ VIEWS["got"] = (("txn",), _rolling("to_account", "from_account"))
 def role_columns(view: str, role: str) -> str:
     v = view
     return f"""{v}.n1 AS {role}_tx_count_1d, {v}.n7 AS {role}_tx_count_7d, {v}.n30 AS {role}_tx_count_30d,
-       round(CASE WHEN {v}.n7 > 0 THEN CAST({v}.a7 AS DOUBLE) / {v}.n7 / 100000000 ELSE 0 END, 6) AS {role}_avg_amount_7d,
-       round(CASE WHEN {v}.n30 > 0 THEN CAST({v}.a30 AS DOUBLE) / {v}.n30 / 100000000 ELSE 0 END, 6) AS {role}_avg_amount_30d,
+       CASE WHEN {v}.n7 > 0 THEN CAST({v}.a7 AS DOUBLE) / {v}.n7 / 100000000 ELSE 0 END AS {role}_avg_amount_7d,
+       CASE WHEN {v}.n30 > 0 THEN CAST({v}.a30 AS DOUBLE) / {v}.n30 / 100000000 ELSE 0 END AS {role}_avg_amount_30d,
        {v}.u7 AS {role}_unique_counterparties_7d, {v}.u30 AS {role}_unique_counterparties_30d,
-       round(CASE WHEN {v}.n30 > 0 THEN CAST({v}.x30 AS DOUBLE) / {v}.n30 ELSE 0 END, 6) AS {role}_cross_bank_ratio_30d"""
+       CASE WHEN {v}.n30 > 0 THEN CAST({v}.x30 AS DOUBLE) / {v}.n30 ELSE 0 END AS {role}_cross_bank_ratio_30d"""
 
 
 # thirty scored runs over validation and test rows
