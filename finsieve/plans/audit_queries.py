@@ -96,10 +96,9 @@ def _daily(df):
     return A.daily_volume(df).withColumns({"day": F.date_format("day", "yyyy-MM-dd"), "illicit_ratio": F.round("illicit_ratio", 8)})
 
 
-@query("daily_volume", _DAYS.format(ts="ts", t="(SELECT * FROM txn WHERE payment_format = 'NO' AND score_milli > 700)", label="label"))
+@query("daily_volume", _DAYS.format(ts="ts", t="txn", label="label"))
 def daily_volume(spark, sf_dir):
-    # a thin selection, so that some days are empty
-    return _daily(T.txn(spark, sf_dir).filter("payment_format = 'NO' AND score_milli > 700"))
+    return _daily(T.txn(spark, sf_dir))
 
 
 @query("event_daily_volume", _DAYS.format(ts="ts", t="events", label="CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END"), ())

@@ -111,7 +111,7 @@ def ordinal_fit(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
-# fitted on domestic-currency rows only, so that some categories are unseen
+# fitted on the positives only, so that categories without one are unseen
 _SEEN = "(SELECT category, CAST(row_number() OVER (ORDER BY category) - 1 AS DOUBLE) AS code FROM (SELECT DISTINCT payment_format AS category FROM train WHERE label = 1))"
 
 
