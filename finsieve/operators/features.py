@@ -57,7 +57,7 @@ def with_entity_types(df: DataFrame, types: DataFrame) -> DataFrame:
 
 
 def account_features(
-    df: DataFrame, types: DataFrame, scope: tuple[str, ...] = ("split",), **rolling
+    df: DataFrame, types: DataFrame, scope: tuple[str, ...] = ("split",), keys_from: DataFrame | None = None, **rolling
 ) -> DataFrame:
     """Rolling columns of both roles and the two entity types.
 
@@ -65,8 +65,9 @@ def account_features(
     shuffled twice in all and no join by row number is needed.
     """
     base = df if {"log_paid", "cross_bank", "us"} <= set(df.columns) else row_features(df)
-    sent = with_rolling(base, "from_account", "to_account", "sender", scope, keys_from=base, **rolling)
-    both = with_rolling(sent, "to_account", "from_account", "receiver", scope, keys_from=base, **rolling)
+    keys_from = base if keys_from is None else keys_from
+    sent = with_rolling(base, "from_account", "to_account", "sender", scope, keys_from=keys_from, **rolling)
+    both = with_rolling(sent, "to_account", "from_account", "receiver", scope, keys_from=keys_from, **rolling)
     return with_entity_types(both, types)
 
 
@@ -102,6 +103,12 @@ def feature_table(
     Category codes come from the training split. An unseen category is null.
     """
     require_columns(df, _NEEDED)
-    rolled = fan_scores(account_features(row_features(df), entity_types(accounts), scope, **rolling))
-    coded = encode(rolled, df.filter(F.col("split") == "train"))
-    return assemble(coded, list(keep))
+    # short columns only from here on: the rolling passes carry them through two shuffles
+    coded = encode(df, df.filter(F.col("split") == "train"))
+    carried = [
+        *keep, "row_idx", "from_account", "to_account", *scope, "us", "cross_bank", "log_paid", "log_received",
+        "payment_format_code", "payment_currency_code", *[c for c in DERIVED_FEATURES if not c.startswith("fan_")],
+    ]
+    base = row_features(coded).select(*dict.fromkeys(carried))
+    rolled = account_features(base, entity_types(accounts), scope, keys_from=row_features(df), **rolling)
+    return assemble(fan_scores(rolled), list(keep))

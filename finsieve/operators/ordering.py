@@ -77,7 +77,7 @@ def draw_key(seed: int, row_idx: str = "row_idx") -> Column:
 def prefix_sums(
     df: DataFrame, keys: list[str], value: str, sums: list[str], descending: bool = False
 ) -> DataFrame:
-    """Inclusive running sums ``cum_<name>`` of ``sums`` along ``value`` per key.
+    """Inclusive running sums ``cum_<name>`` of ``sums`` along ``value``, and totals ``tot_<name>``, per key.
 
     ``df`` holds one row per (key, value). Rows are sorted only within a
     (key, value bucket) pair; the running totals of whole buckets are joined on.
@@ -86,9 +86,13 @@ def prefix_sums(
     outer = F.col("_b").desc() if descending else F.col("_b").asc()
     b = df.withColumn("_b", value_bucket(value))
     totals = b.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    earlier = Window.partitionBy(*keys).orderBy(outer).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy(outer).rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
-        *keys, "_b", *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_c_{c}") for c in sums]
+        *keys,
+        "_b",
+        *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_c_{c}") for c in sums],
+        *[F.sum(f"_t_{c}").over(whole).alias(f"tot_{c}") for c in sums],
     )
     local = (
         Window.partitionBy(*keys, "_b").orderBy(inner).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -21,23 +21,24 @@ def score_groups(df: DataFrame, keys: list[str], score: str = "score", label: st
     )
 
 
-def ranking_curve(df: DataFrame, keys: list[str], score: str = "score", label: str = "label") -> DataFrame:
-    """Per distinct score: predicted positives ``cum_n`` and hits ``cum_p`` at that threshold."""
-    return prefix_sums(score_groups(df, keys, score, label), keys, score, ["n", "p"], descending=True)
+def curve_of_groups(groups: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
+    """Predicted positives ``cum_n`` and hits ``cum_p`` at each distinct score, with the totals of the key."""
+    return prefix_sums(groups, keys, score, ["n", "p"], descending=True)
+
+
+def curve_rates() -> dict[str, Column]:
+    """Precision, recall and F1 of a curve point."""
+    return {
+        "precision": S.share(F.col("cum_p"), F.col("cum_n")),
+        # without positives every threshold counts as full recall
+        "recall": F.when(F.col("tot_p") > 0, F.col("cum_p").cast("double") / F.col("tot_p")).otherwise(F.lit(1.0)),
+        "f1": S.share(2 * F.col("cum_p"), F.col("cum_n") + F.col("tot_p")),
+    }
 
 
 def pr_curve(df: DataFrame, keys: list[str], score: str = "score", label: str = "label") -> DataFrame:
     """Precision and recall at every distinct score."""
-    curve = ranking_curve(df, keys, score, label)
-    total = df.groupBy(*keys).agg(F.sum(F.col(label).cast("bigint")).alias("tot_p"))
-    joined = curve.join(total, keys) if keys else curve.join(F.broadcast(total))
-    return joined.withColumns(
-        {
-            "precision": S.share(F.col("cum_p"), F.col("cum_n")),
-            # without positives every threshold counts as full recall
-            "recall": F.when(F.col("tot_p") > 0, F.col("cum_p").cast("double") / F.col("tot_p")).otherwise(F.lit(1.0)),
-        }
-    )
+    return curve_of_groups(score_groups(df, keys, score, label), keys, score).withColumns(curve_rates())
 
 
 def _curve_sums() -> list[Column]:
@@ -67,7 +68,8 @@ def ranking_quality(df: DataFrame, keys: list[str], score: str = "score", label:
 
     Average precision is 0 without positives; the ROC area is null when a class is missing.
     """
-    agg = ranking_curve(df, keys, score, label).groupBy(*keys).agg(*_curve_sums())
+    curve = curve_of_groups(score_groups(df, keys, score, label), keys, score)
+    agg = curve.groupBy(*keys).agg(*_curve_sums())
     return agg.select(*keys, "n_rows", "n_pos", _ap().alias("pr_auc"), _auc().alias("roc_auc"))
 
 
@@ -109,12 +111,12 @@ def threshold_metrics() -> dict[str, Column]:
 METRICS = ["pr_auc", "roc_auc", "precision", "recall", "f1", "f2", "weighted_accuracy", "tp", "fp", "tn", "fn", "threshold"]
 
 
-def record_of_groups(groups: DataFrame, keys: list[str], threshold: Column, score: str = "score") -> DataFrame:
-    """Metric record of scores that :func:`score_groups` has grouped already."""
-    curve = prefix_sums(groups, keys, score, ["n", "p"], descending=True)
+def record_of_curve(curve: DataFrame, keys: list[str], threshold: Column, score: str = "score") -> DataFrame:
+    """Metric record of each key of a curve; ``threshold`` is constant per key."""
     said = F.col(score) >= threshold
     agg = curve.groupBy(*keys).agg(
         *_curve_sums(),
+        F.max(threshold).cast("double").alias("threshold"),
         F.coalesce(F.sum(F.when(said, F.col("p"))), F.lit(0)).alias("tp"),
         F.coalesce(F.sum(F.when(said, F.col("n") - F.col("p"))), F.lit(0)).alias("fp"),
     )
@@ -126,7 +128,7 @@ def record_of_groups(groups: DataFrame, keys: list[str], threshold: Column, scor
             "roc_auc": _auc(),
         }
     ).withColumns(threshold_metrics())
-    return full.withColumn("threshold", threshold.cast("double")).select(*keys, *METRICS)
+    return full.select(*keys, *METRICS)
 
 
 def metric_record(
@@ -140,7 +142,8 @@ def metric_record(
         by, t = [*keys, threshold], F.col(threshold)
     else:
         by, t = keys, F.lit(float(threshold))
-    return record_of_groups(score_groups(df, by, score, label), by, t, score).select(*keys, *METRICS)
+    curve = curve_of_groups(score_groups(df, by, score, label), by, score)
+    return record_of_curve(curve, keys, t, score)
 
 
 def score_stats(df: DataFrame, keys: list[str], score: str = "score") -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from finsieve.functions import scalars as S
 from finsieve.operators.ranking import (
+    curve_of_groups,
+    curve_rates,
     even_quantiles,
-    metric_record,
-    pr_curve,
-    record_of_groups,
+    record_of_curve,
     score_groups,
     threshold_metrics,
 )
@@ -22,33 +22,35 @@ STRATEGIES = ("f1_max", "f2_max", "precision_constrained")
 FALLBACK = 0.5
 
 
+def _goal(criterion: str):
+    """Value to maximise at a curve point."""
+    if criterion not in CRITERIA:
+        raise ValueError(f"unknown criterion {criterion!r}, expected one of {CRITERIA}")
+    rates = curve_rates()
+    p, r = rates["precision"], rates["recall"]
+    return {
+        "f1": rates["f1"],
+        "recall": F.when(p > 0, r).otherwise(F.lit(-1.0)),
+        "precision": F.when(r > 0, p).otherwise(F.lit(-1.0)),
+    }[criterion]
+
+
 def best_threshold(df: DataFrame, keys: list[str], criterion: str = "f1", score: str = "score", label: str = "label") -> DataFrame:
     """Best threshold of each key over all distinct scores; ties go to the lowest.
 
     ``recall`` looks at thresholds with precision above 0 and ``precision`` at
     those with recall above 0, when there are any.
     """
-    if criterion not in CRITERIA:
-        raise ValueError(f"unknown criterion {criterion!r}, expected one of {CRITERIA}")
-    curve = pr_curve(df, keys, score, label)
-    p, r = F.col("precision"), F.col("recall")
-    # exact for ties: F1 from the counts
-    f1 = S.share(2 * F.col("cum_p"), F.col("cum_n") + F.col("tot_p"))
-    value = {
-        "f1": f1,
-        "recall": F.when(p > 0, r).otherwise(F.lit(-1.0)),
-        "precision": F.when(r > 0, p).otherwise(F.lit(-1.0)),
-    }[criterion]
-    rank = F.struct(value.alias("v"), (-F.col(score)).alias("s"))
+    curve = curve_of_groups(score_groups(df, keys, score, label), keys, score).withColumns(curve_rates())
+    rank = F.struct(_goal(criterion).alias("v"), (-F.col(score)).alias("s"))
+    point = F.struct(F.col(score).cast("double").alias("t"), "precision", "recall", "f1")
     return (
         curve.groupBy(*keys)
-        .agg(F.max_by(F.struct(F.col(score).cast("double").alias("t"), f1.alias("f1"), p.alias("p"), r.alias("r")), rank).alias("_b"))
+        .agg(F.max_by(point, rank).alias("_b"))
         .select(
             *keys,
             F.coalesce(F.col("_b.t"), F.lit(FALLBACK)).alias("threshold"),
-            F.col("_b.p").alias("precision"),
-            F.col("_b.r").alias("recall"),
-            F.col("_b.f1").alias("f1"),
+            "_b.precision", "_b.recall", "_b.f1",
         )
     )
 
@@ -160,7 +162,8 @@ def operating_points(
     tau = F.array(*[F.struct(F.lit(r["strategy"]).alias("strategy"), F.lit(r["selection"]).alias("selection"), F.lit(r["threshold"]).alias("tau")) for r in rows])
     grouped = score_groups(test, [])
     spread = grouped.select("score", "n", "p", F.inline(tau))
-    measured = record_of_groups(spread, ["strategy", "selection", "tau"], F.col("tau"))
+    by = ["strategy", "selection", "tau"]
+    measured = record_of_curve(curve_of_groups(spread, by), by, F.col("tau"))
     ref = measured.filter("strategy = 'reference'").select(
         *[F.col(c).alias(f"ref_{c}") for c in ("precision", "recall", "f1", "f2", "fp", "pr_auc")]
     )
@@ -169,13 +172,23 @@ def operating_points(
     return out.withColumns(deltas | {"pr_auc_same": F.abs(F.col("pr_auc") - F.col("ref_pr_auc")) <= 1e-9})
 
 
+def reevaluate_groups(groups: DataFrame, criterion: str = "f1", keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
+    """:func:`reevaluate` on scores that are grouped by key, split and score already."""
+    k = list(keys)
+    curve = curve_of_groups(groups.filter("split IN ('val', 'test')"), [*k, "split"])
+    rank = F.struct(_goal(criterion).alias("v"), (-F.col("score")).alias("s"))
+    on_val = F.col("split") == "val"
+    # one row per key
+    best = curve.groupBy(*k).agg(
+        F.coalesce(F.max_by(F.when(on_val, F.col("score").cast("double")), F.when(on_val, rank)), F.lit(FALLBACK)).alias("tau")
+    )
+    return record_of_curve(curve.join(best, k), [*k, "split"], F.col("tau")).withColumn("criterion", F.lit(criterion))
+
+
 def reevaluate(scored: DataFrame, criterion: str = "f1", keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
     """Threshold of every run from its validation rows, metrics of both splits at it.
 
-    One job for all runs. Scores carry ``split`` with values ``val`` and ``test``.
+    One job for all runs, reading the scores once. They carry ``split`` with
+    values ``val`` and ``test``.
     """
-    k = list(keys)
-    best = best_threshold(scored.filter("split = 'val'"), k, criterion).select(*k, F.col("threshold").alias("tau"))
-    # one row per run
-    with_tau = scored.filter("split IN ('val', 'test')").join(best, k)
-    return metric_record(with_tau, [*k, "split"], "tau").withColumn("criterion", F.lit(criterion))
+    return reevaluate_groups(score_groups(scored, [*keys, "split"]), criterion, keys)

@@ -188,7 +188,8 @@ def _with_runs(rows: DataFrame, runs: list[tuple]) -> DataFrame:
         *[
             F.struct(
                 F.lit(no).alias("run_no"), F.lit(model).alias("model"), F.lit(strategy).alias("strategy"),
-                F.lit(p).alias("target_prevalence"), F.lit(w).alias("_w"), F.lit(shift).alias("_shift"),
+                F.lit(p).alias("target_prevalence"), F.lit(f"{model}__{strategy}__p{round(p * 1000):03d}").alias("run_id"),
+                F.lit(w).alias("_w"), F.lit(shift).alias("_shift"),
             )
             for no, model, strategy, p, w, shift in runs
         ]
@@ -216,13 +217,10 @@ def _pool_runs() -> list[tuple]:
 
 
 def _scored(spark: SparkSession, sf_dir: str, runs: list[tuple], keep: tuple[str, ...] = ()) -> DataFrame:
-    from finsieve.functions import scalars as S
-
     rows = txn(spark, sf_dir).filter("split IN ('val', 'test')").select("row_idx", "split", "label", "score_milli", *keep)
     milli = F.expr("(_w * score_milli + (1000 - _w) * ((row_idx * 7919 + _shift) % 1000)) div 1000")
     return _with_runs(rows, runs).select(
-        "row_idx", "split", "label", *keep, "run_no", "model", "strategy", "target_prevalence",
-        S.run_id(F.col("model"), F.col("strategy"), F.col("target_prevalence")).alias("run_id"),
+        "row_idx", "split", "label", *keep, "run_no", "model", "strategy", "target_prevalence", "run_id",
         milli.alias("run_milli"),
         (milli / 1000).cast("float").alias("score"),
     )
@@ -238,37 +236,42 @@ def pool_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir, _pool_runs())
 
 
-def _board(scored: DataFrame) -> DataFrame:
-    from finsieve.operators.ranking import metric_record
+def _board(scored: DataFrame, runs: list[tuple]) -> DataFrame:
+    from finsieve.operators.ranking import curve_of_groups, record_of_curve, score_groups
     from finsieve.operators.runs import leaderboard
-    from finsieve.operators.thresholds import reevaluate
-
-    scored = scored.select("run_id", "run_no", "model", "strategy", "target_prevalence", "split", "label", "score")
-    grouped = scored.groupBy("run_id").agg(
-        *[F.first(c).alias(c) for c in ("run_no", "model", "strategy", "target_prevalence")]
-    )
-    half = materialize(metric_record(scored, ["run_id", "split"], 0.5), "metrics-default")
-    best = materialize(reevaluate(scored), "metrics-threshold")
+    from finsieve.operators.thresholds import reevaluate_groups
+
+    # one row per run, split and distinct score: all that the metrics need
+    groups = materialize(score_groups(scored, ["run_no", "split"]), "score-groups")
+    keys = ["run_no", "split"]
+    half = materialize(record_of_curve(curve_of_groups(groups, keys), keys, F.lit(0.5)), "metrics-default")
+    best = materialize(reevaluate_groups(groups, keys=("run_no",)), "metrics-threshold")
+    names = groups.select("run_no").distinct()
+    config = scored.sparkSession.createDataFrame(
+        [(no, m, s, p, f"{m}__{s}__p{round(p * 1000):03d}") for no, m, s, p, _, _ in runs],
+        "run_no int, model string, strategy string, target_prevalence double, run_id string",
+    ).join(F.broadcast(names), "run_no")
+    named = lambda df: df.join(config.select("run_no", "run_id"), "run_no").drop("run_no")
     records = {
-        "val": half.filter("split = 'val'"),
-        "test": half.filter("split = 'test'"),
-        "val_thresh": best.filter("split = 'val'"),
-        "test_thresh": best.filter("split = 'test'"),
+        "val": named(half.filter("split = 'val'")),
+        "test": named(half.filter("split = 'test'")),
+        "val_thresh": named(best.filter("split = 'val'")),
+        "test_thresh": named(best.filter("split = 'test'")),
     }
-    taus = best.filter("split = 'val'").select(
+    taus = named(best.filter("split = 'val'")).select(
         "run_id", F.col("threshold").alias("optimal_threshold"), F.col("criterion").alias("threshold_criterion")
     )
-    return leaderboard(grouped, records, taus).join(grouped.select("run_id", "run_no"), "run_id")
+    return leaderboard(config, records, taus).join(config.select("run_id", "run_no"), "run_id")
 
 
 def run_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaderboard rows of the thirty grid runs."""
-    return _once(spark, sf_dir, "run-board", lambda: _board(run_scores(spark, sf_dir)))
+    return _once(spark, sf_dir, "run-board", lambda: _board(run_scores(spark, sf_dir), _grid_runs()))
 
 
 def pool_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaderboard rows of the three three-pool runs."""
-    return _once(spark, sf_dir, "pool-board", lambda: _board(pool_scores(spark, sf_dir)))
+    return _once(spark, sf_dir, "pool-board", lambda: _board(pool_scores(spark, sf_dir), _pool_runs()))
 
 
 def importances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -298,14 +301,11 @@ def importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     milli = F.expr("(_w * score_milli + (1000 - _w) * ((row_idx * 7919 + _shift) % 1000)) div 1000")
     scored = _with_runs(rows, _grid_runs()).withColumn("_m", milli)
-    sums = scored.groupBy("run_no", "model", "strategy", "target_prevalence").agg(
+    sums = scored.groupBy("run_no", "run_id", "model", "strategy", "target_prevalence").agg(
         F.sum("_m").alias("_total"), *[F.sum(F.col("_m") * F.col(f"v_{n}")).alias(n) for n in features]
     )
-    from finsieve.functions import scalars as S
-
-    long = sums.unpivot(["model", "strategy", "target_prevalence", "_total"], list(features), "feature", "_sum")
+    long = sums.unpivot(["run_id", "model", "strategy", "target_prevalence", "_total"], list(features), "feature", "_sum")
     return long.select(
-        S.run_id(F.col("model"), F.col("strategy"), F.col("target_prevalence")).alias("run_id"),
-        "model", "strategy", "target_prevalence", "feature",
+        "run_id", "model", "strategy", "target_prevalence", "feature",
         (F.col("_sum") / F.col("_total") / 1000).alias("importance"),
     )
