@@ -167,7 +167,8 @@ def even_quantiles(df: DataFrame, value: str, parts: int) -> DataFrame:
     )
     last, d = n - 1, parts
     if last == 0:
-        return ranked.select(F.explode(F.sequence(F.lit(0), F.lit(d))).cast("bigint").alias("j"), F.col("v").cast("double").alias("quantile"))
+        every = F.sequence(F.lit(0).cast("bigint"), F.lit(d).cast("bigint"))
+        return ranked.select(F.explode(every).alias("j"), F.col("v").cast("double").alias("quantile"))
     # rank of j is j * last / d; which j fall on rows a..b-1 follows by integer division
     lower_to = F.expr(f"(_b * {d} + {last} - 1) div {last} - 1")
     lower_from = F.expr(f"(_a * {d} + {last} - 1) div {last}")
