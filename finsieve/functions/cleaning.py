@@ -87,7 +87,7 @@ def match_key() -> Column:
     minute, the amount has two decimals. Null without a time or an amount, so
     such a row never matches.
     """
-    cents = F.round(F.col("amount_paid"), 2)
+    amount = F.col("amount_paid").try_cast("decimal(38,2)").cast("string")
     text = {c: F.coalesce(F.lower(F.trim(F.col(c))), F.lit("nan")) for c in KEY_COLUMNS if c in TEXT_COLUMNS}
     return F.when(
         F.col("timestamp").isNotNull() & F.col("amount_paid").isNotNull(),
@@ -98,7 +98,7 @@ def match_key() -> Column:
             text["from_account"],
             text["to_bank"],
             text["to_account"],
-            F.format_string("%.2f", cents),
+            amount,
             text["payment_currency"],
             text["payment_format"],
         ),

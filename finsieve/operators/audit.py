@@ -62,7 +62,7 @@ def daily_volume(df: DataFrame) -> DataFrame:
     busy = df.groupBy(day.alias("day")).agg(
         F.count(F.lit(1)).alias("total"), F.sum(F.col("label").cast("bigint")).alias("illicit")
     )
-    span = df.agg(F.min(day).alias("a"), F.max(day).alias("b"))
+    span = busy.agg(F.min("day").alias("a"), F.max("day").alias("b"))
     days = span.select(F.explode(F.sequence("a", "b")).alias("day"))
     total = F.coalesce("total", F.lit(0)).cast("bigint")
     illicit = F.coalesce("illicit", F.lit(0)).cast("bigint")

@@ -237,7 +237,7 @@ def with_rolling(
         {
             "_us0": F.col("us"),
             "_idx": F.col("row_idx"),
-            "_amt": F.coalesce(F.round(F.col("log_paid") * FIXED_POINT).cast("bigint"), F.lit(0)),
+            "_amt": F.coalesce(F.rint(F.col("log_paid") * FIXED_POINT).cast("bigint"), F.lit(0)),
             "_cross": F.col("cross_bank").cast("bigint"),
         }
     )

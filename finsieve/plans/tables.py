@@ -45,6 +45,8 @@ def unnumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     supplier = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     text = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    # nearest whole number of a positive value, without going through decimals
+    whole = lambda x: (x + 0.5).cast("bigint")
     joined = (
         line.join(orders, line.l_orderkey == orders.o_orderkey)
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
@@ -56,15 +58,15 @@ def unnumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
         text("C", "o_custkey").alias("from_account"),
         text("N", "s_nationkey").alias("to_bank"),
         text("S", "l_suppkey").alias("to_account"),
-        F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100).cast("bigint").alias("received_cents"),
+        whole(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100).alias("received_cents"),
         F.concat(F.lit("CUR"), (F.col("s_nationkey") % 5).cast("string")).alias("receiving_currency"),
-        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("paid_cents"),
+        whole(F.col("l_extendedprice") * 100).alias("paid_cents"),
         F.concat(F.lit("CUR"), (F.col("c_nationkey") % 5).cast("string")).alias("payment_currency"),
         F.concat("l_returnflag", "l_linestatus").alias("payment_format"),
         (
             (F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.09) & (F.col("l_quantity") >= 45)
         ).cast("int").alias("label"),
-        F.round(F.col("l_quantity") * 10 + F.col("l_discount") * 5000).cast("bigint").alias("score_milli"),
+        whole(F.col("l_quantity") * 10 + F.col("l_discount") * 5000).alias("score_milli"),
         *_ORDER[1:],
     )
 

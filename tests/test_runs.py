@@ -110,8 +110,7 @@ def test_models(spark, tmp_path):
         M.get_model("svm")
 
 
-def test_baseline_scores_are_kept(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(M, "FEATURES", ["a"])
+def test_baseline_scores_are_kept(spark, tmp_path):
     df = spark.range(200).select(F.col("id").alias("row_idx"), (F.col("id") % 4 == 0).cast("int").alias("label"), (F.col("id") % 4).cast("double").alias("a"))
     model = M.fit(df, "random_forest", features=["a"], numTrees=2, maxDepth=2)
     path = str(tmp_path / "scores")
