@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from finsieve.schema import CATEGORY_FEATURES
+from finsieve.session import materialize
 
 
 def fit_codes(train: DataFrame, column: str) -> DataFrame:
@@ -25,8 +26,21 @@ def apply_codes(df: DataFrame, codes: DataFrame, column: str, out: str) -> DataF
     return df.join(table, key == F.col("_category"), "left").drop("_category")
 
 
-def encode(df: DataFrame, train: DataFrame, columns: list[str] = CATEGORY_FEATURES, suffix: str = "_code") -> DataFrame:
-    """Codes of all ``columns``, fitted on ``train`` only."""
+def fit_encoder(train: DataFrame, columns: list[str] = CATEGORY_FEATURES) -> DataFrame:
+    """Codes of several columns as one stored table ``(feature, category, code)``.
+
+    It is written out, so that a join against it is planned by its true size:
+    sent to all tasks while small, shuffled beyond Spark's threshold.
+    """
+    parts = [fit_codes(train, c).select(F.lit(c).alias("feature"), "category", "code") for c in columns]
+    table = parts[0]
+    for p in parts[1:]:
+        table = table.unionByName(p)
+    return materialize(table, "encoder")
+
+
+def encode(df: DataFrame, encoder: DataFrame, columns: list[str] = CATEGORY_FEATURES, suffix: str = "_code") -> DataFrame:
+    """Attach the code of each column; null for a value the encoder has not seen."""
     for c in columns:
-        df = apply_codes(df, fit_codes(train, c), c, f"{c}{suffix}")
+        df = apply_codes(df, encoder.filter(F.col("feature") == c), c, f"{c}{suffix}")
     return df

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finsieve.functions import scalars as S
-from finsieve.functions.encoding import encode
+from finsieve.functions.encoding import encode, fit_encoder
 from finsieve.operators.rolling import with_rolling
 from finsieve.schema import ACCOUNT_FEATURES, DERIVED_FEATURES, FEATURES, require_columns
+from finsieve.session import materialize
 
 _NEEDED = [
     "row_idx", "timestamp", "from_bank", "from_account", "to_bank", "to_account",
@@ -45,7 +46,12 @@ def entity_types(accounts: DataFrame) -> DataFrame:
 
 
 def with_entity_types(df: DataFrame, types: DataFrame) -> DataFrame:
-    """Type of both parties, 2 for an unknown account. Catalyst picks the join by size."""
+    """Type of both parties, 2 for an unknown account.
+
+    The types are stored first: they are worked out once for both joins, which
+    are then planned by the true size of the table.
+    """
+    types = materialize(types, "entity-types")
     for role, column in (("sender", "from_account"), ("receiver", "to_account")):
         side = types.select(F.col("account").alias("_acc"), F.col("entity_type").alias("_type"))
         df = (
@@ -96,15 +102,23 @@ def assemble(df: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def feature_table(
-    df: DataFrame, accounts: DataFrame, scope: tuple[str, ...] = ("split",), keep: tuple[str, ...] = ("row_idx", "split", "label"), **rolling
+    df: DataFrame,
+    accounts: DataFrame,
+    scope: tuple[str, ...] = ("split",),
+    keep: tuple[str, ...] = ("row_idx", "split", "label"),
+    encoder: DataFrame | None = None,
+    **rolling,
 ) -> DataFrame:
     """Feature table of a labelled, split transaction table.
 
-    Category codes come from the training split. An unseen category is null.
+    Category codes come from ``encoder``, or from the rows of the training split.
+    An unseen category is null. ``scope`` separates account histories: by default
+    each split starts without any; ``()`` carries them across splits.
     """
     require_columns(df, _NEEDED)
     # short columns only from here on: the rolling passes carry them through two shuffles
-    coded = encode(df, df.filter(F.col("split") == "train"))
+    encoder = fit_encoder(df.filter(F.col("split") == "train")) if encoder is None else encoder
+    coded = encode(df, encoder)
     carried = [
         *keep, "row_idx", "from_account", "to_account", *scope, "us", "cross_bank", "log_paid", "log_received",
         "payment_format_code", "payment_currency_code", *[c for c in DERIVED_FEATURES if not c.startswith("fan_")],

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finsieve.functions.cleaning import ground_truth_labels, match_key
+from finsieve.session import materialize
 
 
 def first_by_key(df: DataFrame, key: str, position: str) -> DataFrame:
@@ -27,6 +28,8 @@ def attach_patterns(txn: DataFrame, patterns: DataFrame) -> DataFrame:
     side = first_by_key(
         patterns.select(match_key().alias("_key"), "pattern_type", "pattern_block_id", "file_pos"), "_key", "file_pos"
     ).select(F.col("_key").alias("_pkey"), F.col("pattern_type").alias("_type"), F.col("pattern_block_id").alias("_block"))
+    # stored, so that the join is planned by the true size of the pattern list
+    side = materialize(side, "pattern-keys")
     keyed = txn.withColumn("_key", F.coalesce(match_key(), F.concat(F.lit("none#"), F.col("row_idx").cast("string"))))
     return (
         keyed.join(side, F.col("_key") == F.col("_pkey"), "left")

@@ -15,6 +15,7 @@ from finsieve.operators.ranking import (
     score_groups,
     threshold_metrics,
 )
+from finsieve.session import materialize
 
 CRITERIA = ("f1", "recall", "precision")
 STRATEGIES = ("f1_max", "f2_max", "precision_constrained")
@@ -178,10 +179,11 @@ def reevaluate_groups(groups: DataFrame, criterion: str = "f1", keys: tuple[str,
     curve = curve_of_groups(groups.filter("split IN ('val', 'test')"), [*k, "split"])
     rank = F.struct(_goal(criterion).alias("v"), (-F.col("score")).alias("s"))
     on_val = F.col("split") == "val"
-    # one row per key
+    # one row per key, stored so that the join below is planned by its true size
     best = curve.groupBy(*k).agg(
         F.coalesce(F.max_by(F.when(on_val, F.col("score").cast("double")), F.when(on_val, rank)), F.lit(FALLBACK)).alias("tau")
     )
+    best = materialize(best, "thresholds")
     return record_of_curve(curve.join(best, k), [*k, "split"], F.col("tau")).withColumn("criterion", F.lit(criterion))
 
 
@@ -191,4 +193,5 @@ def reevaluate(scored: DataFrame, criterion: str = "f1", keys: tuple[str, ...] =
     One job for all runs, reading the scores once. They carry ``split`` with
     values ``val`` and ``test``.
     """
-    return reevaluate_groups(score_groups(scored, [*keys, "split"]), criterion, keys)
+    groups = materialize(score_groups(scored, [*keys, "split"]), "score-groups")
+    return reevaluate_groups(groups, criterion, keys)

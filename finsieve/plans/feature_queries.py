@@ -106,9 +106,7 @@ _CODES = "(SELECT {c} AS category, CAST(row_number() OVER (ORDER BY {c}) - 1 AS
     ("train",),
 )
 def ordinal_fit(spark, sf_dir):
-    train = T.train(spark, sf_dir)
-    parts = [E.fit_codes(train, c).withColumn("feature", F.lit(c)) for c in ("payment_format", "payment_currency")]
-    return parts[0].unionByName(parts[1])
+    return E.fit_encoder(T.train(spark, sf_dir))
 
 
 # fitted on the positives only, so that categories without one are unseen
@@ -121,9 +119,9 @@ _SEEN = "(SELECT category, CAST(row_number() OVER (ORDER BY category) - 1 AS DOU
     ("txn", "train"),
 )
 def ordinal_apply(spark, sf_dir):
-    codes = E.fit_codes(T.train(spark, sf_dir).filter("label = 1"), "payment_format")
+    encoder = E.fit_encoder(T.train(spark, sf_dir).filter("label = 1"), ["payment_format"])
     rows = T.txn(spark, sf_dir).select("row_idx", "payment_format")
-    return E.apply_codes(rows, codes, "payment_format", "payment_format_code").drop("payment_format")
+    return E.encode(rows, encoder, ["payment_format"]).drop("payment_format")
 
 
 def _rolled(spark, sf_dir, names):

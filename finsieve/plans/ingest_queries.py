@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from finsieve.functions import cleaning as C
@@ -57,31 +58,41 @@ def scan_accounts(spark, sf_dir):
 _PATTERN_KINDS = "(['FAN-IN', 'FAN-OUT', 'GATHER-SCATTER', 'SCATTER-GATHER', 'RANDOM', 'STACK', 'UNKNOWN'])"
 
 
-@query(
-    "parse_pattern_blocks",
-    f"""SELECT {_TIME.format('ts')} AS time, from_bank, from_account, to_bank, to_account, amount_paid, payment_currency, payment_format,
-       {_PATTERN_KINDS}[CAST(substr(from_bank, 2) AS INTEGER) % 7 + 1] AS pattern_type,
-       count(*) OVER (PARTITION BY from_account) AS block_rows, 1 AS is_laundering_csv FROM txn WHERE label = 1""",
-)
-def parse_pattern_blocks(spark, sf_dir):
+def _pattern_lines(spark, sf_dir):
+    """Positives as a pattern file: a block for each payer within a stretch of 4,096 rows."""
     kinds = ["FAN-IN", "FAN-OUT", "GATHER-SCATTER", "SCATTER-GATHER", "RANDOM", "STACK"]
-    pos = T.txn(spark, sf_dir).filter("label = 1")
     number = F.substring("from_bank", 2, 10).cast("int") % 7
-    head = F.when(
-        number < 6,
-        F.concat(F.lit(" - "), F.element_at(F.array(*[F.lit(k) for k in kinds]), F.least(number, F.lit(5)) + 1), F.lit(":  Max 3-degree")),
-    ).otherwise(F.lit(""))
+    kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), F.least(number, F.lit(5)) + 1)
     cents = lambda c: F.format_string("%.2f", F.col(c) / 100)
-    rows = pos.select(
+    rows = T.txn(spark, sf_dir).filter("label = 1").select(
         F.date_format("timestamp", "yyyy/MM/dd HH:mm").alias("timestamp"),
         "from_bank", "from_account", "to_bank", "to_account",
         cents("received_cents").alias("amount_received"), "receiving_currency",
         cents("paid_cents").alias("amount_paid"), "payment_currency", "payment_format",
         F.lit("1").alias("is_laundering_csv"),
-        F.col("from_account").alias("block"), F.col("row_idx").alias("pos"), head.alias("header"),
+        F.concat_ws("#", "from_account", F.shiftright("row_idx", 12).cast("string")).alias("block"),
+        "row_idx",
+        F.when(number < 6, F.concat(F.lit(" - "), kind, F.lit(":  Max 3-degree"))).otherwise(F.lit("")).alias("head"),
     )
+    forward, back = Window.partitionBy("block").orderBy("row_idx"), Window.partitionBy("block").orderBy(F.col("row_idx").desc())
+    begin = F.concat(F.lit(C.BEGIN_MARKER), "head", F.lit("\n"))
+    line = F.concat(
+        F.when(F.row_number().over(forward) == 1, begin).otherwise(F.lit("")),
+        F.concat_ws(",", *RAW_COLUMNS),
+        F.when(F.row_number().over(back) == 1, F.lit(f"\n{C.END_MARKER}\n")).otherwise(F.lit("")),
+    )
+    return rows.select("block", "row_idx", line.alias("value")).sortWithinPartitions("block", "row_idx").select("value")
+
+
+@query(
+    "parse_pattern_blocks",
+    f"""SELECT {_TIME.format('ts')} AS time, from_bank, from_account, to_bank, to_account, amount_paid, payment_currency, payment_format,
+       {_PATTERN_KINDS}[CAST(substr(from_bank, 2) AS INTEGER) % 7 + 1] AS pattern_type,
+       count(*) OVER (PARTITION BY from_account, row_idx // 4096) AS block_rows, 1 AS is_laundering_csv FROM txn WHERE label = 1""",
+)
+def parse_pattern_blocks(spark, sf_dir):
     path = scratch_path(spark, "patterns-txt")
-    P.write_patterns(rows, path)
+    _pattern_lines(spark, sf_dir).write.text(path)
     parsed = P.parse_patterns(spark, path)
     sizes = parsed.groupBy("file_pos.file", "pattern_block_id").agg(F.count(F.lit(1)).alias("block_rows"))
     return (

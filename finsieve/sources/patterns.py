@@ -66,25 +66,3 @@ def parse_patterns(spark: SparkSession, path: str) -> DataFrame:
     typed = enforce_types(parsed.withColumn("timestamp", to_timestamp(F.col("timestamp"))))
     # every row of a pattern file is illicit
     return typed.filter(F.col("timestamp").isNotNull()).withColumn("is_laundering_csv", F.lit(1))
-
-
-def write_patterns(rows: DataFrame, path: str, block: str = "block", position: str = "pos") -> None:
-    """Write rows as a pattern file; a block stays together and in order.
-
-    ``rows`` has the raw text columns, ``block``, ``position`` and ``header``, the
-    text after the BEGIN marker.
-    """
-    first = Window.partitionBy(block).orderBy(position)
-    last = Window.partitionBy(block).orderBy(F.col(position).desc())
-    data = F.concat_ws(",", *[F.coalesce(F.col(c), F.lit("")) for c in RAW_COLUMNS])
-    marked = rows.withColumns({"_head": F.row_number().over(first) == 1, "_tail": F.row_number().over(last) == 1})
-    lines = marked.select(
-        block,
-        position,
-        F.concat(
-            F.when(F.col("_head"), F.concat(F.lit(BEGIN_MARKER), F.col("header"), F.lit("\n"))).otherwise(F.lit("")),
-            data,
-            F.when(F.col("_tail"), F.concat(F.lit("\n"), F.lit(END_MARKER), F.lit("\n"))).otherwise(F.lit("")),
-        ).alias("value"),
-    )
-    lines.sortWithinPartitions(block, position).select("value").write.text(path)

@@ -141,6 +141,8 @@ def test_codes(spark):
     assert {r["category"]: r["code"] for r in codes.collect()} == {"a": 0.0, "b": 1.0, "nan": 2.0}
     other = spark.createDataFrame([("a",), ("zz",), (None,)], "c string")
     assert {r["c"]: r["k"] for r in E.apply_codes(other, codes, "c", "k").collect()} == {"a": 0.0, "zz": None, None: 2.0}
+    both = E.encode(other.withColumn("d", F.lit("b")), E.fit_encoder(train.withColumn("d", F.col("c")), ["c", "d"]), ["c", "d"])
+    assert {(r["c_code"], r["d_code"]) for r in both.collect()} == {(0.0, 1.0), (None, 1.0), (2.0, 1.0)}
 
 
 def test_feature_table_and_its_store(spark, csv, tmp_path):
