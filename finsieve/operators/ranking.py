@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from finsieve.functions import scalars as S
 from finsieve.operators.ordering import prefix_sums
+from finsieve.session import materialize
 
 
 def score_groups(df: DataFrame, keys: list[str], score: str = "score", label: str = "label") -> DataFrame:
@@ -152,6 +153,37 @@ def score_stats(df: DataFrame, keys: list[str], score: str = "score") -> DataFra
     )
 
 
+def quantiles_of_counts(values: DataFrame, parts: int) -> DataFrame:
+    """:func:`even_quantiles` of values that are counted already: columns ``v`` and ``n``."""
+    n = values.agg(F.sum("n")).first()[0]
+    if not n:
+        return values.sparkSession.createDataFrame([], "j bigint, quantile double")
+    last, d = n - 1, parts
+    # the rows a value stands for: a up to b - 1
+    ranked = prefix_sums(values, [], "v", ["n"]).select(
+        F.col("v").cast("double").alias("v"), (F.col("cum_n") - F.col("n")).alias("a"), F.col("cum_n").alias("b")
+    )
+    if last == 0:
+        bounds = {"low": ("CAST(0 AS bigint)", f"CAST({d} AS bigint)"), "high": ("CAST(0 AS bigint)", f"CAST({d} AS bigint)")}
+    else:
+        # rank j * last / d, rounded down or up, falls on a value for these j
+        bounds = {
+            "low": (f"(a * {d} + {last} - 1) div {last}", f"(b * {d} + {last} - 1) div {last} - 1"),
+            "high": (f"CASE WHEN a = 0 THEN CAST(0 AS bigint) ELSE ((a - 1) * {d}) div {last} + 1 END", f"((b - 1) * {d}) div {last}"),
+        }
+    sides = F.array(
+        *[
+            F.struct(F.lit(side).alias("side"), F.expr(start).alias("s"), F.least(F.expr(stop), F.lit(d).cast("bigint")).alias("e"))
+            for side, (start, stop) in bounds.items()
+        ]
+    )
+    # at most parts + 1 rows on each side
+    picked = ranked.select("v", F.inline(sides)).filter("s <= e").select("side", F.explode(F.sequence("s", "e")).alias("j"), "v")
+    ends = picked.groupBy("j").agg(*[F.max(F.when(F.col("side") == x, F.col("v"))).alias(x) for x in bounds])
+    part = (F.col("j") * last % d) / F.lit(float(d))
+    return ends.select("j", (F.col("low") + (F.col("high") - F.col("low")) * part).alias("quantile"))
+
+
 def even_quantiles(df: DataFrame, value: str, parts: int) -> DataFrame:
     """Exact linear-interpolated quantiles ``j / parts`` for j = 0..parts as ``(j, quantile)``.
 
@@ -159,28 +191,4 @@ def even_quantiles(df: DataFrame, value: str, parts: int) -> DataFrame:
     each rank; no value list is collected anywhere.
     """
     values = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    n = values.agg(F.sum("n")).first()[0]
-    if not n:
-        return df.sparkSession.createDataFrame([], "j bigint, quantile double")
-    ranked = prefix_sums(values, [], "v", ["n"]).withColumns(
-        {"_a": F.col("cum_n") - F.col("n"), "_b": F.col("cum_n")}
-    )
-    last, d = n - 1, parts
-    if last == 0:
-        every = F.sequence(F.lit(0).cast("bigint"), F.lit(d).cast("bigint"))
-        return ranked.select(F.explode(every).alias("j"), F.col("v").cast("double").alias("quantile"))
-    # rank of j is j * last / d; which j fall on rows a..b-1 follows by integer division
-    lower_to = F.expr(f"(_b * {d} + {last} - 1) div {last} - 1")
-    lower_from = F.expr(f"(_a * {d} + {last} - 1) div {last}")
-    upper_from = F.when(F.col("_a") == 0, F.lit(0).cast("bigint")).otherwise(F.expr(f"((_a - 1) * {d}) div {last} + 1"))
-    upper_to = F.expr(f"((_b - 1) * {d}) div {last}")
-    def picks(side, start, stop):
-        return (
-            ranked.withColumns({"_s": start, "_e": F.least(stop, F.lit(d).cast("bigint"))})
-            .filter(F.col("_s") <= F.col("_e"))
-            .select(F.explode(F.sequence("_s", "_e")).alias("j"), F.col("v").cast("double").alias(side))
-        )
-    # at most parts + 1 rows on each side
-    low, high = picks("_lo", lower_from, lower_to), picks("_hi", upper_from, upper_to)
-    part = (F.col("j") * last % d) / F.lit(float(d))
-    return low.join(high, "j").select("j", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * part).alias("quantile"))
+    return quantiles_of_counts(materialize(values, "value-counts"), parts)

@@ -10,7 +10,7 @@ from finsieve.functions import scalars as S
 from finsieve.operators.ranking import (
     curve_of_groups,
     curve_rates,
-    even_quantiles,
+    quantiles_of_counts,
     record_of_curve,
     score_groups,
     threshold_metrics,
@@ -42,7 +42,12 @@ def best_threshold(df: DataFrame, keys: list[str], criterion: str = "f1", score:
     ``recall`` looks at thresholds with precision above 0 and ``precision`` at
     those with recall above 0, when there are any.
     """
-    curve = curve_of_groups(score_groups(df, keys, score, label), keys, score).withColumns(curve_rates())
+    return best_of_groups(score_groups(df, keys, score, label), keys, criterion, score)
+
+
+def best_of_groups(groups: DataFrame, keys: list[str], criterion: str = "f1", score: str = "score") -> DataFrame:
+    """:func:`best_threshold` on grouped scores."""
+    curve = curve_of_groups(groups, keys, score).withColumns(curve_rates())
     rank = F.struct(_goal(criterion).alias("v"), (-F.col(score)).alias("s"))
     point = F.struct(F.col(score).cast("double").alias("t"), "precision", "recall", "f1")
     return (
@@ -58,14 +63,25 @@ def best_threshold(df: DataFrame, keys: list[str], criterion: str = "f1", score:
 
 def threshold_grid(df: DataFrame, n_dense: int = 1000, score: str = "score") -> DataFrame:
     """Candidate thresholds: all distinct scores, or ``n_dense`` even quantiles if there are more."""
-    distinct = df.select(F.col(score).cast("double").alias("threshold")).distinct()
-    if distinct.count() <= n_dense:
-        return distinct
-    return even_quantiles(df, score, n_dense - 1).select(F.col("quantile").alias("threshold")).distinct()
+    groups = df.groupBy(score).agg(F.count(F.lit(1)).alias("n"))
+    return grid_of_groups(materialize(groups, "grid-scores"), n_dense, score)
+
+
+def grid_of_groups(groups: DataFrame, n_dense: int = 1000, score: str = "score") -> DataFrame:
+    """:func:`threshold_grid` on grouped scores."""
+    values = groups.select(F.col(score).alias("v"), "n")
+    if values.count() <= n_dense:
+        return values.select(F.col("v").cast("double").alias("threshold"))
+    return quantiles_of_counts(values, n_dense - 1).select(F.col("quantile").alias("threshold")).distinct()
 
 
 def confusion_on_grid(df: DataFrame, grid: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """Confusion counts at every grid threshold.
+    """Confusion counts at every grid threshold."""
+    return confusion_of_groups(score_groups(df, [], score, label), grid, score)
+
+
+def confusion_of_groups(groups: DataFrame, grid: DataFrame, score: str = "score") -> DataFrame:
+    """:func:`confusion_on_grid` on grouped scores.
 
     Each distinct score adds to the thresholds at or below it, so scores are
     binned by the grid and summed from the top. The grid holds at most
@@ -73,15 +89,14 @@ def confusion_on_grid(df: DataFrame, grid: DataFrame, score: str = "score", labe
     """
     values = sorted(r["threshold"] for r in grid.collect())
     if not values:
-        return df.sparkSession.createDataFrame([], "threshold double, tp bigint, fp bigint, tn bigint, fn bigint")
-    groups = score_groups(df, [], score, label).withColumn("_s", F.col(score).cast("double"))
+        return groups.sparkSession.createDataFrame([], "threshold double, tp bigint, fp bigint, tn bigint, fn bigint")
     binned = (
         Bucketizer(splits=[float("-inf"), *values, float("inf")], inputCol="_s", outputCol="_k")
-        .transform(groups)
+        .transform(groups.withColumn("_s", F.col(score).cast("double")))
         .groupBy(F.col("_k").cast("int").alias("k"))
         .agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
     )
-    table = df.sparkSession.createDataFrame([(i + 1, v) for i, v in enumerate(values)], "k int, threshold double")
+    table = groups.sparkSession.createDataFrame([(i + 1, v) for i, v in enumerate(values)], "k int, threshold double")
     above = Window.orderBy(F.col("k").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     everything = Window.partitionBy()
     # one row per grid value
@@ -149,22 +164,23 @@ def operating_points(
 
     All points share one score set; the ranking metric must not differ between them.
     """
-    points = confusion_on_grid(val, threshold_grid(val, n_dense))
+    val_groups = materialize(score_groups(val, []), "val-scores")
+    test_groups = materialize(score_groups(test, []), "test-scores")
+    points = materialize(confusion_of_groups(val_groups, grid_of_groups(val_groups, n_dense)), "points")
     chosen = None
     for s in strategies:
         one = select_threshold(points, s, min_precision, lambda_fp).select("strategy", "selection", "threshold")
         chosen = one if chosen is None else chosen.unionByName(one)
-    reference = best_threshold(val, []).select(
+    reference = best_of_groups(val_groups, []).select(
         F.lit("reference").alias("strategy"), F.lit("f1").alias("selection"), "threshold"
     )
     # a handful of rows: the points to evaluate
     rows = chosen.unionByName(reference).collect()
     # every test score is evaluated at each point, on the grouped scores
     tau = F.array(*[F.struct(F.lit(r["strategy"]).alias("strategy"), F.lit(r["selection"]).alias("selection"), F.lit(r["threshold"]).alias("tau")) for r in rows])
-    grouped = score_groups(test, [])
-    spread = grouped.select("score", "n", "p", F.inline(tau))
+    spread = test_groups.select("score", "n", "p", F.inline(tau))
     by = ["strategy", "selection", "tau"]
-    measured = record_of_curve(curve_of_groups(spread, by), by, F.col("tau"))
+    measured = materialize(record_of_curve(curve_of_groups(spread, by), by, F.col("tau")), "measured")
     ref = measured.filter("strategy = 'reference'").select(
         *[F.col(c).alias(f"ref_{c}") for c in ("precision", "recall", "f1", "f2", "fp", "pr_auc")]
     )
