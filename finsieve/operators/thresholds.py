@@ -21,6 +21,13 @@ CRITERIA = ("f1", "recall", "precision")
 STRATEGIES = ("f1_max", "f2_max", "precision_constrained")
 # fixed value: threshold when there is nothing to choose from
 FALLBACK = 0.5
+# fixed values: how a threshold was chosen, as recorded with it
+CHOSEN_BY_GOAL = "argmax_{strategy}_on_validation"
+CHOSEN_BY_TIER = {
+    1: "max_f1_subject_to_precision_constraint_tiebreak_utility",
+    2: "fallback_max_precision_with_nonzero_recall",
+    3: "fallback_threshold_0_5",
+}
 
 
 def _goal(criterion: str):
@@ -131,7 +138,7 @@ def select_threshold(
     if strategy in ("f1_max", "f2_max"):
         goal = F.col(strategy[:2])
         ranked = scored.withColumns(
-            {"tier": F.lit(1), "_goal": goal, "_tie": F.lit(0.0), "selection": F.lit(f"argmax_{strategy}_on_validation")}
+            {"tier": F.lit(1), "_goal": goal, "_tie": F.lit(0.0), "selection": F.lit(CHOSEN_BY_GOAL.format(strategy=strategy))}
         )
     else:
         ok = F.col("precision") >= min_precision
@@ -140,9 +147,9 @@ def select_threshold(
                 "tier": F.when(ok, 1).when(F.col("recall") > 0, 2).otherwise(3),
                 "_goal": F.when(ok, F.col("f1")).when(F.col("recall") > 0, F.col("precision")).otherwise(F.lit(0.0)),
                 "_tie": F.col("utility"),
-                "selection": F.when(ok, F.lit("max_f1_subject_to_precision_constraint_tiebreak_utility"))
-                .when(F.col("recall") > 0, F.lit("fallback_max_precision_with_nonzero_recall"))
-                .otherwise(F.lit("fallback_threshold_0_5")),
+                "selection": F.when(ok, F.lit(CHOSEN_BY_TIER[1]))
+                .when(F.col("recall") > 0, F.lit(CHOSEN_BY_TIER[2]))
+                .otherwise(F.lit(CHOSEN_BY_TIER[3])),
             }
         ).withColumn("threshold", F.when(F.col("tier") == 3, F.lit(FALLBACK)).otherwise(F.col("threshold")))
     first = ranked.orderBy("tier", F.col("_goal").desc(), F.col("_tie").desc(), "threshold").limit(1)

@@ -61,3 +61,14 @@ def test_missing_amount_counts_but_adds_nothing(spark):
     got = {r["row_idx"]: r for r in with_rolling(df, "acc", "cp", "s").collect()}
     assert got[2]["s_tx_count_7d"] == 2
     assert got[2]["s_avg_amount_7d"] == pytest.approx(1.5)
+
+
+def test_feature_table_with_chunked_accounts(spark, sf_dir):
+    """Cutting accounts into chunks changes no feature of the whole table."""
+    from finsieve.operators.features import feature_table
+    from finsieve.plans import tables as T
+
+    txn, accounts = T.txn(spark, sf_dir), T.listed_accounts(spark, sf_dir)
+    whole = feature_table(txn, accounts)
+    cut = feature_table(txn, accounts, hot_rows=40, chunk_bits=8)
+    assert whole.exceptAll(cut).count() == 0 == cut.exceptAll(whole).count()
