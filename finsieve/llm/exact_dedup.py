@@ -29,6 +29,8 @@ _STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # a task's store leaves the executor's disk when it is saved
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     # availableNow ends by itself; an extra empty batch would only save the state again
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
@@ -85,6 +87,8 @@ def digest_state(spark: SparkSession, arrivals: DataFrame, files_per_batch: int
     session = spark.newSession()
     for key, value in _STATE_SETTINGS.items():
         session.conf.set(key, value)
+    # a new session starts from the application's settings, not from this session's
+    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     checkpoint = scratch_path(spark, "dedup-state")
     stream = session.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", files_per_batch)
     # doc_id is negated so that the largest struct has the smallest id; a null id is last among ties

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finsieve.llm import chat_format, exact_dedup, topk
+from finsieve.llm import chat_format, exact_dedup, packing, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,3 +52,8 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.materialised(topk.quantised(table(spark, sf_dir, "embeddings")))
     return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+@query("op5_best_fit_packing")
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
