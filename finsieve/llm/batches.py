@@ -26,7 +26,9 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     """The texts of a batch, null as empty, with 64-bit offsets."""
-    return pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    whole = batch.column(column).cast(pa.large_string())
+    # a copy of its own: ascii_lower misreads a slice that shares its parent's buffers
+    return pc.fill_null(whole.take(pa.array(np.arange(len(whole)))), "")
 
 
 def flat_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

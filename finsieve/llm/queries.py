@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finsieve.llm import chat_format, exact_dedup, packing, topk
+from finsieve.llm import chat_format, exact_dedup, jaccard_join, packing, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,3 +57,9 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_best_fit_packing")
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op6_ngram_jaccard_join")
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.linked_documents(docs, jaccard_join.Similarity(words=4, percent=85))
