@@ -140,7 +140,7 @@ def exact_dedup(
     shared = groups.filter("size > 1")
 
     texts = landed.select("_row", "doc_id", "_points", "_digest", "text").join(shared, "_digest")
-    texts = texts.withColumn("_text", normalised(F.col("text"))).drop("text")
+    texts = materialize(texts.withColumn("_text", normalised(F.col("text"))).drop("text"), "texts-of-groups")
     keepers = texts.filter("_row = keep_row").select("_digest", F.col("_text").alias("_keeper_text"))
     checked = texts.join(keepers, "_digest").withColumn("same", F.col("_text") == F.col("_keeper_text"))
     differing = checked.filter(~F.col("same")).select("_row", "doc_id", "_points", "_digest", "_text")
