@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finsieve.llm import chat_format, exact_dedup, jaccard_join, packing, topk
+from finsieve.llm import chat_format, exact_dedup, jaccard_join, language_id, packing, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,3 +63,15 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard_join.linked_documents(docs, jaccard_join.Similarity(words=4, percent=85))
+
+
+def _remainder(divisor: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % divisor
+
+
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit_language_model(docs.filter(_remainder(3) != 1))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
