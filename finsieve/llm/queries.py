@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finsieve.llm import chat_format, exact_dedup, jaccard_join, language_id, packing, topk
+from finsieve.llm import chat_format, exact_dedup, jaccard_join, language_id, packing, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,3 +75,16 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit_language_model(docs.filter(_remainder(3) != 1))
     found = language_id.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(_remainder(5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    net = toxicity.fit_toxicity(docs.join(labels, "doc_id"))
+    return toxicity.score_documents(docs, net).select(
+        "doc_id",
+        F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
