@@ -32,6 +32,8 @@ CHAR_LENGTHS = (3, 4, 5)
 TOKEN_CHARS = 64
 #: Labelled rows of each class that the model is fitted on, in expectation; rows are chosen by their hash.
 TRAINING_ROWS = 3_000
+#: Times that the highest windows of the sample's other texts are learned as such, and the decay of the tables.
+MINING_ROUNDS, DECAY = 2, 0.05
 WORDS_AT_ONCE, WINDOWS_AT_ONCE = 16_384, 4_096
 PUNCTUATION = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "«»“”„‘’…–—¿¡"
 
@@ -156,11 +158,12 @@ class Network:
             tape.update(states=states, weight=weight, pooled=pooled, ahead=ahead, back=back)
         return pooled @ self.p["out"] + self.p["base"][0]
 
-    def gradient(self, w: Words, idx: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    def gradient(self, w: Words, idx: np.ndarray, target: np.ndarray, rare: float = 1.0) -> tuple[float, dict[str, np.ndarray]]:
+        """Loss and gradient; a window of target 1 weighs ``rare`` in the gradient."""
         p, tape = self.p, {}
         x = self.inputs(w)
         logit = self.score(self.gates(x), idx, tape)
-        error = ((_sigmoid(logit) - target) / len(target)).astype(np.float32)
+        error = ((_sigmoid(logit) - target) * np.where(target == 1, rare, 1.0) / len(target)).astype(np.float32)
         loss = float(np.mean(np.logaddexp(0, logit) - target * logit))
         states, weight = tape["states"], tape["weight"]
         d = {"out": tape["pooled"].T @ error, "base": np.array([error.sum()], np.float32)}
@@ -194,6 +197,7 @@ class Network:
     def fit(self, windows: list[list[str]], labels: np.ndarray, epochs: int = 6, batch: int = 256, rate: float = 0.01, seed: int = 7) -> None:
         """Adam over windows, in groups of equal length."""
         rng = np.random.default_rng(seed)
+        rare = float(np.sqrt(max(1.0, (labels == 0).sum() / max(1, labels.sum()))))
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
         lengths = np.array([len(x) for x in windows])
@@ -207,13 +211,14 @@ class Network:
                 own = batches[j]
                 coded = pa.array([w for i in own for w in windows[i]], pa.large_string()).dictionary_encode()
                 idx = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(own), -1)
-                _, d = self.gradient(Words.of(coded.dictionary), idx, labels[own].astype(np.float32))
+                _, d = self.gradient(Words.of(coded.dictionary), idx, labels[own].astype(np.float32), rare)
                 step += 1
                 for k, g in d.items():
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.99 * v[k] + 0.01 * g * g
                     scale = rate / (1 - 0.9**step) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
-                    self.p[k] = (self.p[k] - scale * m[k]).astype(np.float32)
+                    keep = 1 - rate * DECAY if k in ("words", "chars") else 1
+                    self.p[k] = (keep * self.p[k] - scale * m[k]).astype(np.float32)
 
 
 def window_starts(n: int) -> range | list[int]:
@@ -236,14 +241,22 @@ def _windows(counts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
 def score_texts(net: Network, texts: pa.Array) -> np.ndarray:
     """The highest window score of every text, 0 to 1; 0 for a text without tokens."""
     words, codes, counts = tokens(texts)
-    best = np.full(len(texts), -np.inf)
+    return _highest(net, words, codes, counts)[0]
+
+
+def _highest(net: Network, words: pa.Array, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The highest window score of every text and the first token of that window (-1: no window)."""
+    best, first = np.full(len(counts), -np.inf), np.full(len(counts), -1)
     if len(words):
         gates = np.concatenate([net.gates(net.inputs(Words.of(words[i : i + WORDS_AT_ONCE]))) for i in range(0, len(words), WORDS_AT_ONCE)])
     for n, owner, start in _windows(counts):
         for i in range(0, len(owner), WINDOWS_AT_ONCE):
             idx = codes[start[i : i + WINDOWS_AT_ONCE, None] + np.arange(n)]
-            np.maximum.at(best, owner[i : i + WINDOWS_AT_ONCE], net.score(gates, idx))
-    return np.where(np.isfinite(best), _sigmoid(best), 0.0)
+            own, logit = owner[i : i + WINDOWS_AT_ONCE], net.score(gates, idx)
+            np.maximum.at(best, own, logit)
+            top = logit >= best[own]
+            first[own[top]] = start[i : i + WINDOWS_AT_ONCE][top]
+    return np.where(np.isfinite(best), _sigmoid(best), 0.0), first
 
 
 def _evidence(words: pa.Array, log_odds: np.ndarray) -> np.ndarray:
@@ -303,12 +316,29 @@ def _window_task(log_odds: np.ndarray):
     return run
 
 
+def _mining_task(net: Network):
+    """The highest window of every text that is not toxic."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words, codes, counts = tokens(texts_of(part))
+                names = words.to_pylist()
+                _, first = _highest(net, words, codes, counts)
+                size = np.minimum(counts, WINDOW)
+                found = [" ".join(names[c] or "." for c in codes[a : a + n]) for a, n in zip(first.tolist(), size.tolist(), strict=True) if a >= 0]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["window"])
+
+    return run
+
+
 def fit_toxicity(labelled: DataFrame, rows: int = TRAINING_ROWS) -> Network:
     """A network from ``labelled`` (``doc_id``, ``text``, ``toxic``), on about ``rows`` rows of each class.
 
     Rows without a label, id or text are not learned from. The windows that a
     label is taken to stand for are chosen by how unevenly the n-grams of their
-    words are spread over the two classes. Without rows the network is as drawn.
+    words are spread over the two classes; afterwards the windows of other texts
+    that score highest are learned too. Without rows the network is as drawn.
     """
     labelled = labelled.filter("toxic IN (0, 1) AND doc_id IS NOT NULL AND text IS NOT NULL")
     counts = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -325,7 +355,13 @@ def fit_toxicity(labelled: DataFrame, rows: int = TRAINING_ROWS) -> Network:
     log_odds = (np.log((presence[:, 1] + 1) / n[1]) - np.log((presence[:, 0] + 1) / n[0])).astype(np.float32)
     found = sample.mapInArrow(_window_task(log_odds), "window string, toxic int").orderBy("window", "toxic").toArrow()
     windows = [w.split(" ") for w in found["window"].to_pylist()]
-    net.fit(windows, found["toxic"].to_numpy())
+    labels = found["toxic"].to_numpy()
+    net.fit(windows, labels)
+    for _ in range(MINING_ROUNDS):
+        mined = sample.filter("toxic = 0").mapInArrow(_mining_task(net), "window string").orderBy("window").toArrow()
+        windows += [w.split(" ") for w in mined["window"].to_pylist()]
+        labels = np.concatenate([labels, np.zeros(mined.num_rows, labels.dtype)])
+        net.fit(windows, labels, epochs=3)
     return net
 
 
