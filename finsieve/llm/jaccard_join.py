@@ -33,6 +33,8 @@ from finsieve.session import materialize
 #: puts last by frequency. The rest is ordered by hash. A bound on the broadcast table; the order
 #: decides only how many candidates there are, never which links are found.
 ORDERED_NGRAMS = 131_072
+#: Numbers of 64 bits in the broadcast filter of texts to be read again; the filter only saves shuffling.
+MASKS = 131_072
 
 
 @dataclass(frozen=True)
@@ -227,23 +229,26 @@ def jaccard_join(docs: DataFrame, similarity: Similarity = Similarity()) -> Jacc
     shared = tokens.groupBy("ngram").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("ngram")
     meeting = materialize(tokens.join(shared, "ngram").distinct().withColumns({"n": F.shiftright("size_pos", 31), "pos": F.col("size_pos") % 2**31}), "meeting")
     members = materialize(prefixes.select("group", "key", "n").distinct(), "group-members")
-    leaders = members.groupBy("group").agg(F.min("key").alias("leader"))
+    leaders = members.groupBy("group").agg(F.min("key").alias("leader"), F.max("key").alias("other_key"))
+    # whole sets of all that can be in a pair: those of groups that meet another, or of several sets
+    candidates = meeting.select("group").unionByName(leaders.filter("leader <> other_key").select("group")).distinct()
+    whole = _whole_sets(texts, rows.join(members.join(candidates, "group", "left_semi").select("key"), "key"), similarity)
 
     first = _leader_pairs(meeting, members, leaders, similarity)
-    links = _verified(first, texts, rows, similarity)
+    links = _verified(first, whole, similarity)
     labels = components(links)
 
     rest = _remaining_pairs(meeting, members, labels, similarity)
     rest = materialize(rest, "remaining-pairs")
     if not rest.isEmpty():
-        labels = components(links.unionByName(_verified(rest, texts, rows, similarity)))
+        labels = components(links.unionByName(_verified(rest, whole, similarity)))
     return JaccardJoin(documents, labels)
 
 
 def _may_reach(similarity: Similarity, a: str, b: str) -> Column:
     """At their first common n-gram, two sets can still be similar enough by what follows it."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    most = 1 + F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos")) - 1
+    most = F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos"))
     return similarity.needed(n, m) & similarity.linked(most, n, m)
 
 
@@ -284,16 +289,24 @@ def _ordered_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, rows: DataFrame, similarity: Similarity) -> DataFrame:
-    """The ``a, b`` of ``pairs`` whose whole sets are similar enough."""
-    pairs = materialize(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = materialize(rows.join(wanted, "key").select("text_hash", "id").distinct(), "wanted-rows")
-    found = texts.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)))).join(wanted, ["text_hash", "id"], "left_semi").select("text")
+def _whole_sets(texts: DataFrame, wanted: DataFrame, similarity: Similarity) -> DataFrame:
+    """``key, members`` of the rows ``wanted`` (``text_hash``, ``id``), from their texts again."""
+    wanted = materialize(wanted.select("text_hash", "id").distinct(), "wanted-rows")
+    # one bit per hash, in MASKS numbers at most: keeps most other texts out of the shuffle of the exact join
+    bit = F.pmod(F.col("text_hash"), F.lit(64 * MASKS))
+    masks = wanted.select(F.floor(bit / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("one"))
+    masks = masks.groupBy("word").agg(F.bit_or("one").alias("mask"))
+    near = texts.withColumns({"id": F.coalesce("doc_id", F.lit(-(2**63))), "word": F.floor(bit / 64).cast("int"), "one": F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))})
+    near = near.join(F.broadcast(masks), "word").filter(F.col("mask").bitwiseAND(F.col("one")) != 0)
+    found = near.join(wanted, ["text_hash", "id"], "left_semi").select("text")
     members = found.mapInArrow(_members_task(similarity.words), "key binary, members array<long>").dropDuplicates(["key"])
-    members = materialize(members, "members")
-    both = pairs.join(members.select(F.col("key").alias("a"), F.col("members").alias("of_a")), "a")
-    both = both.join(members.select(F.col("key").alias("b"), F.col("members").alias("of_b")), "b")
+    return materialize(members, "members")
+
+
+def _verified(pairs: DataFrame, whole: DataFrame, similarity: Similarity) -> DataFrame:
+    """The ``a, b`` of ``pairs`` whose whole sets are similar enough."""
+    both = pairs.join(whole.select(F.col("key").alias("a"), F.col("members").alias("of_a")), "a")
+    both = both.join(whole.select(F.col("key").alias("b"), F.col("members").alias("of_b")), "b")
     shared = F.size(F.array_intersect("of_a", "of_b")).cast("long")
     linked = similarity.linked(shared, F.size("of_a").cast("long"), F.size("of_b").cast("long"))
     return materialize(both.filter(linked).select("a", "b"), "links")
