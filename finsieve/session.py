@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether Spark deletes the shuffle files of a query when it has ended.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _local_scratch: dict[str, str] = {}
 
 
@@ -59,8 +62,14 @@ def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None)
     """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    writer = df.write.mode("errorifexists")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    # the stored table replaces the shuffles it came from
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        writer = df.write.mode("errorifexists")
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
