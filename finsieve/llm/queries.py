@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finsieve.llm import chat_format, exact_dedup, jaccard_join, language_id, packing, topk, toxicity
+from finsieve.llm import chat_format, exact_dedup, html_extract, jaccard_join, language_id, packing, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -88,3 +88,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query("op8_html_extraction")
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
