@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finsieve.llm import chat_format, exact_dedup, html_extract, jaccard_join, language_id, packing, topk, toxicity
+from finsieve.llm import chat_format, exact_dedup, html_extract, jaccard_join, language_id, packing, secret_scan, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,8 +80,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_toxicity")
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").filter(_remainder(5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    net = toxicity.fit_toxicity(docs.join(labels, "doc_id"))
+    net = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels").filter(_remainder(5) != 0))
     return toxicity.score_documents(docs, net).select(
         "doc_id",
         F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"),
@@ -93,3 +92,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_html_extraction")
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query("op9_secret_scan")
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secret_scan.fit_forest(secret_scan.labelled_by_rule(spark))
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), forest)
+    return found.select("doc_id", "word_no", F.sha2("value", 256).alias("value_sha256"), F.length("value").alias("value_chars"), "score", "is_secret")

@@ -332,22 +332,25 @@ def _mining_task(net: Network):
     return run
 
 
-def fit_toxicity(labelled: DataFrame, rows: int = TRAINING_ROWS) -> Network:
-    """A network from ``labelled`` (``doc_id``, ``text``, ``toxic``), on about ``rows`` rows of each class.
-
-    Rows without a label, id or text are not learned from. The windows that a
-    label is taken to stand for are chosen by how unevenly the n-grams of their
-    words are spread over the two classes; afterwards the windows of other texts
-    that score highest are learned too. Without rows the network is as drawn.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Network:
+    """A network from ``docs`` (``doc_id``, ``text``) and ``labels`` (``doc_id``, ``toxic``), on about ``rows`` rows of each class.
+
+    An id labelled both ways is toxic; rows without label, id or text are not
+    learned from. The windows that a label is taken to stand for are chosen by how
+    unevenly the n-grams of their words are spread over the two classes; afterwards
+    the windows of other texts that score highest are learned too. Without rows the
+    network is as drawn.
     """
-    labelled = labelled.filter("toxic IN (0, 1) AND doc_id IS NOT NULL AND text IS NOT NULL")
-    counts = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    labels = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    counts = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     net = Network()
     if not counts:
         return net
     draw = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(2**32)) / F.lit(float(2**32))
     share = F.coalesce(*(F.when(F.col("toxic") == label, F.lit(rows / n)) for label, n in counts.items()))
-    sample = materialize(labelled.filter(draw < share).select("text", "toxic"), "toxicity-training")
+    # about 2 x rows ids, whatever the number of labels
+    drawn = F.broadcast(materialize(labels.filter(draw < share), "toxicity-labels"))
+    sample = materialize(docs.filter("text IS NOT NULL").join(drawn, "doc_id").select("text", "toxic"), "toxicity-training")
     seen = sample.mapInArrow(_presence_task, "row long, other long, toxic long").groupBy("row").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).toArrow()
     presence = np.zeros((CHAR_ROWS, 2))
     presence[seen["row"].to_numpy()] = np.stack([seen["other"].to_numpy(), seen["toxic"].to_numpy()], axis=1)
