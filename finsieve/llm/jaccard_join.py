@@ -317,3 +317,21 @@ def linked_documents(docs: DataFrame, similarity: Similarity) -> DataFrame:
     found = jaccard_join(docs, similarity)
     joined = found.documents.join(found.classes(), "key", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, similarity: Similarity) -> DataFrame:
+    """The rows of ``docs`` without those linked to one that stays: of each component one row with its smallest ``doc_id``.
+
+    Rows without words are in no group and stay. All columns are kept. Of several
+    rows with that id, or of rows without any id, exactly one stays.
+    """
+    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
+    keyed = materialize(keyed, "numbered")
+    found = jaccard_join(keyed.select(F.col("_row").alias("doc_id"), "text"), similarity)
+    component = found.documents.join(found.classes(), "key").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_component"))
+    component = component.join(keyed.select("_row", F.col("doc_id").alias("_id")), "_row")
+    component = materialize(component, "row-components")
+    # null ids are last
+    first = component.groupBy("_component").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("first"))
+    dropped = component.join(first, "_component").filter("_row <> first._row").select("_row")
+    return keyed.join(materialize(dropped, "near-copies"), "_row", "left_anti").select(*docs.columns)
