@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finsieve.llm import chat_format, exact_dedup, html_extract, jaccard_join, language_id, packing, secret_scan, topk, toxicity
+from finsieve.llm import chat_format, exact_dedup, html_extract, jaccard_join, language_id, packing, secret_scan, topk, toxicity, transducer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -99,3 +99,8 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     forest = secret_scan.fit_forest(secret_scan.labelled_by_rule(spark))
     found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), forest)
     return found.select("doc_id", "word_no", F.sha2("value", 256).alias("value_sha256"), F.length("value").alias("value_chars"), "score", "is_secret")
+
+
+@query("op7_sentencepiece")
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.encoding_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
