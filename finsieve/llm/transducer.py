@@ -65,7 +65,9 @@ class Transducer:
         # scores of byte-pair models are merge ranks: whole numbers
         self.merges = all(float(s).is_integer() for s in self.score.values())
         self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        # weights of pairs: piece -> next piece -> whether finite
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
         self.units: dict[str, tuple[int, ...]] = {}
         worst = min(self.score.values(), default=0.0)
         self.fallback = 0.0 if self.merges else FALLBACK_WEIGHT - worst
@@ -89,49 +91,61 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def follows(self, piece: str, after: str) -> bool:
-        """Whether the arc of ``piece`` has a finite weight behind ``after``."""
-        key = (after, piece)
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) >= CACHED_PAIRS:
-                self.pairs = {}
-            found = self.pairs[key] = self._merged(after + piece) == [after, piece]
-        return found
+        """Whether the arc of ``piece`` has a finite weight behind ``after``; no merge reaches over a character without piece."""
+        if not after or piece not in self.id or after not in self.id:
+            return True
+        return self._merged(after + piece) == [after, piece]
 
     def shortest_path(self, unit: str) -> tuple[int, ...]:
         """Ids of the least path over ``unit``, a normalised text."""
-        # states at each position: piece that ended there -> (weight, its start, piece before)
-        states: list[dict[str, tuple[float, int, str]]] = [{"": (0.0, 0, "")}]
+        starts, pieces = self._by_pairs(unit) if self.merges else self._by_scores(unit)
+        path: list[int] = []
+        end = len(unit)
+        while end:
+            known = self.id.get(pieces[end])
+            path += self._ids(pieces[end])[::-1] if known is None else (known,)
+            end = starts[end]
+        return tuple(path[::-1])
+
+    def _by_pairs(self, unit: str) -> tuple[list[int], list[str]]:
+        """Start and piece of the one arc of finite weight into every position."""
+        n, known = len(unit), self.id
+        starts, pieces = [0] * (n + 1), [""] * (n + 1)
+        if self.n_pairs >= CACHED_PAIRS:
+            self.pairs, self.n_pairs = {}, 0
+        rows = [self.pairs.setdefault("", {})] * (n + 1)
+        for end in range(1, n + 1):
+            for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
+                piece = unit[start:end]
+                if piece not in known and end - start > 1:
+                    continue
+                row = rows[start]
+                finite = row.get(piece)
+                if finite is None:
+                    finite = row[piece] = self.follows(piece, pieces[start])
+                    self.n_pairs += 1
+                if finite:
+                    starts[end], pieces[end] = start, piece
+                    rows[end] = self.pairs.setdefault(piece, {})
+                    break
+        return starts, pieces
+
+    def _by_scores(self, unit: str) -> tuple[list[int], list[str]]:
+        """Start and piece of the least arc into every position."""
+        weights, starts, pieces = [0.0], [0], [""]
         for end in range(1, len(unit) + 1):
-            here: dict[str, tuple[float, int, str]] = {}
+            arcs = []
             for start in range(max(0, end - self.longest), end):
                 piece = unit[start:end]
-                known = piece in self.id
-                if not known and end - start > 1:
-                    continue
-                if self.merges:
-                    for before, (weight, _, _) in states[start].items():
-                        if not known or not before or before not in self.id or self.follows(piece, before):
-                            here[piece] = (weight, start, before)
-                    if here:
-                        break  # every other arc into this position has infinite weight
-                else:
-                    step = -self.score[piece] if known else self.fallback
-                    before, (weight, _, _) = min(states[start].items(), key=lambda s: s[1][0])
-                    if piece not in here or weight + step < here[piece][0]:
-                        here[piece] = (weight + step, start, before)
-            if not self.merges:
-                # without pair weights one state is enough
-                piece = min(here, key=lambda p: here[p][0])
-                here = {piece: here[piece]}
-            states.append(here)
-        path: list[int] = []
-        end, piece = len(unit), min(states[-1], key=lambda p: states[-1][p][0]) if unit else ""
-        while end:
-            _, start, before = states[end][piece]
-            path += reversed(self._ids(piece))
-            end, piece = start, before
-        return tuple(reversed(path))
+                if piece in self.id:
+                    arcs.append((weights[start] - self.score[piece], start, piece))
+                elif end - start == 1:
+                    arcs.append((weights[start] + self.fallback, start, piece))
+            weight, start, piece = min(arcs)
+            weights.append(weight)
+            starts.append(start)
+            pieces.append(piece)
+        return starts, pieces
 
     def _ids(self, piece: str) -> list[int]:
         if piece in self.id:
