@@ -229,19 +229,17 @@ def jaccard_join(docs: DataFrame, similarity: Similarity = Similarity()) -> Jacc
     shared = tokens.groupBy("ngram").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("ngram")
     meeting = materialize(tokens.join(shared, "ngram").distinct().withColumns({"n": F.shiftright("size_pos", 31), "pos": F.col("size_pos") % 2**31}), "meeting")
     members = materialize(prefixes.select("group", "key", "n").distinct(), "group-members")
-    leaders = members.groupBy("group").agg(F.min("key").alias("leader"), F.max("key").alias("other_key"))
-    # whole sets of all that can be in a pair: those of groups that meet another, or of several sets
-    candidates = meeting.select("group").unionByName(leaders.filter("leader <> other_key").select("group")).distinct()
-    whole = _whole_sets(texts, rows.join(members.join(candidates, "group", "left_semi").select("key"), "key"), similarity)
+    leaders = members.groupBy("group").agg(F.min("key").alias("leader"))
 
-    first = _leader_pairs(meeting, members, leaders, similarity)
+    first = materialize(_leader_pairs(meeting, members, leaders, similarity), "leader-pairs")
+    whole = _whole_sets(texts, rows.join(_keys(first), "key"), similarity)
     links = _verified(first, whole, similarity)
     labels = components(links)
 
-    rest = _remaining_pairs(meeting, members, labels, similarity)
-    rest = materialize(rest, "remaining-pairs")
+    rest = materialize(_remaining_pairs(meeting, members, labels, similarity), "remaining-pairs")
     if not rest.isEmpty():
-        labels = components(links.unionByName(_verified(rest, whole, similarity)))
+        more = _whole_sets(texts, rows.join(_keys(rest).join(_keys(first), "key", "left_anti"), "key"), similarity)
+        labels = components(links.unionByName(_verified(rest, whole.unionByName(more), similarity)))
     return JaccardJoin(documents, labels)
 
 
@@ -289,6 +287,10 @@ def _ordered_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
 
 
+def _keys(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+
+
 def _whole_sets(texts: DataFrame, wanted: DataFrame, similarity: Similarity) -> DataFrame:
     """``key, members`` of the rows ``wanted`` (``text_hash``, ``id``), from their texts again."""
     wanted = materialize(wanted.select("text_hash", "id").distinct(), "wanted-rows")
@@ -297,10 +299,9 @@ def _whole_sets(texts: DataFrame, wanted: DataFrame, similarity: Similarity) ->
     masks = wanted.select(F.floor(bit / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("one"))
     masks = masks.groupBy("word").agg(F.bit_or("one").alias("mask"))
     near = texts.withColumns({"id": F.coalesce("doc_id", F.lit(-(2**63))), "word": F.floor(bit / 64).cast("int"), "one": F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))})
-    near = near.join(F.broadcast(masks), "word").filter(F.col("mask").bitwiseAND(F.col("one")) != 0)
-    found = near.join(wanted, ["text_hash", "id"], "left_semi").select("text")
-    members = found.mapInArrow(_members_task(similarity.words), "key binary, members array<long>").dropDuplicates(["key"])
-    return materialize(members, "members")
+    near = near.join(F.broadcast(masks), "word").filter(F.col("mask").bitwiseAND(F.col("one")) != 0).select("text_hash", "id", "text")
+    found = near.join(wanted, ["text_hash", "id"], "left_semi").dropDuplicates(["text_hash", "id"]).select("text")
+    return materialize(found.mapInArrow(_members_task(similarity.words), "key binary, members array<long>"), "members")
 
 
 def _verified(pairs: DataFrame, whole: DataFrame, similarity: Similarity) -> DataFrame:
