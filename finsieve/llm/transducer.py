@@ -199,20 +199,26 @@ def units(normal: str) -> list[str]:
 _transducers: dict[str | None, Transducer] = {}
 
 
-def encode_texts(texts: pa.Array, path: str | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts one after another, and the number of each."""
+def compiled(path: str | None = None) -> Transducer:
+    """The transducer of a model, compiled once in each worker."""
     if path not in _transducers:
         _transducers[path] = Transducer(path)
-    t = _transducers[path]
+    return _transducers[path]
+
+
+def encode_texts(texts: pa.Array, path: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after another, and the number of each."""
+    t = compiled(path)
     lists = pc.split_pattern(texts, " ")
     words, counts = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    # several spaces in a row are units that words alone don't show
-    odd = np.unique(np.repeat(np.arange(len(texts)), counts)[pc.binary_length(words).to_numpy(zero_copy_only=False) == 0])
     coded = words.dictionary_encode()
+    # several spaces in a row, or space marks of the text's own, are units that words alone don't show
+    unlike = pc.or_(pc.equal(coded.dictionary, ""), pc.match_substring(coded.dictionary, SPACE)).to_numpy(zero_copy_only=False)
     per_word = [t.unit_ids(SPACE + w) if w else () for w in coded.dictionary.to_pylist()]
     lengths = np.array([len(x) for x in per_word], dtype=np.int64)
     flat = np.array([i for x in per_word for i in x], dtype=np.int64)
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    odd = np.unique(np.repeat(np.arange(len(texts)), counts)[unlike[codes]])
     own = lengths[codes]
     ids = flat[ragged((np.cumsum(lengths) - lengths)[codes], own)]
     sizes = np.bincount(np.repeat(np.arange(len(texts)), counts), weights=own, minlength=len(texts)).astype(np.int64)
@@ -241,8 +247,7 @@ def decode_documents(encoded: DataFrame, model_path: str | None = None) -> DataF
     """``doc_id, text`` of every row of ``encoded`` (``doc_id``, ``ids``); null ids are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _transducers.get(model_path) or Transducer(model_path)
-        _transducers[model_path] = t
+        t = compiled(model_path)
         for batch in batches:
             texts = [t.decode(ids or []) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
@@ -257,7 +262,7 @@ def encoding_digests(docs: DataFrame, model_path: str | None = None) -> DataFram
         for batch in batches:
             for part in slices(batch, "text", 4_000_000):
                 ids, sizes = encode_texts(texts_of(part), model_path)
-                t = _transducers[model_path]
+                t = compiled(model_path)
                 pieces = np.split(ids, np.cumsum(sizes)[:-1])
                 crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in pieces]
                 texts = [t.decode(x.tolist()) for x in pieces]

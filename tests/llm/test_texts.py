@@ -1,0 +1,194 @@
+"""Language, toxicity, secrets, chat, pages: small cases, brute force, held-out accuracy."""
+
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from finsieve.llm import chat_format, html_extract, language_id, secret_scan, toxicity
+from finsieve.llm.queries import QUERIES
+
+DOCS = "doc_id long, text string, lang string, score double, lang_pred string"
+
+
+def _labelled(spark, n=60):
+    words = {"en": "the and with thing over".split(), "de": "und nicht eine schaft über".split(), "fr": "les être avec une où".split(), "es": "que ñandú para los está".split()}
+    rng = random.Random(1)
+    rows = [(4 * i + k, " ".join(rng.choices(words[lang], k=12)), lang) for i in range(n) for k, lang in enumerate(words)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def test_language_cases(spark):
+    model = language_id.fit_language_model(_labelled(spark))
+    rows = [(1, None, "x", 0.0, "x"), (1, "", None, 0.0, "x"), (None, "12 -- 34", "en", 0.0, "x"), (2, "und nicht über eine", None, 9.0, "x"), (2, "und nicht über eine", None, 9.0, "x"), (3, "avec une " * 30_000, None, 0.0, None)]
+    got = language_id.identify(spark.createDataFrame(rows, DOCS), model).collect()
+    assert [r["lang_pred"] for r in got] == ["und", "und", "und", "de", "de", "fr"]
+    assert all(0 <= r["score"] <= 1 for r in got) and got[0]["score"] == 0
+    assert language_id.identify(spark.createDataFrame([], DOCS), model).count() == 0
+    nothing = language_id.fit_language_model(spark.createDataFrame([], "doc_id long, text string, lang string"))
+    assert language_id.identify(spark.createDataFrame(rows, DOCS), nothing).filter("lang_pred <> 'und'").count() == 0
+
+
+def test_language_families_first(spark):
+    model = language_id.fit_language_model(_labelled(spark))
+    assert model.families.names == ["germanic", "romance"]
+    assert model.languages["germanic"].names == ["de", "en"] and len(model.languages["romance"].planes) == 1
+
+
+def test_language_held_out(spark, sf_dir):
+    got = QUERIES["op1_language_id"](spark, sf_dir)
+    truth = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
+    right = got.filter("held_out").join(truth, "doc_id").select(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
+    assert right > 0.95
+
+
+def test_svm_separates():
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((200, 5)).astype(np.float32)
+    y = x[:, 0] - x[:, 1] > 0
+    w = language_id.linear_svm(x, y)
+    assert ((x @ w[:-1] + w[-1] > 0) == y).mean() > 0.97
+
+
+def test_toxicity_gradient():
+    net = toxicity.Network()
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    coded = pa.array("lowei moron th a b lowei".split(), pa.large_string()).dictionary_encode()
+    idx = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64).reshape(2, 3)
+    words, target = toxicity.Words.of(coded.dictionary), np.array([1.0, 0.0])
+    _, found = net.gradient(words, idx, target)
+    for name, g in found.items():
+        at = np.unravel_index(np.argmax(np.abs(g)), g.shape)
+        old = net.p[name][at]
+        losses = []
+        for step in (1e-3, -1e-3):
+            net.p[name][at] = old + step
+            losses.append(net.gradient(words, idx, target)[0])
+        net.p[name][at] = old
+        assert (losses[0] - losses[1]) / 2e-3 == pytest.approx(g[at], rel=0.01)
+
+
+@pytest.mark.parametrize("n", [1, 31, 32, 33, 47, 48, 49, 200])
+def test_windows_cover_and_overlap(n):
+    starts = list(toxicity.window_starts(n))
+    assert {t for s in starts for t in range(s, min(n, s + toxicity.WINDOW))} == set(range(n))
+    assert all(b - a <= toxicity.STEP for a, b in zip(starts, starts[1:], strict=False))
+
+
+def test_toxicity_learns(spark):
+    rng = random.Random(2)
+    plain = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(240):
+        text = rng.choices(plain, k=rng.randint(5, 90))
+        if i % 3 == 0:
+            for _ in range(3):
+                text[rng.randrange(len(text))] = rng.choice(["vile", "viler", "vilest"])
+        rows.append((i, " ".join(text), int(i % 3 == 0)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    net = toxicity.fit_toxicity(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    cases = [(1, None), (2, ""), (3, "w1 " * 5_000 + "Vile, VILE! vile. " + "w2 " * 5_000), (4, "w1 w2 " * 200), (5, "x" * 50_000), (5, "w3 w4")]
+    score = [r["score"] for r in toxicity.score_documents(spark.createDataFrame(cases, "doc_id long, text string"), net).collect()]
+    assert score[0] == score[1] == 0 and score[2] > 0.5 > score[3] and score[5] < 0.5
+    assert all(0 <= s <= 1 for s in score)
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert toxicity.score_documents(none, net).count() == 0
+    assert toxicity.fit_toxicity(none, spark.createDataFrame([], "doc_id long, toxic int")) is not None
+
+
+def test_secrets(spark):
+    forest = secret_scan.fit_forest(secret_scan.labelled_by_rule(spark, 1_600))
+    key = "3f9a6c01d2b84e7755aa10cd9be2f7013c4d5e6f"
+    rows = [
+        (1, f'set token = "{key}" now, token = "{key}"', "a"),
+        (2, f"see commit {key} of today", "b"),
+        (3, None, None),
+        (None, "", "c"),
+        (4, "call 7844238401328224 or /usr/share/common/file2 please", "d"),
+        (5, "ghp_aB3dE5gH7jK9mN1pQ3sT5vW7yZ9bC1eF3hJ5 " + "word " * 20_000, "e"),
+        (5, "ghp_aB3dE5gH7jK9mN1pQ3sT5vW7yZ9bC1eF3hJ5 " + "word " * 20_000, "e"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, value string")
+    found = secret_scan.scan(docs, forest).filter("is_secret").collect()
+    assert sorted((r["doc_id"], r["word_no"]) for r in found) == [(1, 4), (1, 8), (5, 1), (5, 1)]
+    assert found[0]["value"] and "text" not in found[0].asDict()
+    clean = secret_scan.redact(docs, forest).collect()
+    texts = {r["doc_id"]: r["text"] for r in clean}
+    assert len(clean) == len(rows) and clean[0].asDict().keys() == dict.fromkeys(docs.columns).keys()
+    assert texts[1] == 'set token = "[SECRET]" now, token = "[SECRET]"' and texts[2] == rows[1][1] and texts[3] is None and texts[None] == ""
+    assert texts[5].startswith("[SECRET] word")
+    assert secret_scan.scan(docs.limit(0), forest).count() == 0
+
+
+def _formatted(turns):
+    """The template by hand."""
+
+    def esc(t):
+        return t.replace("\\", "\\\\").replace("[", "[\\").replace("<", "<\\")
+
+    out, i = "", 0
+    while i < len(turns):
+        j = i
+        while j < len(turns) and turns[j][0] == turns[i][0]:
+            j += 1
+        role, texts = turns[i][0], "[TURN]".join(esc(t) for _, t in turns[i:j])
+        out += f"<s>{texts}</s>" if role == "assistant" else f"[INST]{esc(role)}[ROLE]{texts}[/INST]"
+        i = j
+    return out
+
+
+def test_chat_round_trip(spark):
+    rng = random.Random(4)
+    marks = ["[INST]", "[/INST]", "[TURN]", "[ROLE]", "<s>", "</s>", "\\", "[", "<", "[\\", "<\\", "a", "\n", "", "é👍"]
+    rows, expected = [], {}
+    for conv in range(60):
+        turns = [(rng.choice(["user", "assistant", "system", "", "we[ird<"]), "".join(rng.choices(marks, k=rng.randint(0, 6)))) for _ in range(rng.randint(1, 9))]
+        expected[conv] = turns
+        rows += [(conv, k, role, text, "x") for k, (role, text) in enumerate(turns)]
+    rng.shuffle(rows)
+    rows += [(100, None, None, None, None), (100, 1, "assistant", None, "x"), (None, 0, "user", "q", None)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
+    formatted = chat_format.format_conversations(frame)
+    got = {r["conv_id"]: r for r in formatted.withColumn("read", chat_format.read_back(F.col("formatted"))).collect()}
+    for conv, turns in expected.items():
+        assert got[conv]["formatted"] == _formatted(turns)
+        assert [tuple(t) for t in got[conv]["read"]] == turns
+        assert [s["text"] for s in got[conv]["segments"] if s["loss"]] == [_formatted([("assistant", t)])[3:-4] for r, t in turns if r == "assistant"]
+    assert [tuple(t) for t in got[100]["read"]] == [("", ""), ("assistant", "")] and got[None]["formatted"] == "[INST]user[ROLE]q[/INST]"
+    assert chat_format.conversation_digests(chat_format.format_conversations(frame.limit(0))).count() == 0
+
+
+PAGE = (
+    "<html><head><title>t</title><script>var a='<p>no</p>';</script></head><body><nav><ul><li>menu</ul></nav><div class='site-header'>x</div>"
+    "<article><h1>Head &amp; tail</h1><p><b>One <br> two<p>three&nbsp;&copy;</b><div class=ad>buy</div><ul><li>a<li>b</ul>"
+    "<div class='reader comments'><p>nice</p></div></article><footer>foot</footer>"
+)
+
+
+def test_page_rules():
+    assert html_extract.extract(PAGE) == "Head & tail\nOne two\nthree ©\na\nb"
+    assert html_extract.extract("") == "" and html_extract.extract("plain &lt;text") == "plain <text"
+    assert html_extract.extract('<a href="x>unclosed') == "" and html_extract.extract("<p>a<!-- b") == "a"
+    assert html_extract.extract("<div>" * 20_000 + "deep") == "deep"
+    assert html_extract.extract("<body><form>f</form><main><p>m</p></main>z") == "m"
+
+
+def test_templates_go(spark):
+    rows = [(i, f"http://h.example/{i}", f"<body><div>Welcome to h</div><div><p>text number {i}</p><p>Same line</p></div></body>") for i in range(12)]
+    rows += [(100 + i, "http://k.example/", "<body><div>copied page</div></body>") for i in range(30)]
+    rows += [(200, None, None), (None, "no host", "<p>x</p>"), (0, "http://h.example/0", rows[0][2])]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("template", F.lit("t"))
+    got = [(r["page_id"], r["text"], r["n_chars"]) for r in html_extract.extract_pages(frame).collect()]
+    assert len(got) == len(rows)
+    texts = dict((i, t) for i, t, _ in got)
+    assert texts[3] == "text number 3" and texts[105] == "copied page" and texts[200] == "" and texts[None] == "x"
+    assert all(n == len(t) for _, t, n in got)
+    assert html_extract.extract_pages(frame.limit(0)).count() == 0
+
+
+def test_article_paragraphs_stay(spark):
+    rows = [(i, f"http://h.example/{i}", f"<article><p>own {i}</p><p>License line</p><div>Share this page</div></article>") for i in range(15)]
+    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["text"] for r in got} == {f"own {i}\nLicense line" for i in range(15)}
