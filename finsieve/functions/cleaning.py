@@ -26,13 +26,14 @@ def to_timestamp(text: Column, fmt: str = TIMESTAMP_FORMAT) -> Column:
 
 
 def to_number(text: Column) -> Column:
-    """Double, null where the text is not a number."""
-    return F.trim(text).try_cast("double")
+    """Double, null where the text is not a finite number."""
+    number = F.trim(text).try_cast("double")
+    return F.when(~F.isnan(number) & (F.abs(number) != F.lit(float("inf"))), number)
 
 
 def to_label(text: Column) -> Column:
-    """0/1 label as int; unreadable labels count as 0."""
-    return F.coalesce(F.trim(text).try_cast("double").cast("int"), F.lit(0))
+    """0/1 label as int; unreadable labels and those beyond an int count as 0."""
+    return F.coalesce(to_number(text).try_cast("int"), F.lit(0))
 
 
 def enforce_types(df: DataFrame) -> DataFrame:

@@ -60,13 +60,15 @@ def row_chunk(row_idx: str | Column, bits: int = CHUNK_BITS) -> Column:
 def value_bucket(value: str | Column) -> Column:
     """Order-preserving bucket of a number: 64 buckets per power of two.
 
-    A float32 column has at most 2^17 different values in one bucket, and about
-    20,000 buckets exist in all, whatever the distribution.
+    A float32 column has at most 2^17 different values in one bucket. Doubles down
+    to the smallest come in order, then infinity, then NaN as Spark sorts it.
     """
     v = F.col(value) if isinstance(value, str) else value
     v = v.cast("double")
-    mag = F.floor(F.log2(F.abs(v)) * 64) + 10_000
-    return F.when(v > 0, mag).when(v < 0, -mag).otherwise(F.lit(0)).cast("bigint")
+    # exponents lie between -1075 and 1024, so this is positive for every finite number but 0
+    size = F.abs(v)
+    mag = F.when(size == F.lit(float("inf")), F.lit(200_000)).otherwise(F.floor(F.log2(size) * 64) + 80_000)
+    return F.when(F.isnan(v), F.lit(300_000)).when(v > 0, mag).when(v < 0, -mag).otherwise(F.lit(0)).cast("bigint")
 
 
 def draw_key(seed: int, row_idx: str = "row_idx") -> Column:

@@ -350,12 +350,12 @@ def cap_analysis(counts: DataFrame) -> DataFrame:
 def success_criteria(board: DataFrame, pool_board: DataFrame, model: str = "xgboost") -> DataFrame:
     """Per three-pool run: ranking not below the baseline at 0.1 %, F1 within 5 % of the
     best anchor, false alarms per hit not above undersampling at 1 %."""
-    base = filter_runs(board, model, "baseline", 0.001).select(F.col("pr_auc_test").alias("base_pr_auc"))
+    base = filter_runs(board, model, "baseline", 0.001).agg(F.max_by("pr_auc_test", "run_id").alias("base_pr_auc"))
     f1 = anchor_runs(board, model).agg(F.max("f1").alias("anchor_f1"))
-    rus = filter_runs(board, model, "random_undersampling", 0.01).select(
-        S.fp_per_tp(F.col("fp_test_thresh"), F.col("tp_test_thresh")).alias("rus_cost")
+    rus = filter_runs(board, model, "random_undersampling", 0.01).agg(
+        F.max_by(S.fp_per_tp(F.col("fp_test_thresh"), F.col("tp_test_thresh")), "run_id").alias("rus_cost")
     )
-    # each side is one row
+    # each side is one row; of a cell that was run again the run with the last stamp counts
     facts = base.join(F.broadcast(f1)).join(F.broadcast(rus))
     cost = S.fp_per_tp(F.col("fp_test_thresh"), F.col("tp_test_thresh"))
     return pool_board.join(F.broadcast(facts)).select(

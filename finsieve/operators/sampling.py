@@ -90,19 +90,6 @@ def oversample_budget(n_pos: int, n_neg: int, p: float) -> int:
     return int(n_neg * minority_ratio(p) - n_pos)
 
 
-def capped_density_budget(n_pos: int, n_neg: int, p: float, majority_cap: int) -> tuple[int, float]:
-    """Synthetic positives and class ratio when neighbours are sought in ``majority_cap`` negatives.
-
-    The ratio within the reduced table stops at 1.
-    """
-    if n_neg <= majority_cap:
-        ratio = minority_ratio(p)
-        return oversample_budget(n_pos, n_neg, p), ratio
-    needed = max(0, int(round(p * n_neg / (1 - p))) - n_pos)
-    ratio = min((n_pos + needed) / majority_cap, 1.0)
-    return int(majority_cap * ratio - n_pos), ratio
-
-
 def with_weight(df: DataFrame, weights: dict[int, float] | None) -> DataFrame:
     w = weights or {0: 1.0, 1: 1.0}
     return df.withColumn("weight", F.when(F.col("label") == 1, F.lit(float(w[1]))).otherwise(F.lit(float(w[0]))))
@@ -188,11 +175,14 @@ def pool_budgets(
 def hard_negatives(negatives: DataFrame, n: int, score: str = "score") -> DataFrame:
     """Exactly the ``n`` highest-scoring rows; equal scores go by row number.
 
+    Scores are compared in single precision, which bounds the values in a bucket.
     The score at the cut is found on grouped scores. Rows above it pass a filter;
     rows exactly at it, however many, are cut by row number in chunks.
     """
     if n <= 0:
         return negatives.filter(F.lit(False))
+    columns, exact = negatives.columns, negatives
+    negatives = exact.withColumn("_exact", F.col(score)).withColumn(score, F.col(score).cast("float"))
     groups = negatives.groupBy(score).agg(F.count(F.lit(1)).alias("n"))
     # the bucket of scores that holds the n-th row, then the score inside it
     buckets = groups.groupBy(value_bucket(score).alias("_b")).agg(F.sum("n").alias("n"))
@@ -200,7 +190,7 @@ def hard_negatives(negatives: DataFrame, n: int, score: str = "score") -> DataFr
     reach = buckets.withColumn("_cum", F.sum("n").over(down)).filter(F.col("_cum") >= n)
     cut_bucket = reach.orderBy(F.col("_b").desc()).limit(1).first()
     if cut_bucket is None:
-        return negatives
+        return exact
     above = cut_bucket["_cum"] - cut_bucket["n"]
     within = Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = (
@@ -214,7 +204,8 @@ def hard_negatives(negatives: DataFrame, n: int, score: str = "score") -> DataFr
     at = F.lit(cut[score]).cast(dict(negatives.dtypes)[score])
     need = n - (cut["_cum"] - cut["n"])
     ties = take_first(negatives.filter(F.col(score) == at), need, row_chunk("row_idx"), [F.col("row_idx")])
-    return negatives.filter(F.col(score) > at).unionByName(ties)
+    chosen = negatives.filter(F.col(score) > at).unionByName(ties)
+    return chosen.withColumn(score, F.col("_exact")).select(*columns)
 
 
 def block_edges(n: int, blocks: int) -> list[int]:

@@ -124,34 +124,71 @@ def confusion_of_groups(groups: DataFrame, grid: DataFrame, score: str = "score"
     )
 
 
+def curve_points(groups: DataFrame, score: str = "score") -> DataFrame:
+    """Confusion counts at every distinct score, from grouped scores."""
+    curve = curve_of_groups(groups, [], score)
+    return curve.select(
+        F.col(score).cast("double").alias("threshold"),
+        F.col("cum_p").alias("tp"),
+        (F.col("cum_n") - F.col("cum_p")).alias("fp"),
+        (F.col("tot_n") - F.col("tot_p") - F.col("cum_n") + F.col("cum_p")).alias("tn"),
+        (F.col("tot_p") - F.col("cum_p")).alias("fn"),
+    )
+
+
+def _at_fallback(points: DataFrame) -> DataFrame:
+    """One row: the counts at the fallback threshold, zeros where there are no points at all."""
+    counts = ("tp", "fp", "tn", "fn")
+    # the lowest point from the fallback on predicts the same rows as the fallback
+    reached = F.col("threshold") >= FALLBACK
+    one = points.agg(
+        F.min_by(F.when(reached, F.struct(*counts)), F.when(reached, F.col("threshold"))).alias("at"),
+        F.coalesce(F.max(F.col("tp") + F.col("fn")), F.lit(0)).alias("pos"),
+        F.coalesce(F.max(F.col("fp") + F.col("tn")), F.lit(0)).alias("neg"),
+    )
+    nothing = {"tp": F.lit(0), "fp": F.lit(0), "tn": F.col("neg"), "fn": F.col("pos")}
+    return one.select(F.lit(FALLBACK).alias("threshold"), *[F.coalesce(F.col(f"at.{c}"), nothing[c]).cast("bigint").alias(c) for c in counts])
+
+
 def select_threshold(
     points: DataFrame, strategy: str, min_precision: float = 0.10, lambda_fp: float = 0.05
 ) -> DataFrame:
     """One row: the chosen threshold with its validation counts and metrics.
 
     ``precision_constrained`` takes the best F1 among thresholds that keep the
-    precision; failing that the best precision with any recall; failing that 0.5.
+    precision; failing that the best precision with any recall; failing that 0.5
+    with the counts there. Without any point every strategy gives 0.5.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}, expected one of {STRATEGIES}")
-    scored = points.withColumns(threshold_metrics()).withColumn("utility", F.col("tp") - F.lit(lambda_fp) * F.col("fp"))
+    counts = ["threshold", "tp", "fp", "tn", "fn"]
+    # the last resort is one more candidate, behind all others
+    candidates = points.select(*counts, F.lit(False).alias("_last")).unionByName(_at_fallback(points).withColumn("_last", F.lit(True)))
+    scored = candidates.withColumns(threshold_metrics()).withColumn("utility", F.col("tp") - F.lit(lambda_fp) * F.col("fp"))
     if strategy in ("f1_max", "f2_max"):
         goal = F.col(strategy[:2])
         ranked = scored.withColumns(
-            {"tier": F.lit(1), "_goal": goal, "_tie": F.lit(0.0), "selection": F.lit(CHOSEN_BY_GOAL.format(strategy=strategy))}
+            {
+                "tier": F.when(F.col("_last"), 3).otherwise(1),
+                "_goal": goal,
+                "_tie": F.lit(0.0),
+                "selection": F.when(F.col("_last"), F.lit(CHOSEN_BY_TIER[3])).otherwise(F.lit(CHOSEN_BY_GOAL.format(strategy=strategy))),
+            }
         )
     else:
-        ok = F.col("precision") >= min_precision
+        # without positives every recall is 1, yet nothing is found
+        ok = ~F.col("_last") & (F.col("precision") >= min_precision)
+        some = ~F.col("_last") & (F.col("recall") > 0)
         ranked = scored.withColumns(
             {
-                "tier": F.when(ok, 1).when(F.col("recall") > 0, 2).otherwise(3),
-                "_goal": F.when(ok, F.col("f1")).when(F.col("recall") > 0, F.col("precision")).otherwise(F.lit(0.0)),
+                "tier": F.when(ok, 1).when(some, 2).when(F.col("_last"), 3).otherwise(4),
+                "_goal": F.when(ok, F.col("f1")).when(some, F.col("precision")).otherwise(F.lit(0.0)),
                 "_tie": F.col("utility"),
                 "selection": F.when(ok, F.lit(CHOSEN_BY_TIER[1]))
-                .when(F.col("recall") > 0, F.lit(CHOSEN_BY_TIER[2]))
+                .when(some, F.lit(CHOSEN_BY_TIER[2]))
                 .otherwise(F.lit(CHOSEN_BY_TIER[3])),
             }
-        ).withColumn("threshold", F.when(F.col("tier") == 3, F.lit(FALLBACK)).otherwise(F.col("threshold")))
+        )
     first = ranked.orderBy("tier", F.col("_goal").desc(), F.col("_tie").desc(), "threshold").limit(1)
     return first.select(
         F.lit(strategy).alias("strategy"), "selection", "threshold",
@@ -165,7 +202,6 @@ def operating_points(
     strategies: tuple[str, ...] = STRATEGIES,
     min_precision: float = 0.10,
     lambda_fp: float = 0.05,
-    n_dense: int = 1000,
 ) -> DataFrame:
     """Several thresholds chosen on ``val``, applied to ``test`` once, against the F1 optimum.
 
@@ -173,7 +209,7 @@ def operating_points(
     """
     val_groups = materialize(score_groups(val, []), "val-scores")
     test_groups = materialize(score_groups(test, []), "test-scores")
-    points = materialize(confusion_of_groups(val_groups, grid_of_groups(val_groups, n_dense)), "points")
+    points = materialize(curve_points(val_groups), "points")
     chosen = None
     for s in strategies:
         one = select_threshold(points, s, min_precision, lambda_fp).select("strategy", "selection", "threshold")
@@ -183,11 +219,12 @@ def operating_points(
     )
     # a handful of rows: the points to evaluate
     rows = chosen.unionByName(reference).collect()
-    # every test score is evaluated at each point, on the grouped scores
+    # one curve of the test scores, read at every point
     tau = F.array(*[F.struct(F.lit(r["strategy"]).alias("strategy"), F.lit(r["selection"]).alias("selection"), F.lit(r["threshold"]).alias("tau")) for r in rows])
-    spread = test_groups.select("score", "n", "p", F.inline(tau))
+    curve = curve_of_groups(test_groups, [])
+    spread = curve.select(*curve.columns, F.inline(tau))
     by = ["strategy", "selection", "tau"]
-    measured = materialize(record_of_curve(curve_of_groups(spread, by), by, F.col("tau")), "measured")
+    measured = materialize(record_of_curve(spread, by, F.col("tau")), "measured")
     ref = measured.filter("strategy = 'reference'").select(
         *[F.col(c).alias(f"ref_{c}") for c in ("precision", "recall", "f1", "f2", "fp", "pr_auc")]
     )

@@ -11,7 +11,7 @@ from finsieve.operators import labels as L
 from finsieve.operators.ordering import with_global_position
 from finsieve.operators.splitting import split_chronological, split_stats
 from finsieve.plans import tables as T
-from finsieve.plans.oracle_views import KEY
+from finsieve.plans.oracle_views import KEY, finite
 from finsieve.plans.registry import query
 from finsieve.schema import RAW_COLUMNS
 from finsieve.session import scratch_path
@@ -139,8 +139,8 @@ def canonical_projection(spark, sf_dir):
 
 @query(
     "enforce_types",
-    """SELECT row_idx, trim(from_bank) AS from_bank, trim(to_bank) AS to_bank, TRY_CAST(trim(amount_received) AS DOUBLE) AS amount_received,
-       TRY_CAST(trim(amount_paid) AS DOUBLE) AS amount_paid, trim(payment_currency) AS payment_currency FROM raw""",
+    f"""SELECT row_idx, trim(from_bank) AS from_bank, trim(to_bank) AS to_bank, {finite('amount_received')} AS amount_received,
+       {finite('amount_paid')} AS amount_paid, trim(payment_currency) AS payment_currency FROM raw""",
     ("raw",),
 )
 def enforce_types(spark, sf_dir):
@@ -172,7 +172,7 @@ def drop_bad_timestamps(spark, sf_dir):
 
 @query(
     "coerce_label",
-    "SELECT row_idx, COALESCE(CAST(TRY_CAST(trim(is_laundering_csv) AS DOUBLE) AS INTEGER), 0) AS label FROM raw",
+    f"SELECT row_idx, COALESCE(TRY_CAST({finite('is_laundering_csv')} AS INTEGER), 0) AS label FROM raw",
     ("raw",),
 )
 def coerce_label(spark, sf_dir):

@@ -76,24 +76,33 @@ VIEWS["raw"] = (
        from_account,
        concat('0', to_bank) AS to_bank,
        to_account,
-       CASE WHEN score_milli = 470 THEN 'n/a'
+       CASE score_milli WHEN 470 THEN 'n/a' WHEN 390 THEN ' Infinity'
             ELSE concat(CAST(received_cents // 100 AS VARCHAR), '.', lpad(CAST(received_cents % 100 AS VARCHAR), 2, '0')) END AS amount_received,
        receiving_currency,
-       CASE WHEN score_milli = 460 THEN NULL
+       CASE score_milli WHEN 460 THEN NULL WHEN 380 THEN 'nan' WHEN 370 THEN '-inf'
             ELSE concat(' ', CAST(paid_cents // 100 AS VARCHAR), '.', lpad(CAST(paid_cents % 100 AS VARCHAR), 2, '0')) END AS amount_paid,
        CASE WHEN score_milli = 450 THEN NULL ELSE payment_currency END AS payment_currency,
        upper(payment_format) AS payment_format,
-       CASE WHEN score_milli = 440 THEN 'x' WHEN score_milli = 430 THEN NULL ELSE CAST(label AS VARCHAR) END AS is_laundering_csv
+       CASE score_milli WHEN 440 THEN 'x' WHEN 430 THEN NULL WHEN 420 THEN 'nan' WHEN 410 THEN 'Infinity' WHEN 400 THEN '99999999999'
+            ELSE CAST(label AS VARCHAR) END AS is_laundering_csv
 FROM txn""",
 )
+
+
+def finite(column: str) -> str:
+    """A text column as a finite number, else null."""
+    number = f"TRY_CAST(trim({column}) AS DOUBLE)"
+    return f"CASE WHEN isfinite({number}) THEN {number} END"
+
+
 VIEWS["typed"] = (
     ("raw",),
-    """SELECT row_idx, try_strptime(timestamp, '%Y/%m/%d %H:%M') AS timestamp,
+    f"""SELECT row_idx, try_strptime(timestamp, '%Y/%m/%d %H:%M') AS timestamp,
        trim(from_bank) AS from_bank, trim(from_account) AS from_account, trim(to_bank) AS to_bank, trim(to_account) AS to_account,
-       TRY_CAST(trim(amount_received) AS DOUBLE) AS amount_received, trim(receiving_currency) AS receiving_currency,
-       TRY_CAST(trim(amount_paid) AS DOUBLE) AS amount_paid, trim(payment_currency) AS payment_currency,
+       {finite('amount_received')} AS amount_received, trim(receiving_currency) AS receiving_currency,
+       {finite('amount_paid')} AS amount_paid, trim(payment_currency) AS payment_currency,
        trim(payment_format) AS payment_format,
-       COALESCE(CAST(TRY_CAST(trim(is_laundering_csv) AS DOUBLE) AS INTEGER), 0) AS is_laundering_csv
+       COALESCE(TRY_CAST({finite('is_laundering_csv')} AS INTEGER), 0) AS is_laundering_csv
 FROM raw WHERE try_strptime(timestamp, '%Y/%m/%d %H:%M') IS NOT NULL""",
 )
 

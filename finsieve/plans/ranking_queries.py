@@ -194,7 +194,7 @@ def _flat(inner):
 @query("threshold_f1_f2", _flat(f"{_pick('f1_max')} UNION ALL {_pick('f2_max')}"), ("curve",))
 def threshold_f1_f2(spark, sf_dir):
     val = _val(spark, sf_dir)
-    points = TH.confusion_on_grid(val, TH.threshold_grid(val))
+    points = TH.curve_points(R.score_groups(val, []))
     both = TH.select_threshold(points, "f1_max").unionByName(TH.select_threshold(points, "f2_max"))
     return _rounded(both, [*_RATES, "utility"])
 
@@ -202,7 +202,7 @@ def threshold_f1_f2(spark, sf_dir):
 @query("threshold_precision_constrained", _flat(_pick("precision_constrained")), ("curve",))
 def threshold_precision_constrained(spark, sf_dir):
     val = _val(spark, sf_dir)
-    points = TH.confusion_on_grid(val, TH.threshold_grid(val))
+    points = TH.curve_points(R.score_groups(val, []))
     return _rounded(TH.select_threshold(points, "precision_constrained"), [*_RATES, "utility"])
 
 

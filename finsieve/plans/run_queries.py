@@ -82,14 +82,15 @@ def filter_runs(spark, sf_dir):
 
 # a cell's rows: one part of the transactions per grid cell, told by format and currency
 _CELL_SQL = """(SELECT DISTINCT CAST((CAST(substr(payment_currency, 4) AS BIGINT) * 6 + CAST(substr(to_bank, 2) AS BIGINT)) % 30 AS BIGINT) AS run_no
-FROM txn WHERE label = 1 AND payment_format = 'RF')"""
+FROM txn WHERE label = 1 AND payment_format = 'RF' AND CAST(substr(to_bank, 2) AS BIGINT) < 4)"""
 
 
 def _finished(spark, sf_dir):
-    """Grid cells for which the transactions hold a finished run."""
+    """Grid cells for which the transactions hold a finished run, with the time of the last one."""
     number = lambda c, start: F.substring(c, start, 10).cast("int")
-    t = T.txn(spark, sf_dir).filter("label = 1 AND payment_format = 'RF'")
-    return t.select(((number("payment_currency", 4) * 6 + number("to_bank", 2)) % 30).alias("run_no")).distinct()
+    t = T.txn(spark, sf_dir).filter("label = 1 AND payment_format = 'RF'").filter(number("to_bank", 2) < 4)
+    cell = (number("payment_currency", 4) * 6 + number("to_bank", 2)) % 30
+    return t.groupBy(cell.alias("run_no")).agg(F.date_format(F.max("timestamp"), "yyyyMMdd_HHmmss").alias("stamp"))
 
 
 @query(
@@ -111,7 +112,7 @@ def experiment_grid(spark, sf_dir):
 )
 def grid_pending(spark, sf_dir):
     grid = R.experiment_grid(spark)
-    done = grid.join(_finished(spark, sf_dir), "run_no", "left_semi").select(F.concat("run_id", F.lit("__20260404_143052")).alias("run_id"))
+    done = grid.join(_finished(spark, sf_dir), "run_no").select(F.concat_ws("__", "run_id", "stamp").alias("run_id"))
     return R.pending_cells(grid, done).select(F.col("run_no").cast("bigint").alias("run_no"), "model", "strategy", "tag")
 
 

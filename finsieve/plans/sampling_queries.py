@@ -64,21 +64,13 @@ def smote_budget(spark, sf_dir):
     return spark.createDataFrame(rows, "target double, n_synthetic bigint")
 
 
-_CAP = 5000
-
-
 @query(
     "adasyn_budget",
-    _targets_sql(
-        f"""CASE WHEN n_neg <= {_CAP} THEN CAST(trunc(n_neg * ({{p}} / (1 - {{p}})) - n_pos) AS BIGINT)
-        ELSE CAST(trunc({_CAP} * least(CAST(1 AS DOUBLE), (n_pos + greatest(0, CAST(round_even({{p}} * n_neg / (1 - {{p}}), 0) AS BIGINT) - n_pos)) / CAST({_CAP} AS DOUBLE)) - n_pos) AS BIGINT) END AS n_synthetic"""
-    ),
+    _targets_sql(f"CASE WHEN {{p}} <= {_NATURAL} THEN 0 ELSE CAST(trunc(n_neg * ({{p}} / (1 - {{p}})) - n_pos) AS BIGINT) END AS n_synthetic"),
     ("classes",),
 )
 def adasyn_budget(spark, sf_dir):
-    n_pos, n_neg = SM.count_classes(T.train(spark, sf_dir))
-    rows = [(p, SM.capped_density_budget(n_pos, n_neg, p, _CAP)[0]) for p in _TARGETS]
-    return spark.createDataFrame(rows, "target double, n_synthetic bigint")
+    return smote_budget(spark, sf_dir)
 
 
 @query(

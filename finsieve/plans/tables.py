@@ -155,12 +155,12 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         "from_account",
         F.concat(F.lit("0"), "to_bank").alias("to_bank"),
         "to_account",
-        F.when(s == 470, "n/a").otherwise(money("received_cents")).alias("amount_received"),
+        F.when(s == 470, "n/a").when(s == 390, " Infinity").otherwise(money("received_cents")).alias("amount_received"),
         "receiving_currency",
-        F.when(s == 460, F.lit(None)).otherwise(F.concat(F.lit(" "), money("paid_cents"))).alias("amount_paid"),
+        F.when(s == 460, F.lit(None)).when(s == 380, "nan").when(s == 370, "-inf").otherwise(F.concat(F.lit(" "), money("paid_cents"))).alias("amount_paid"),
         F.when(s == 450, F.lit(None)).otherwise(F.col("payment_currency")).alias("payment_currency"),
         F.upper("payment_format").alias("payment_format"),
-        F.when(s == 440, "x").when(s == 430, F.lit(None)).otherwise(F.col("label").cast("string")).alias("is_laundering_csv"),
+        F.when(s == 440, "x").when(s == 430, F.lit(None)).when(s == 420, "nan").when(s == 410, "Infinity").when(s == 400, "99999999999").otherwise(F.col("label").cast("string")).alias("is_laundering_csv"),
     )
 
 

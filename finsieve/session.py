@@ -23,6 +23,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "fin
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", os.environ.get("FINSIEVE_DRIVER_MEMORY", "12g"))
+        .config("spark.checkpoint.dir", os.environ.get("FINSIEVE_SCRATCH") or tempfile.mkdtemp(prefix="finsieve-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

@@ -54,15 +54,15 @@ def parse_patterns(spark: SparkSession, path: str) -> DataFrame:
     rows = placed.filter(
         (F.col("is_begin") == 0)
         & ~F.col("line").startswith(END_MARKER)
-        & (F.size(F.split("line", ",")) <= len(RAW_COLUMNS))
     )
-    fields = ", ".join(f"{c} STRING" for c in RAW_COLUMNS)
+    # a comma inside quotes is none of the fields' limits; one field more shows a line with too many
+    fields = ", ".join(f"{c} STRING" for c in [*RAW_COLUMNS, "_surplus"])
     parsed = rows.select(
         F.from_csv("line", fields).alias("f"),
         F.coalesce("open_here", "open_before", F.lit("UNKNOWN")).alias("pattern_type"),
         (F.col("begun_before") + F.col("begun_here")).alias("pattern_block_id"),
         F.struct("file", "piece", "pos").alias("file_pos"),
-    ).select("f.*", "pattern_type", "pattern_block_id", "file_pos")
+    ).filter("f._surplus IS NULL").select("f.*", "pattern_type", "pattern_block_id", "file_pos").drop("_surplus")
     typed = enforce_types(parsed.withColumn("timestamp", to_timestamp(F.col("timestamp"))))
     # every row of a pattern file is illicit
     return typed.filter(F.col("timestamp").isNotNull()).withColumn("is_laundering_csv", F.lit(1))

@@ -11,6 +11,7 @@ from finsieve.operators.ordering import (
     row_chunk,
     take_first,
     value_bucket,
+    value_bucket,
     with_global_position,
 )
 
@@ -78,3 +79,12 @@ def test_chunk_positions(spark):
     df = spark.range(2000).filter("id % 7 in (1, 4)").withColumnRenamed("id", "row_idx")
     got = sorted((r["row_idx"], r["pos"]) for r in chunk_positions(df, bits=5).collect())
     assert [p for _, p in got] == list(range(len(got)))
+
+
+def test_buckets_keep_the_order_of_all_numbers(spark):
+    values = [float("-inf"), -1e300, -2.0, -1e-60, -5e-324, 0.0, 5e-324, 1e-310, 1e-60, 1e-10, 0.5, 1.0, 1e300, float("inf"), float("nan")]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v double").withColumn("b", value_bucket("v"))
+    buckets = [r["b"] for r in df.orderBy("i").collect()]
+    assert buckets == sorted(buckets) and len(set(buckets)) == len(buckets)
+    sums = prefix_sums(spark.createDataFrame([(v, 1) for v in values], "v double, n long"), [], "v", ["n"])
+    assert [r["cum_n"] for r in sums.orderBy("v").collect()] == list(range(1, len(values) + 1))

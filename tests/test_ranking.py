@@ -113,7 +113,7 @@ def test_grid_confusion(spark, n_dense):
 def test_precision_constraint_and_fallbacks(spark):
     def pick(rows, **kw):
         df = _df(spark, rows)
-        return T.select_threshold(T.confusion_on_grid(df, T.threshold_grid(df)), "precision_constrained", **kw).first()
+        return T.select_threshold(T.curve_points(R.score_groups(df, [])), "precision_constrained", **kw).first()
 
     rows = _scored(7)
     assert pick(rows)["selection"].startswith("max_f1")
@@ -121,6 +121,29 @@ def test_precision_constraint_and_fallbacks(spark):
     assert (hard["threshold"], hard["selection"]) == (0.5, "fallback_max_precision_with_nonzero_recall")
     none = pick([(0.9, 0), (0.2, 0)], min_precision=0.9)
     assert (none["threshold"], none["selection"]) == (0.5, "fallback_threshold_0_5")
+    missed = pick([(0.9, 0), (0.8, 0), (0.2, 0)], min_precision=0.9)
+    assert (missed["threshold"], missed["tp"], missed["fp"], missed["tn"], missed["fn"]) == (0.5, 0, 2, 1, 0)
+    low = pick([(0.3, 0), (0.2, 0)], min_precision=0.9)
+    assert (low["threshold"], low["fp"], low["tn"]) == (0.5, 0, 2)
+
+
+def test_no_scores_give_the_last_resort(spark):
+    points = T.curve_points(R.score_groups(_df(spark, []), []))
+    for strategy in T.STRATEGIES:
+        got = T.select_threshold(points, strategy).first()
+        assert (got["threshold"], got["tp"], got["fp"], got["selection"]) == (0.5, 0, 0, "fallback_threshold_0_5")
+
+
+def test_chosen_from_all_scores_however_many(spark):
+    rng = random.Random(11)
+    rows = [(rng.random(), int(rng.random() < 0.02)) for _ in range(12_000)]
+    rows += [(0.97 + rng.random() / 100, 1) for _ in range(40)]
+    got = T.select_threshold(T.curve_points(R.score_groups(_df(spark, rows), [])), "f1_max").first()
+    pos, hits, best = sum(y for _, y in rows), 0, 0.0
+    for n, (_, y) in enumerate(sorted(rows, reverse=True), 1):
+        hits += y
+        best = max(best, 2 * hits / (n + pos))
+    assert got["f1"] == pytest.approx(best, abs=1e-12)
 
 
 def test_operating_points_share_one_ranking(spark):

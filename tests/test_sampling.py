@@ -46,13 +46,8 @@ def test_published_pools():
         assert (b["n_hard_planned"], b["n_hard"], b["n_temporal"], b["n_global"]) == (planned, hard, temporal, rest)
 
 
-def test_density_budget_stops_at_balance():
-    # both targets ask for more than the reduced table can take
-    assert S.capped_density_budget(N_POS, N_NEG, 0.005, 500_000) == (500_000 - N_POS, 1.0)
-    assert S.capped_density_budget(N_POS, N_NEG, 0.01, 500_000) == (500_000 - N_POS, 1.0)
-    n, ratio = S.capped_density_budget(N_POS, N_NEG, 0.001, 500_000)
-    assert ratio < 1 and abs(n - 59_495) <= 1
-    assert S.capped_density_budget(100, 1000, 0.2, 500_000)[0] == 150
+def test_oversampling_budget_is_of_the_full_table():
+    assert [S.oversample_budget(N_POS, N_NEG, p) for p in (0.001, 0.005, 0.01)] == [59_495, 555_197, 1_180_459]
 
 
 def test_ratio_checks():
