@@ -2,15 +2,16 @@
 
 Documents are sets of word n-grams, as 64-bit hashes. Equal sets are one class.
 In an order of all n-grams that puts frequent ones last, two sets can only be
-similar enough if the first few n-grams of both share one; classes with equal
-first n-grams (prefix) and equal size are one group. Groups meet on the n-grams of
-their prefixes, are filtered by size and position, and their classes are verified
-on whole sets.
+similar enough if the first few n-grams of both (the prefixes) share MATCHES;
+classes with equal prefix and equal size are one group. Groups meet on the n-grams
+of their prefixes, pairs are filtered by size, position and shared n-grams, and
+their classes are verified on whole sets.
 
 Copies in their thousands link all to all, but components need a few of these
-links only. So groups are first verified against one or two leaders; afterwards
-all remaining candidate pairs between different components are verified, which
-leaves out nothing but links within a component.
+links only. So in a few rounds every component is verified against one or two
+leaders among those it meets; afterwards all remaining candidate pairs between
+different components are verified, which leaves out nothing but links within a
+component.
 """
 
 from __future__ import annotations
@@ -32,7 +33,11 @@ from finsieve.session import materialize
 #: Number of n-grams, the most frequent of those seen more than once in a slice, that the order
 #: puts last by frequency. The rest is ordered by hash. A bound on the broadcast table; the order
 #: decides only how many candidates there are, never which links are found.
-ORDERED_NGRAMS = 131_072
+ORDERED_NGRAMS = 524_288
+#: N-grams that two prefixes must share; prefixes are longer by one less.
+MATCHES = 3
+#: Rounds in which components are verified against leaders; they end early when one links nothing.
+LEADER_ROUNDS = 4
 #: Numbers of 64 bits in the broadcast filter of texts to be read again; the filter only saves shuffling.
 MASKS = 131_072
 
@@ -46,7 +51,12 @@ class Similarity:
 
     def prefix(self, n: int) -> int:
         """Length of the prefix of a set of ``n``: sets this similar share ceil(percent n / 100) at least."""
-        return n + (-self.percent * n) // 100 + 1
+        least = -(-self.percent * n // 100)
+        return n - least + min(MATCHES, least)
+
+    def matches(self, n: Column, m: Column) -> Column:
+        """How many n-grams the prefixes of two linked sets share at least; tiny sets share fewer."""
+        return F.least(F.lit(MATCHES), F.ceil(F.least(n, m) * self.percent / 100))
 
     def needed(self, n: Column, m: Column) -> Column:
         """Whether sizes alone allow a link."""
@@ -229,47 +239,71 @@ def jaccard_join(docs: DataFrame, similarity: Similarity = Similarity()) -> Jacc
     shared = tokens.groupBy("ngram").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("ngram")
     meeting = materialize(tokens.join(shared, "ngram").distinct().withColumns({"n": F.shiftright("size_pos", 31), "pos": F.col("size_pos") % 2**31}), "meeting")
     members = materialize(prefixes.select("group", "key", "n").distinct(), "group-members")
-    leaders = members.groupBy("group").agg(F.min("key").alias("leader"))
-
-    first = materialize(_leader_pairs(meeting, members, leaders, similarity), "leader-pairs")
-    whole = _whole_sets(texts, rows.join(_keys(first), "key"), similarity)
-    links = _verified(first, whole, similarity)
-    labels = components(links)
-
-    rest = materialize(_remaining_pairs(meeting, members, labels, similarity), "remaining-pairs")
-    if not rest.isEmpty():
-        more = _whole_sets(texts, rows.join(_keys(rest).join(_keys(first), "key", "left_anti"), "key"), similarity)
-        labels = components(links.unionByName(_verified(rest, whole.unionByName(more), similarity)))
+    whole = spark.createDataFrame([], "key binary, members array<long>")
+    links = spark.createDataFrame([], "a binary, b binary")
+    labels = spark.createDataFrame([], "node binary, label binary")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        """Adds what is linked of ``pairs`` to ``links``, and the sets read for it to ``whole``."""
+        nonlocal whole, links
+        missing = _keys(pairs).join(whole.select("key"), "key", "left_anti")
+        whole = whole.unionByName(_whole_sets(texts, rows.join(missing, "key"), similarity))
+        found = _verified(pairs, whole, similarity)
+        links = links.unionByName(found)
+        return found
+
+    for turn in range(LEADER_ROUNDS):
+        labelled = _labelled(members, labels)
+        pairs = materialize(_leader_pairs(meeting, labelled, similarity, turn), "leader-pairs")
+        if pairs.isEmpty() or verify(pairs).isEmpty():
+            break
+        labels = components(links)
+    pairs = materialize(_remaining_pairs(meeting, _labelled(members, labels), similarity), "remaining-pairs")
+    if not pairs.isEmpty() and not verify(pairs).isEmpty():
+        labels = components(links)
     return JaccardJoin(documents, labels)
 
 
 def _may_reach(similarity: Similarity, a: str, b: str) -> Column:
-    """At their first common n-gram, two sets can still be similar enough by what follows it."""
+    """At one of their first shared n-grams, two sets can still be similar enough by what follows it."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    most = F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos"))
-    return similarity.needed(n, m) & similarity.linked(most, n, m)
+    most = similarity.matches(n, m) - 1 + F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos"))
+    return similarity.needed(n, m) & similarity.linked(F.least(most, n, m), n, m)
+
+
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``group, key, label`` of every set; one without a link is its own label."""
+    joined = members.join(labels, F.col("key") == F.col("node"), "left")
+    return materialize(joined.select("group", "key", F.coalesce("label", "key").alias("label")), "labelled-members")
 
 
-def _leader_pairs(meeting: DataFrame, members: DataFrame, leaders: DataFrame, similarity: Similarity) -> DataFrame:
-    """Pairs ``a, b``: every set with its group's leader, every group with the leaders of at most two groups it meets."""
+def _leader_pairs(meeting: DataFrame, labelled: DataFrame, similarity: Similarity, turn: int) -> DataFrame:
+    """Pairs ``a, b`` of sets in different components, a few for each.
+
+    At every n-gram and band of sizes one component leads; each other one there is
+    paired with it, and keeps its two leaders that it meets at most n-grams. Sets
+    of one group are paired with the group's leader.
+    """
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / similarity.percent)))).cast("int")
-    banded = meeting.withColumn("band", band)
-    lead = banded.groupBy("ngram", "band").agg(F.min(F.struct("n", "group", "pos")).alias("lead"))
-    met = banded.alias("a").join(lead.select("ngram", "band", "lead.*").alias("b"), ["ngram", "band"])
-    met = met.filter((F.col("a.group") != F.col("b.group")) & _may_reach(similarity, "a", "b"))
-    met = met.groupBy(F.col("a.group").alias("group")).agg(F.array_distinct(F.array(F.min("b.group"), F.max("b.group"))).alias("others"))
-    met = met.select("group", F.explode("others").alias("other"))
-    across = met.join(leaders.withColumnRenamed("leader", "a"), "group").join(
-        leaders.select(F.col("group").alias("other"), F.col("leader").alias("b")), "other"
+    sets = meeting.withColumn("band", band).join(labelled, "group")
+    # of each component the first set at this n-gram stands for it
+    first = sets.groupBy("ngram", "band", "label").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("order"), "key", "n", "pos")).alias("x"))
+    first = materialize(first.select("ngram", "band", "label", "x.*"), "component-sets")
+    lead = first.groupBy("ngram", "band").agg(F.min(F.struct(F.xxhash64("label", F.lit(turn)).alias("by"), "label", "key", "n", "pos")).alias("lead"), F.count(F.lit(1)).alias("labels"))
+    lead = lead.filter("labels > 1").select("ngram", "band", "lead.*")
+    met = first.alias("a").join(lead.alias("b"), ["ngram", "band"]).filter((F.col("a.label") != F.col("b.label")) & _may_reach(similarity, "a", "b"))
+    counted = met.groupBy(F.col("a.label").alias("label"), F.col("b.label").alias("other")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("a.key").alias("a"), F.col("b.key").alias("b"))).alias("pair")
     )
-    within = members.join(leaders, "group").filter("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b"))
-    return _ordered_pairs(across.select("a", "b").unionByName(within))
+    best = counted.groupBy("label").agg(F.max(F.struct("n", "pair")).alias("most"), F.max_by("pair", F.xxhash64("other")).alias("any"))
+    across = best.select(F.explode(F.array_distinct(F.array("most.pair", "any"))).alias("pair")).select("pair.*")
+    leaders = labelled.groupBy("group").agg(F.min(F.struct("key", "label")).alias("leader"))
+    within = labelled.join(leaders, "group").filter("label <> leader.label").select(F.col("leader.key").alias("a"), F.col("key").alias("b"))
+    return _ordered_pairs(across.unionByName(within))
 
 
-def _remaining_pairs(meeting: DataFrame, members: DataFrame, labels: DataFrame, similarity: Similarity) -> DataFrame:
+def _remaining_pairs(meeting: DataFrame, labelled: DataFrame, similarity: Similarity) -> DataFrame:
     """All candidate pairs ``a, b`` of sets in different components."""
-    labelled = members.join(labels, F.col("key") == F.col("node"), "left").select("group", "key", F.coalesce("label", "key").alias("label"))
-    labelled = materialize(labelled, "labelled-members")
     sets = meeting.select("ngram", "group", "n", "pos").join(labelled, "group")
     several = sets.groupBy("ngram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("ngram")
     open_sets = materialize(sets.join(several, "ngram"), "open-sets")
@@ -277,10 +311,12 @@ def _remaining_pairs(meeting: DataFrame, members: DataFrame, labels: DataFrame,
     across = a.join(b, F.col("a.ngram") == F.col("b.ngram")).filter(
         (F.col("a.key") < F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & (F.col("a.group") != F.col("b.group")) & _may_reach(similarity, "a", "b")
     )
+    pair = [F.col("a.key").alias("a"), F.col("b.key").alias("b")]
+    counted = across.groupBy(*pair).agg(F.count(F.lit(1)).alias("shared"), F.first("a.n").alias("n"), F.first("b.n").alias("m"))
+    across = counted.filter(F.col("shared") >= similarity.matches(F.col("n"), F.col("m")))
     a, b = labelled.alias("a"), labelled.alias("b")
     within = a.join(b, F.col("a.group") == F.col("b.group")).filter((F.col("a.key") < F.col("b.key")) & (F.col("a.label") != F.col("b.label")))
-    pair = [F.col("a.key").alias("a"), F.col("b.key").alias("b")]
-    return _ordered_pairs(across.select(*pair).unionByName(within.select(*pair)))
+    return _ordered_pairs(across.select("a", "b").unionByName(within.select(*pair)))
 
 
 def _ordered_pairs(pairs: DataFrame) -> DataFrame:
