@@ -282,7 +282,7 @@ VIEWS["importances"] = (
     + ", ".join(f"CAST(sum(s * v_{f}) AS DOUBLE) / sum(s) / 1000" for f in IMPORTANCE_FEATURES)
     + "]) AS importance FROM (SELECT r.run_no, (r.w * t.score_milli + (1000 - r.w) * ((t.row_idx * 7919 + r.shift) % 1000)) // 1000 AS s, "
     + ", ".join(f"CAST({e} AS BIGINT) AS v_{f}" for f, e in IMPORTANCE_FEATURES.items())
-    + " FROM txn t CROSS JOIN runs r WHERE t.split IN ('val', 'test')) GROUP BY run_no) i JOIN runs USING (run_no)",
+    + " FROM txn t CROSS JOIN runs r) GROUP BY run_no) i JOIN runs USING (run_no)",
 )
 VIEWS["curve"] = (
     ("txn",),

@@ -165,9 +165,10 @@ def temporal_negatives(spark, sf_dir):
     return SM.temporal_negatives(left, plan["n_temporal"], n_left, _BLOCKS, _SEED)
 
 
-@query("global_negatives", _draw("SELECT row_idx FROM train WHERE label = 0", "500").replace("SELECT *", "SELECT row_idx", 1), ("train",))
+@query("global_negatives", _draw("SELECT row_idx FROM train WHERE label = 0", "(SELECT count(*) // 10 FROM train WHERE label = 0)").replace("SELECT *", "SELECT row_idx", 1), ("train",))
 def global_negatives(spark, sf_dir):
-    return SM.global_negatives(T.train(spark, sf_dir).filter("label = 0").select("row_idx"), 500, _SEED)
+    negatives = T.train(spark, sf_dir).filter("label = 0").select("row_idx")
+    return SM.global_negatives(negatives, negatives.count() // 10, _SEED)
 
 
 @query(
@@ -231,11 +232,11 @@ def align_scores(spark, sf_dir):
 @query(
     "aligned_subsample",
     "SELECT row_number() OVER (ORDER BY row_idx) - 1 AS row_idx, row_idx AS orig_row_idx, label, score_milli FROM ("
-    + _draw("SELECT row_idx, label, score_milli FROM train", "2000")
+    + _draw("SELECT row_idx, label, score_milli FROM train", "(SELECT count(*) // 4 FROM train)")
     + ")",
     ("train",),
 )
 def aligned_subsample(spark, sf_dir):
     t = T.train(spark, sf_dir)
-    sub = SM.aligned_subsample(t, t.select("row_idx", "score"), 2000, _SEED)
+    sub = SM.aligned_subsample(t, t.select("row_idx", "score"), t.count() // 4, _SEED)
     return sub.select("row_idx", "orig_row_idx", "label", F.round(F.col("score").cast("double") * 1000).cast("bigint").alias("score_milli"))

@@ -298,7 +298,7 @@ def importances(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score_milli": F.col("score_milli"),
         "row_parity": F.col("row_idx") % 2,
     }
-    rows = txn(spark, sf_dir).filter("split IN ('val', 'test')").select(
+    rows = txn(spark, sf_dir).select(
         "row_idx", "score_milli", *[e.cast("bigint").alias(f"v_{n}") for n, e in features.items()]
     )
     milli = F.expr("(_w * score_milli + (1000 - _w) * ((row_idx * 7919 + _shift) % 1000)) div 1000")
