@@ -100,7 +100,8 @@ class Voting:
         planes = []
         for a, b in combinations(names, 2):
             own = (labels == a) | (labels == b)
-            planes.append(linear_svm(x[own], labels[own] == a))
+            # no second copy of the rows where both names are all there is
+            planes.append(linear_svm(x if own.all() else x[own], labels[own] == a))
         return cls(names, np.array(planes, dtype=np.float32).reshape(-1, BINS + 1))
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,8 +183,11 @@ def fit_language_model(labelled: DataFrame, rows: int = TRAINING_ROWS) -> Langua
     wanted = F.coalesce(*(F.when((F.col("lang") == lang) & (draw < share / n), True) for lang, n in counts.items()), F.lit(False))
     chosen = labelled.filter(wanted).select("text", "lang")
     found = materialize(chosen.mapInArrow(_features_task, "lang string, x binary"), "language-training").orderBy("lang", "x").toArrow()
-    x = np.frombuffer(b"".join(found["x"].to_pylist()), dtype=np.float16).astype(np.float32).reshape(-1, BINS)
-    return LanguageModel.fit(x, np.array(found["lang"].to_pylist(), dtype=object))
+    x, langs = np.empty((found.num_rows, BINS), np.float32), np.array(found["lang"].to_pylist(), dtype=object)
+    for i, row in enumerate(found["x"]):
+        x[i] = np.frombuffer(row.as_buffer(), dtype=np.float16)
+    del found
+    return LanguageModel.fit(x, langs)
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
