@@ -1,13 +1,14 @@
 """Secrets in texts: regular expressions propose, a random forest removes false positives.
 
-All of it is DataFrame expressions and Spark's own forest. A candidate is a word
-with a long run that has a digit, or the value of an assignment to a name such as
-``password``. The forest sees the candidate's length and characters, transitions
-between kinds of characters, how much of it common words cover, whether it is part
-of a path, and the words before it. It is trained from labelled findings: a table
-handed in, or the one made here by rule, which takes keys of the usual alphabets
-in assignments as secrets, and commits, checksums, identifiers, paths, numbers and
-placeholders as none.
+All of it is DataFrame expressions and Spark's own forest. A candidate is a long run
+of key characters with a digit, or the value of an assignment to a name such as
+``password``, up to its closing quote. A word may hold any number of candidates;
+each has its place in the text and a score of its own. The forest sees the
+candidate's length and characters, transitions between kinds of characters, how much
+of it common words cover, whether it is part of a path, and the words before it. It
+is trained from labelled findings: a table handed in, or the one made here by rule,
+which takes keys of the usual alphabets and passwords in assignments as secrets, and
+commits, checksums, identifiers, paths, numbers and placeholders as none.
 """
 
 from __future__ import annotations
@@ -24,13 +25,23 @@ LABELLED_ROWS, TREES, DEPTH = 8_000, 40, 10
 REDACTED = "[SECRET]"
 
 _NAMES = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential)"
-#: A run of key characters with a digit.
-LONG_RUN = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{16,}"
-#: A name and its value, in one word or over three.
-ASSIGNED = rf"(?i){_NAMES}[a-z0-9_-]*[\"']?(?::|=)[\"']?[^\s\"']{{6,}}"
-NAME_WORD = rf"(?i){_NAMES}[a-z0-9_-]*[\"']?(?::|=)?$"
-SPACED = rf"(?i){_NAMES}[a-z0-9_-]*[\"']?(?::|=)?\s+(?:[:=]\s+)?[^\s]{{8,}}"
 WORDS = r"[\x20\x09-\x0D]+"
+# Loops over groups are possessive: Java runs those without recursion, however long the text.
+_SPACE, _QUOTE = r"[\x20\x09-\x0D]*+", r"\\*+[\"'`]"
+#: A name and a sign, with what may stand between them and the value.
+ASSIGNED = rf"(?i){_NAMES}[a-z0-9_-]*+(?:{_QUOTE})?[\])]?{_SPACE}(?:=>|:=|={{1,3}}|:){_SPACE}"
+#: A run of key characters with a digit.
+LONG_RUN = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])(?=([A-Za-z0-9_+/-]{16,}+))"
+#: A value between quotes, on one line.
+QUOTED = rf"{ASSIGNED}({_QUOTE})(?=((?:(?!\1)(?:\\.|[^\\\n]))++)\1)"
+#: A value up to white space, a quote or tag that ends it, or a separator and the next name.
+PLAIN = rf"{ASSIGNED}(?:{_QUOTE})?(?=((?:(?!{_QUOTE}(?:[\s,;:)\]}}>&]|\z)|\\++[\"'`]|</?[A-Za-z]|[;,&][A-Za-z0-9_.%-]*+[=:]|(?:(?<![a-z0-9]){_NAMES}[a-z0-9_-]*+[=:]))\S)++))"
+#: Marks in the working copy of a text: before a found value, and behind it.
+_OPEN, _SHUT = "\x01", "\x02"
+#: Characters before and behind a candidate that features look at.
+CONTEXT = 200
+#: A secret of so many characters is redacted at its other places in the text, too.
+REPEATED = 8
 
 # Words and pairs of letters that keys seldom have (fixed values).
 COMMON_WORDS = (
@@ -49,6 +60,7 @@ FEATURES = [
     "length",
     "digits",
     "upper",
+    "symbols",
     "distinct",
     "transitions",
     "pairs",
@@ -58,33 +70,63 @@ FEATURES = [
     "number",
     "grouped",
     "path",
+    "code",
+    "parts",
+    "spaced",
     "assigned",
+    "quoted",
     "named",
+    "password",
     "reference",
     "placeholder",
 ]
 
 
-def value_of(word: Column) -> Column:
-    """The longest part of a word between quotes, brackets and assignment signs."""
-    parts = F.split(word, r"[^A-Za-z0-9_+/.~-]+")
-    return F.array_max(F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), F.rtrim(p, F.lit(".")).alias("value"))))["value"]
+def _places(text: Column, pattern: str, group: int) -> Column:
+    """Start (from 0), word number (from 1) and value of every match's ``group``, which looks ahead from the match's end."""
+    rest_of = lambda p: F.substring_index(p, _SHUT, -1)
+
+    def step(acc: Column, p: Column) -> Column:
+        place = F.struct(acc["start"].alias("start"), acc["word_no"].alias("word_no"), F.substring_index(p, _SHUT, 1).alias("value"))
+        return F.struct(
+            (acc["start"] + F.char_length(rest_of(p))).alias("start"),
+            (acc["word_no"] + F.regexp_count(rest_of(p), F.lit(WORDS))).alias("word_no"),
+            F.when(F.contains(p, F.lit(_SHUT)), F.concat(acc["found"], F.array(place))).otherwise(acc["found"]).alias("found"),
+        )
+
+    marked = F.regexp_replace(text, F.lit(pattern), F.lit(f"$0{_OPEN}${group}{_SHUT}"))
+    none = F.lit([]).cast("array<struct<start:int,word_no:int,value:string>>")
+    zero = F.struct(F.lit(0).alias("start"), F.lit(1).alias("word_no"), none.alias("found"))
+    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(F.split(marked, _OPEN), zero, step)["found"]).otherwise(none)
+
+
+def values_of(text: Column) -> Column:
+    """Every candidate of a text as ``start`` (from 0), ``word_no`` (from 1) and ``value``; equal ones once."""
+    # one character each, so that places stay
+    clean = F.when(F.rlike(text, F.lit(f"[{_OPEN}{_SHUT}]")), F.translate(text, _OPEN + _SHUT, "\x03\x03")).otherwise(text)
+    # unquoted, the punctuation behind a value is not part of it
+    plain = F.transform(_places(clean, PLAIN, 1), lambda x: x.withField("value", F.rtrim(x["value"], F.lit(".,;:)]}>"))))
+    found = F.concat(_places(clean, LONG_RUN, 1), _places(clean, QUOTED, 2), plain)
+    return F.array_distinct(F.filter(found, lambda x: F.length(F.trim(x["value"])) > 0))
 
 
 def _share(value: Column, kind: str) -> Column:
     return F.regexp_count(value, F.lit(kind)) / F.greatest(F.length(value), F.lit(1))
 
 
-def features(value: Column, word: Column, before: Column, before_that: Column) -> dict[str, Column]:
-    """The forest's view of a candidate ``value`` in ``word`` and of the two words before it; nulls are empty."""
+def features(value: Column, left: Column, right: Column) -> dict[str, Column]:
+    """The forest's view of a candidate ``value`` and of the text before and behind it."""
     size = F.greatest(F.length(value), F.lit(1))
     lower = F.lower(value)
-    context = F.lower(F.concat_ws(" ", before_that, before, F.split_part(word, value, F.lit(1))))
+    before = F.slice(F.reverse(F.split(left, WORDS)), 1, 3)
+    context = F.lower(F.concat_ws(" ", F.reverse(before)))
+    word = F.concat(F.get(before, F.lit(0)), value, F.get(F.split(right, WORDS, 2), F.lit(0)))
     yes = F.lit(1.0)
     return {
         "length": F.length(value).cast("double"),
         "digits": _share(value, "[0-9]"),
         "upper": _share(value, "[A-Z]"),
+        "symbols": _share(value, r"[^A-Za-z0-9\s]"),
         "distinct": F.size(F.array_distinct(F.split(value, ""))) / size,
         "transitions": F.regexp_count(value, F.lit("[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+")) / size,
         "pairs": F.regexp_count(lower, F.lit(f"(?={'|'.join(COMMON_PAIRS)})")) / size,
@@ -94,8 +136,13 @@ def features(value: Column, word: Column, before: Column, before_that: Column) -
         "number": F.when(F.rlike(value, F.lit("^[0-9+/.-]+$")), yes).otherwise(0.0),
         "grouped": F.when(F.rlike(lower, F.lit("^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$")), yes).otherwise(0.0),
         "path": F.regexp_count(word, F.lit("://|/[A-Za-z._-]|[\\\\]")).cast("double"),
-        "assigned": F.when(F.rlike(F.concat_ws(" ", before, F.split_part(word, value, F.lit(1))), F.lit("[:=]")), yes).otherwise(0.0),
+        "code": F.regexp_count(value, F.lit(r"[(){}\[\]<>$%]|::")) / size,
+        "parts": F.regexp_count(value, F.lit("[A-Za-z]{3,}")).cast("double"),
+        "spaced": _share(value, r"\s"),
+        "assigned": F.when(F.rlike(left, F.lit(rf"[:=]>?{_SPACE}(?:{_QUOTE})?$")), yes).otherwise(0.0),
+        "quoted": F.when(F.rlike(left, F.lit("[\"'`]$")) & F.rlike(right, F.lit(rf"^{_QUOTE}")), yes).otherwise(0.0),
         "named": F.when(F.rlike(context, F.lit(_NAMES)), yes).otherwise(0.0),
+        "password": F.when(F.rlike(context, F.lit(r"(?:pass(?:word|wd)|pwd|secret|credential)[a-z0-9_-]*+[^a-z0-9]*+$")), yes).otherwise(0.0),
         "reference": F.when(F.rlike(context, F.lit(_CONTEXT)), yes).otherwise(0.0),
         "placeholder": F.when(F.rlike(lower, F.lit(_PLACEHOLDER)), yes).otherwise(0.0),
     }
@@ -125,6 +172,16 @@ def labelled_by_rule(spark: SparkSession, rows: int = LABELLED_ROWS) -> DataFram
     sign = one_of(["=", ":"], "s")
     tail = one_of(["", "", "", ".", ",", "###", "!!", "&&&"], "t")
     number = F.conv(hexes(14, "d"), 16, 10)
+
+    def spoken(n: int, salt: str) -> Column:
+        letters = [one_of(list("bcdfghklmnprstvw" if i % 2 == 0 else "aeiou"), f"{salt}{i}") for i in range(n)]
+        return F.concat(*letters)
+
+    any_word = F.when(drawn("a", 2) == 0, common).otherwise(spoken(6, "y"))
+    short = F.concat(any_word, F.substring(number, F.lit(1), (drawn("sd", 3) + 1).cast("int")))
+    hard = F.concat(F.initcap(any_word), one_of(list("@#$&!%_"), "q"), F.substring(number, 2, 2), spoken(3, "z"), one_of(["!", "?", "!Q", "*", "$9"], "w"))
+    pass_name = one_of(["password", "db_password", "passwd", "pwd", "DB_PASSWORD", "secret", "client_secret", "user_pwd"], "pn")
+    json_name = F.concat(F.lit('{"id":"'), common, F.lit('","'), name, F.lit('":"'))
     empty = F.lit("")
 
     def quoted(x: Column) -> Column:
@@ -139,6 +196,13 @@ def labelled_by_rule(spark: SparkSession, rows: int = LABELLED_ROWS) -> DataFram
         (other, empty, F.concat(F.lit("ghp_"), mixed(36), tail)),
         (F.lit("Authorization:"), F.lit("Bearer"), F.concat(mixed(40), tail)),
         (F.upper(name), sign, quoted(F.upper(hexes(40)))),
+        (empty, empty, F.concat(pass_name, sign, short)),
+        (common, other, F.concat(pass_name, sign, short, tail)),
+        (common, other, F.concat(pass_name, sign, hard)),
+        (common, other, F.concat(pass_name, sign, quoted(hard))),
+        (common, other, F.concat(F.lit('{"'), pass_name, F.lit('":"'), short, F.lit('"}'))),
+        (common, other, F.concat(json_name, F.substring(mixed(32), 1, 32), F.lit('"}'))),
+        (common, other, F.concat(name, sign, F.substring(mixed(32), 1, 8))),
     ]
     others = [
         (common, one_of(["commit", "sha1", "revision", "digest"], "r"), F.concat(hexes(40), tail)),
@@ -149,6 +213,12 @@ def labelled_by_rule(spark: SparkSession, rows: int = LABELLED_ROWS) -> DataFram
         (common, other, F.concat(F.lit("https://www."), common, F.lit(".example.com/"), other, F.lit("/"), number)),
         (name, sign, quoted(F.concat(one_of(["your_", "example-", "xxxxxxxx", "test_", "CHANGEME_"], "x"), name, F.lit("_here_1234")))),
         (common, other, F.concat_ws("_", common, other, third, drawn("v", 100).cast("string"))),
+        (common, other, F.concat(F.lit("max_tokens"), sign, F.substring(number, 1, 4))),
+        (common, other, F.concat(one_of(["author", "tokenizer", "authority", "token_type"], "au"), sign, any_word, F.substring(number, 1, 1))),
+        (common, other, F.concat(name, sign, quoted(F.concat(one_of(["${", "<", "$(", "{{"], "br"), F.upper(name), F.lit("2"), one_of(["}", ">", ")", "}}"], "br"))))),
+        (common, other, F.concat(name, sign, F.lit("$"), F.upper(name), F.lit("_1"))),
+        (common, other, F.concat(name, sign, common, one_of(["[0]", "(1)", ".get(0)", "[1]"], "cd"))),
+        (common, other, F.concat(name, sign, one_of(["test", "example", "dummy", "changeme"], "pl"), F.lit("1234"))),
     ]
     kinds = [(*x, 1.0) for x in secrets] + [(*x, 0.0) for x in others]
     kind = F.pmod("id", F.lit(len(kinds)))
@@ -157,69 +227,99 @@ def labelled_by_rule(spark: SparkSession, rows: int = LABELLED_ROWS) -> DataFram
 
 
 def _with_features(found: DataFrame) -> DataFrame:
-    found = found.withColumn("value", value_of(F.col("word")))
-    named = features(F.col("value"), F.col("word"), F.col("before"), F.col("before_that"))
+    named = features(F.col("value"), F.col("left"), F.col("right"))
     return found.withColumn("features", array_to_vector(F.array(*(named[f].cast("double") for f in FEATURES))))
 
 
+def _with_context(found: DataFrame, *rest: str) -> DataFrame:
+    """``rest, word_no, start, value, left, right`` of the candidates ``at`` of ``text``."""
+    start, value = F.col("at.start"), F.col("at.value")
+    first = F.greatest(start - CONTEXT, F.lit(0))
+    return found.select(
+        *rest,
+        F.col("at.word_no").alias("word_no"),
+        start.alias("start"),
+        value.alias("value"),
+        F.substring("text", first + 1, start - first).alias("left"),
+        F.substring("text", start + F.char_length(value) + 1, F.lit(CONTEXT)).alias("right"),
+    )
+
+
+def _labelled_candidates(labelled: DataFrame) -> DataFrame:
+    """The candidates in the words of labelled findings; a word without one is its own."""
+    head = F.concat(F.coalesce("before_that", F.lit("")), F.lit(" "), F.coalesce("before", F.lit("")), F.lit(" "))
+    texts = labelled.select("label", F.char_length(head).alias("n"), "word", F.concat(head, "word").alias("text")).filter("word IS NOT NULL")
+    own = F.filter(values_of(F.col("text")), lambda x: x["start"] >= F.col("n"))
+    texts = texts.select("*", F.explode(F.array(own)).alias("found"))
+    whole = F.array(F.struct(F.col("n").alias("start"), F.lit(3).alias("word_no"), F.col("word").alias("value")))
+    return _with_context(texts.select("label", "text", F.explode(F.when(F.size("found") > 0, F.col("found")).otherwise(whole)).alias("at")), "label")
+
+
 def fit_forest(labelled: DataFrame) -> RandomForestClassificationModel:
     """A forest from ``labelled`` (``before_that, before, word, label``); it is learned on all rows handed in."""
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=7)
-    return forest.fit(materialize(_with_features(labelled).select("features", "label"), "labelled-findings"))
+    return forest.fit(materialize(_with_features(_labelled_candidates(labelled)).select("features", "label"), "labelled-findings"))
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` but ``text``, and ``word_no, before_that, before, word`` of every candidate."""
-    rest = [c for c in docs.columns if c not in ("text", "word_no", "before_that", "before", "word")]
-    # most texts have no candidate at all and are not cut into words
-    some = docs.filter(F.rlike("text", F.lit(LONG_RUN)) | F.rlike("text", F.lit(ASSIGNED)) | F.rlike("text", F.lit(SPACED)))
-    # one array in, one array out: explode keeps the optimizer from cutting the text again at every look at a word
-    cut = some.select(*rest, F.explode(F.array(F.split("text", WORDS))).alias("words"))
-
-    def proposed(word: Column, i: Column) -> Column:
-        before, before_that = F.get("words", i - 1), F.get("words", i - 2)
-        spaced = F.when(before.isin("=", ":"), F.rlike(before_that, F.lit(NAME_WORD))).otherwise(F.rlike(before, F.lit(rf"(?i){_NAMES}[a-z0-9_-]*[\"']?(?::|=)$")))
-        return (F.length(word) >= 8) & (
-            F.rlike(word, F.lit(LONG_RUN)) | F.rlike(word, F.lit(ASSIGNED)) | (F.coalesce(spaced, F.lit(False)) & F.rlike(word, F.lit("[0-9]")))
-        )
+_ADDED = ("word_no", "start", "value", "left", "right", "at", "features", "score", "is_secret", "probability", "rawPrediction", "prediction")
 
-    at = F.filter(F.transform("words", lambda w, i: F.when(proposed(w, i), i)), lambda i: i.isNotNull())
-    found = cut.withColumn("at", at).select(*rest, "words", F.explode("at").alias("i"))
-    return found.select(
-        *rest,
-        (F.col("i") + 1).alias("word_no"),
-        F.coalesce(F.get("words", F.col("i") - 2), F.lit("")).alias("before_that"),
-        F.coalesce(F.get("words", F.col("i") - 1), F.lit("")).alias("before"),
-        F.get("words", "i").alias("word"),
-    )
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` but ``text``, and ``word_no, start, value, left, right`` of every candidate."""
+    rest = [c for c in docs.columns if c != "text" and c not in _ADDED]
+    # most texts have no candidate at all and are not looked at again
+    some = docs.filter(F.rlike("text", F.lit(LONG_RUN)) | F.rlike("text", F.lit(PLAIN)) | F.rlike("text", F.lit(QUOTED)))
+    found = _with_context(some.select(*rest, "text", F.explode(values_of(F.col("text"))).alias("at")), *rest)
+    # over several words, a value is told from prose by its length and a digit
+    return found.filter(~F.rlike("left", F.lit(r"\s[\"'`]?$")) | (F.length("value") >= 8) & F.rlike("value", F.lit("[0-9]")))
 
 
 def scan(docs: DataFrame, forest: RandomForestClassificationModel, threshold: float = 0.5) -> DataFrame:
-    """Every candidate of ``docs`` (``text`` and more): ``word_no`` (from 1), ``value``, ``score`` (0 to 1), ``is_secret``.
+    """Every candidate of ``docs`` (``text`` and more): ``word_no`` (from 1), ``start`` (in characters, from 0), ``value``, ``score`` (0 to 1), ``is_secret``.
 
     The other columns of ``docs`` are carried along, except those of these names.
     Null and empty texts have none; a value that repeats in a text is found each
-    time; an empty table gives no rows.
+    time, and candidates may overlap; an empty table gives no rows.
     """
-    rest = [c for c in docs.columns if c not in ("text", "word_no", "before_that", "before", "word", "value", "features", "score", "is_secret", "probability", "rawPrediction", "prediction")]
+    rest = [c for c in docs.columns if c != "text" and c not in _ADDED]
     found = _with_features(materialize(candidates(docs.select(*rest, "text")), "secret-candidates"))
     scored = forest.transform(found).withColumn("score", vector_to_array("probability")[1])
-    return scored.select(*rest, "word_no", "value", "score", (F.col("score") >= threshold).alias("is_secret"))
+    return scored.select(*rest, "word_no", "start", "value", "score", (F.col("score") >= threshold).alias("is_secret"))
+
+
+def _without(text: Column, secrets: Column) -> Column:
+    """``text`` with ``[SECRET]`` for each stretch that ``secrets`` (``start, value``) cover, and for long values at their other places."""
+    here = F.filter(secrets, lambda x: F.substring(text, x["start"] + 1, F.char_length(x["value"])) == x["value"])
+
+    def step(acc: Column, x: Column) -> Column:
+        new = (x["start"] >= acc["end"]) | (acc["end"] == 0)
+        parts = F.array(F.substring(text, acc["end"] + 1, x["start"] - acc["end"]), F.lit(REDACTED))
+        return F.struct(
+            F.greatest(acc["end"], x["start"] + F.char_length(x["value"])).alias("end"),
+            F.when(new, F.concat(acc["parts"], parts)).otherwise(acc["parts"]).alias("parts"),
+        )
+
+    zero = F.struct(F.lit(0).alias("end"), F.lit([]).cast("array<string>").alias("parts"))
+    by_place = F.aggregate(
+        F.array_sort(here), zero, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["end"] + 1, F.char_length(text)))
+    )
+    long = F.filter(F.array_distinct(F.transform(here, lambda x: x["value"])), lambda v: F.char_length(v) >= REPEATED)
+    # longer values first, so that a value inside another does not split it
+    ordered = F.array_sort(long, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
+    return F.aggregate(ordered, by_place, lambda t, v: F.replace(t, v, F.lit(REDACTED)))
 
 
 def redact(docs: DataFrame, forest: RandomForestClassificationModel) -> DataFrame:
     """``docs`` with every secret replaced by ``[SECRET]``, and ``n_chars``, where there is one, counted again.
 
     No row goes. Secrets go back to their texts by the text's hash; a foreign
-    value in case of a collision does not occur in the text and changes nothing.
+    one in case of a collision does not stand at its place and changes nothing.
     """
     keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
     found = scan(keyed.select("_text_hash", "text").filter("text IS NOT NULL"), forest).filter("is_secret")
-    values = materialize(found.groupBy("_text_hash").agg(F.collect_set("value").alias("_values")), "secrets")
-    # longer values first, so that a value inside another does not split it
-    ordered = F.array_sort("_values", lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
-    text = F.when(F.col("_values").isNull(), F.col("text")).otherwise(F.aggregate(ordered, F.col("text"), lambda t, v: F.replace(t, v, F.lit(REDACTED))))
-    joined = keyed.join(values, "_text_hash", "left").withColumn("text", text)
+    secrets = materialize(found.groupBy("_text_hash").agg(F.collect_set(F.struct("start", "value")).alias("_secrets")), "secrets")
+    joined = keyed.join(secrets, "_text_hash", "left")
+    joined = joined.withColumn("text", F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("_secrets"))))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("_values").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
+        joined = joined.withColumn("n_chars", F.when(F.col("_secrets").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
     return joined.select(*docs.columns)
