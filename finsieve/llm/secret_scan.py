@@ -29,7 +29,7 @@ WORDS = r"[\x20\x09-\x0D]+"
 # Loops over groups are possessive: Java runs those without recursion, however long the text.
 _SPACE, _QUOTE = r"[\x20\x09-\x0D]*+", r"\\*+[\"'`]"
 #: A name and a sign, with what may stand between them and the value.
-ASSIGNED = rf"(?i){_NAMES}[a-z0-9_-]*+(?:{_QUOTE})?[\])]?{_SPACE}(?:=>|:=|={{1,3}}|:){_SPACE}"
+ASSIGNED = rf"(?i){_NAMES}[a-z0-9_-]*+(?:{_QUOTE})?[\])]?{_SPACE}(?:=>|:=|={{1,3}}|:){_SPACE}(?:bearer\x20++)?"
 #: A run of key characters with a digit.
 LONG_RUN = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])(?=([A-Za-z0-9_+/-]{16,}+))"
 #: A value between quotes, on one line.
@@ -181,6 +181,10 @@ def labelled_by_rule(spark: SparkSession, rows: int = LABELLED_ROWS) -> DataFram
     short = F.concat(any_word, F.substring(number, F.lit(1), (drawn("sd", 3) + 1).cast("int")))
     hard = F.concat(F.initcap(any_word), one_of(list("@#$&!%_"), "q"), F.substring(number, 2, 2), spoken(3, "z"), one_of(["!", "?", "!Q", "*", "$9"], "w"))
     pass_name = one_of(["password", "db_password", "passwd", "pwd", "DB_PASSWORD", "secret", "client_secret", "user_pwd"], "pn")
+    letters = F.translate(mixed(64, "l"), "0123456789", "qWzKxJvYhG")
+    link = one_of(["-", "_", ".", "-", "-"], "lk")
+    phrase = F.concat(spoken(7, "p"), link, any_word, link, spoken(5, "r"))
+    symbolic = F.concat(F.substring(letters, 1, 3), one_of(list("@#$&!%-"), "q"), F.substring(letters, 5, 4), one_of(list("!?*#^~"), "w"), F.substring(letters, 12, 3))
     json_name = F.concat(F.lit('{"id":"'), common, F.lit('","'), name, F.lit('":"'))
     empty = F.lit("")
 
@@ -203,6 +207,14 @@ def labelled_by_rule(spark: SparkSession, rows: int = LABELLED_ROWS) -> DataFram
         (common, other, F.concat(F.lit('{"'), pass_name, F.lit('":"'), short, F.lit('"}'))),
         (common, other, F.concat(json_name, F.substring(mixed(32), 1, 32), F.lit('"}'))),
         (common, other, F.concat(name, sign, F.substring(mixed(32), 1, 8))),
+        # without a digit, and over several words
+        (name, one_of(["=", ":", ":=", "=>"], "s2"), quoted(F.substring(letters, F.lit(1), (drawn("ll", 24) + 9).cast("int")))),
+        (common, F.concat(pass_name, F.lit(":")), F.concat(phrase, tail)),
+        (common, other, F.concat(pass_name, sign, F.substring(letters, F.lit(1), (drawn("ll", 24) + 9).cast("int")))),
+        (common, other, F.concat(pass_name, sign, symbolic)),
+        (pass_name, one_of(["=", ":", ":=", "=>"], "s2"), F.concat(symbolic, tail)),
+        (pass_name, one_of(["=", ":", ":=", "=>"], "s2"), quoted(phrase)),
+        (pass_name, one_of(["=", ":", ":=", "=>"], "s2"), short),
     ]
     others = [
         (common, one_of(["commit", "sha1", "revision", "digest"], "r"), F.concat(hexes(40), tail)),
@@ -219,6 +231,14 @@ def labelled_by_rule(spark: SparkSession, rows: int = LABELLED_ROWS) -> DataFram
         (common, other, F.concat(name, sign, F.lit("$"), F.upper(name), F.lit("_1"))),
         (common, other, F.concat(name, sign, common, one_of(["[0]", "(1)", ".get(0)", "[1]"], "cd"))),
         (common, other, F.concat(name, sign, one_of(["test", "example", "dummy", "changeme"], "pl"), F.lit("1234"))),
+        # prose, code and settings without a digit
+        (common, F.concat(one_of(["password", "token", "secret", "auth", "credentials", "author", "tokens"], "pr"), F.lit(":")), any_word),
+        (common, F.concat(one_of(["password", "token", "secret", "author", "secrets"], "pr"), F.lit(":")), F.concat(F.initcap(any_word), one_of(["", ".", ",", "?"], "en"))),
+        (name, one_of(["=", ":", ":=", "=>"], "s2"), one_of(["None", "null", "true", "false", "string", "String", "str", "required", "undefined", "NULL", "optional", "nil"], "no")),
+        (name, sign, F.concat(common, F.lit("."), other, one_of(["", "()", ".value", "[key]"], "co"))),
+        (name, sign, F.concat(one_of(["get_", "os.environ[", "read_", "self.", "config."], "ge"), common, one_of(["", "()", "]"], "co"))),
+        (name, sign, F.concat(one_of(["${", "<", "$(", "{{"], "br"), F.upper(name), one_of(["}", ">", ")", "}}"], "br"))),
+        (name, sign, quoted(F.concat(one_of(["your", "my", "the", "enter", "insert"], "yo"), one_of(["-", "_", " "], "lk2"), common, one_of(["-", "_", " "], "lk2"), one_of(["here", "password", "token", "secret"], "he")))),
     ]
     kinds = [(*x, 1.0) for x in secrets] + [(*x, 0.0) for x in others]
     kind = F.pmod("id", F.lit(len(kinds)))
@@ -269,9 +289,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     rest = [c for c in docs.columns if c != "text" and c not in _ADDED]
     # most texts have no candidate at all and are not looked at again
     some = docs.filter(F.rlike("text", F.lit(LONG_RUN)) | F.rlike("text", F.lit(PLAIN)) | F.rlike("text", F.lit(QUOTED)))
-    found = _with_context(some.select(*rest, "text", F.explode(values_of(F.col("text"))).alias("at")), *rest)
-    # over several words, a value is told from prose by its length and a digit
-    return found.filter(~F.rlike("left", F.lit(r"\s[\"'`]?$")) | (F.length("value") >= 8) & F.rlike("value", F.lit("[0-9]")))
+    return _with_context(some.select(*rest, "text", F.explode(values_of(F.col("text"))).alias("at")), *rest)
 
 
 def scan(docs: DataFrame, forest: RandomForestClassificationModel, threshold: float = 0.5) -> DataFrame:

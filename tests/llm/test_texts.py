@@ -147,6 +147,23 @@ def test_every_secret_of_a_word(spark):
         assert texts[i] == redacted
 
 
+def test_secrets_without_digit(spark):
+    forest = secret_scan.fit_forest(secret_scan.labelled_by_rule(spark))
+    secrets = {
+        'client_secret = "AbCdEfGhIjKlMnOpQrStUvWx"': "AbCdEfGhIjKlMnOpQrStUvWx",
+        "password: correct-horse-battery": "correct-horse-battery",
+        "set password := hunter2": "hunter2",
+        "the secret => zq-Lmn!pwXy and": "zq-Lmn!pwXy",
+        "Authorization: Bearer abcDEFghiJKLmnoPQRstu": "abcDEFghiJKLmnoPQRstu",
+    }
+    others = ["password = None", "the token: string", "a secret: nobody knows", "token = get_token()", 'password="${DB_PASSWORD}"', "author: John"]
+    docs = spark.createDataFrame(list(enumerate([*secrets, *others])), "doc_id long, text string")
+    texts = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs, forest).collect()}
+    assert [texts[i] for i in range(len(texts))] == [t.replace(v, "[SECRET]") for t, v in secrets.items()] + others
+    proposed = {r["value"] for r in secret_scan.scan(docs, forest).collect()}
+    assert {"None", "string", "nobody", "John"} <= proposed
+
+
 def _formatted(turns):
     """The template by hand."""
 
