@@ -1,7 +1,7 @@
 """Main text of web pages, with site templates removed.
 
 A page is parsed into a tree that tolerates unclosed and crossing tags. Its main
-part is the largest article, else the main element, else the body; menus,
+part is its articles but teasers, else the main element, else the body; menus,
 headers, footers, sidebars, notices, adverts, forms and comments go by tag, role
 or class. What is left of a site's template is found by counting: the subtrees of
 the main part are hashed, and Spark counts for every host on how many different
@@ -50,6 +50,12 @@ DROPPED_WORDS = frozenset(
     " subscribe toolbar widget widgets".split()
 )
 
+#: Words that make a whole class name together with words of the above ("related-posts"), and those of teasers.
+COMPOUND_WORDS = frozenset("area articles bar block box button buttons container form item items link links list posts site slot stories unit wrapper".split())
+TEASER_WORDS = frozenset("excerpt preview promo promoted recommended related sponsored teaser".split())
+#: Elements of running text; their ids name places in it.
+TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.DOTALL
 )
@@ -120,7 +126,16 @@ def _close(stack: list[Element], tags: frozenset, barrier: frozenset) -> None:
             return
 
 
-def _unwanted(e: Element, in_article: bool) -> bool:
+def _marked(names: str, words: frozenset) -> bool:
+    """Whether one of the names is a word of ``words``, alone or in a compound of such words."""
+    for name in names.lower().split():
+        parts = set(_WORD.findall(name))
+        if not parts.isdisjoint(words) and parts <= words | COMPOUND_WORDS:
+            return True
+    return False
+
+
+def _unwanted(e: Element, in_article: bool, in_main: bool) -> bool:
     if e.tag in DROPPED_TAGS:
         return True
     if e.tag == "header":
@@ -135,29 +150,60 @@ def _unwanted(e: Element, in_article: bool) -> bool:
         return True
     if values.get("role", "").lower() in DROPPED_ROLES:
         return True
-    words = set(_WORD.findall(f"{values.get('class', '')} {values.get('id', '')}".lower()))
+    names = values.get("class", "")
+    if not (e.tag in TEXT_TAGS or in_main and e.tag == "section"):
+        names = f"{names} {values.get('id', '')}"
+    words = set(_WORD.findall(names.lower()))
     if e.tag == "article":
         return bool(words & {"comment", "comments", "reply"})
+    if in_main or e.tag in TEXT_TAGS:
+        return _marked(names, DROPPED_WORDS) or (not in_article and _marked(names, frozenset(("header",))))
     return not words.isdisjoint(DROPPED_WORDS) or (not in_article and "header" in words)
 
 
+def _teaser(e: Element) -> bool:
+    """Whether an article only leads to another page: by its class, or as half of its text or more is links."""
+    if _marked(e.attribute_values().get("class", ""), TEASER_WORDS):
+        return True
+    n = linked = 0
+    todo: list[tuple[Element | str, bool]] = [(e, False)]
+    while todo:
+        x, link = todo.pop()
+        if isinstance(x, str):
+            size = len("".join(x.split()))
+            n, linked = n + size, linked + size * link
+        elif not x.dropped:
+            todo += [(c, link or x.tag == "a") for c in x.children]
+    return 2 * linked >= n
+
+
 def main_part(root: Element) -> tuple[Element, bool]:
     """The element that holds the main text, its unwanted parts marked as dropped; whether it is an article."""
     articles, mains = [], []
-    todo: list[tuple[Element, bool]] = [(root, False)]
+    todo: list[tuple[Element, bool, bool]] = [(root, False, False)]
     while todo:
-        e, inside = todo.pop()
-        e.dropped = _unwanted(e, inside)
+        e, inside, in_main = todo.pop()
+        e.dropped = _unwanted(e, inside, in_main)
         if e.dropped:
             continue
         if e.tag == "article" and not inside:
-            articles.append(e)
+            articles.append((e, in_main))
         elif e.tag == "main" or "main" in e.attributes and e.attribute_values().get("role") == "main":
             mains.append(e)
+            in_main = True
         inside = inside or e.tag == "article"
-        todo += [(c, inside) for c in reversed(e.children) if isinstance(c, Element)]
-    if articles:
-        return max(articles, key=lambda e: sum(map(len, blocks(e, frozenset())))), True
+        todo += [(c, inside, in_main or inside) for c in reversed(e.children) if isinstance(c, Element)]
+    # articles beside the main element are not of the main part
+    found = [e for e, in_main in articles if in_main] or [e for e, _ in articles]
+    if len(found) > 1:
+        full = [e for e in found if not _teaser(e)]
+        found = full or [max(found, key=lambda e: sum(map(len, blocks(e, frozenset()))))]
+    if len(found) > 1:
+        part = Element("article", "")
+        part.children += found
+        return part, True
+    if found:
+        return found[0], True
     if mains:
         return mains[0], True
     return root, False

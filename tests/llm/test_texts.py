@@ -217,6 +217,21 @@ def test_page_rules():
     assert html_extract.extract("<body><form>f</form><main><p>m</p></main>z") == "m"
 
 
+def test_article_text_of_common_names_stays():
+    page = (
+        '<article><h2 id="related-work">Related</h2><h2 id="search">Search</h2><section id="social-impact">Impact</section>'
+        '<p class="notice-period">Notice</p><div class="login-tutorial">Login</div><div class="related-posts">gone</div><div class="ad">buy</div></article>'
+    )
+    assert html_extract.extract(page) == "Related\nSearch\nImpact\nNotice\nLogin"
+    assert html_extract.extract('<body><main><h2 id="search">S</h2><p>m</p></main>') == "S\nm"
+
+
+def test_all_articles_of_a_page_stay():
+    teaser = '<article class="teaser"><p>lead</p></article><article><h2><a href="/x">Another page</a></h2></article>'
+    page = f"<body><main><article><p>first one</p></article><article><p>second</p></article>{teaser}<article class=comment>c</article></main><article>beside</article>"
+    assert html_extract.extract(page) == "first one\nsecond"
+
+
 def test_templates_go(spark):
     rows = [(i, f"http://h.example/{i}", f"<body><div>Welcome to h</div><div><p>text number {i}</p><p>Same line</p></div></body>") for i in range(12)]
     rows += [(100 + i, "http://k.example/", "<body><div>copied page</div></body>") for i in range(30)]
