@@ -175,9 +175,10 @@ def pool_budgets(
 def hard_negatives(negatives: DataFrame, n: int, score: str = "score") -> DataFrame:
     """Exactly the ``n`` highest-scoring rows; equal scores go by row number.
 
-    Scores are compared in single precision, which bounds the values in a bucket.
-    The score at the cut is found on grouped scores. Rows above it pass a filter;
-    rows exactly at it, however many, are cut by row number in chunks.
+    The score at the cut is found on grouped scores in single precision, which bounds
+    the values in a bucket; among doubles that are equal there, the cut is found again
+    by the exact score. Rows above it pass a filter; rows exactly at it, however many,
+    are cut by row number in chunks.
     """
     if n <= 0:
         return negatives.filter(F.lit(False))
@@ -203,8 +204,20 @@ def hard_negatives(negatives: DataFrame, n: int, score: str = "score") -> DataFr
     )
     at = F.lit(cut[score]).cast(dict(negatives.dtypes)[score])
     need = n - (cut["_cum"] - cut["n"])
-    ties = take_first(negatives.filter(F.col(score) == at), need, row_chunk("row_idx"), [F.col("row_idx")])
-    chosen = negatives.filter(F.col(score) > at).unionByName(ties)
+    same, above = negatives.filter(F.col(score) == at), negatives.filter(F.col(score) > at)
+    if dict(exact.dtypes)[score] == "double" and cut["n"] > need:
+        # some thousands of buckets between one single-precision value and the next
+        step = max(abs(cut[score]), 2.0**-126) * 2.0**-35
+        same = same.withColumn("_b", F.floor((F.col("_exact") - F.lit(cut[score])) / F.lit(step)))
+        for key in ("_b", "_exact"):
+            run = Window.orderBy(F.col(key).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            counts = same.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+            cut = counts.withColumn("_cum", F.sum("n").over(run)).filter(F.col("_cum") >= need).orderBy(F.col(key).desc()).limit(1).first()
+            above = above.unionByName(same.filter(F.col(key) > F.lit(cut[key])), allowMissingColumns=True)
+            same, need = same.filter(F.col(key) == F.lit(cut[key])), need - (cut["_cum"] - cut["n"])
+        above, same = above.drop("_b"), same.drop("_b")
+    ties = take_first(same, need, row_chunk("row_idx"), [F.col("row_idx")])
+    chosen = above.unionByName(ties)
     return chosen.withColumn(score, F.col("_exact")).select(*columns)
 
 

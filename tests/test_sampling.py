@@ -159,3 +159,11 @@ def test_manifest_and_shuffle(spark):
     m = S.sampling_manifest(rows, 0.05, (0.5, 0.25, 0.25), 42, c, baseline_run_id="r").first()
     assert m["n_pos"] == 20 and m["baseline_run_id"] == "r"
     assert S.shuffled(rows, 43).count() == rows.count()
+
+
+def test_hard_negatives_keep_double_precision(spark):
+    rows = [(i, 0.5 + (i % 50) * 1e-12) for i in range(200)]
+    frame = spark.createDataFrame(rows, "row_idx long, score double")
+    best = sorted(rows, key=lambda r: (-r[1], r[0]))
+    for n in (1, 6, 37, 200):
+        assert {tuple(r) for r in S.hard_negatives(frame, n).collect()} == set(best[:n])
