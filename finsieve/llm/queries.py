@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finsieve.llm import chat_format, exact_dedup, html_extract, jaccard_join, language_id, packing, secret_scan, topk, toxicity, transducer
+from finsieve.llm import chat_format, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, packing, secret_scan, topk, toxicity, transducer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -104,3 +104,8 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_sentencepiece")
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.encoding_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op13_line_dedup", line_dedup.LINES_SQL)
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(table(spark, sf_dir, "documents"))
