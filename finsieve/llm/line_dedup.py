@@ -177,7 +177,9 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     a zlib stream of one bit a line, 1 for kept, padded to whole bytes. An empty
     table gives no rows.
     """
-    placed = line_hashes(docs, min_chars).repartitionByRange("h", F.col("doc").desc(), "text_key", "pos")
+    # stored first: range partitioning reads its input once for the bounds and once to deal it out
+    hashes = materialize(line_hashes(docs, min_chars), "line-hashes")
+    placed = hashes.repartitionByRange("h", F.col("doc").desc(), "text_key", "pos")
     placed = placed.sortWithinPartitions("h", F.col("doc").desc(), "text_key", "pos")
     streamed = materialize(placed.mapInArrow(_stream(min_docs), _STREAMED), "line-decisions")
     # at most 2 * min_docs rows a partition
