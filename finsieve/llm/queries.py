@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finsieve.llm import chat_format, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, packing, secret_scan, topk, toxicity, transducer
+from finsieve.llm import chat_format, divergence, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, merkle, packing, secret_scan, topk, toxicity, transducer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -106,6 +106,16 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.encoding_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("op11_merkle_manifest", merkle.MANIFEST_SQL)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op12_source_audit", divergence.AUDIT_SQL)
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_audit(table(spark, sf_dir, "documents"))
+
+
 @query("op13_line_dedup", line_dedup.LINES_SQL)
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(table(spark, sf_dir, "documents"))
