@@ -14,15 +14,15 @@ both from a stream over the postings, summed per pair within each task.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from finsieve.llm.batches import slices
+from finsieve.llm.batches import flat_words, slices, texts_of
 from finsieve.session import materialize
 
 #: Documents of a language that a term must be in to be kept.
@@ -31,8 +31,8 @@ MIN_DOCS = 3
 TERM_RANKS = 200
 #: Probabilities are counted in such parts.
 SCALE = 1_000_000_000
-#: Postings that a task holds before it spills a run.
-POSTINGS = 400_000
+#: Postings that a task holds before it spills a run; those of each slice of texts count by themselves.
+POSTINGS = 2_000_000
 #: Pairs that a task holds, and table cells it computes at once.
 PAIRS = 1_000_000
 _CELLS = 500_000
@@ -41,57 +41,92 @@ _PARTS = 16
 _ROWS = 50_000
 
 #: Bytes of a text: A-Z lower-cased, other ASCII that is no letter turned into spaces.
-_LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
+_LETTERS = np.array([b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)], dtype=np.uint8)
 
 
-def terms_of(text: bytes) -> list[bytes]:
-    """Runs of letters and non-ASCII characters, A-Z lower-cased."""
-    return text.translate(_LETTERS).split()
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Runs of letters and non-ASCII characters, A-Z lower-cased, and for each the row it is from."""
+    _, offsets, data = texts.buffers()
+    if data is None or data.size == 0:
+        return pa.array([], pa.large_string()), np.zeros(0, dtype=np.int64)
+    letters = pa.py_buffer(_LETTERS[np.frombuffer(data, dtype=np.uint8)])
+    return flat_words(pa.Array.from_buffers(pa.large_string(), len(texts), [None, offsets, letters]))
+
+
+def _summed(codes: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct codes in order, and the sum of each of ``values`` over a code's rows."""
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+    return codes[starts], *[np.add.reduceat(v[order], starts) for v in values]
 
 
 _RUN = "lang string, term string, source string, n long, docs long"
 
 
-def _run(counts: dict, docs: dict) -> Iterator[pa.RecordBatch]:
-    """The postings of a block, sorted by (language, term, source)."""
-    rows = sorted((lang, term, source) for (lang, source), found in counts.items() for term in found)
-    for i in range(0, len(rows), _ROWS):
-        part = rows[i : i + _ROWS]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([r[0] for r in part], pa.binary()).cast(pa.string()),
-                pa.array([r[1] for r in part], pa.binary()).cast(pa.string()),
-                pa.array([r[2] for r in part], pa.binary()).cast(pa.string()),
-                pa.array([counts[lang, source][term] for lang, term, source in part], pa.int64()),
-                pa.array([docs[lang, source][term] for lang, term, source in part], pa.int64()),
-            ],
-            names=["lang", "term", "source", "n", "docs"],
-        )
+class _Postings:
+    """Postings of a block of documents: a count and a number of documents per (group, term)."""
+
+    def __init__(self):
+        self.groups: dict[tuple[str, str], int] = {}
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]] = []
+        self.held = 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        words, rows = words_of(texts_of(batch))
+        if not len(words):
+            return
+        names = zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True)
+        group = np.array([self.groups.setdefault(name, len(self.groups)) for name in names], dtype=np.int64)
+        coded = words.dictionary_encode()
+        size = len(coded.dictionary)
+        per_doc, n = np.unique(rows * size + coded.indices.to_numpy(), return_counts=True)
+        codes, n, docs = _summed(group[per_doc // size] * size + per_doc % size, n, np.ones_like(n))
+        self.parts.append((codes // size, codes % size, n, docs, coded.dictionary))
+        self.held += len(codes)
+
+    def run(self) -> Iterator[pa.RecordBatch]:
+        """One row per posting, sorted by (term, language, source)."""
+        if not self.parts:
+            return
+        group, _, n, docs = (np.concatenate([p[i] for p in self.parts]) for i in range(4))
+        vocabulary = pa.concat_arrays([p[4] for p in self.parts]).dictionary_encode()
+        ids, before = vocabulary.indices.to_numpy(), np.cumsum([0, *[len(p[4]) for p in self.parts]])
+        term = np.concatenate([ids[first + p[1]] for first, p in zip(before, self.parts)])
+        in_order = pc.array_sort_indices(vocabulary.dictionary).to_numpy()
+        term_rank, group_rank = np.empty_like(in_order), np.empty(len(self.groups), dtype=np.int64)
+        term_rank[in_order] = np.arange(len(in_order))
+        names = sorted(self.groups, key=lambda name: (name[0].encode(), name[1].encode()))
+        group_rank[[self.groups[name] for name in names]] = np.arange(len(names))
+        codes, n, docs = _summed(term_rank[term].astype(np.int64) * len(names) + group_rank[group], n, docs)
+        terms, langs, sources = vocabulary.dictionary, pa.array([x for x, _ in names], pa.string()), pa.array([x for _, x in names], pa.string())
+        for i in range(0, len(codes), _ROWS):
+            part = slice(i, i + _ROWS)
+            which = pa.array(codes[part] % len(names))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    langs.take(which),
+                    terms.take(pa.array(in_order[codes[part] // len(names)])).cast(pa.string()),
+                    sources.take(which),
+                    pa.array(n[part], pa.int64()),
+                    pa.array(docs[part], pa.int64()),
+                ],
+                names=["lang", "term", "source", "n", "docs"],
+            )
 
 
 def _index(limit: int):
     """Postings in memory until there are ``limit``, then a sorted run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[bytes, bytes], Counter] = {}
-        docs: dict[tuple[bytes, bytes], Counter] = {}
-        held = 0
+        block = _Postings()
         for batch in batches:
             for part in slices(batch, "text"):
-                columns = (part.column(c).cast(pa.large_binary()).to_pylist() for c in ("lang", "source", "text"))
-                for lang, source, text in zip(*columns, strict=True):
-                    words = terms_of(text)
-                    if not words:
-                        continue
-                    found = counts.setdefault((lang, source), Counter())
-                    held -= len(found)
-                    found.update(words)
-                    held += len(found)
-                    docs.setdefault((lang, source), Counter()).update(set(words))
-                    if held >= limit:
-                        yield from _run(counts, docs)
-                        counts, docs, held = {}, {}, 0
-        yield from _run(counts, docs)
+                block.add(part)
+                if block.held >= limit:
+                    yield from block.run()
+                    block = _Postings()
+        yield from block.run()
 
     return run
 
@@ -110,7 +145,7 @@ def _codes(table: pa.Table, names: list[str]) -> np.ndarray:
 
 
 def _whole_terms(batches: Iterator[pa.RecordBatch], fold=None) -> Iterator[pa.Table]:
-    """Tables that end where a term ends; ``fold`` shrinks the rows of a term that goes on."""
+    """Tables that end where a term ends, of rows with a term's rows together; ``fold`` shrinks the rows of a term that goes on."""
     rest: pa.Table | None = None
     for batch in batches:
         if not batch.num_rows:
@@ -160,7 +195,7 @@ def term_frequencies(docs: DataFrame, min_docs: int = MIN_DOCS, postings: int =
     ``docs`` has ``lang, source, text`` without nulls.
     """
     runs = docs.select("lang", "source", "text").mapInArrow(_index(postings), _RUN)
-    shards = runs.repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
+    shards = runs.repartition("lang", "term").sortWithinPartitions("term", "lang", "source")
     return shards.mapInArrow(_merge(min_docs), _KEPT)
 
 
@@ -278,7 +313,9 @@ def _one_sided(key: tuple, counts: pa.Table, groups: pa.Table) -> pa.Table:
 
 def _share(n: Column, total: Column, terms: Column) -> Column:
     exact = (n + 1).cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(10,0)")
-    return F.call_function("div", exact, (total + terms).cast("decimal(20,0)")) + 1
+    wide = F.call_function("div", exact, (total + terms).cast("decimal(20,0)"))
+    # a long holds the product up to here
+    return F.when(n < (1 << 63) // SCALE - 1, F.call_function("div", (n + 1) * F.lit(SCALE).cast("long"), total + terms)).otherwise(wide) + 1
 
 
 def source_audit(docs: DataFrame, min_docs: int = MIN_DOCS, term_ranks: int = TERM_RANKS, postings: int = POSTINGS) -> DataFrame:
@@ -318,7 +355,7 @@ def source_audit(docs: DataFrame, min_docs: int = MIN_DOCS, term_ranks: int = TE
     each = groups.select("lang", "g", "total", "terms", part_of.alias("own_part"))
     each = each.withColumn("part_no", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_PARTS - 1).cast("long"))))
     one_sided = counts.groupBy("lang", "part_no").cogroup(each.groupBy("lang", "part_no")).applyInArrow(_one_sided, _SUMS)
-    shared = known.select("lang", "term", "g", "n", "total", "terms").repartition("lang", "term").sortWithinPartitions("lang", "term")
+    shared = known.select("lang", "term", "g", "n", "total", "terms").repartition("lang", "term").sortWithinPartitions("term", "lang")
     sums = one_sided.unionByName(shared.mapInArrow(_shared_terms, _SUMS))
     wide = "decimal(38,0)"
     sums = sums.groupBy("a", "b").agg(F.sum(F.col("hi").cast(wide)).alias("hi"), F.sum(F.col("lo").cast(wide)).alias("lo"))
