@@ -42,20 +42,43 @@ def pr_curve(df: DataFrame, keys: list[str], score: str = "score", label: str =
     return curve_of_groups(score_groups(df, keys, score, label), keys, score).withColumns(curve_rates())
 
 
+#: Parts that the fraction of a number is counted in when it is summed exactly.
+FRACTIONS = 1 << 53
+
+
+def exact_sums(value: Column, name: str) -> list[Column]:
+    """Aggregates ``name_whole`` and ``name_parts`` of numbers of 0 or more; see :func:`exact_total`.
+
+    Whole numbers and fractions in units of 2^-53 are summed as integers, so the
+    result has the same bits in whatever order the rows come.
+    """
+    whole = F.floor(value)
+    parts = F.floor((value - whole) * F.lit(float(FRACTIONS)))
+    return [F.sum(whole.cast("decimal(18,0)")).alias(f"{name}_whole"), F.sum(parts.cast("decimal(16,0)")).alias(f"{name}_parts")]
+
+
+def exact_total(name: str) -> Column:
+    """The sum as a double, rounded once."""
+    whole, parts = F.col(f"{name}_whole"), F.col(f"{name}_parts")
+    unit = F.lit(FRACTIONS).cast("decimal(16,0)")
+    carried = whole + F.call_function("div", parts, unit)
+    return carried.cast("double") + (parts % unit).cast("double") / F.lit(float(FRACTIONS))
+
+
 def _curve_sums() -> list[Column]:
     neg = F.col("n") - F.col("p")
     return [
         F.sum("n").alias("n_rows"),
         F.sum("p").alias("n_pos"),
         # each group's positives at the precision reached with it
-        F.sum(F.col("p") * (F.col("cum_p") / F.col("cum_n"))).alias("_ap"),
+        *exact_sums(F.col("p") * (F.col("cum_p") / F.col("cum_n")), "_ap"),
         # pairs won by a positive, ties as half; doubled to stay whole
         F.sum((neg * (2 * F.col("cum_p") - F.col("p"))).cast("decimal(38,0)")).alias("_pairs2"),
     ]
 
 
 def _ap() -> Column:
-    return F.when(F.col("n_pos") > 0, F.col("_ap") / F.col("n_pos")).otherwise(F.lit(0.0))
+    return F.when(F.col("n_pos") > 0, exact_total("_ap") / F.col("n_pos")).otherwise(F.lit(0.0))
 
 
 def _auc() -> Column:

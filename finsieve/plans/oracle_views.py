@@ -6,6 +6,11 @@ Each view is written independently of the Spark code that builds the same table.
 from __future__ import annotations
 
 _DAY = 86_400_000_000
+_HIT = "(p * (CAST(cp AS DOUBLE) / cn))"
+_PARTS = f"sum(CAST(floor(({_HIT} - floor({_HIT})) * 9007199254740992) AS HUGEINT))"
+#: Average precision of a curve; whole numbers are summed, so that no order of rows shows in the last digit.
+AVERAGE_PRECISION = f"""CASE WHEN max(p_all) > 0 THEN (CAST(sum(CAST(floor({_HIT}) AS HUGEINT)) + {_PARTS} // 9007199254740992 AS DOUBLE)
+         + CAST({_PARTS} % 9007199254740992 AS DOUBLE) / 9007199254740992) / max(p_all) ELSE 0 END"""
 
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
 
@@ -224,7 +229,7 @@ WINDOW w AS (PARTITION BY run_no, split ORDER BY s DESC), a AS (PARTITION BY run
        CASE WHEN tp + fn > 0 THEN (CAST(tp AS DOUBLE) / (tp + fn) + CAST(tn AS DOUBLE) / (tn + fp)) / 2
             ELSE CAST(tn AS DOUBLE) / (tn + fp) END AS weighted_accuracy
 FROM (SELECT c.run_no, c.split, max({tau}) AS tau,
-        CASE WHEN max(p_all) > 0 THEN sum(p * (CAST(cp AS DOUBLE) / cn)) / max(p_all) ELSE 0 END AS pr_auc,
+        {AVERAGE_PRECISION} AS pr_auc,
         CASE WHEN max(p_all) > 0 THEN CAST(sum((n - p) * (2 * cp - p)) AS DOUBLE) / 2 / (CAST(max(p_all) AS DOUBLE) * (max(n_all) - max(p_all))) END AS roc_auc,
         CAST(COALESCE(sum(p) FILTER (WHERE s >= {tau}), 0) AS BIGINT) AS tp,
         CAST(COALESCE(sum(n - p) FILTER (WHERE s >= {tau}), 0) AS BIGINT) AS fp,

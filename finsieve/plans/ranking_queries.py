@@ -8,6 +8,7 @@ from finsieve.functions import scalars as S
 from finsieve.operators import ranking as R
 from finsieve.operators import thresholds as TH
 from finsieve.plans import tables as T
+from finsieve.plans.oracle_views import AVERAGE_PRECISION
 from finsieve.plans.registry import query
 
 _RATES = ["pr_auc", "roc_auc", "precision", "recall", "f1", "f2", "weighted_accuracy", "threshold"]
@@ -81,7 +82,7 @@ def fp_per_tp(spark, sf_dir):
     return c.select("payment_format", F.round(S.fp_per_tp(F.col("fp"), F.col("tp")), 6).alias("fp_per_tp"))
 
 
-_AP = "round(CASE WHEN max(p_all) > 0 THEN sum(p * (CAST(cp AS DOUBLE) / cn)) / max(p_all) ELSE 0 END, 6)"
+_AP = f"round({AVERAGE_PRECISION}, 6)"
 _AUC = "round(CAST(sum((n - p) * (2 * cp - p)) AS DOUBLE) / 2 / (CAST(max(p_all) AS DOUBLE) * (max(n_all) - max(p_all))), 6)"
 
 

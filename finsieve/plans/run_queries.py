@@ -130,11 +130,11 @@ def grid_status(spark, sf_dir):
 @query(
     "baseline_invariance",
     """SELECT model, count(*) AS n_runs, count(DISTINCT pr_auc_test) AS n_values, count(DISTINCT pr_auc_test) = 1 AS identical
-FROM (SELECT model, round(pr_auc_test, 9) AS pr_auc_test FROM run_board WHERE strategy = 'baseline') GROUP BY model""",
+FROM (SELECT model, pr_auc_test FROM run_board WHERE strategy = 'baseline') GROUP BY model""",
     ("run_board",),
 )
 def baseline_invariance(spark, sf_dir):
-    return R.baseline_invariance(T.run_board(spark, sf_dir).withColumn("pr_auc_test", F.round("pr_auc_test", 9)))
+    return R.baseline_invariance(T.run_board(spark, sf_dir))
 
 
 _FPPT = "CASE WHEN tp_test_thresh > 0 THEN CAST(fp_test_thresh AS DOUBLE) / tp_test_thresh END"
@@ -225,35 +225,30 @@ def pareto_front(spark, sf_dir):
 
 def _anchor(position, why, where, order):
     return f"""SELECT * FROM (SELECT {position} AS position, concat(model, ' ', strategy, ' @', tag, ' {why}') AS configuration, 'grid' AS grp, target_prevalence,
-  round(pr_auc_test, 9) AS pr_auc, optimal_threshold AS threshold, precision_test_thresh AS precision, recall_test_thresh AS recall, f1_test_thresh AS f1,
+  pr_auc_test AS pr_auc, optimal_threshold AS threshold, precision_test_thresh AS precision, recall_test_thresh AS recall, f1_test_thresh AS f1,
   tp_test_thresh AS tp, fp_test_thresh AS fp, {_FPPT} AS fp_per_tp FROM run_board WHERE model = 'xgboost' AND {where} ORDER BY {order} LIMIT 1)"""
 
 
 _ANCHORS = " UNION ALL ".join(
     [
-        _anchor(1, "best_pr_auc", "strategy = 'baseline'", "round(pr_auc_test, 9) DESC, target_prevalence"),
+        _anchor(1, "best_pr_auc", "strategy = 'baseline'", "pr_auc_test DESC, target_prevalence"),
         _anchor(2, "f1_opt", "strategy = 'random_undersampling' AND tag = 'p005'", "run_no"),
         _anchor(3, "f1_opt", "strategy = 'class_weighting' AND tag = 'p010'", "run_no"),
-        _anchor(4, "best_pr_auc", "strategy = 'adasyn'", "round(pr_auc_test, 9) DESC, run_no"),
-        _anchor(5, "best_pr_auc", "strategy = 'smote'", "round(pr_auc_test, 9) DESC, run_no"),
+        _anchor(4, "best_pr_auc", "strategy = 'adasyn'", "pr_auc_test DESC, run_no"),
+        _anchor(5, "best_pr_auc", "strategy = 'smote'", "pr_auc_test DESC, run_no"),
         _anchor(6, "best_f1", "strategy = 'smote'", "f1_test_thresh DESC, run_no"),
     ]
 )
 _POOLS = f"""SELECT CAST(row_number() OVER (ORDER BY target_prevalence) + 6 AS INTEGER) AS position, concat('three_pool @', tag) AS configuration, 'three_pool' AS grp, target_prevalence,
-  round(pr_auc_test, 9) AS pr_auc, optimal_threshold AS threshold, precision_test_thresh AS precision, recall_test_thresh AS recall, f1_test_thresh AS f1,
+  pr_auc_test AS pr_auc, optimal_threshold AS threshold, precision_test_thresh AS precision, recall_test_thresh AS recall, f1_test_thresh AS f1,
   tp_test_thresh AS tp, fp_test_thresh AS fp, {_FPPT} AS fp_per_tp FROM pool_board"""
 _COMPARED = f"SELECT * FROM ({_ANCHORS} UNION ALL {_POOLS})"
 _SHOWN = "position, configuration, grp, target_prevalence, round(pr_auc, 6) AS pr_auc, round(threshold, 6) AS threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, tp, fp, round(fp_per_tp, 6) AS fp_per_tp"
 
 
-def _steady(board):
-    """Sums of fractions differ in the last digits between engines; ties must not."""
-    return board.withColumn("pr_auc_test", F.round("pr_auc_test", 9))
-
-
 @query("anchor_runs", f"SELECT {_SHOWN} FROM ({_ANCHORS})", ("run_board",))
 def anchor_runs(spark, sf_dir):
-    return _rounded(R.anchor_runs(_steady(T.run_board(spark, sf_dir))))
+    return _rounded(R.anchor_runs(T.run_board(spark, sf_dir)))
 
 
 @query(
@@ -264,7 +259,7 @@ def anchor_runs(spark, sf_dir):
     ("run_board", "pool_board"),
 )
 def anchor_comparison(spark, sf_dir):
-    return _rounded(R.anchor_comparison(_steady(T.run_board(spark, sf_dir)), _steady(T.pool_board(spark, sf_dir))))
+    return _rounded(R.anchor_comparison(T.run_board(spark, sf_dir), T.pool_board(spark, sf_dir)))
 
 
 @query(
@@ -297,13 +292,13 @@ def fixed_anchor_table(spark, sf_dir):
 @query(
     "success_criteria",
     f"""SELECT *, keeps_ranking OR keeps_f1 OR keeps_cost AS any_met FROM (
-  SELECT target_prevalence, round(pr_auc_test, 9) >= (SELECT round(pr_auc_test, 9) FROM run_board WHERE run_id = 'xgboost__baseline__p001') AS keeps_ranking,
+  SELECT target_prevalence, pr_auc_test >= (SELECT pr_auc_test FROM run_board WHERE run_id = 'xgboost__baseline__p001') AS keeps_ranking,
          f1_test_thresh >= 0.95::DOUBLE * (SELECT max(f1) FROM ({_ANCHORS})) AS keeps_f1,
          COALESCE({_FPPT} <= (SELECT {_FPPT} FROM run_board WHERE run_id = 'xgboost__random_undersampling__p010'), false) AS keeps_cost FROM pool_board)""",
     ("run_board", "pool_board"),
 )
 def success_criteria(spark, sf_dir):
-    return R.success_criteria(_steady(T.run_board(spark, sf_dir)), _steady(T.pool_board(spark, sf_dir)))
+    return R.success_criteria(T.run_board(spark, sf_dir), T.pool_board(spark, sf_dir))
 
 
 _MEAN = "SELECT feature, round(avg(importance), 6) AS importance, count(DISTINCT run_id) AS n_runs FROM importances WHERE model = '{m}' GROUP BY feature"

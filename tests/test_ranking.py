@@ -171,3 +171,27 @@ def test_scores_keep_their_precision(spark):
     df = spark.range(10).select((F.col("id") / 10).cast("float").alias("score"), (F.col("id") > 6).cast("int").alias("label"))
     best = T.best_threshold(df, []).first()
     assert best["threshold"] == pytest.approx(0.7, abs=1e-6) and best["f1"] == 1.0
+
+
+def test_metrics_have_the_same_bits_in_any_order(spark):
+    rows = _scored(9, 3000, 4)
+    df = spark.createDataFrame([(run, s, y) for run in "ab" for s, y in rows], "run string, score double, label int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = set()
+    try:
+        for partitions in (1, 8, 211):
+            spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            for r in R.metric_record(df.repartition(partitions), ["run"], 0.5).collect():
+                seen.add((r["pr_auc"].hex(), r["roc_auc"].hex()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(seen) == 1 and float.fromhex(next(iter(seen))[0]) == pytest.approx(_ap_auc(rows)[0], abs=1e-12)
+
+
+def test_exact_sums_of_large_and_tiny_numbers(spark):
+    values = [1e9 + 0.1, 2.0**-40, 0.0, 123456.789, 1e-12, 0.7] * 50
+    df = spark.createDataFrame([(v,) for v in values], "v double").agg(*R.exact_sums(F.col("v"), "x")).select(R.exact_total("x").alias("t"))
+    assert df.first()["t"] == pytest.approx(sum(values), rel=1e-15)
+    assert spark.createDataFrame([], "v double").agg(*R.exact_sums(F.col("v"), "x")).select(R.exact_total("x").alias("t")).first()["t"] is None
