@@ -3,7 +3,7 @@
 A page is parsed into a tree that tolerates unclosed and crossing tags. Its main
 part is its articles but teasers, else the main element, else the body; menus,
 headers, footers, sidebars, notices, adverts, forms and comments go by tag, role
-or class. What is left of a site's template is found by counting: the subtrees of
+or class, but nothing that holds the article goes by its names. What is left of a site's template is found by counting: the subtrees of
 the main part are hashed, and Spark counts for every host on how many different
 pages each occurs; subtrees that recur on many pages of the host are deleted.
 Within an article only containers can be template, its paragraphs stay.
@@ -51,13 +51,22 @@ DROPPED_WORDS = frozenset(
 )
 
 #: Words that make a whole class name together with words of the above ("related-posts"), and those of teasers.
-COMPOUND_WORDS = frozenset("area articles bar block box button buttons container form item items link links list posts site slot stories unit wrapper".split())
+COMPOUND_WORDS = frozenset(
+    "area articles bar block bottom box button buttons col column container form global group header inner item items left link links list main outer"
+    " page panel posts primary right row secondary section site slot stories top unit wrap wrapper".split()
+)
+#: Words of what readers wrote below an article.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies reply respond".split())
 TEASER_WORDS = frozenset("excerpt preview promo promoted recommended related sponsored teaser".split())
 #: Elements of running text; their ids name places in it.
 TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+#: Elements that can be template on pages without an article or main element; single headings, items and cells cannot.
+TEMPLATE_BLOCKS = BLOCKS - frozenset("h1 h2 h3 h4 h5 h6 li dt dd td th tr caption figcaption legend html body".split())
 
+#: A comment, a declaration, or a tag: slash, name, attributes, end. A quote counts after an equals sign only, and
+#: where the page ends inside a tag the end is empty.
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.DOTALL
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|(?=[^"'])|\Z))*+)(>|\Z)""", re.DOTALL
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _WORD = re.compile(r"[a-z]+")
@@ -91,11 +100,12 @@ def parse(page: str) -> Element:
         if m is None:
             return root
         at = m.end()
-        name = m[2] or m[5]
-        if name is None:
+        if m[2] is None:
             continue
-        tag = name.lower()
-        if m[1] or m[4]:
+        if not m[4]:
+            return root
+        tag = m[2].lower()
+        if m[1]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     del stack[i:]
@@ -107,7 +117,7 @@ def parse(page: str) -> Element:
             _close(stack, frozenset(("p",)), BLOCKS)
         if tag in ENDS:
             _close(stack, ENDS[tag], frozenset("ul ol dl table select menu dir".split()))
-        element = Element(tag, m[3] or m[6] or "")
+        element = Element(tag, m[3])
         stack[-1].children.append(element)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
@@ -135,12 +145,13 @@ def _marked(names: str, words: frozenset) -> bool:
     return False
 
 
-def _unwanted(e: Element, in_article: bool, in_main: bool) -> bool:
+def _unwanted(e: Element, in_article: bool, in_main: bool, protected: bool) -> bool:
+    """Whether an element is none of the article, by its tag, its role or, unless it is protected, its names."""
     if e.tag in DROPPED_TAGS:
         return True
     if e.tag == "header":
         # an article's own header holds its title
-        return not (in_article and any(isinstance(c, Element) and c.tag in ("h1", "h2", "hgroup") for c in e.children))
+        return not protected and not (in_article and any(isinstance(c, Element) and c.tag in ("h1", "h2", "hgroup") for c in e.children))
     if not e.attributes or e.tag in ("html", "body", "main", "br", "hr"):
         return False
     values = e.attribute_values()
@@ -153,16 +164,49 @@ def _unwanted(e: Element, in_article: bool, in_main: bool) -> bool:
     names = values.get("class", "")
     if not (e.tag in TEXT_TAGS or in_main and e.tag == "section"):
         names = f"{names} {values.get('id', '')}"
-    words = set(_WORD.findall(names.lower()))
     if e.tag == "article":
-        return bool(words & {"comment", "comments", "reply"})
-    if in_main or e.tag in TEXT_TAGS:
-        return _marked(names, DROPPED_WORDS) or (not in_article and _marked(names, frozenset(("header",))))
-    return not words.isdisjoint(DROPPED_WORDS) or (not in_article and "header" in words)
+        return _comment(e)
+    if protected:
+        return False
+    return _marked(names, DROPPED_WORDS) or (not in_article and _marked(names, frozenset(("header",))))
+
+
+def _comment(e: Element) -> bool:
+    """Whether an element's names say that readers wrote it."""
+    values = e.attribute_values()
+    return not COMMENT_WORDS.isdisjoint(_WORD.findall(f"{values.get('class', '')} {values.get('id', '')}".lower()))
+
+
+def _holders(root: Element) -> set[int]:
+    """Elements (by ``id()``) that are kept whatever their names: those around the main element, the longest article that is
+    no teaser or comment, or, on pages with neither, most of the text. Lists of teasers and comments are not kept for it."""
+    order: list[tuple[Element, int]] = [(root, -1)]
+    for i, (e, _) in enumerate(order):
+        order += [(c, i) for c in e.children if isinstance(c, Element)]
+    sizes = [0 if e.tag in RAW else sum(len(c) for c in e.children if isinstance(c, str)) for e, _ in order]
+    for i in range(len(order) - 1, 0, -1):
+        sizes[order[i][1]] += sizes[i]
+    named = [bool(e.attributes) for e, _ in order]
+    mains = [i for i, (e, _) in enumerate(order) if e.tag == "main" or named[i] and "main" in e.attributes and e.attribute_values().get("role") == "main"]
+    articles = [i for i, (e, _) in enumerate(order) if e.tag == "article" and not (named[i] and _comment(e)) and not _teaser(e)]
+    wanted = mains + ([max(articles, key=sizes.__getitem__)] if articles else [])
+    if not wanted:
+        wanted = [i for i in range(len(order)) if 2 * sizes[i] > sizes[0] and not (named[i] and _comment(order[i][0]))]
+    held: set[int] = set()
+    # innermost first; a walk up ends where an earlier one passed
+    for i in reversed(wanted):
+        while i >= 0:
+            e = order[i][0]
+            # what lies around a list of teasers or comments is not kept for their sake
+            if id(e) in held or named[i] and (_comment(e) or _marked(e.attribute_values().get("class", ""), TEASER_WORDS)):
+                break
+            held.add(id(e))
+            i = order[i][1]
+    return held
 
 
 def _teaser(e: Element) -> bool:
-    """Whether an article only leads to another page: by its class, or as half of its text or more is links."""
+    """Whether an article only leads to another page: by its class, or as nearly all of its text is links."""
     if _marked(e.attribute_values().get("class", ""), TEASER_WORDS):
         return True
     n = linked = 0
@@ -174,16 +218,17 @@ def _teaser(e: Element) -> bool:
             n, linked = n + size, linked + size * link
         elif not x.dropped:
             todo += [(c, link or x.tag == "a") for c in x.children]
-    return 2 * linked >= n
+    return 10 * linked >= 9 * n
 
 
 def main_part(root: Element) -> tuple[Element, bool]:
     """The element that holds the main text, its unwanted parts marked as dropped; whether it is an article."""
     articles, mains = [], []
+    held = _holders(root)
     todo: list[tuple[Element, bool, bool]] = [(root, False, False)]
     while todo:
         e, inside, in_main = todo.pop()
-        e.dropped = _unwanted(e, inside, in_main)
+        e.dropped = _unwanted(e, inside, in_main, id(e) in held)
         if e.dropped:
             continue
         if e.tag == "article" and not inside:
@@ -233,7 +278,7 @@ def candidates(page: str) -> list[int]:
     part, article = main_part(parse(page))
     if part.tag == "html" and not part.children:
         return []
-    found = {x.digest for x in hash_subtrees(part) if x is not part and x.tag in (CONTAINERS if article else BLOCKS) and x.tag not in ("html", "body") and _shallow(x)}
+    found = {x.digest for x in hash_subtrees(part) if x is not part and x.tag in (CONTAINERS if article else TEMPLATE_BLOCKS) and _shallow(x)}
     return sorted(found)
 
 
@@ -282,7 +327,7 @@ def extract(page: str, template: frozenset = frozenset()) -> str:
     if template:
         for x in hash_subtrees(part):
             # in an article only containers can be template
-            if x.tag not in (CONTAINERS if article else BLOCKS) or x.tag in ("html", "body"):
+            if x.tag not in (CONTAINERS if article else TEMPLATE_BLOCKS):
                 x.digest = 2**64
     return "\n".join(blocks(part, template))
 
@@ -322,7 +367,8 @@ def extract_pages(pages: DataFrame, least_pages: int = TEMPLATE_PAGES, least_sha
 
     A null html is an empty page; an empty page has the empty text. Pages with a
     null url or one without a host belong to no site and are compared with none.
-    Equal pages of a host count as one page, so copies of a page are no template.
+    Equal pages of a host count as one page, so copies of a page are no template;
+    each row gets its own result. A very long page is parsed whole.
     Other columns are ignored; an empty table gives no rows.
     """
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("page_hash"))

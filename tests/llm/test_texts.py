@@ -226,6 +226,31 @@ def test_article_text_of_common_names_stays():
     assert html_extract.extract('<body><main><h2 id="search">S</h2><p>m</p></main>') == "S\nm"
 
 
+def test_no_wrapper_of_the_article_goes():
+    for wrapper in ("layout has-sidebar", "site with-sidebar", "post share-enabled", "search-results-layout", "banner", "content-header"):
+        for inner in ("<article><p>text of it</p></article>", "<main><p>text of it</p></main>", "<p>text of it</p>"):
+            assert html_extract.extract(f'<body><div class="menu">menu</div><div id="page" class="{wrapper}">{inner}</div></body>') == "text of it", (wrapper, inner)
+    comments = '<div id="comments" class="comments"><article><p>a comment that is longer than the article</p></article></div>'
+    assert html_extract.extract(f"<body><article><p>short</p></article>{comments}</body>") == "short"
+    assert html_extract.extract(f'<body><div class="text"><p>plain</p></div><div class="related-posts"><article><p>other</p></article></div>{comments}</body>') == "plain"
+
+
+def test_article_with_many_links_stays():
+    links = "<article><p>See <a href=/a>one long name of a link</a> and <a href=/b>another long name</a>.</p></article>"
+    assert html_extract.extract(f"<body>{links}<article><p>second</p></article></body>") == "See one long name of a link and another long name.\nsecond"
+
+
+def test_quotes_and_ends_inside_tags():
+    assert html_extract.extract('<p class="a"">x</p><b title=\'"\'>y</b>') == "x\ny"
+    assert html_extract.extract("<p>a</p><p title='b>c</p>") == "a" and html_extract.extract("<p a==\"q>q\" b= c>t</p") == "t"
+
+
+def test_headings_that_recur_stay(spark):
+    rows = [(i, f"http://h.example/{i}", f"<body><div>own {i}<h2>Summary</h2><ul><li>item {i}</li><li>same item</li></ul></div><div>Welcome</div></body>") for i in range(15)]
+    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["text"] for r in got} == {f"own {i}\nSummary\nitem {i}\nsame item" for i in range(15)}
+
+
 def test_all_articles_of_a_page_stay():
     teaser = '<article class="teaser"><p>lead</p></article><article><h2><a href="/x">Another page</a></h2></article>'
     page = f"<body><main><article><p>first one</p></article><article><p>second</p></article>{teaser}<article class=comment>c</article></main><article>beside</article>"
