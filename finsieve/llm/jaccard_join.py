@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from finsieve.llm.batches import flat_words, slices, texts_of
 from finsieve.llm.components import components
+from finsieve.llm.names import fresh
 from finsieve.session import materialize
 
 #: Number of n-grams, the most frequent of those seen more than once in a slice, that the order
@@ -83,9 +84,10 @@ def ngram_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     h = own[coded.indices.to_numpy(zero_copy_only=False)] if len(own) else own
     counts = np.bincount(rows, minlength=len(texts))
     ends = np.cumsum(counts)
-    rolled = np.full(max(0, len(h) - words + 1), words, dtype=np.uint64)
+    starts = max(0, len(h) - words + 1)
+    rolled = np.full(starts, words, dtype=np.uint64)
     for i in range(words):
-        rolled = _mixed(rolled + h[i : len(h) - words + 1 + i])
+        rolled = _mixed(rolled + h[i : i + starts])
     out = []
     for end, n in zip(ends.tolist(), counts.tolist(), strict=True):
         if n >= words:
@@ -362,13 +364,14 @@ def one_of_each_group(docs: DataFrame, similarity: Similarity) -> DataFrame:
     Rows without words are in no group and stay. All columns are kept. Of several
     rows with that id, or of rows without any id, exactly one stays.
     """
-    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
-    keyed = materialize(keyed, "numbered")
-    found = jaccard_join(keyed.select(F.col("_row").alias("doc_id"), "text"), similarity)
+    row = fresh("_row", docs.columns)
+    keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = jaccard_join(keyed.select(F.col(row).alias("doc_id"), "text"), similarity)
     component = found.documents.join(found.classes(), "key").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_component"))
-    component = component.join(keyed.select("_row", F.col("doc_id").alias("_id")), "_row")
+    component = component.join(keyed.select(F.col(row).alias("_row"), F.col("doc_id").alias("_id")), "_row")
     component = materialize(component, "row-components")
     # null ids are last
     first = component.groupBy("_component").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("first"))
     dropped = component.join(first, "_component").filter("_row <> first._row").select("_row")
-    return keyed.join(materialize(dropped, "near-copies"), "_row", "left_anti").select(*docs.columns)
+    dropped = materialize(dropped.select(F.col("_row").alias(row)), "near-copies")
+    return keyed.join(dropped, row, "left_anti").select(*docs.columns)

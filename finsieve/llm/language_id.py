@@ -94,16 +94,6 @@ class Voting:
     names: list[str]
     planes: np.ndarray = field(default_factory=lambda: np.zeros((0, BINS + 1), np.float32))
 
-    @classmethod
-    def fit(cls, x: np.ndarray, labels: np.ndarray) -> Voting:
-        names = sorted(set(labels.tolist()))
-        planes = []
-        for a, b in combinations(names, 2):
-            own = (labels == a) | (labels == b)
-            # no second copy of the rows where both names are all there is
-            planes.append(linear_svm(x if own.all() else x[own], labels[own] == a))
-        return cls(names, np.array(planes, dtype=np.float32).reshape(-1, BINS + 1))
-
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Position of the winner among ``names``, and its confidence from 0 to 1."""
         n, k = len(x), len(self.names)
@@ -128,13 +118,6 @@ class LanguageModel:
     families: Voting | None
     languages: dict[str, Voting]
 
-    @classmethod
-    def fit(cls, x: np.ndarray, labels: np.ndarray) -> LanguageModel:
-        if not len(labels):
-            return cls(None, {})
-        family = np.array([FAMILY_OF.get(code, code) for code in labels.tolist()])
-        return cls(Voting.fit(x, family), {f: Voting.fit(x[family == f], labels[family == f]) for f in sorted(set(family.tolist()))})
-
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         names, scores = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
         at = np.flatnonzero(has_letter(texts))
@@ -169,10 +152,37 @@ def _features_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     yield pa.RecordBatch.from_arrays([lang, pa.array([row.astype(np.float16).tobytes() for row in x], pa.binary())], names=["lang", "x"])
 
 
+def _machines(langs: list[str]) -> tuple[dict[str, list[str]], dict[str, list[tuple[str, bool]]]]:
+    """Names to choose from by level (the families, then the languages of each), and for every language the machines
+    (``level|a|b``) that learn from it, with its side."""
+    families = sorted({FAMILY_OF.get(code, code) for code in langs})
+    levels = {"": families} | {f: [code for code in langs if FAMILY_OF.get(code, code) == f] for f in families}
+    of: dict[str, list[tuple[str, bool]]] = {code: [] for code in langs}
+    for level, names in levels.items():
+        for a, b in combinations(names, 2):
+            for code in langs:
+                name = code if level else FAMILY_OF.get(code, code)
+                if name in (a, b):
+                    of[code].append((f"{level}|{a}|{b}", name == a))
+    return levels, of
+
+
+def _fit_machine(key: tuple, rows: pa.Table) -> pa.Table:
+    """The weights of one machine, from its rows in the order of their bytes."""
+    x, positive = rows.column("x").to_pylist(), rows.column("positive").to_numpy()
+    order = sorted(range(len(x)), key=lambda i: (not positive[i], x[i]))
+    matrix = np.empty((len(x), BINS), np.float32)
+    for at, i in enumerate(order):
+        matrix[at] = np.frombuffer(x[i], dtype=np.float16)
+    plane = linear_svm(matrix, positive[order])
+    return pa.table({"machine": pa.array([key[0].as_py()]), "plane": pa.array([plane.astype(np.float32).tobytes()], pa.binary())})
+
+
 def fit_language_model(labelled: DataFrame, rows: int = TRAINING_ROWS) -> LanguageModel:
     """A model from ``labelled`` (``doc_id``, ``text``, ``lang``), on about ``rows`` rows, as many of each language.
 
-    Rows without language, id or letter are not learned from.
+    Every machine is fitted in a task of its own, on the rows of its two names; the
+    driver gets their weights. Rows without language, id or letter are not learned from.
     """
     labelled = labelled.filter("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL").filter(F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(rows).collect()}
@@ -182,12 +192,19 @@ def fit_language_model(labelled: DataFrame, rows: int = TRAINING_ROWS) -> Langua
     draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2**32)) / F.lit(float(2**32))
     wanted = F.coalesce(*(F.when((F.col("lang") == lang) & (draw < share / n), True) for lang, n in counts.items()), F.lit(False))
     chosen = labelled.filter(wanted).select("text", "lang")
-    found = materialize(chosen.mapInArrow(_features_task, "lang string, x binary"), "language-training").orderBy("lang", "x").toArrow()
-    x, langs = np.empty((found.num_rows, BINS), np.float32), np.array(found["lang"].to_pylist(), dtype=object)
-    for i, row in enumerate(found["x"]):
-        x[i] = np.frombuffer(row.as_buffer(), dtype=np.float16)
-    del found
-    return LanguageModel.fit(x, langs)
+    found = materialize(chosen.mapInArrow(_features_task, "lang string, x binary"), "language-training")
+    levels, of = _machines(sorted(r["lang"] for r in found.select("lang").distinct().collect()))
+    sides = [(lang, machine, positive) for lang, machines in of.items() for machine, positive in machines]
+    planes = {}
+    if sides:
+        taught = found.join(F.broadcast(found.sparkSession.createDataFrame(sides, "lang string, machine string, positive boolean")), "lang")
+        fitted = taught.select("machine", "positive", "x").groupBy("machine").applyInArrow(_fit_machine, "machine string, plane binary")
+        planes = {r["machine"]: np.frombuffer(r["plane"], dtype=np.float32) for r in fitted.collect()}
+    votings = {
+        level: Voting(names, np.array([planes[f"{level}|{a}|{b}"] for a, b in combinations(names, 2)], dtype=np.float32).reshape(-1, BINS + 1))
+        for level, names in levels.items()
+    }
+    return LanguageModel(votings.pop("") if levels[""] else None, votings)
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:

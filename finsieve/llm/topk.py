@@ -33,8 +33,7 @@ def quantised(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     """``vec_id`` and ``v``, the components as floor(scale * x).
 
     Rows whose id or vector is null, or whose vector is empty or holds a null or
-    non-finite component, are left out. Repeated rows count once; where one id
-    has several vectors, the first in array order stands for it.
+    non-finite component, are left out. Repeated rows and ids stay as they are.
     """
     x = F.col(vector_col)
     whole = F.forall(
@@ -45,12 +44,12 @@ def quantised(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     )
     usable = df.filter(F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0)).filter(whole)
     v = F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double")).cast("long"))
-    return usable.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return usable.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
 
 
 def materialised(vectors: DataFrame) -> DataFrame:
-    """``vectors`` as a stored table: counted, filtered and joined without being built again."""
-    return materialize(vectors, "vectors")
+    """``vectors`` as a stored table with a key ``row`` of every row: counted, filtered and joined without being built again."""
+    return materialize(vectors.select("vec_id", "v", F.monotonically_increasing_id().alias("row")), "vectors")
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -92,10 +91,12 @@ class SortedLists:
         return seen_top, seen_bottom, ~top, ~bottom, np.stack([self.sorted[n - depth], self.sorted[depth - 1]]).astype(kind)
 
 
-def best_of_block(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per query of ``q`` its ``k`` best rows of ``x`` with another id: query position, row, score.
+def best_of_block(
+    x: np.ndarray, ids: np.ndarray, rows_of: np.ndarray, q: np.ndarray, q_rows: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per query of ``q`` its ``k`` best rows of ``x`` but itself (of the same row key): query position, row, score.
 
-    Ties go to the smaller id.
+    Ties go to the smaller id, then to the smaller row key.
     """
     n = len(x)
     kind = _exact_type(x, q)
@@ -115,7 +116,7 @@ def best_of_block(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarr
             low = known + open_lists @ np.concatenate(
                 [up * lists.sorted[0].astype(kind)[:, None], down * lists.sorted[-1].astype(kind)[:, None]]
             )
-            own = ids[:, None] == q_ids[active][None, :]
+            own = rows_of[:, None] == q_rows[active][None, :]
             least = np.iinfo(np.int64).min // 4 if kind is np.int64 else -np.inf
             high[own] = least
             low[own] = least
@@ -127,7 +128,7 @@ def best_of_block(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarr
             for j in np.flatnonzero(done):
                 rows = np.flatnonzero((high[:, j] >= kth[j]) & ~own[:, j])
                 score = (x[rows] * q[active[j]]).sum(axis=1)
-                rows = rows[np.lexsort((ids[rows], -score))][:k]
+                rows = rows[np.lexsort((rows_of[rows], ids[rows], -score))][:k]
                 out_q.append(np.full(len(rows), active[j]))
                 out_row.append(rows)
                 out_score.append((x[rows] * q[active[j]]).sum(axis=1))
@@ -140,26 +141,26 @@ def best_of_block(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarr
 
 def _block_task(k: int):
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+        schema = pa.schema([(c, pa.int64()) for c in ("query_id", "query_row", "vec_id", "row", "score")])
         if vectors.num_rows == 0 or queries.num_rows == 0:
             return schema.empty_table()
         width = max(
             int(max(c.value_lengths().to_numpy(zero_copy_only=False).max(initial=0) for c in t["v"].chunks)) for t in (vectors, queries)
         )
-        ids, q_ids = vectors["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
-        at, rows, scores = best_of_block(_matrix(vectors["v"], width), ids, _matrix(queries["v"], width), q_ids, k)
-        return pa.table([q_ids[at], ids[rows], scores.astype(np.int64)], schema=schema)
+        ids, rows_of, q_ids, q_rows = (t[c].to_numpy() for t in (vectors, queries) for c in ("vec_id", "row"))
+        at, rows, scores = best_of_block(_matrix(vectors["v"], width), ids, rows_of, _matrix(queries["v"], width), q_rows, k)
+        return pa.table([q_ids[at], q_rows[at], ids[rows], rows_of[rows], scores.astype(np.int64)], schema=schema)
 
     return run
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """The ``k`` best rows of ``vectors`` for each of ``queries`` (both ``vec_id``, ``v``).
+    """The ``k`` best rows of ``vectors`` for each row of ``queries`` (both as :func:`materialised` stores them).
 
-    Gives ``query_id, rank, vec_id, score``; a row with the query's own id is no
-    candidate, ties go to the smaller id, and a query with fewer candidates gets
-    all of them. Missing components of shorter vectors count as zero. Empty tables
-    give no rows; other columns are ignored.
+    Gives ``query_id, rank, vec_id, score``; the query's own row is no candidate,
+    another row with its id or vector is one. Ties go to the smaller id, and a
+    query with fewer candidates gets all of them. Missing components of shorter
+    vectors count as zero. Empty tables give no rows; other columns are ignored.
     """
     n, m = vectors.count(), queries.count()
     n_blocks, m_blocks = max(1, -(-n // VECTOR_BLOCK)), max(1, -(-m // QUERY_BLOCK))
@@ -168,7 +169,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         return df.select(
             "vec_id",
             "v",
-            F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias(own),
+            "row",
+            F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias(own),
             F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other),
         )
 
@@ -177,23 +179,23 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     found = (
         left.groupBy("v_block", "q_block")
         .cogroup(right.groupBy("v_block", "q_block"))
-        .applyInArrow(_block_task(k), "query_id long, vec_id long, score long")
+        .applyInArrow(_block_task(k), "query_id long, query_row long, vec_id long, row long, score long")
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 TOPK_SQL = """
 WITH v AS (
-    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    SELECT row_number() OVER () AS row_no, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
     FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
-    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+    SELECT q.row_no AS query_row, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.row_no <> c.row_no WHERE q.vec_id % 50 = 0
 ), ranked AS (
-    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM scored
+    SELECT query_id, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM scored
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """

@@ -227,16 +227,44 @@ def test_topk(spark, kind, monkeypatch):
     n = 4 if kind == "few" else 300
     x = rng.integers(-2, 3, (n, 6)) / 256 if kind == "ties" else rng.standard_normal((n, 6)) * (1e6 if kind == "wide" else 1)
     rows = [(i, [float(c) for c in v], 1) for i, v in enumerate(x)]
-    odd = [(1000, None, 1), (1001, [1.0, None], 1), (1002, [1.0, float("nan")], 1), (1003, [float("inf")], 1), (None, [1.0], 1), (1004, [], 1), rows[0], (1005, [0.5, -0.25], 2)]
+    odd = [(1000, None, 1), (1001, [1.0, None], 1), (1002, [1.0, float("nan")], 1), (1003, [float("inf")], 1), (None, [1.0], 1), (1004, [], 1), (1005, [0.5, -0.25], 2), rows[0]]
     frame = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, score int")
     monkeypatch.setattr(topk, "VECTOR_BLOCK", 64)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 8)
-    vectors = topk.quantised(frame)
+    # ids that occur again with the same and with another vector
+    odd += [(7, [float(c) for c in -x[0]], 1), (2, [3.0] * 6, 1)]
+    frame = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, score int")
+    vectors = topk.materialised(topk.quantised(frame))
     got = [tuple(r) for r in topk.top_k(vectors, vectors.filter("vec_id % 7 = 0")).collect()]
-    whole = {i: [int(np.floor(256 * c)) for c in v] + [0] * (6 - len(v)) for i, v, _ in rows + odd[-1:]}
+    whole = [(i, [int(np.floor(256 * c)) for c in v] + [0] * (6 - len(v))) for i, v, _ in rows + odd[-4:]]
     expected = []
-    for q in (i for i in whole if i % 7 == 0):
-        scored = sorted((-sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), i) for i in whole if i != q)
-        expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored[:5])]
+    for at, (q, of_q) in enumerate(whole):
+        if q % 7 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(of_q, v, strict=True)), i) for j, (i, v) in enumerate(whole) if j != at)
+            expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored[:5])]
     assert sorted(got) == sorted(expected)
     assert topk.top_k(vectors.limit(0), vectors).count() == 0
+
+
+def test_topk_of_repeated_ids_is_as_the_sql_has_it(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(0, [8.0, 8.0]), (1, [1.0, 1.0]), (1, [9.0, 9.0]), (2, [5.0, 5.0]), (50, [1.0, 0.0]), (50, [1.0, 0.0])]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    vectors = topk.materialised(topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    got = topk.top_k(vectors, vectors.filter("vec_id % 50 = 0")).select("query_id", "rank", "vec_id", "score")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(con.execute(topk.TOPK_SQL).fetchall())
+
+
+@pytest.mark.parametrize("words", [1, 2, 4, 5])
+def test_ngrams_of_few_words(words):
+    for n in range(8):
+        text = " ".join("abcdefgh"[:n])
+        assert [len(s) for s in jaccard_join.ngram_sets(pa.array([text], pa.large_string()), words)] == [max(n - words + 1, int(n > 0))]
+
+
+def test_one_of_each_group_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (3, None, "z")], "doc_id long, text string, _row string")
+    kept = jaccard_join.one_of_each_group(docs, jaccard_join.Similarity(words=5, percent=80))
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [(1, "a b c d e f", "x"), (3, None, "z")]
