@@ -9,7 +9,7 @@ from finsieve.functions import scalars as S
 from finsieve.operators import features as FT
 from finsieve.operators.rolling import with_rolling
 from finsieve.plans import tables as T
-from finsieve.plans.oracle_views import role_columns
+from finsieve.plans.oracle_views import VIEWS, role_columns
 from finsieve.plans.registry import query
 from finsieve.schema import ACCOUNT_FEATURES, FEATURES
 from finsieve.session import scratch_path
@@ -201,9 +201,15 @@ LEFT JOIN {_CODES.format(c="payment_format")} f ON t.payment_format = f.category
 LEFT JOIN {_CODES.format(c="payment_currency")} c ON t.payment_currency = c.category"""
 _WHOLE = [c for c in FEATURES if "count" in c or "unique" in c or "entity" in c]
 _MATRIX_SQL = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _WHOLE)}) FROM ({_MATRIX_SQL})"
+VIEWS["matrix"] = (("txn", "train", "sent", "got", "entity"), _MATRIX_SQL)
 _ROUNDED = ["amount_paid", "amount_received", "amount_ratio", "fan_in_score", "fan_out_score"]
 
 
+def rounded_features(features):
+    """The feature table as SQL has it: logarithms and ratios to six digits."""
+    return _rounded(features, _ROUNDED)
+
+
 @query("assemble_features", _MATRIX_SQL, ("txn", "train", "sent", "got", "entity"))
 def assemble_features(spark, sf_dir):
     return _rounded(FT.feature_table(T.txn(spark, sf_dir), T.listed_accounts(spark, sf_dir)), _ROUNDED)

@@ -64,15 +64,6 @@ def smote_budget(spark, sf_dir):
     return spark.createDataFrame(rows, "target double, n_synthetic bigint")
 
 
-@query(
-    "adasyn_budget",
-    _targets_sql(f"CASE WHEN {{p}} <= {_NATURAL} THEN 0 ELSE CAST(trunc(n_neg * ({{p}} / (1 - {{p}})) - n_pos) AS BIGINT) END AS n_synthetic"),
-    ("classes",),
-)
-def adasyn_budget(spark, sf_dir):
-    return smote_budget(spark, sf_dir)
-
-
 @query(
     "strategy_class_weight",
     "SELECT row_idx, label, CASE WHEN label = 1 THEN (1 - 0.02::DOUBLE) / 0.02::DOUBLE ELSE CAST(1 AS DOUBLE) END AS weight FROM train",
