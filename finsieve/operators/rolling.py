@@ -10,15 +10,16 @@ is then the window value, for all windows at once and in one linear pass: no
 range frames, no collected sets. All summed values are integers, so taking out
 exactly cancels putting in.
 
-An account may hold a large share of all rows. Accounts above ``hot_rows`` rows
-are cut into chunks of consecutive row numbers; the running sums inside a chunk
-get the totals of the account's earlier chunks added. No task ever sees more of
-one account than a chunk.
+An account may hold a large share of all rows. The events of accounts above
+``hot_rows`` rows are range-partitioned in the order of the sweep, so that a chunk
+is a share of the events, entering or leaving, however unevenly they lie in time;
+the running sums inside a chunk get the totals of the account's earlier chunks
+added. Leaving events behind an account's last row say nothing and are dropped. No
+task ever sees more of one account than a chunk.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,33 +121,12 @@ def _sweep_whole(df: DataFrame, keys: list[str], pair: str, columns: list[str],
     return _finish(swept, columns, prefix)
 
 
-def _chunk_of_time(events: DataFrame, starts: list, out: str) -> DataFrame:
-    """Chunk in which the rows after a time begin: the last one starting at or before it."""
-    latest = {}
-    for chunk, first_us in starts:
-        latest[first_us] = max(chunk, latest.get(first_us, chunk))
-    times = sorted(latest)
-    chunks = [latest[t] for t in times]
-    # a time never precedes the first chunk, so bucket k stands for chunks[k]
-    splits = [float(t) for t in times] + [float("inf")]
-    lookup = F.array(*[F.lit(c).cast("bigint") for c in chunks]) if len(chunks) <= 64 else None
-    bucketed = Bucketizer(splits=splits, inputCol="_t", outputCol="_bk").transform(
-        events.withColumn("_t", F.col("_us").cast("double"))
-    )
-    if lookup is not None:
-        return bucketed.withColumn(out, F.get(lookup, F.col("_bk").cast("int"))).drop("_t", "_bk")
-    table = events.sparkSession.createDataFrame(list(enumerate(chunks)), f"_bki int, {out} bigint")
-    return (
-        bucketed.withColumn("_bki", F.col("_bk").cast("int"))
-        .join(F.broadcast(table), "_bki")
-        .drop("_t", "_bk", "_bki")
-    )
-
+def event_chunks(df: DataFrame, keys: list[str], pair: str, columns: list[str], hot: DataFrame, bits: int) -> DataFrame:
+    """The events of the accounts ``hot`` (with ``_rows`` and ``_end``, their last time), stored with ``_chunk``.
 
-def _sweep_chunked(
-    df: DataFrame, keys: list[str], pair: str, columns: list[str], prefix: str, bits: int, starts: list
-) -> DataFrame:
-    """Accounts too large for a task: the same sweep, chunk by chunk with carried totals."""
+    Chunks ascend along (account, time, kind, row number) and hold about
+    ``2 ** bits`` events each.
+    """
     c = df.withColumn("_chunk", row_chunk("_idx", bits))
     pair_keys = [*keys, pair]
 
@@ -171,8 +151,7 @@ def _sweep_chunked(
     row_type = seen.select(row.alias("r")).schema["r"].dataType
 
     entering = seen.select(
-        *keys, F.col("_chunk"), "_idx",
-        F.inline(F.array(_delta_struct(F.col("_us0"), F.lit(0), _entering(new), row))),
+        *keys, "_idx", F.inline(F.array(_delta_struct(F.col("_us0"), F.lit(0), _entering(new), row))),
     )
     leaving = seen.select(
         *keys,
@@ -185,12 +164,23 @@ def _sweep_chunked(
             )
         ),
     )
-    # one leaving event per account and time, put where the later rows start
+    # no row is left to see what leaves after the account's last one
+    ends = hot.select(*keys, "_end")
+    leaving = _join(leaving, ends, keys).filter("_us < _end")
+    # one leaving event per account and time
     leaving = leaving.groupBy(*keys, "_us").agg(*[F.sum(f"_d_{s}").alias(f"_d_{s}") for s in _SUMS])
-    leaving = _chunk_of_time(leaving, starts, "_chunk").withColumns(
-        {"_kind": F.lit(1), "_idx": F.lit(-1).cast("bigint"), "_row": F.lit(None).cast(row_type)}
-    )
+    leaving = leaving.withColumns({"_kind": F.lit(1), "_idx": F.lit(-1).cast("bigint"), "_row": F.lit(None).cast(row_type)})
     stream = entering.unionByName(leaving)
+    # a row enters once and leaves three windows at most
+    events = 4 * (hot.agg(F.sum("_rows")).first()[0] or 0)
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-events >> bits))
+    along = [*keys, "_us", "_kind", "_idx"]
+    return materialize(stream.repartitionByRange(n, *along).withColumn("_chunk", F.spark_partition_id()), "rolling-events")
+
+
+def _sweep_chunked(df: DataFrame, keys: list[str], pair: str, columns: list[str], prefix: str, hot: DataFrame, bits: int) -> DataFrame:
+    """Accounts too large for a task: the same sweep, chunk by chunk with carried totals."""
+    stream = event_chunks(df, keys, pair, columns, hot, bits)
 
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     totals = stream.groupBy(*keys, "_chunk").agg(*[F.sum(f"_d_{s}").alias(f"_t_{s}") for s in _SUMS])
@@ -210,8 +200,8 @@ def _sweep_chunked(
 
 
 def hot_accounts(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
-    """Accounts with more than ``hot_rows`` rows; at most one per ``hot_rows`` input rows."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows).select(*keys)
+    """Accounts with more than ``hot_rows`` rows, their number and last time; at most one per ``hot_rows`` input rows."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.max("us").alias("_end")).filter(F.col("_rows") > hot_rows)
 
 
 def with_rolling(
@@ -248,13 +238,7 @@ def with_rolling(
 
     hot = materialize(hot, "hot-accounts")
     stored = materialize(base, "rolling-input")
-    # one start time per chunk of consecutive rows
-    starts = [
-        (r["_c"], r["_t"])
-        for r in source.groupBy(row_chunk("row_idx", chunk_bits).alias("_c")).agg(F.min("us").alias("_t")).collect()
-    ]
-    cold = _sweep_whole(_join(stored, hot, keys, "left_anti"), keys, counterparty, columns, prefix)
-    large = _sweep_chunked(
-        _join(stored, hot, keys, "left_semi"), keys, counterparty, columns, prefix, chunk_bits, starts
-    )
+    hot_keys = hot.select(*keys)
+    cold = _sweep_whole(_join(stored, hot_keys, keys, "left_anti"), keys, counterparty, columns, prefix)
+    large = _sweep_chunked(_join(stored, hot_keys, keys, "left_semi"), keys, counterparty, columns, prefix, hot, chunk_bits)
     return cold.unionByName(large)

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from finsieve.operators.rolling import WINDOWS, with_rolling
+from finsieve.operators.rolling import WINDOWS, event_chunks, hot_accounts, with_rolling
 
 _DAY = WINDOWS["1d"]
 
@@ -35,7 +35,7 @@ def _expected(rows, scoped):
     return out
 
 
-@pytest.mark.parametrize("hot_rows,bits", [(10**6, 22), (40, 4), (5, 2), (0, 6)])
+@pytest.mark.parametrize("hot_rows,bits", [(10**6, 22), (40, 5), (5, 4), (0, 6)])
 @pytest.mark.parametrize("scoped", [True, False])
 def test_matches_brute_force(spark, hot_rows, bits, scoped):
     rows = _rows(1, 300, 0.5)
@@ -72,3 +72,19 @@ def test_feature_table_with_chunked_accounts(spark, sf_dir):
     whole = feature_table(txn, accounts)
     cut = feature_table(txn, accounts, hot_rows=40, chunk_bits=8)
     assert whole.exceptAll(cut).count() == 0 == cut.exceptAll(whole).count()
+
+
+def test_chunks_hold_a_share_of_the_events(spark):
+    """A burst a window ago leaves while few rows come: chunks cut by rows would take all of it at once."""
+    rng = random.Random(2)
+    burst = sorted(rng.sample(range(10**6), 3000))
+    times = [10**15 + t for t in burst] + [10**15 + 3 * _DAY + 7 * _DAY * i // 20 for i in range(40)]
+    rows = [(i, t, "A", rng.choice("xyz"), 1.0, 0) for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "row_idx bigint, us bigint, acc string, cp string, log_paid double, cross_bank int")
+    base = df.withColumns({"_us0": F.col("us"), "_idx": F.col("row_idx"), "_amt": F.lit(1).cast("bigint"), "_cross": F.lit(0).cast("bigint")})
+    hot = hot_accounts(df, ["acc"], 100)
+    events = event_chunks(base, ["acc"], "cp", df.columns, hot, 8)
+    sizes = [r["count"] for r in events.groupBy("acc", "_chunk").count().collect()]
+    # the burst leaves the shortest two windows; nothing is kept of what leaves after the last row
+    assert sum(sizes) == len(rows) + sum(t + w < times[-1] for t in times for w in WINDOWS.values())
+    assert max(sizes) <= 2 * 2**8
