@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from finsieve.session import materialize
 
@@ -125,37 +126,17 @@ def chunk_positions(df: DataFrame, row_idx: str = "row_idx", name: str = "pos",
     )
 
 
-def take_first(
-    df: DataFrame,
-    quotas: int | dict,
-    bucket: Column,
-    order: list[Column],
-    group: str | None = None,
-) -> DataFrame:
-    """Exactly the first ``n`` rows by ``order``, per group when given.
+def _cut_buckets(bucketed: DataFrame, key: str, quotas: dict) -> list:
+    """Per group the bucket ``_cut`` that holds its ``quota``-th row, and how many rows of that bucket it takes (``_need``).
 
-    ``bucket`` must not decrease along ``order``. Whole buckets below the cut are
-    kept by a filter; only the bucket that holds the cut is ranked. ``quotas`` is
-    a count, or a count for each value of ``group``; groups without one are dropped.
+    ``bucketed`` has the bucket as ``_b``. A group with fewer rows than its quota gets its last bucket, whole.
     """
-    if group is None:
-        df, quotas, key = df.withColumn("_g", F.lit(0)), {0: int(quotas)}, "_g"
-    else:
-        key = group
-    quotas = {g: int(n) for g, n in quotas.items() if int(n) > 0}
-    if not quotas:
-        return df.filter(F.lit(False)).drop("_g")
-    spark = df.sparkSession
-    wanted = spark.createDataFrame(
-        [(g, n) for g, n in quotas.items()], f"{key} {dict(df.dtypes)[key]}, _want bigint"
-    )
-    b = df.withColumn("_b", bucket)
+    wanted = bucketed.sparkSession.createDataFrame(list(quotas.items()), f"{key} {dict(bucketed.dtypes)[key]}, _want bigint")
     running = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = (
-        b.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_cum", F.sum("_n").over(running))
+        bucketed.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_cum", F.sum("_n").over(running))
     )
-    # per group the first bucket that reaches the quota, or the last one there is
-    cuts = (
+    return (
         counts.join(F.broadcast(wanted), key)
         .withColumn("_short", F.col("_cum") < F.col("_want"))
         .groupBy(key)
@@ -172,9 +153,81 @@ def take_first(
             .otherwise(F.col("_want") - F.coalesce("_below", F.lit(0)))
             .alias("_need"),
         )
+        # one row per group
+        .collect()
     )
-    # one row per group; reading it here lets both branches filter by it
-    cut_rows = cuts.collect()
+
+
+def last_taken(df: DataFrame, quotas: int | dict, bucket: Column, order: list[str], group: str | None = None) -> dict:
+    """Per group the values of ``order`` in the last of its first ``quota`` rows; None where it has no more rows than that.
+
+    A set of first rows is thereby a predicate (see :func:`up_to`), not a list of rows.
+    ``bucket`` must not decrease along ``order``; only the bucket that holds the cut is ranked.
+    """
+    key = group or "_g"
+    df = df if group else df.withColumn("_g", F.lit(0))
+    quotas = {g: int(n) for g, n in (quotas if group else {0: quotas}).items() if int(n) > 0}
+    b = df.select(key, *order, bucket.alias("_b"))
+    found = {r[key]: r for r in _cut_buckets(b, key, quotas)} if quotas else {}
+    out = {g: None for g in quotas}
+    cut = [r for r in found.values() if r["_need"] < 1 << 62]
+    if cut:
+        marks = df.sparkSession.createDataFrame([(r[key], r["_cut"], r["_need"]) for r in cut], T.StructType([b.schema[key], T.StructField("_b", b.schema["_b"].dataType), T.StructField("_need", T.LongType())]))
+        rank = F.row_number().over(Window.partitionBy(key, "_b").orderBy(*order))
+        for r in b.join(F.broadcast(marks), [key, "_b"]).withColumn("_r", rank).filter("_r = _need").collect():
+            out[r[key]] = tuple(r[c] for c in order)
+    return out
+
+
+def up_to(order: list[Column], last: tuple | None) -> Column:
+    """Whether a row comes no later than ``last`` in ``order``; always for None."""
+    if last is None:
+        return F.lit(True)
+    met = F.lit(True)
+    for column, value in reversed(list(zip(order, last, strict=True))):
+        met = (column < F.lit(value)) | ((column == F.lit(value)) & met)
+    return met
+
+
+def rows_at(df: DataFrame, positions: list[int], row_idx: str = "row_idx", bits: int = CHUNK_BITS) -> dict[int, int]:
+    """The row numbers at ``positions`` (from 0, in row order) of a subset of numbered rows."""
+    c = df.select(F.col(row_idx).alias("_row"), row_chunk(row_idx, bits).alias("_c"))
+    so_far = Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # one row per chunk
+    counts = c.groupBy("_c").agg(F.count(F.lit(1)).alias("_n")).withColumn("_end", F.sum("_n").over(so_far))
+    wanted = df.sparkSession.createDataFrame([(p,) for p in sorted(set(positions))], "_at bigint")
+    where = counts.join(F.broadcast(wanted), (F.col("_at") < F.col("_end")) & (F.col("_at") >= F.col("_end") - F.col("_n")))
+    marks = where.select("_c", "_at", (F.col("_at") - F.col("_end") + F.col("_n") + 1).alias("_need")).collect()
+    if not marks:
+        return {}
+    chunks = df.sparkSession.createDataFrame(marks, "_c long, _at bigint, _need bigint")
+    ranked = c.join(F.broadcast(chunks.select("_c").distinct()), "_c").withColumn("_r", F.row_number().over(Window.partitionBy("_c").orderBy("_row")))
+    return {r["_at"]: r["_row"] for r in ranked.join(F.broadcast(chunks), "_c").filter("_r = _need").collect()}
+
+
+def take_first(
+    df: DataFrame,
+    quotas: int | dict,
+    bucket: Column,
+    order: list[Column],
+    group: str | None = None,
+) -> DataFrame:
+    """Exactly the first ``n`` rows by ``order``, per group when given.
+
+    ``bucket`` must not decrease along ``order``. Whole buckets below the cut are
+    kept by a filter; only the bucket that holds the cut is ranked. ``quotas`` is
+    a count, or a count for each value of ``group``; groups without one are dropped.
+    """
+    if group is None:
+        df, quotas, key = df.withColumn("_g", F.lit(0)), {0: int(quotas)}, "_g"
+    else:
+        key = group
+    quotas = {g: int(n) for g, n in quotas.items() if int(n) > 0}
+    if not quotas:
+        return df.filter(F.lit(False)).drop("_g")
+    b = df.withColumn("_b", bucket)
+    # reading the cuts here lets both branches filter by them
+    cut_rows = _cut_buckets(b, key, quotas)
     if not cut_rows:
         return df.filter(F.lit(False)).drop("_g")
     if len(cut_rows) == 1:
@@ -183,8 +236,8 @@ def take_first(
         edge_filter = F.col("_b") == F.lit(r["_cut"])
         below_filter = F.col("_b") < F.lit(r["_cut"])
     else:
-        cut_df = spark.createDataFrame([tuple(r) for r in cut_rows], cuts.schema)
-        marked = b.join(F.broadcast(cut_df), key)
+        kinds = T.StructType([b.schema[key], T.StructField("_cut", b.schema["_b"].dataType), T.StructField("_need", T.LongType())])
+        marked = b.join(F.broadcast(df.sparkSession.createDataFrame([tuple(r) for r in cut_rows], kinds)), key)
         edge_filter = F.col("_b") == F.col("_cut")
         below_filter = F.col("_b") < F.col("_cut")
     ranked = Window.partitionBy(key, "_b").orderBy(*order)
@@ -197,6 +250,19 @@ def take_first(
     return marked.filter(below_filter).unionByName(edge).drop("_g", "_b", "_cut", "_need")
 
 
+def last_drawn(df: DataFrame, quotas: int | dict, seed: int, group: str | None = None, row_idx: str = "row_idx") -> dict:
+    """Per group the draw key and row number of the last row that :func:`draw_exact` takes; None where it takes all."""
+    keyed = df.withColumn("_key", draw_key(seed, row_idx))
+    return last_taken(keyed, quotas, F.substring("_key", 1, PREFIX_DIGITS), ["_key", row_idx], group)
+
+
+def drawn(df: DataFrame, n: int, seed: int, row_idx: str = "row_idx") -> Column:
+    """The rows that :func:`draw_exact` takes, as a predicate on the row number."""
+    if n <= 0:
+        return F.lit(False)
+    return up_to([draw_key(seed, row_idx), F.col(row_idx)], last_drawn(df, n, seed, row_idx=row_idx)[0])
+
+
 def draw_exact(
     df: DataFrame, quotas: int | dict, seed: int, group: str | None = None, row_idx: str = "row_idx"
 ) -> DataFrame:

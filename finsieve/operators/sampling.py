@@ -8,15 +8,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finsieve.operators.ordering import (
     chunk_positions,
     draw_exact,
     draw_key,
+    drawn,
+    last_drawn,
+    last_taken,
     row_chunk,
-    take_first,
+    rows_at,
+    up_to,
     value_bucket,
 )
 from finsieve.session import materialize
@@ -172,53 +176,49 @@ def pool_budgets(
     }
 
 
-def hard_negatives(negatives: DataFrame, n: int, score: str = "score") -> DataFrame:
-    """Exactly the ``n`` highest-scoring rows; equal scores go by row number.
+def _score_cut(rows: DataFrame, key: Column, n: int) -> tuple | None:
+    """The value of ``key`` that the ``n``-th row from above has, and how many rows with it belong to the first ``n``."""
+    counts = rows.groupBy(key.alias("_v")).agg(F.count(F.lit(1)).alias("n"))
+    down = Window.orderBy(F.col("_v").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = counts.withColumn("_cum", F.sum("n").over(down)).filter(F.col("_cum") >= n).orderBy(F.col("_v").desc()).limit(1).first()
+    return None if cut is None else (cut["_v"], n - (cut["_cum"] - cut["n"]), cut["n"])
+
+
+def hard_rows(negatives: DataFrame, n: int, score: str = "score") -> Column:
+    """Whether a row is of the ``n`` highest-scoring ones, as a predicate on its score and number; equal scores go by row number.
 
-    The score at the cut is found on grouped scores in single precision, which bounds
-    the values in a bucket; among doubles that are equal there, the cut is found again
-    by the exact score. Rows above it pass a filter; rows exactly at it, however many,
-    are cut by row number in chunks.
+    The cut is found on scores grouped in ever finer steps: in buckets, in single
+    precision, which bounds the values in a bucket, and for doubles again among
+    those that are equal there. Rows exactly at it, however many, are cut by number.
     """
     if n <= 0:
-        return negatives.filter(F.lit(False))
-    columns, exact = negatives.columns, negatives
-    negatives = exact.withColumn("_exact", F.col(score)).withColumn(score, F.col(score).cast("float"))
-    groups = negatives.groupBy(score).agg(F.count(F.lit(1)).alias("n"))
-    # the bucket of scores that holds the n-th row, then the score inside it
-    buckets = groups.groupBy(value_bucket(score).alias("_b")).agg(F.sum("n").alias("n"))
-    down = Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    reach = buckets.withColumn("_cum", F.sum("n").over(down)).filter(F.col("_cum") >= n)
-    cut_bucket = reach.orderBy(F.col("_b").desc()).limit(1).first()
-    if cut_bucket is None:
-        return exact
-    above = cut_bucket["_cum"] - cut_bucket["n"]
-    within = Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = (
-        groups.filter(value_bucket(score) == cut_bucket["_b"])
-        .withColumn("_cum", F.sum("n").over(within) + F.lit(above))
-        .filter(F.col("_cum") >= n)
-        .orderBy(F.col(score).desc())
-        .limit(1)
-        .first()
-    )
-    at = F.lit(cut[score]).cast(dict(negatives.dtypes)[score])
-    need = n - (cut["_cum"] - cut["n"])
-    same, above = negatives.filter(F.col(score) == at), negatives.filter(F.col(score) > at)
-    if dict(exact.dtypes)[score] == "double" and cut["n"] > need:
-        # some thousands of buckets between one single-precision value and the next
-        step = max(abs(cut[score]), 2.0**-126) * 2.0**-35
-        same = same.withColumn("_b", F.floor((F.col("_exact") - F.lit(cut[score])) / F.lit(step)))
-        for key in ("_b", "_exact"):
-            run = Window.orderBy(F.col(key).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            counts = same.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-            cut = counts.withColumn("_cum", F.sum("n").over(run)).filter(F.col("_cum") >= need).orderBy(F.col(key).desc()).limit(1).first()
-            above = above.unionByName(same.filter(F.col(key) > F.lit(cut[key])), allowMissingColumns=True)
-            same, need = same.filter(F.col(key) == F.lit(cut[key])), need - (cut["_cum"] - cut["n"])
-        above, same = above.drop("_b"), same.drop("_b")
-    ties = take_first(same, need, row_chunk("row_idx"), [F.col("row_idx")])
-    chosen = above.unionByName(ties)
-    return chosen.withColumn(score, F.col("_exact")).select(*columns)
+        return F.lit(False)
+    exact = F.col(score)
+    steps = [value_bucket(exact.cast("float")), exact.cast("float")]
+    above, same, need, step = F.lit(False), F.lit(True), n, 0
+    while step < len(steps):
+        key = steps[step]
+        cut = _score_cut(negatives.filter(same), key, need)
+        if cut is None:
+            return F.lit(True)
+        value, need, at = cut
+        kind = negatives.select(key.alias("_v")).schema["_v"].dataType
+        above = above | (same & (key > F.lit(value).cast(kind)))
+        same = same & (key == F.lit(value).cast(kind))
+        if at == need:
+            return above | same
+        step += 1
+        if step == 2 and dict(negatives.dtypes)[score] == "double":
+            # some thousands of buckets between one single-precision value and the next
+            width = max(abs(value), 2.0**-126) * 2.0**-35
+            steps += [F.floor((exact - F.lit(value)) / F.lit(width)), exact]
+    last = last_taken(negatives.filter(same), need, row_chunk("row_idx"), ["row_idx"])[0]
+    return above | (same & up_to([F.col("row_idx")], last))
+
+
+def hard_negatives(negatives: DataFrame, n: int, score: str = "score") -> DataFrame:
+    """Exactly the ``n`` highest-scoring rows; equal scores go by row number."""
+    return negatives.filter(hard_rows(negatives, n, score))
 
 
 def block_edges(n: int, blocks: int) -> list[int]:
@@ -226,8 +226,8 @@ def block_edges(n: int, blocks: int) -> list[int]:
     return [n * b // blocks for b in range(blocks + 1)]
 
 
-def temporal_negatives(candidates: DataFrame, n: int, n_candidates: int, blocks: int = 20, seed: int = 42) -> DataFrame:
-    """A draw spread evenly over ``blocks`` equal stretches of the row order.
+def temporal_rows(candidates: DataFrame, n: int, n_candidates: int, blocks: int = 20, seed: int = 42) -> Column:
+    """Whether a candidate is of a draw spread evenly over ``blocks`` equal stretches of the row order, as a predicate.
 
     Quotas are equal, the remainder goes to the first blocks; what a short block
     cannot give is drawn from the rows left over.
@@ -235,28 +235,36 @@ def temporal_negatives(candidates: DataFrame, n: int, n_candidates: int, blocks:
     n = max(0, min(n, n_candidates))
     blocks = max(1, blocks)
     if n == 0:
-        return candidates.filter(F.lit(False))
+        return F.lit(False)
     base, extra = divmod(n, blocks)
     quotas = {b: base + (1 if b < extra else 0) for b in range(blocks)}
     edges = block_edges(n_candidates, blocks)
     sizes = {b: edges[b + 1] - edges[b] for b in range(blocks)}
-    placed = chunk_positions(candidates, name="_pos")
-    # position p lies in block b when edge(b) <= p < edge(b + 1)
-    block = F.expr(f"CAST(((_pos + 1) * {blocks} + {n_candidates} - 1) div {n_candidates} - 1 AS int)")
-    marked = placed.withColumn("_block", block)
-    drawn = draw_exact(marked, {b: min(q, sizes[b]) for b, q in quotas.items()}, seed, group="_block")
-    drawn = drawn.drop("_pos", "_block")
+    # the row number that each block begins with
+    begins = rows_at(candidates, [e for e in edges[1:-1] if e < n_candidates])
+    starts = [begins[e] for e in edges[1:-1] if e in begins]
+    block = F.size(F.filter(F.array(*map(F.lit, starts)), lambda first: first <= F.col("row_idx"))) if starts else F.lit(0)
+    marked = candidates.select("row_idx", block.alias("_block"))
+    last = last_drawn(marked, {b: min(q, sizes[b]) for b, q in quotas.items()}, seed, group="_block")
+    # every draw key lies between the empty text and "g"
+    cuts = [(last[b] or ("g", 0)) if b in last else ("", 0) for b in range(blocks)]
+    at, key = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(r).cast("bigint").alias("row")) for k, r in cuts]), draw_key(seed)
+    cut = F.get(at, block)
+    taken = (key < cut["key"]) | ((key == cut["key"]) & (F.col("row_idx") <= cut["row"]))
     short = sum(max(0, quotas[b] - sizes[b]) for b in range(blocks))
-    if short == 0:
-        return drawn
-    drawn = materialize(drawn, "temporal")
-    left = candidates.join(drawn.select("row_idx"), "row_idx", "left_anti")
-    return drawn.unionByName(draw_exact(left, short, seed + 1))
+    if short:
+        taken = taken | (~taken & drawn(candidates.filter(~taken), short, seed + 1))
+    return taken
+
+
+def temporal_negatives(candidates: DataFrame, n: int, n_candidates: int, blocks: int = 20, seed: int = 42) -> DataFrame:
+    """The candidates that :func:`temporal_rows` takes."""
+    return candidates.filter(temporal_rows(candidates, n, n_candidates, blocks, seed))
 
 
 def global_negatives(candidates: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """Uniform draw of exactly ``n`` rows, or all when there are fewer."""
-    return draw_exact(candidates, n, seed)
+    return candidates.filter(drawn(candidates, n, seed))
 
 
 def without_rows(df: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -280,8 +288,9 @@ def three_pool_selection(
 ) -> tuple[DataFrame, dict]:
     """All positives and three disjoint pools of negatives, as ``(row_idx, pool)``, and their counts.
 
-    ``scored`` holds ``row_idx, label, score`` of the training rows. Each pool is
-    written before the next one is drawn from what it leaves.
+    ``scored`` holds ``row_idx, label, score`` of the training rows. A pool is a
+    predicate on score, row number and draw key, found from counts; one scan tags
+    all rows, without lists of rows or joins.
     """
     facts = scored.agg(
         F.sum(F.col("label").cast("bigint")).alias("pos"),
@@ -305,18 +314,16 @@ def three_pool_selection(
         }
         return rows, counts
     plan = pool_budgets(n_pos, n_neg, p, shares, hard_cap_multiplier)
-    hard = materialize(hard_negatives(negatives, plan["n_hard"]).select("row_idx"), "pool-hard")
-    left = without_rows(negatives.select("row_idx"), hard)
+    hard = hard_rows(negatives, plan["n_hard"])
+    left = negatives.filter(~hard).select("row_idx")
     n_left = n_neg - plan["n_hard"]
-    temporal = materialize(temporal_negatives(left, plan["n_temporal"], n_left, blocks, seed), "pool-temporal")
+    temporal = temporal_rows(left, plan["n_temporal"], n_left, blocks, seed)
     n_temporal = min(plan["n_temporal"], n_left)
     n_global = plan["n_global"] + (plan["n_temporal"] - n_temporal if fill_from_global else 0)
     n_global = min(n_global, n_left - n_temporal)
-    rest = global_negatives(without_rows(left, temporal), n_global, seed + 2)
-    pools = [("hard", hard), ("temporal", temporal), ("global", rest)]
-    rows = positives
-    for name, pool in pools:
-        rows = rows.unionByName(pool.select("row_idx", F.lit(name).alias("pool")))
+    rest = drawn(left.filter(~temporal), n_global, seed + 2)
+    pool = F.when(F.col("label") == 1, "positive").when(hard, "hard").when(temporal, "temporal").when(rest, "global")
+    rows = slim.select("row_idx", pool.alias("pool")).filter("pool IS NOT NULL")
     counts = {
         "n_pos": n_pos,
         "n_neg_total_available": n_neg,

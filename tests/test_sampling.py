@@ -167,3 +167,13 @@ def test_hard_negatives_keep_double_precision(spark):
     best = sorted(rows, key=lambda r: (-r[1], r[0]))
     for n in (1, 6, 37, 200):
         assert {tuple(r) for r in S.hard_negatives(frame, n).collect()} == set(best[:n])
+
+
+def test_pools_are_one_scan(spark):
+    rows = [(i, int(i % 50 == 0), float((i * 7919) % 97) / 97) for i in range(3000)]
+    df = spark.createDataFrame(rows, "row_idx bigint, label int, score double")
+    picked, counts = S.three_pool_selection(df, 0.1, seed=3)
+    plan = picked._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    got = {r["pool"]: r["count"] for r in picked.groupBy("pool").count().collect()}
+    assert got == {"positive": 60, "hard": counts["n_hard_actual"], "temporal": counts["n_temporal_actual"], "global": counts["n_global_actual"]}
