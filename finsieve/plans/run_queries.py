@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from finsieve.functions import scalars as S
@@ -12,6 +14,7 @@ from finsieve.plans.registry import query
 from finsieve.session import scratch_path
 from finsieve.sources import run_records as RR
 
+
 def _rounded(df, names=None, digits=6):
     names = [c for c, t in df.dtypes if t == "double" and c != "target_prevalence"] if names is None else names
     return df.withColumns({c: F.round(c, digits) for c in names})
@@ -53,17 +56,19 @@ def leaderboard_top(spark, sf_dir):
     return _rounded(top.select("rank", "model", "strategy", "target_prevalence", "optimal_threshold", *_TOP))
 
 
+def _records(r):
+    """Configuration, metric records and threshold of a board row, as a run folder holds them."""
+    config = {c: r[c] for c in ("run_id", "model", "strategy", "target_prevalence")}
+    records = {tag: {m: r[f"{m}_{tag}"] for m in (R.THRESHOLD_METRICS if tag.endswith("thresh") else R.DEFAULT_METRICS)} for tag in RR.METRIC_TAGS}
+    return config, records, {"criterion": "f1", "optimal_threshold": r["optimal_threshold"]}
+
+
 @query("scan_run_records", _LEADERBOARD, ("run_board",))
 def scan_run_records(spark, sf_dir):
     root = scratch_path(spark, "runs")
     # one record per run: written folder by folder, as a run writes its own
     for r in T.run_board(spark, sf_dir).collect():
-        config = {c: r[c] for c in ("run_id", "model", "strategy", "target_prevalence")}
-        records = {}
-        for tag in RR.METRIC_TAGS:
-            names = R.THRESHOLD_METRICS if tag.endswith("thresh") else R.DEFAULT_METRICS
-            records[tag] = {m: r[f"{m}_{tag}"] for m in names}
-        RR.save_run(spark, root, config, records, {"criterion": "f1", "optimal_threshold": r["optimal_threshold"]})
+        RR.save_run(spark, root, *_records(r))
     board = R.ranked(RR.scan_run_records(spark, root))
     whole = {c: F.col(c).cast("bigint") for c in _board_columns() if c[:3] in ("tp_", "fp_", "tn_", "fn_")}
     board = board.withColumns(whole)
@@ -85,12 +90,23 @@ _CELL_SQL = """(SELECT DISTINCT CAST((CAST(substr(payment_currency, 4) AS BIGINT
 FROM txn WHERE label = 1 AND payment_format = 'RF' AND CAST(substr(to_bank, 2) AS BIGINT) < 4)"""
 
 
-def _finished(spark, sf_dir):
-    """Grid cells for which the transactions hold a finished run, with the time of the last one."""
+def _run_root(spark, sf_dir):
+    """A folder with a published run of every grid cell for which the transactions hold one, and a half-written one of each other cell."""
     number = lambda c, start: F.substring(c, start, 10).cast("int")
     t = T.txn(spark, sf_dir).filter("label = 1 AND payment_format = 'RF'").filter(number("to_bank", 2) < 4)
     cell = (number("payment_currency", 4) * 6 + number("to_bank", 2)) % 30
-    return t.groupBy(cell.alias("run_no")).agg(F.date_format(F.max("timestamp"), "yyyyMMdd_HHmmss").alias("stamp"))
+    stamps = {r["run_no"]: r["stamp"] for r in t.groupBy(cell.alias("run_no")).agg(F.date_format(F.max("timestamp"), "yyyyMMdd_HHmmss").alias("stamp")).collect()}
+    root = scratch_path(spark, "grid-runs")
+    for r in T.run_board(spark, sf_dir).collect():
+        config, records, threshold = _records(r)
+        config["run_id"] = f"{r['run_id']}__{stamps.get(r['run_no'], '20200101_000000')}"
+        if r["run_no"] in stamps:
+            RR.save_run(spark, root, config, records, threshold)
+        else:
+            # a run that was lost before its marker
+            RR.write_text(spark, f"{root}/{config['run_id']}/{RR.CONFIG_FILE}", json.dumps(config))
+            RR.save_metrics(spark, records["test"], f"{root}/{config['run_id']}", "test")
+    return root
 
 
 @query(
@@ -111,9 +127,8 @@ def experiment_grid(spark, sf_dir):
     ("runs", "txn"),
 )
 def grid_pending(spark, sf_dir):
-    grid = R.experiment_grid(spark)
-    done = grid.join(_finished(spark, sf_dir), "run_no").select(F.concat_ws("__", "run_id", "stamp").alias("run_id"))
-    return R.pending_cells(grid, done).select(F.col("run_no").cast("bigint").alias("run_no"), "model", "strategy", "tag")
+    done = RR.completed_runs(spark, _run_root(spark, sf_dir))
+    return R.pending_cells(R.experiment_grid(spark), done).select(F.col("run_no").cast("bigint").alias("run_no"), "model", "strategy", "tag")
 
 
 @query(
@@ -122,8 +137,8 @@ def grid_pending(spark, sf_dir):
     ("runs", "txn"),
 )
 def grid_status(spark, sf_dir):
-    done = _finished(spark, sf_dir).withColumn("status", F.lit("passed"))
-    grid = R.experiment_grid(spark).join(done, "run_no", "left").withColumn("status", F.coalesce("status", F.lit("pending")))
+    done = R.completed_cells(RR.completed_runs(spark, _run_root(spark, sf_dir))).withColumn("status", F.lit("passed"))
+    grid = R.experiment_grid(spark).join(done, ["model", "strategy", "tag"], "left").withColumn("status", F.coalesce("status", F.lit("pending")))
     return R.status_summary(grid)
 
 
