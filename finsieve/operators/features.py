@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from finsieve.functions import scalars as S
 from finsieve.functions.encoding import encode, fit_encoder
+from finsieve.operators.joins import lookup
 from finsieve.operators.rolling import with_rolling
 from finsieve.schema import ACCOUNT_FEATURES, DERIVED_FEATURES, FEATURES, require_columns
 from finsieve.session import materialize
@@ -45,20 +46,17 @@ def entity_types(accounts: DataFrame) -> DataFrame:
     )
 
 
-def with_entity_types(df: DataFrame, types: DataFrame) -> DataFrame:
+def with_entity_types(df: DataFrame, types: DataFrame, keys_from: DataFrame | None = None, **sizes) -> DataFrame:
     """Type of both parties, 2 for an unknown account.
 
-    The types are stored first: they are worked out once for both joins, which
-    are then planned by the true size of the table.
+    The types are stored first: they are worked out once for both joins. An
+    account that holds many rows does not meet them in one task, however many
+    accounts there are.
     """
     types = materialize(types, "entity-types")
     for role, column in (("sender", "from_account"), ("receiver", "to_account")):
         side = types.select(F.col("account").alias("_acc"), F.col("entity_type").alias("_type"))
-        df = (
-            df.join(side, F.col(column) == F.col("_acc"), "left")
-            .withColumn(f"{role}_entity_type", F.coalesce("_type", F.lit(2)))
-            .drop("_acc", "_type")
-        )
+        df = lookup(df, side, column, "_acc", keys_from, **sizes).withColumn(f"{role}_entity_type", F.coalesce("_type", F.lit(2))).drop("_type")
     return df
 
 
@@ -74,7 +72,7 @@ def account_features(
     keys_from = base if keys_from is None else keys_from
     sent = with_rolling(base, "from_account", "to_account", "sender", scope, keys_from=keys_from, **rolling)
     both = with_rolling(sent, "to_account", "from_account", "receiver", scope, keys_from=keys_from, **rolling)
-    return with_entity_types(both, types)
+    return with_entity_types(both, types, keys_from)
 
 
 def fan_scores(df: DataFrame) -> DataFrame:

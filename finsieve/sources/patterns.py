@@ -31,7 +31,23 @@ def parse_patterns(spark: SparkSession, path: str) -> DataFrame:
 
     Blocks are numbered from 1 in each file. A line with too many fields is
     dropped with its block data; a row without a readable timestamp is dropped.
+    :func:`dropped_lines` counts both.
     """
+    typed = _typed(spark, path).filter(F.col("_surplus").isNull() & F.col("timestamp").isNotNull())
+    # every row of a pattern file is illicit
+    return typed.drop("_surplus").withColumn("is_laundering_csv", F.lit(1))
+
+
+def dropped_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of each file that :func:`parse_patterns` drops: ``file, surplus_fields, bad_timestamp``."""
+    surplus = F.col("_surplus").isNotNull()
+    return _typed(spark, path).groupBy(F.col("file_pos.file").alias("file")).agg(
+        F.count_if(surplus).alias("surplus_fields"), F.count_if(~surplus & F.col("timestamp").isNull()).alias("bad_timestamp")
+    )
+
+
+def _typed(spark: SparkSession, path: str) -> DataFrame:
+    """Every line that is none of the markers, with what exceeds its fields as ``_surplus``."""
     lines = _numbered_lines(spark, path).withColumn("is_begin", F.col("line").startswith(BEGIN_MARKER).cast("int"))
     lines = lines.withColumn("own_type", F.when(F.col("is_begin") == 1, pattern_type(F.col("line"))))
 
@@ -62,7 +78,5 @@ def parse_patterns(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce("open_here", "open_before", F.lit("UNKNOWN")).alias("pattern_type"),
         (F.col("begun_before") + F.col("begun_here")).alias("pattern_block_id"),
         F.struct("file", "piece", "pos").alias("file_pos"),
-    ).filter("f._surplus IS NULL").select("f.*", "pattern_type", "pattern_block_id", "file_pos").drop("_surplus")
-    typed = enforce_types(parsed.withColumn("timestamp", to_timestamp(F.col("timestamp"))))
-    # every row of a pattern file is illicit
-    return typed.filter(F.col("timestamp").isNotNull()).withColumn("is_laundering_csv", F.lit(1))
+    ).select("f.*", "pattern_type", "pattern_block_id", "file_pos")
+    return enforce_types(parsed.withColumn("timestamp", to_timestamp(F.col("timestamp"))))

@@ -90,6 +90,7 @@ def test_pattern_file(spark, tmp_path):
     assert [(r["pattern_type"], r["pattern_block_id"]) for r in got] == [("UNKNOWN", 0), ("FAN-IN", 1), ("UNKNOWN", 2), ("STACK", 3)]
     assert all(r["is_laundering_csv"] == 1 for r in got)
     assert got[1]["amount_paid"] == 3697.34
+    assert [(r["surplus_fields"], r["bad_timestamp"]) for r in P.dropped_lines(spark, str(path)).collect()] == [(1, 1)]
 
 
 def test_pattern_file_read_in_pieces(spark, tmp_path):
