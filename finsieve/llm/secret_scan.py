@@ -18,6 +18,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from finsieve.llm.names import fresh
 from finsieve.session import materialize
 
 #: Labelled findings made by rule when none are handed in, and the size of the forest.
@@ -330,14 +331,17 @@ def _without(text: Column, secrets: Column) -> Column:
 def redact(docs: DataFrame, forest: RandomForestClassificationModel) -> DataFrame:
     """``docs`` with every secret replaced by ``[SECRET]``, and ``n_chars``, where there is one, counted again.
 
-    No row goes. Secrets go back to their texts by the text's hash; a foreign
-    one in case of a collision does not stand at its place and changes nothing.
+    No row goes, and columns of any name are kept. Secrets go back to their texts
+    by the text's hash; a foreign one in case of a collision does not stand at its
+    place and changes nothing. Null and empty texts stay as they are, repeated rows
+    are treated alike, and an empty table gives no rows.
     """
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    found = scan(keyed.select("_text_hash", "text").filter("text IS NOT NULL"), forest).filter("is_secret")
-    secrets = materialize(found.groupBy("_text_hash").agg(F.collect_set(F.struct("start", "value")).alias("_secrets")), "secrets")
-    joined = keyed.join(secrets, "_text_hash", "left")
-    joined = joined.withColumn("text", F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("_secrets"))))
+    key, places = fresh("_text_hash", docs.columns), fresh("_secrets", docs.columns)
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    found = scan(keyed.select(key, "text").filter("text IS NOT NULL"), forest).filter("is_secret")
+    secrets = materialize(found.groupBy(key).agg(F.collect_set(F.struct("start", "value")).alias(places)), "secrets")
+    joined = keyed.join(secrets, key, "left")
+    joined = joined.withColumn("text", F.when(F.col(places).isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col(places))))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("_secrets").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
+        joined = joined.withColumn("n_chars", F.when(F.col(places).isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
     return joined.select(*docs.columns)

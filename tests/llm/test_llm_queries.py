@@ -46,3 +46,16 @@ def test_pipeline(spark):
         if name == "secret scans":
             assert [r["text"] for r in after.filter("doc_id = 6").collect()] == ['here is the token = "[SECRET]" of it']
     assert seen == [[1, 2, 3, 6], [2, 3, 6], [2, 6], [2, 6], [2, 6]]
+
+
+def test_pipeline_without_rows_and_with_clashing_names(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _row string, _secrets string, _text_hash string"
+    docs = spark.createDataFrame([], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        if name != "exact dedup":
+            assert stage(spark, docs, "").columns == docs.columns and stage(spark, docs, "").count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == 0
+    key = "3f9a6c01d2b84e7755aa10cd9be2f7013c4d5e6f"
+    rows = [(1, f'the token = "{key}" of it', "en", "s", 9, "a", "b", "c"), (None, None, None, None, None, "d", "e", "f")]
+    after = corpus_pipeline.redact_secrets(spark, spark.createDataFrame(rows, schema), "").collect()
+    assert sorted((tuple(r) for r in after), key=repr) == sorted([(1, 'the token = "[SECRET]" of it', "en", "s", 28, "a", "b", "c"), rows[1]], key=repr)
