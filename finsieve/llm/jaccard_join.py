@@ -4,14 +4,16 @@ Documents are sets of word n-grams, as 64-bit hashes. Equal sets are one class.
 In an order of all n-grams that puts frequent ones last, two sets can only be
 similar enough if the first few n-grams of both (the prefixes) share MATCHES;
 classes with equal prefix and equal size are one group. Groups meet on the n-grams
-of their prefixes, pairs are filtered by size, position and shared n-grams, and
-their classes are verified on whole sets.
+of their prefixes, pairs are filtered by size, position, parity and shared
+n-grams, and their classes are verified on whole sets.
+
+The parity filter is exact: the n-grams of a set fall into PARITIES cells, and two
+sets whose cells differ in parity at k places differ in k n-grams at least.
 
 Copies in their thousands link all to all, but components need a few of these
-links only. So in a few rounds every component is verified against one or two
-leaders among those it meets; afterwards all remaining candidate pairs between
-different components are verified, which leaves out nothing but links within a
-component.
+links only. So in a few rounds every set is verified against one or two leaders
+among those it meets; afterwards all remaining candidate pairs between different
+components are verified, which leaves out nothing but links within a component.
 """
 
 from __future__ import annotations
@@ -23,12 +25,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finsieve.llm.batches import flat_words, slices, texts_of
 from finsieve.llm.components import components
 from finsieve.llm.names import fresh
+from finsieve.llm.scratch import discard
 from finsieve.session import materialize
 
 #: Number of n-grams, the most frequent of those seen more than once in a slice, that the order
@@ -37,8 +40,13 @@ from finsieve.session import materialize
 ORDERED_NGRAMS = 524_288
 #: N-grams that two prefixes must share; prefixes are longer by one less.
 MATCHES = 3
+#: Cells whose parity is kept of every set, and the names of their numbers of 64 bits.
+PARITIES = 256
+PARITY = ["p0", "p1", "p2", "p3"]
 #: Rounds in which components are verified against leaders; they end early when one links nothing.
 LEADER_ROUNDS = 4
+#: Sets that lead at an n-gram in one round.
+LEADERS = 8
 #: Numbers of 64 bits in the broadcast filter of texts to be read again; the filter only saves shuffling.
 MASKS = 131_072
 
@@ -59,6 +67,10 @@ class Similarity:
         """How many n-grams the prefixes of two linked sets share at least; tiny sets share fewer."""
         return F.least(F.lit(MATCHES), F.ceil(F.least(n, m) * self.percent / 100))
 
+    def least_matches(self, n: Column) -> Column:
+        """How many n-grams the prefix of a set shares at least with that of any set it is linked with."""
+        return F.least(F.lit(MATCHES), F.ceil(n * self.percent * self.percent / 10_000))
+
     def needed(self, n: Column, m: Column) -> Column:
         """Whether sizes alone allow a link."""
         return F.least(n, m) * 100 >= F.greatest(n, m) * self.percent
@@ -102,6 +114,12 @@ def ngram_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     return out
 
 
+def parities(flat: np.ndarray, rows: np.ndarray, sets: int) -> np.ndarray:
+    """Per set, the parity of the number of its n-grams in each cell, as four numbers of 64 bits."""
+    cells = np.bincount(rows * PARITIES + (flat >> np.uint64(56)).astype(np.int64), minlength=sets * PARITIES)
+    return np.packbits((cells & 1).astype(np.uint8).reshape(sets, PARITIES), axis=1).view(np.int64)
+
+
 def _key(ngrams: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(ngrams.tobytes())
 
@@ -137,20 +155,21 @@ def _sets_task(words: int):
 
 
 def _prefix_task(similarity: Similarity, order: Broadcast):
-    """Group, key and prefix of every distinct set of a slice."""
+    """Group, key, prefix and parities of every distinct set of a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ordered, frequency = order.value
         for batch in batches:
             for part in slices(batch, "text"):
-                seen: dict[bytes, tuple[int, int, np.ndarray]] = {}
+                seen: dict[bytes, tuple[int, int, np.ndarray, int]] = {}
                 sets = ngram_sets(texts_of(part), similarity.words)
                 flat = np.concatenate([np.empty(0, np.uint64), *sets])
                 at = np.searchsorted(ordered, flat)
                 at[at == len(ordered)] = 0
                 count = np.where(ordered[at] == flat, frequency[at], 0) if len(ordered) else np.zeros(len(flat), np.int64)
+                parity = parities(flat, np.repeat(np.arange(len(sets)), [len(s) for s in sets]), len(sets))
                 end = 0
-                for s in sets:
+                for row, s in enumerate(sets):
                     end += len(s)
                     key = _key(s)
                     if not len(s) or key in seen:
@@ -162,15 +181,17 @@ def _prefix_task(similarity: Similarity, order: Broadcast):
                         rare = np.concatenate([rare, common[np.lexsort((s[common], own[common]))][: p - len(rare)]])
                     prefix = s[rare]
                     group = xxhash.xxh3_64_intdigest(prefix.tobytes(), seed=len(s)) - 2**63
-                    seen[key] = (group, len(s), prefix.view(np.int64))
+                    seen[key] = (group, len(s), prefix.view(np.int64), row)
+                parity = parity[[x[3] for x in seen.values()]]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(list(seen), pa.binary()),
                         pa.array([x[0] for x in seen.values()], pa.int64()),
                         pa.array([x[1] for x in seen.values()], pa.int64()),
                         pa.array([x[2] for x in seen.values()], pa.list_(pa.int64())),
+                        *(pa.array(np.ascontiguousarray(column)) for column in parity.T),
                     ],
-                    names=["key", "group", "n", "prefix"],
+                    names=["key", "group", "n", "prefix", *PARITY],
                 )
 
     return run
@@ -181,27 +202,24 @@ def _members_task(words: int):
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = ngram_sets(texts_of(part), words)
-                own = {_key(s): s for s in sets if len(s)}
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(own), pa.binary()), pa.array([s.view(np.int64) for s in own.values()], pa.list_(pa.int64()))],
-                    names=["key", "members"],
-                )
+                members = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("set"), members], names=["set", "members"])
 
     return run
 
 
 @dataclass
 class JaccardJoin:
-    """``documents``: ``doc_id, text_hash, n, key`` per row; ``labels``: ``node`` (a key), ``label``."""
+    """``documents``: ``doc_id, text_hash, n, key`` per row; ``sets``: ``key``, its number ``set`` and ``least`` id; ``labels``: ``node`` (a set), ``label``."""
 
     documents: DataFrame
+    sets: DataFrame
     labels: DataFrame
 
     def classes(self) -> DataFrame:
         """``key, component_id`` of every set: the smallest ``doc_id`` of its component."""
-        least = self.documents.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
-        labelled = least.join(self.labels, F.col("key") == F.col("node"), "left")
-        labelled = labelled.select("key", "least", F.coalesce("label", "key").alias("label"))
+        labelled = self.sets.join(self.labels, F.col("set") == F.col("node"), "left")
+        labelled = labelled.select("key", "least", F.coalesce("label", "set").alias("label"))
         smallest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
         return labelled.join(smallest, "label").select("key", "component_id")
 
@@ -228,97 +246,120 @@ def jaccard_join(docs: DataFrame, similarity: Similarity = Similarity()) -> Jacc
     sets = materialize(texts.mapInArrow(_sets_task(similarity.words), _SETS), "ngram-sets")
     documents = sets.select("doc_id", "text_hash", "n", "key")
     order = spark.sparkContext.broadcast(_frequent(sets))
-    prefixes = materialize(
-        texts.select("text").mapInArrow(_prefix_task(similarity, order), "key binary, group long, n long, prefix array<long>"), "prefixes"
-    )
-    # of each set one row, by which its text is found again
-    rows = documents.filter("n > 0").groupBy("key").agg(F.min(F.struct("text_hash", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"))).alias("at"))
-    rows = materialize(rows.select("key", "at.text_hash", "at.id"), "set-rows")
+    columns = "key binary, group long, n long, prefix array<long>, " + ", ".join(f"{p} long" for p in PARITY)
+    prefixes = materialize(texts.select("text").mapInArrow(_prefix_task(similarity, order), columns), "prefixes")
+    order.unpersist()
+    # of each set its number, smallest id, and one row, by which its text is found again
+    at = F.min(F.struct("text_hash", F.coalesce("doc_id", F.lit(-(2**63))).alias("id")))
+    rows = documents.filter("n > 0").groupBy("key").agg(at.alias("at"), F.min("doc_id").alias("least"))
+    rows = materialize(rows.select("key", "at.text_hash", "at.id", "least", F.monotonically_increasing_id().alias("set")), "set-rows")
 
     # n-grams that the prefixes of two groups share; sizes and positions go along in one number
     tokens = prefixes.select("group", (F.col("n") * 2**31).alias("base"), F.posexplode("prefix").alias("pos", "ngram"))
     tokens = tokens.select("ngram", "group", (F.col("base") + F.col("pos")).alias("size_pos"))
     shared = tokens.groupBy("ngram").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("ngram")
-    meeting = materialize(tokens.join(shared, "ngram").distinct().withColumns({"n": F.shiftright("size_pos", 31), "pos": F.col("size_pos") % 2**31}), "meeting")
-    members = materialize(prefixes.select("group", "key", "n").distinct(), "group-members")
-    whole = spark.createDataFrame([], "key binary, members array<long>")
-    links = spark.createDataFrame([], "a binary, b binary")
-    labels = spark.createDataFrame([], "node binary, label binary")
+    meeting = materialize(tokens.join(shared, "ngram").distinct().withColumns({"n": F.shiftright("size_pos", 31), "pos": F.col("size_pos") % 2**31}).drop("size_pos"), "meeting")
+    members = prefixes.select("group", "key", "n", *PARITY).distinct().join(rows.select("key", "set"), "key").drop("key")
+    members = materialize(members, "group-members")
+    discard(prefixes)
+    whole = spark.createDataFrame([], "set long, members array<long>")
+    links = spark.createDataFrame([], "a long, b long")
+    labels = spark.createDataFrame([], "node long, label long")
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Adds what is linked of ``pairs`` to ``links``, and the sets read for it to ``whole``."""
         nonlocal whole, links
-        missing = _keys(pairs).join(whole.select("key"), "key", "left_anti")
-        whole = whole.unionByName(_whole_sets(texts, rows.join(missing, "key"), similarity))
+        missing = _keys(pairs).join(whole.select("set"), "set", "left_anti")
+        whole = whole.unionByName(_whole_sets(texts, rows.join(missing, "set"), similarity))
         found = _verified(pairs, whole, similarity)
         links = links.unionByName(found)
         return found
 
     for turn in range(LEADER_ROUNDS):
         labelled = _labelled(members, labels)
-        pairs = materialize(_leader_pairs(meeting, labelled, similarity, turn), "leader-pairs")
-        if pairs.isEmpty() or verify(pairs).isEmpty():
+        met = materialize(_open_sets(meeting, labelled, similarity), "open-sets")
+        pairs = materialize(_leader_pairs(met, labelled, similarity, turn), "leader-pairs")
+        discard(met)
+        linked = not pairs.isEmpty() and not verify(pairs).isEmpty()
+        discard(labelled, pairs)
+        if not linked:
             break
         labels = components(links)
-    pairs = materialize(_remaining_pairs(meeting, _labelled(members, labels), similarity), "remaining-pairs")
+    labelled = _labelled(members, labels)
+    met = materialize(_open_sets(meeting, labelled, similarity), "open-sets")
+    pairs = materialize(_remaining_pairs(met, labelled, similarity), "remaining-pairs")
+    discard(met, labelled)
     if not pairs.isEmpty() and not verify(pairs).isEmpty():
         labels = components(links)
-    return JaccardJoin(documents, labels)
+    return JaccardJoin(documents, rows.select("key", "set", "least"), labels)
+
+
+def _may_link(similarity: Similarity, a: str, b: str) -> Column:
+    """Whether size and parities allow a link between two sets of different components."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    apart = sum((F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in PARITY), F.lit(0))
+    most = F.shiftright(n + m - apart, 1)
+    return (F.col(f"{a}.label") != F.col(f"{b}.label")) & similarity.needed(n, m) & similarity.linked(most, n, m)
 
 
 def _may_reach(similarity: Similarity, a: str, b: str) -> Column:
     """At one of their first shared n-grams, two sets can still be similar enough by what follows it."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     most = similarity.matches(n, m) - 1 + F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos"))
-    return similarity.needed(n, m) & similarity.linked(F.least(most, n, m), n, m)
+    return similarity.linked(F.least(most, n, m), n, m)
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """``group, key, label`` of every set; one without a link is its own label."""
-    joined = members.join(labels, F.col("key") == F.col("node"), "left")
-    return materialize(joined.select("group", "key", F.coalesce("label", "key").alias("label")), "labelled-members")
+    """``group, set, label``, size and parities of every set; one without a link is its own label."""
+    joined = members.join(labels, F.col("set") == F.col("node"), "left")
+    return materialize(joined.select("group", "set", "n", F.coalesce("label", "set").alias("label"), *PARITY), "labelled-members")
+
+
+def _open_sets(meeting: DataFrame, labelled: DataFrame, similarity: Similarity) -> DataFrame:
+    """The sets at the n-grams where several components meet, without those that are at too few of them to link."""
+    sets = meeting.select("ngram", "group", "pos").join(labelled.select("group", "set", "n", "label"), "group")
+    several = sets.groupBy("ngram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("ngram")
+    met = sets.select("ngram", "set", "n").join(several, "ngram")
+    enough = met.groupBy("set", "n").agg(F.count(F.lit(1)).alias("open")).filter(F.col("open") >= similarity.least_matches(F.col("n")))
+    enough = enough.select("set").join(labelled, "set")
+    return meeting.select("ngram", "group", "pos").join(several, "ngram").join(enough, "group")
+
+
+def _candidates(met: DataFrame, others: DataFrame, on: list[Column], similarity: Similarity) -> DataFrame:
+    """Pairs of ``met`` (``a``) and ``others`` (``b``) that pass all filters, with ``shared`` n-grams and labels."""
+    pairs = met.alias("a").join(others.alias("b"), [*on, _may_link(similarity, "a", "b") & _may_reach(similarity, "a", "b")])
+    counted = pairs.groupBy(F.col("a.set").alias("a"), F.col("b.set").alias("b")).agg(
+        F.count(F.lit(1)).alias("shared"),
+        *(F.first(f"{side}.{c}").alias(f"{c}_{side}") for side in "ab" for c in ("n", "label")),
+    )
+    return counted.filter(F.col("shared") >= similarity.matches(F.col("n_a"), F.col("n_b")))
 
 
-def _leader_pairs(meeting: DataFrame, labelled: DataFrame, similarity: Similarity, turn: int) -> DataFrame:
-    """Pairs ``a, b`` of sets in different components, a few for each.
+def _leader_pairs(met: DataFrame, labelled: DataFrame, similarity: Similarity, turn: int) -> DataFrame:
+    """Pairs ``a, b`` of sets in different components, two at most for each set and one for two components.
 
-    At every n-gram and band of sizes one component leads; each other one there is
-    paired with it, and keeps its two leaders that it meets at most n-grams. Sets
-    of one group are paired with the group's leader.
+    At every n-gram and band of sizes LEADERS sets lead, others in every round.
+    Sets of one group are paired with the group's leader.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / similarity.percent)))).cast("int")
-    sets = meeting.withColumn("band", band).join(labelled, "group")
-    # of each component the first set at this n-gram stands for it
-    first = sets.groupBy("ngram", "band", "label").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("order"), "key", "n", "pos")).alias("x"))
-    first = materialize(first.select("ngram", "band", "label", "x.*"), "component-sets")
-    lead = first.groupBy("ngram", "band").agg(F.min(F.struct(F.xxhash64("label", F.lit(turn)).alias("by"), "label", "key", "n", "pos")).alias("lead"), F.count(F.lit(1)).alias("labels"))
-    lead = lead.filter("labels > 1").select("ngram", "band", "lead.*")
-    met = first.alias("a").join(lead.alias("b"), ["ngram", "band"]).filter((F.col("a.label") != F.col("b.label")) & _may_reach(similarity, "a", "b"))
-    counted = met.groupBy(F.col("a.label").alias("label"), F.col("b.label").alias("other")).agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("a.key").alias("a"), F.col("b.key").alias("b"))).alias("pair")
-    )
-    best = counted.groupBy("label").agg(F.max(F.struct("n", "pair")).alias("most"), F.max_by("pair", F.xxhash64("other")).alias("any"))
-    across = best.select(F.explode(F.array_distinct(F.array("most.pair", "any"))).alias("pair")).select("pair.*")
-    leaders = labelled.groupBy("group").agg(F.min(F.struct("key", "label")).alias("leader"))
-    within = labelled.join(leaders, "group").filter("label <> leader.label").select(F.col("leader.key").alias("a"), F.col("key").alias("b"))
+    met = met.withColumn("band", band)
+    turns = Window.partitionBy("ngram", "band").orderBy(F.xxhash64("set", F.lit(turn)), "set")
+    leaders = met.withColumn("place", F.row_number().over(turns)).filter(F.col("place") <= LEADERS).drop("place")
+    counted = _candidates(met, leaders, [F.col("a.ngram") == F.col("b.ngram"), F.col("a.band") == F.col("b.band")], similarity)
+    counted = counted.groupBy("label_a", "label_b").agg(F.max_by(F.struct("a", "b", "shared"), F.struct("shared", "a", "b")).alias("x")).select("x.*")
+    best = counted.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("most"), F.max_by("b", F.xxhash64("b")).alias("any"))
+    across = best.select("a", F.explode(F.array_distinct(F.array("most", "any"))).alias("b"))
+    first = labelled.groupBy("group").agg(F.min(F.struct("set", "label")).alias("leader"))
+    within = labelled.join(first, "group").filter("label <> leader.label").select(F.col("leader.set").alias("a"), F.col("set").alias("b"))
     return _ordered_pairs(across.unionByName(within))
 
 
-def _remaining_pairs(meeting: DataFrame, labelled: DataFrame, similarity: Similarity) -> DataFrame:
+def _remaining_pairs(met: DataFrame, labelled: DataFrame, similarity: Similarity) -> DataFrame:
     """All candidate pairs ``a, b`` of sets in different components."""
-    sets = meeting.select("ngram", "group", "n", "pos").join(labelled, "group")
-    several = sets.groupBy("ngram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("ngram")
-    open_sets = materialize(sets.join(several, "ngram"), "open-sets")
-    a, b = open_sets.alias("a"), open_sets.alias("b")
-    across = a.join(b, F.col("a.ngram") == F.col("b.ngram")).filter(
-        (F.col("a.key") < F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & (F.col("a.group") != F.col("b.group")) & _may_reach(similarity, "a", "b")
-    )
-    pair = [F.col("a.key").alias("a"), F.col("b.key").alias("b")]
-    counted = across.groupBy(*pair).agg(F.count(F.lit(1)).alias("shared"), F.first("a.n").alias("n"), F.first("b.n").alias("m"))
-    across = counted.filter(F.col("shared") >= similarity.matches(F.col("n"), F.col("m")))
+    across = _candidates(met, met, [F.col("a.ngram") == F.col("b.ngram"), F.col("a.set") < F.col("b.set")], similarity).select("a", "b")
     a, b = labelled.alias("a"), labelled.alias("b")
-    within = a.join(b, F.col("a.group") == F.col("b.group")).filter((F.col("a.key") < F.col("b.key")) & (F.col("a.label") != F.col("b.label")))
-    return _ordered_pairs(across.select("a", "b").unionByName(within.select(*pair)))
+    within = a.join(b, [F.col("a.group") == F.col("b.group"), F.col("a.set") < F.col("b.set"), _may_link(similarity, "a", "b")])
+    return _ordered_pairs(across.unionByName(within.select(F.col("a.set").alias("a"), F.col("b.set").alias("b"))))
 
 
 def _ordered_pairs(pairs: DataFrame) -> DataFrame:
@@ -326,26 +367,28 @@ def _ordered_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def _keys(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    return pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
 
 
 def _whole_sets(texts: DataFrame, wanted: DataFrame, similarity: Similarity) -> DataFrame:
-    """``key, members`` of the rows ``wanted`` (``text_hash``, ``id``), from their texts again."""
-    wanted = materialize(wanted.select("text_hash", "id").distinct(), "wanted-rows")
+    """``set, members`` of the sets ``wanted`` (``text_hash``, ``id``, ``set``), from their texts again."""
+    wanted = materialize(wanted.select("text_hash", "id", "set"), "wanted-rows")
     # one bit per hash, in MASKS numbers at most: keeps most other texts out of the shuffle of the exact join
     bit = F.pmod(F.col("text_hash"), F.lit(64 * MASKS))
     masks = wanted.select(F.floor(bit / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("one"))
     masks = masks.groupBy("word").agg(F.bit_or("one").alias("mask"))
     near = texts.withColumns({"id": F.coalesce("doc_id", F.lit(-(2**63))), "word": F.floor(bit / 64).cast("int"), "one": F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))})
     near = near.join(F.broadcast(masks), "word").filter(F.col("mask").bitwiseAND(F.col("one")) != 0).select("text_hash", "id", "text")
-    found = near.join(wanted, ["text_hash", "id"], "left_semi").dropDuplicates(["text_hash", "id"]).select("text")
-    return materialize(found.mapInArrow(_members_task(similarity.words), "key binary, members array<long>"), "members")
+    found = near.join(wanted, ["text_hash", "id"]).dropDuplicates(["set"]).select("set", "text")
+    members = materialize(found.mapInArrow(_members_task(similarity.words), "set long, members array<long>"), "members")
+    discard(wanted)
+    return members
 
 
 def _verified(pairs: DataFrame, whole: DataFrame, similarity: Similarity) -> DataFrame:
     """The ``a, b`` of ``pairs`` whose whole sets are similar enough."""
-    both = pairs.join(whole.select(F.col("key").alias("a"), F.col("members").alias("of_a")), "a")
-    both = both.join(whole.select(F.col("key").alias("b"), F.col("members").alias("of_b")), "b")
+    both = pairs.join(whole.select(F.col("set").alias("a"), F.col("members").alias("of_a")), "a")
+    both = both.join(whole.select(F.col("set").alias("b"), F.col("members").alias("of_b")), "b")
     shared = F.size(F.array_intersect("of_a", "of_b")).cast("long")
     linked = similarity.linked(shared, F.size("of_a").cast("long"), F.size("of_b").cast("long"))
     return materialize(both.filter(linked).select("a", "b"), "links")

@@ -112,6 +112,33 @@ def test_prefix_length():
     assert [s.prefix(n) for n in (1, 2, 6, 7, 20, 100)] == [1, 2, 3, 4, 6, 18]
 
 
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        pool = rng.integers(0, 2**63, 400, dtype=np.uint64) * np.uint64(2)
+        sets = [np.unique(rng.choice(pool, rng.integers(1, 300), replace=False)) for _ in range(2)] + [np.empty(0, np.uint64)]
+        rows = np.repeat(np.arange(3), [len(s) for s in sets])
+        a, b, none = jaccard_join.parities(np.concatenate(sets), rows, 3)
+        apart = sum(int(x ^ y).bit_count() for x, y in zip(a.view(np.uint64).tolist(), b.view(np.uint64).tolist(), strict=True))
+        differ = len(np.setxor1d(sets[0], sets[1]))
+        assert apart <= differ and apart % 2 == differ % 2 and not none.any()
+
+
+def test_jaccard_chain_of_near_copies(spark):
+    """Neighbours link, distant ones do not: leaders find few of the links, the last step has to find the rest."""
+    words = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(60):
+        words[i] = f"other{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join(f"x{j}" for j in range(i, i + 40))) for i in range(30)]
+    random.Random(1).shuffle(rows)
+    docs = spark.createDataFrame([(d, t, 1, "k") for d, t in rows], DOCS).repartition(7)
+    similarity = jaccard_join.Similarity(5, 80)
+    got = [tuple(r) for r in jaccard_join.linked_documents(docs, similarity).collect()]
+    assert sorted(got) == sorted(_linked_by_hand(rows, similarity)) and len({r[2] for r in got}) == 2
+
+
 def test_components_of_a_chain(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (200, 200)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
