@@ -275,20 +275,22 @@ def jaccard_join(docs: DataFrame, similarity: Similarity = Similarity()) -> Jacc
         links = links.unionByName(found)
         return found
 
+    several = members.groupBy("group").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("group")
+    grouped = materialize(members.join(several, "group"), "grouped-sets")
+    met = materialize(_meeting_sets(meeting, members, similarity), "open-sets")
+    discard(meeting, members)
     for turn in range(LEADER_ROUNDS):
-        labelled = _labelled(members, labels)
-        met = materialize(_open_sets(meeting, labelled, similarity), "open-sets")
-        pairs = materialize(_leader_pairs(met, labelled, similarity, turn), "leader-pairs")
-        discard(met)
+        pairs = materialize(_leader_pairs(met, _labelled(grouped, labels), similarity, turn), "leader-pairs")
         linked = not pairs.isEmpty() and not verify(pairs).isEmpty()
-        discard(labelled, pairs)
+        discard(pairs)
         if not linked:
             break
         labels = components(links)
-    labelled = _labelled(members, labels)
-    met = materialize(_open_sets(meeting, labelled, similarity), "open-sets")
-    pairs = materialize(_remaining_pairs(met, labelled, similarity), "remaining-pairs")
-    discard(met, labelled)
+        still = materialize(_open_sets(met, labels), "open-sets")
+        discard(met)
+        met = still
+    pairs = materialize(_remaining_pairs(met, _labelled(grouped, labels), similarity), "remaining-pairs")
+    discard(met, grouped)
     if not pairs.isEmpty() and not verify(pairs).isEmpty():
         labels = components(links)
     return JaccardJoin(documents, rows.select("key", "set", "least"), labels)
@@ -309,20 +311,25 @@ def _may_reach(similarity: Similarity, a: str, b: str) -> Column:
     return similarity.linked(F.least(most, n, m), n, m)
 
 
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """``group, set, label``, size and parities of every set; one without a link is its own label."""
-    joined = members.join(labels, F.col("set") == F.col("node"), "left")
-    return materialize(joined.select("group", "set", "n", F.coalesce("label", "set").alias("label"), *PARITY), "labelled-members")
+def _labelled(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """``sets`` with the ``label`` of each; one without a link is its own label."""
+    joined = sets.join(labels, F.col("set") == F.col("node"), "left")
+    return joined.withColumn("label", F.coalesce("label", "set")).drop("node")
+
+
+def _meeting_sets(meeting: DataFrame, members: DataFrame, similarity: Similarity) -> DataFrame:
+    """The sets at every n-gram with ``pos``, size, parities and ``label``, without those at too few n-grams to link."""
+    at = meeting.groupBy("group", "n").agg(F.count(F.lit(1)).alias("ngrams"))
+    enough = at.filter(F.col("ngrams") >= similarity.least_matches(F.col("n"))).select("group")
+    sets = members.join(enough, "group").withColumn("label", F.col("set"))
+    return meeting.select("ngram", "group", "pos").join(sets, "group").drop("group")
 
 
-def _open_sets(meeting: DataFrame, labelled: DataFrame, similarity: Similarity) -> DataFrame:
-    """The sets at the n-grams where several components meet, without those that are at too few of them to link."""
-    sets = meeting.select("ngram", "group", "pos").join(labelled.select("group", "set", "n", "label"), "group")
-    several = sets.groupBy("ngram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("ngram")
-    met = sets.select("ngram", "set", "n").join(several, "ngram")
-    enough = met.groupBy("set", "n").agg(F.count(F.lit(1)).alias("open")).filter(F.col("open") >= similarity.least_matches(F.col("n")))
-    enough = enough.select("set").join(labelled, "set")
-    return meeting.select("ngram", "group", "pos").join(several, "ngram").join(enough, "group")
+def _open_sets(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """``met`` under new labels, at the n-grams where several components meet; closed ones never open again."""
+    labelled = _labelled(met.drop("label"), labels)
+    several = labelled.groupBy("ngram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("ngram")
+    return labelled.join(several, "ngram")
 
 
 def _candidates(met: DataFrame, others: DataFrame, on: list[Column], similarity: Similarity) -> DataFrame:
@@ -335,7 +342,7 @@ def _candidates(met: DataFrame, others: DataFrame, on: list[Column], similarity:
     return counted.filter(F.col("shared") >= similarity.matches(F.col("n_a"), F.col("n_b")))
 
 
-def _leader_pairs(met: DataFrame, labelled: DataFrame, similarity: Similarity, turn: int) -> DataFrame:
+def _leader_pairs(met: DataFrame, grouped: DataFrame, similarity: Similarity, turn: int) -> DataFrame:
     """Pairs ``a, b`` of sets in different components, two at most for each set and one for two components.
 
     At every n-gram and band of sizes LEADERS sets lead, others in every round.
@@ -349,15 +356,15 @@ def _leader_pairs(met: DataFrame, labelled: DataFrame, similarity: Similarity, t
     counted = counted.groupBy("label_a", "label_b").agg(F.max_by(F.struct("a", "b", "shared"), F.struct("shared", "a", "b")).alias("x")).select("x.*")
     best = counted.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("most"), F.max_by("b", F.xxhash64("b")).alias("any"))
     across = best.select("a", F.explode(F.array_distinct(F.array("most", "any"))).alias("b"))
-    first = labelled.groupBy("group").agg(F.min(F.struct("set", "label")).alias("leader"))
-    within = labelled.join(first, "group").filter("label <> leader.label").select(F.col("leader.set").alias("a"), F.col("set").alias("b"))
+    first = grouped.groupBy("group").agg(F.min(F.struct("set", "label")).alias("leader"))
+    within = grouped.join(first, "group").filter("label <> leader.label").select(F.col("leader.set").alias("a"), F.col("set").alias("b"))
     return _ordered_pairs(across.unionByName(within))
 
 
-def _remaining_pairs(met: DataFrame, labelled: DataFrame, similarity: Similarity) -> DataFrame:
+def _remaining_pairs(met: DataFrame, grouped: DataFrame, similarity: Similarity) -> DataFrame:
     """All candidate pairs ``a, b`` of sets in different components."""
     across = _candidates(met, met, [F.col("a.ngram") == F.col("b.ngram"), F.col("a.set") < F.col("b.set")], similarity).select("a", "b")
-    a, b = labelled.alias("a"), labelled.alias("b")
+    a, b = grouped.alias("a"), grouped.alias("b")
     within = a.join(b, [F.col("a.group") == F.col("b.group"), F.col("a.set") < F.col("b.set"), _may_link(similarity, "a", "b")])
     return _ordered_pairs(across.unionByName(within.select(F.col("a.set").alias("a"), F.col("b.set").alias("b"))))
 
