@@ -107,6 +107,23 @@ def prefix_sums(
     )
 
 
+def running_best(df: DataFrame, value: str, names: list[str]) -> DataFrame:
+    """``top_<name>``: the greatest of each of ``names`` among the rows whose ``value`` is this row's or more.
+
+    ``df`` holds one row per value; sorted in buckets, as in :func:`prefix_sums`.
+    """
+    b = df.withColumn("_b", value_bucket(value))
+    higher = Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    # one row per bucket
+    totals = b.groupBy("_b").agg(*[F.max(c).alias(f"_t_{c}") for c in names])
+    carried = totals.select("_b", *[F.max(f"_t_{c}").over(higher).alias(f"_c_{c}") for c in names])
+    local = Window.partitionBy("_b").orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = b.withColumns({f"_l_{c}": F.max(c).over(local) for c in names}).join(carried, "_b")
+    return out.withColumns({f"top_{c}": F.greatest(f"_l_{c}", f"_c_{c}") for c in names}).drop(
+        "_b", *[f"_l_{c}" for c in names], *[f"_c_{c}" for c in names]
+    )
+
+
 def chunk_positions(df: DataFrame, row_idx: str = "row_idx", name: str = "pos", bits: int = CHUNK_BITS) -> DataFrame:
     """Positions 0..n-1 of a subset of numbered rows, in row order."""
     c = df.withColumn("_c", row_chunk(row_idx, bits))

@@ -1,6 +1,7 @@
 """Experiment grid, leaderboard and comparison tables over run records.
 
 Run tables hold one row per experiment, so plain sorts and windows are fine here.
+Only the Pareto front also takes tables of any size, such as all thresholds of all runs.
 """
 
 from __future__ import annotations
@@ -9,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from finsieve.functions import scalars as S
+from finsieve.operators.joins import lookup
+from finsieve.operators.ordering import running_best
 from finsieve.schema import require_columns
+from finsieve.session import materialize
 
 # fixed values: the published grid
 GRID_MODELS = ("random_forest", "xgboost")
@@ -200,27 +204,43 @@ def mark_operating_points(points: DataFrame) -> DataFrame:
     )
 
 
-def pareto_front(rows: DataFrame, key: str = "configuration") -> DataFrame:
+def pareto_front(rows: DataFrame) -> DataFrame:
     """Add ``is_pareto``: no other row is at least as good on recall, precision and
-    false alarms per hit and better on one. A missing ratio counts as infinite.
-
-    The table is a short list of configurations, compared with itself.
+    false alarms per hit and better on one.
+
+    A missing ratio counts as infinite; a row without recall or precision is on the
+    front and beats none. Every row is held against the two best rows of those with
+    its recall or more, the one of highest precision and the one of fewest false
+    alarms: it is on the front if it equals one and off if one beats it. Where the
+    ratio follows from the precision these are the same row and decide for all.
+    Rows they leave open are compared with those that may still be on the front.
     """
-    goals = rows.select(key, "recall", "precision", F.coalesce("fp_per_tp", F.lit(float("inf"))).alias("cost"))
-    a, b = goals.alias("a"), goals.alias("b")
-    c = lambda side, name: F.col(f"{side}.{name}")
-    at_least = (
-        (c("b", "recall") >= c("a", "recall"))
-        & (c("b", "precision") >= c("a", "precision"))
-        & (c("b", "cost") <= c("a", "cost"))
-    )
-    better = (
-        (c("b", "recall") > c("a", "recall"))
-        | (c("b", "precision") > c("a", "precision"))
-        | (c("b", "cost") < c("a", "cost"))
-    )
-    front = a.join(b, (c("a", key) != c("b", key)) & at_least & better, "left_anti").select(key, F.lit(True).alias("_on"))
-    return rows.join(front, key, "left").withColumn("is_pareto", F.coalesce("_on", F.lit(False))).drop("_on")
+    cost = F.coalesce(F.nanvl(F.col("fp_per_tp").cast("double"), F.lit(float("inf"))), F.lit(float("inf")))
+    p, c, r = F.col("precision").alias("p"), (-cost).alias("c"), F.col("recall").alias("r")
+    known = rows.filter("recall IS NOT NULL AND precision IS NOT NULL")
+    at = known.groupBy(F.col("recall").alias("_recall")).agg(F.max(F.struct(p, c, r)).alias("sharp"), F.max(F.struct(c, p, r)).alias("calm"))
+    best = materialize(running_best(at, "_recall", ["sharp", "calm"]).select("_recall", "top_sharp", "top_calm"), "best-rows")
+
+    def beats(q, own=(F.col("precision"), -cost, F.col("recall"))):
+        reached = [q[n] >= x for n, x in zip("pcr", own, strict=True)]
+        higher = [q[n] > x for n, x in zip("pcr", own, strict=True)]
+        return F.coalesce(reached[0] & reached[1] & reached[2] & (higher[0] | higher[1] | higher[2]), F.lit(False))
+
+    def equals(q):
+        return F.coalesce((q["p"] == F.col("precision")) & (q["c"] == -cost) & (q["r"] == F.col("recall")), F.lit(False))
+
+    sharp, calm = F.col("top_sharp"), F.col("top_calm")
+    off = F.when(equals(sharp) | equals(calm) | sharp.isNull(), False).when(beats(sharp) | beats(calm), True)
+    judged = materialize(lookup(rows, best, "recall", "_recall").withColumn("_off", off).drop("top_sharp", "top_calm"), "judged-rows")
+    goals = F.struct(p, c, r)
+    left = judged.filter("_off IS NULL").select(goals.alias("_g")).distinct()
+    if left.isEmpty():
+        return judged.withColumn("is_pareto", ~F.col("_off")).drop("_off")
+    rivals = judged.filter("_off IS NULL OR (NOT _off AND recall IS NOT NULL AND precision IS NOT NULL)").select(goals.alias("_q")).distinct()
+    g = F.col("_g")
+    beaten = materialize(left.join(rivals, beats(F.col("_q"), (g["p"], g["c"], g["r"])), "left_semi"), "beaten-rows")
+    found = judged.withColumn("_mine", goals).join(beaten.withColumn("_beaten", F.lit(True)), F.col("_mine") == F.col("_g"), "left")
+    return found.withColumn("is_pareto", ~F.coalesce("_off", "_beaten", F.lit(False))).drop("_off", "_mine", "_g", "_beaten")
 
 
 def baseline_invariance(board: DataFrame) -> DataFrame:
@@ -289,7 +309,7 @@ def anchor_comparison(board: DataFrame, pool_board: DataFrame, model: str = "xgb
     """Six anchors and three three-pool rows with their Pareto flag."""
     rows = anchor_runs(board, model).unionByName(three_pool_rows(pool_board))
     # the same run may stand in two anchor rows, so the place in the table is the key
-    return pareto_front(rows, "position")
+    return pareto_front(rows)
 
 
 def prevalence_table(pool_board: DataFrame) -> DataFrame:

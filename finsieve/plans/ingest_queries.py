@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from finsieve.functions import cleaning as C
 from finsieve.functions import scalars as S
 from finsieve.operators import labels as L
+from finsieve.operators.datasets import build_dataset
 from finsieve.operators.ordering import with_global_position
 from finsieve.operators.splitting import split_chronological, split_stats
 from finsieve.plans import tables as T
 from finsieve.plans.oracle_views import KEY, finite
 from finsieve.plans.registry import query
-from finsieve.schema import RAW_COLUMNS
+from finsieve.schema import ACCOUNT_COLUMNS, RAW_COLUMNS
 from finsieve.session import scratch_path
 from finsieve.sources import patterns as P
 from finsieve.sources import stored
@@ -105,6 +106,30 @@ def parse_pattern_blocks(spark, sf_dir):
     )
 
 
+_IN_ORDER = ", ".join(f"{c} NULLS FIRST" for c in RAW_COLUMNS)
+
+
+@query(
+    "dataset_build",
+    f""", placed AS (SELECT *, row_number() OVER (ORDER BY {_IN_ORDER}) - 1 AS pos, count(*) OVER () AS n FROM typed)
+SELECT CASE WHEN pos < trunc(n * 0.70::DOUBLE) THEN 'train' WHEN pos < trunc(n * (0.70::DOUBLE + 0.15::DOUBLE)) THEN 'val' ELSE 'test' END AS split,
+       count(*) AS n_rows, CAST(sum(is_laundering_csv) AS BIGINT) AS n_positive, CAST(count(*) - sum(is_laundering_csv) AS BIGINT) AS n_negative,
+       CAST(sum(pos) AS BIGINT) AS positions, strftime(min(timestamp), '%Y-%m-%d %H:%M:%S') AS date_start, strftime(max(timestamp), '%Y-%m-%d %H:%M:%S') AS date_end,
+       (SELECT count(*) FROM listed) AS n_accounts FROM placed GROUP BY 1""",
+    ("typed", "listed"),
+)
+def dataset_build(spark, sf_dir):
+    """From a raw file to the stored splits in one call, read back split by split."""
+    files, holders = scratch_path(spark, "raw-csv"), scratch_path(spark, "holders-csv")
+    T.raw(spark, sf_dir).select(*RAW_COLUMNS).write.csv(files, header=True)
+    listed = T.listed_accounts(spark, sf_dir)
+    listed.select(*[F.col(c) if c in listed.columns else F.lit("x").alias(c) for c in ACCOUNT_COLUMNS]).write.csv(holders, header=True)
+    made = build_dataset(spark, scratch_path(spark, "dataset"), files, holders)
+    rows = made.split("train").unionByName(made.split("val")).unionByName(made.split("test"))
+    positions = rows.groupBy("split").agg(F.sum("row_idx").alias("positions"))
+    return split_stats(rows).drop("illicit_ratio").join(positions, "split").join(F.broadcast(made.summary.select("n_accounts")))
+
+
 @query(
     "score_table_contiguity",
     """SELECT split, count(*) AS n, min(i) AS min_idx, max(i) AS max_idx, count(DISTINCT i) AS n_distinct,

@@ -7,7 +7,10 @@ import json
 from pyspark.sql import functions as F
 
 from finsieve.functions import scalars as S
+from finsieve.operators import experiments as E
 from finsieve.operators import runs as R
+from finsieve.operators.ranking import curve_rates
+from finsieve.operators.thresholds import curve_of_groups, score_groups
 from finsieve.plans import tables as T
 from finsieve.plans.ranking_queries import _OPERATING, _RECORD, operating
 from finsieve.plans.registry import query
@@ -235,7 +238,48 @@ def pareto_front(spark, sf_dir):
         F.col("recall_test_thresh").alias("recall"),
         S.fp_per_tp(F.col("fp_test_thresh"), F.col("tp_test_thresh")).alias("fp_per_tp"),
     )
-    return R.pareto_front(board, "run_id").select("run_id", "is_pareto")
+    return R.pareto_front(board).select("run_id", "is_pareto")
+
+
+@query(
+    "pareto_front_points",
+    """, x AS (SELECT run_no, s, CAST(cp AS DOUBLE) / cn AS precision, CASE WHEN p_all > 0 THEN CAST(cp AS DOUBLE) / p_all ELSE 1 END AS recall,
+    CASE WHEN cp > 0 THEN CAST(cn - cp AS DOUBLE) / cp ELSE 'inf'::DOUBLE END AS cost FROM run_curve WHERE split = 'test'),
+goals AS (SELECT DISTINCT precision, recall, cost FROM x),
+beaten AS (SELECT DISTINCT a.precision, a.recall, a.cost FROM goals a JOIN goals b ON b.recall >= a.recall AND b.precision >= a.precision AND b.cost <= a.cost
+   AND (b.recall > a.recall OR b.precision > a.precision OR b.cost < a.cost))
+SELECT r.model, r.strategy, r.tag, x.s AS milli, (x.precision, x.recall, x.cost) NOT IN (SELECT (precision, recall, cost) FROM beaten) AS is_pareto
+FROM x JOIN runs r ON x.run_no = r.run_no""",
+    ("run_curve", "runs"),
+)
+def pareto_front_points(spark, sf_dir):
+    """Every threshold of every run as an operating point on the test rows."""
+    scored = T.run_scores(spark, sf_dir).filter("split = 'test'")
+    curve = curve_of_groups(score_groups(scored, ["run_id"]), ["run_id"]).withColumns(curve_rates())
+    points = curve.withColumn("fp_per_tp", S.fp_per_tp(F.col("cum_n") - F.col("cum_p"), F.col("cum_p")))
+    part = [S.run_id_part(F.col("run_id"), i).alias(n) for i, n in enumerate(("model", "strategy", "tag"))]
+    return R.pareto_front(points).select(*part, F.round(F.col("score") * 1000).cast("bigint").alias("milli"), "is_pareto")
+
+
+@query(
+    "threshold_runs",
+    f"SELECT strategy, selection, threshold, tp, fp, tn, fn, precision, recall, f1, f2, round(pr_auc, 6) AS pr_auc FROM ({_OPERATING})",
+    ("curve",),
+)
+def threshold_runs(spark, sf_dir):
+    """Runs that the threshold strategies publish from one baseline run's stored scores, read back."""
+    root, out, name = scratch_path(spark, "baseline-run"), scratch_path(spark, "threshold-runs"), "boosted_trees__baseline__p001__1"
+    held_out = T.txn(spark, sf_dir).filter("split IN ('val', 'test')").select("row_idx", "split", "label", "score")
+    held_out.write.parquet(f"{root}/{name}/{E.SCORES}")
+    RR.save_run(spark, root, {"run_id": name, "model": "boosted_trees", "strategy": "baseline", "target_prevalence": 0.001}, {}, None)
+    E.optimise_thresholds(spark, root, out)
+    board = RR.scan_run_records(spark, out)
+    rates = ["precision", "recall", "f1", "f2"]
+    return board.select(
+        "strategy", F.col("threshold_criterion").alias("selection"), F.round("optimal_threshold", 6).alias("threshold"),
+        *[F.col(f"{c}_test_thresh").cast("bigint").alias(c) for c in ("tp", "fp", "tn", "fn")],
+        *[F.round(f"{c}_test_thresh", 6).alias(c) for c in rates], F.round("pr_auc_test", 6).alias("pr_auc"),
+    )
 
 
 def _anchor(position, why, where, order):

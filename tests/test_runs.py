@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +61,38 @@ def test_pareto_front(spark):
     assert flags == {"a": True, "b": True, "c": False, "d": True, "e": False}
 
 
+@pytest.mark.parametrize("free_cost", [False, True])
+def test_pareto_front_equals_brute_force(spark, free_cost):
+    draw = random.Random(7)
+    goals = []
+    for _ in range(400):
+        p, r = draw.randint(0, 40) / 40, draw.randint(0, 20) / 20
+        cost = draw.choice([None, 0.0, 1.0, 2.5, 7.0, 30.0]) if free_cost else (1 - p) / p if p else None
+        goals.append((r, p, cost))
+    # every third row has one recall, some rows repeat, some lack a number
+    goals = [(0.5, p, c) if i % 3 == 0 else (r, p, c) for i, (r, p, c) in enumerate(goals)] + goals[:20]
+    goals += [(None, 0.9, 1.0), (0.9, None, 1.0), (None, None, None)]
+    df = spark.createDataFrame([(i, *g) for i, g in enumerate(goals)], "row int, recall double, precision double, fp_per_tp double")
+    flags = {x["row"]: x["is_pareto"] for x in R.pareto_front(df).collect()}
+    assert len(flags) == len(goals)
+
+    def beaten(a):
+        own = (a[0], a[1], -(a[2] if a[2] is not None else float("inf")))
+        for b in goals:
+            if None not in (*a[:2], *b[:2]):
+                other = (b[0], b[1], -(b[2] if b[2] is not None else float("inf")))
+                if other != own and all(y >= x for x, y in zip(own, other, strict=True)):
+                    return True
+        return False
+
+    assert flags == {i: not beaten(g) for i, g in enumerate(goals)}
+
+
+def test_pareto_front_of_nothing(spark):
+    df = spark.createDataFrame([], "configuration string, recall double, precision double, fp_per_tp double")
+    assert R.pareto_front(df).count() == 0 and R.pareto_front(df).columns == [*df.columns, "is_pareto"]
+
+
 def test_marks_go_to_the_first(spark):
     df = spark.createDataFrame([(1, 5, 0.5, 0.3), (2, 5, 0.6, 0.3), (3, 9, 0.6, 0.2)], "position int, fp int, recall double, f1 double")
     got = [(r["min_fp"], r["max_recall"], r["max_f1"]) for r in R.mark_operating_points(df).orderBy("position").collect()]

@@ -9,6 +9,7 @@ from finsieve.functions import encoding as E
 from finsieve.operators import features as FT
 from finsieve.operators import labels as L
 from finsieve.operators.audit import daily_volume
+from finsieve.operators.datasets import build_dataset
 from finsieve.operators.splitting import split_chronological, split_manifest
 from finsieve.schema import FEATURES, RAW_COLUMNS
 from finsieve.sources import patterns as P
@@ -217,3 +218,29 @@ def test_small_table_sinks(spark, tmp_path):
     sub = spark.createDataFrame([(0, 5)], "row_idx bigint, orig_row_idx bigint")
     stored.save_row_mapping(sub, str(tmp_path / "map"))
     assert stored.load_parquet(spark, str(tmp_path / "map"), ["orig_row_idx"]).first()[0] == 5
+
+
+def test_dataset_in_one_call(spark, tmp_path):
+    lines = [f"2022/09/{1 + i // 4:02d} 00:{i % 4:02d},011,A{i},003,B{i},5.00,Euro,5.00,Euro,ACH,{int(i % 10 == 3)}" for i in range(40)]
+    # one part holds the late rows, and a line without a readable time
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("\n".join([HEADER, *lines[20:], LINES[2]]) + "\n")
+    (tmp_path / "in" / "b.csv").write_text("\n".join([HEADER, *lines[:20]]) + "\n")
+    (tmp_path / "patterns.txt").write_text(f"{C.BEGIN_MARKER} - FAN-IN\n{lines[3]}\n{C.END_MARKER}\n")
+    (tmp_path / "accounts.csv").write_text("Bank Name,Bank ID,Account Number,Entity ID,Entity Name\nx,1,A1,E1,Corporation 1\n,,,,\n")
+    made = build_dataset(spark, str(tmp_path / "out"), str(tmp_path / "in"), str(tmp_path / "accounts.csv"), str(tmp_path / "patterns.txt"))
+    total = made.summary.first()
+    assert (total["n_rows"], total["n_illicit_csv"], total["n_illicit_patterns"], total["n_mismatch"], total["n_accounts"]) == (40, 4, 1, 3, 1)
+    assert [made.split(s).count() for s in ("train", "val", "test")] == [28, 6, 6]
+    assert [r["from_account"] for r in made.rows.orderBy("row_idx").collect()] == [f"A{i}" for i in range(40)]
+    assert made.rows.filter("label_from_patterns = 1").first()["pattern_type"] == "FAN-IN"
+    manifest = spark.read.json(str(tmp_path / "out" / "split_manifest")).first()
+    assert manifest["test_ratio"] == 0.15 and sorted(s["n_rows"] for s in manifest["splits"]) == [6, 6, 28]
+    # without pattern and account files
+    plain = build_dataset(spark, str(tmp_path / "plain"), str(tmp_path / "in")).summary.first()
+    assert (plain["n_rows"], plain["n_illicit_patterns"], plain["n_accounts"]) == (40, 0, None)
+    with pytest.raises(FileNotFoundError, match="nowhere"):
+        build_dataset(spark, str(tmp_path / "none"), str(tmp_path / "nowhere"))
+    with pytest.raises(ValueError):
+        build_dataset(spark, str(tmp_path / "none"), str(tmp_path / "in"), train_ratio=0.9, val_ratio=0.1)
+    assert not (tmp_path / "none").exists()
