@@ -41,16 +41,8 @@ ACCOUNT_COLUMNS = ["bank_name", "bank_id", "account_number", "entity_id", "entit
 # fixed values: raw timestamp format
 TIMESTAMP_FORMAT = "yyyy/MM/dd HH:mm"
 
-TEXT_COLUMNS = [
-    "from_bank",
-    "from_account",
-    "to_bank",
-    "to_account",
-    "receiving_currency",
-    "payment_currency",
-    "payment_format",
-]
-AMOUNT_COLUMNS = ["amount_received", "amount_paid"]
+AMOUNT_COLUMNS = [c for c in RAW_COLUMNS if c.startswith("amount_")]
+TEXT_COLUMNS = [c for c in RAW_COLUMNS if c not in ("timestamp", "is_laundering_csv", *AMOUNT_COLUMNS)]
 
 # fixed values: model input order
 NUMERIC_FEATURES = ["amount_paid", "amount_received"]
