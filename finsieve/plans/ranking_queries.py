@@ -179,10 +179,10 @@ FROM (SELECT *, row_number() OVER (ORDER BY {order}) AS rn FROM ({points})) WHER
 def _pick(name, split="val"):
     points = _POINTS.format(split=split)
     if name != "precision_constrained":
-        return _PICK.format(name=name, sel=f"'argmax_{name}_on_validation'", order=f"{name[:2]} DESC, s", points=points)
+        return _PICK.format(name=name, sel=f"'{TH.CHOSEN_BY_GOAL.format(strategy=name)}'", order=f"{name[:2]} DESC, s", points=points)
     tier = "CASE WHEN precision >= 0.10 THEN 1 WHEN recall > 0 THEN 2 ELSE 3 END"
-    sel = f"""CASE {tier} WHEN 1 THEN 'max_f1_subject_to_precision_constraint_tiebreak_utility'
-      WHEN 2 THEN 'fallback_max_precision_with_nonzero_recall' ELSE 'fallback_threshold_0_5' END"""
+    by = TH.CHOSEN_BY_TIER
+    sel = f"CASE {tier} WHEN 1 THEN '{by[1]}' WHEN 2 THEN '{by[2]}' ELSE '{by[3]}' END"
     goal = "CASE WHEN precision >= 0.10 THEN f1 WHEN recall > 0 THEN precision ELSE 0 END"
     return _PICK.format(name=name, sel=sel, order=f"{tier}, {goal} DESC, utility DESC, s", points=points)
 
