@@ -176,14 +176,14 @@ _PICK = """SELECT '{name}' AS strategy, {sel} AS selection, threshold, s, tp, fp
 FROM (SELECT *, row_number() OVER (ORDER BY {order}) AS rn FROM ({points})) WHERE rn = 1"""
 
 
-def _pick(name, split="val"):
+def _pick(name, split="val", floor="0.10"):
     points = _POINTS.format(split=split)
     if name != "precision_constrained":
         return _PICK.format(name=name, sel=f"'{TH.CHOSEN_BY_GOAL.format(strategy=name)}'", order=f"{name[:2]} DESC, s", points=points)
-    tier = "CASE WHEN precision >= 0.10 THEN 1 WHEN recall > 0 THEN 2 ELSE 3 END"
+    tier = f"CASE WHEN precision >= {floor} THEN 1 WHEN recall > 0 THEN 2 ELSE 3 END"
     by = TH.CHOSEN_BY_TIER
     sel = f"CASE {tier} WHEN 1 THEN '{by[1]}' WHEN 2 THEN '{by[2]}' ELSE '{by[3]}' END"
-    goal = "CASE WHEN precision >= 0.10 THEN f1 WHEN recall > 0 THEN precision ELSE 0 END"
+    goal = f"CASE WHEN precision >= {floor} THEN f1 WHEN recall > 0 THEN precision ELSE 0 END"
     return _PICK.format(name=name, sel=sel, order=f"{tier}, {goal} DESC, utility DESC, s", points=points)
 
 
@@ -207,6 +207,20 @@ def threshold_precision_constrained(spark, sf_dir):
     return _rounded(TH.select_threshold(points, "precision_constrained"), [*_RATES, "utility"])
 
 
+_NO_POSITIVE = f"""SELECT 'precision_constrained' AS strategy, '{TH.CHOSEN_BY_TIER[3]}' AS selection, CAST(0 AS BIGINT) AS tp, fp, tn, CAST(0 AS BIGINT) AS fn,
+  CAST(0.5 AS DOUBLE) AS threshold, CAST(0 AS DOUBLE) AS precision, CAST(0 AS DOUBLE) AS recall, CAST(0 AS DOUBLE) AS f1, CAST(0 AS DOUBLE) AS f2, round(-CAST(0.05 AS DOUBLE) * fp, 6) AS utility
+FROM (SELECT count(*) FILTER (WHERE score_milli >= 500) AS fp, count(*) FILTER (WHERE score_milli < 500) AS tn FROM txn WHERE split = 'val' AND label = 0)"""
+
+
+@query("threshold_fallbacks", f"{_flat(_pick('precision_constrained', floor='2'))} UNION ALL BY NAME {_NO_POSITIVE}", ("curve", "txn"))
+def threshold_fallbacks(spark, sf_dir):
+    """A precision that no threshold reaches, and validation rows without a positive."""
+    val = _val(spark, sf_dir)
+    unreached = TH.select_threshold(TH.curve_points(R.score_groups(val, [])), "precision_constrained", min_precision=2.0)
+    nothing = TH.select_threshold(TH.curve_points(R.score_groups(val.filter("label = 0"), [])), "precision_constrained")
+    return _rounded(unreached.unionByName(nothing), [*_RATES, "utility"])
+
+
 _CHOSEN = " UNION ALL ".join(f"SELECT strategy, selection, s AS tau FROM ({_pick(n)})" for n in TH.STRATEGIES)
 _REF = f"SELECT 'reference', 'f1', s FROM (SELECT s, row_number() OVER (ORDER BY {_GOALS['f1']} DESC, s) AS rn FROM curve WHERE split = 'val') WHERE rn = 1"
 _MEASURED = f"""SELECT strategy, selection, tau, tp, fp, tn, fn, {_P} AS precision, {_R} AS recall, {_F.format(b2=1)} AS f1, {_F.format(b2=4)} AS f2, pr_auc FROM (
