@@ -88,3 +88,20 @@ def test_buckets_keep_the_order_of_all_numbers(spark):
     assert buckets == sorted(buckets) and len(set(buckets)) == len(buckets)
     sums = prefix_sums(spark.createDataFrame([(v, 1) for v in values], "v double, n long"), [], "v", ["n"])
     assert [r["cum_n"] for r in sums.orderBy("v").collect()] == list(range(1, len(values) + 1))
+
+
+def test_transactions_are_numbered_in_shares(spark, sf_dir, monkeypatch):
+    """No task sorts more than a share of the line items, whatever number of partitions is set."""
+    from finsieve.operators import ordering
+    from finsieve.plans import tables as T
+
+    n = T.read(spark, sf_dir, "lineitem").count()
+    whole = T.numbered(spark, sf_dir)
+    monkeypatch.setattr(ordering, "TASK_ROWS", -(-n // 9))
+    made = T.numbered(spark, sf_dir)
+    stored = made._jdf.queryExecution().logical().toString()
+    assert "o_custkey" in stored and whole.exceptAll(made).count() == 0 == made.exceptAll(whole).count()
+    plan = T.unnumbered(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 9), REPARTITION_BY_NUM") == 2
+    # as many row numbers as rows, in the order of time
+    assert made.agg(F.countDistinct("row_idx"), F.max("row_idx")).first() == (n, n - 1)
