@@ -63,16 +63,20 @@ def with_entity_types(df: DataFrame, types: DataFrame, keys_from: DataFrame | No
 def account_features(
     df: DataFrame, types: DataFrame, scope: tuple[str, ...] = ("split",), keys_from: DataFrame | None = None, **rolling
 ) -> DataFrame:
-    """Rolling columns of both roles and the two entity types.
+    """Rolling columns of both roles and the two entity types, 2 for an unknown account.
 
     The receiver pass runs over the sender pass's output, so the rows are
-    shuffled twice in all and no join by row number is needed.
+    shuffled twice in all and no join by row number is needed. The types, stored
+    first, are joined where the rows of an account lie together for its windows.
     """
     base = df if {"log_paid", "cross_bank", "us"} <= set(df.columns) else row_features(df)
     keys_from = base if keys_from is None else keys_from
-    sent = with_rolling(base, "from_account", "to_account", "sender", scope, keys_from=keys_from, **rolling)
-    both = with_rolling(sent, "to_account", "from_account", "receiver", scope, keys_from=keys_from, **rolling)
-    return with_entity_types(both, types, keys_from)
+    types = materialize(types, "entity-types")
+    of = lambda name: types.select("account", F.col("entity_type").alias(name))
+    sent = with_rolling(base, "from_account", "to_account", "sender", scope, keys_from=keys_from, facts=of("_sender_type"), **rolling)
+    both = with_rolling(sent, "to_account", "from_account", "receiver", scope, keys_from=keys_from, facts=of("_receiver_type"), **rolling)
+    named = {f"{r}_entity_type": F.coalesce(f"_{r}_type", F.lit(2)) for r in ("sender", "receiver")}
+    return both.withColumns(named).drop("_sender_type", "_receiver_type")
 
 
 def fan_scores(df: DataFrame) -> DataFrame:

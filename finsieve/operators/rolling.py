@@ -15,7 +15,8 @@ An account may hold a large share of all rows. The events of accounts above
 is a share of the events, entering or leaving, however unevenly they lie in time;
 the running sums inside a chunk get the totals of the account's earlier chunks
 added. Leaving events behind an account's last row say nothing and are dropped. No
-task ever sees more of one account than a chunk.
+task ever sees more of one account than a chunk, and of the other accounts about
+``TASK_ROWS`` rows: the number of partitions follows from the number of rows.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from finsieve.operators.ordering import CHUNK_BITS, row_chunk
+from finsieve.operators.ordering import parts_for, row_chunk
 from finsieve.session import materialize
 
 _DAY = 86_400_000_000
@@ -31,6 +32,8 @@ _DAY = 86_400_000_000
 WINDOWS = {"1d": _DAY, "7d": 7 * _DAY, "30d": 30 * _DAY}
 # running sums kept per account
 _SUMS = ["n_1d", "n_7d", "n_30d", "a_7d", "a_30d", "u_7d", "u_30d", "x_30d"]
+# an account with more than 2^HOT_BITS rows is swept in chunks of so many events
+HOT_BITS = 19
 # log amounts are summed in units of 1e-8
 FIXED_POINT = 100_000_000
 
@@ -96,10 +99,26 @@ def _finish(swept: DataFrame, columns: list[str], prefix: str) -> DataFrame:
     )
 
 
-def _sweep_whole(df: DataFrame, keys: list[str], pair: str, columns: list[str], prefix: str) -> DataFrame:
-    """Accounts that fit a task: one shuffle by account, then two sorts."""
+def _prepared(df: DataFrame) -> DataFrame:
+    return df.withColumns(
+        {
+            "_us0": F.col("us"),
+            "_idx": F.col("row_idx"),
+            "_amt": F.coalesce(F.rint(F.col("log_paid") * FIXED_POINT).cast("bigint"), F.lit(0)),
+            "_cross": F.col("cross_bank").cast("bigint"),
+        }
+    )
+
+
+def _sweep_whole(df: DataFrame, keys: list[str], pair: str, columns: list[str], prefix: str, parts: int, facts: DataFrame | None) -> DataFrame:
+    """Accounts that fit a task: one shuffle by account into ``parts`` partitions, then two sorts."""
     by_pair = Window.partitionBy(*keys, pair).orderBy("_idx")
-    placed = df.repartition(*keys)
+    placed = df.repartition(parts, keys[-1])
+    if facts is not None:
+        # both sides lie by account, so the rows are not shuffled again
+        side = facts.withColumnRenamed(facts.columns[0], "_acc").repartition(parts, "_acc").hint("shuffle_hash")
+        placed = placed.join(side, F.col(keys[-1]) == F.col("_acc"), "left").drop("_acc")
+    placed = _prepared(placed)
     seen = placed.withColumns(
         {"_prev": F.lag("_us0").over(by_pair), "_next": F.lead("_us0").over(by_pair)}
     )
@@ -211,34 +230,35 @@ def with_rolling(
     prefix: str,
     scope: tuple[str, ...] = (),
     keys_from: DataFrame | None = None,
-    hot_rows: int = 1 << CHUNK_BITS,
-    chunk_bits: int = CHUNK_BITS,
+    hot_rows: int = 1 << HOT_BITS,
+    chunk_bits: int = HOT_BITS,
+    facts: DataFrame | None = None,
 ) -> DataFrame:
     """Add the eight rolling columns of one role.
 
     ``df`` needs ``us`` (time in microseconds), ``row_idx`` (position in time
     order), ``log_paid`` and ``cross_bank``. ``scope`` lists columns that
     separate histories, such as the split. ``keys_from`` may name a cheaper
-    table with the same accounts, read to find the hot ones.
+    table with the same accounts, read to find the hot ones. ``facts`` may hold a
+    row per account, the account first: its other columns are added to the account's
+    rows where these lie together anyway, null for an unknown account.
     """
     keys = [*scope, account]
-    columns = list(df.columns)
-    base = df.withColumns(
-        {
-            "_us0": F.col("us"),
-            "_idx": F.col("row_idx"),
-            "_amt": F.coalesce(F.rint(F.col("log_paid") * FIXED_POINT).cast("bigint"), F.lit(0)),
-            "_cross": F.col("cross_bank").cast("bigint"),
-        }
-    )
+    columns = [*df.columns, *(facts.columns[1:] if facts is not None else [])]
     source = keys_from if keys_from is not None else df
+    parts = parts_for(df.sparkSession, source.count())
     hot = hot_accounts(source, keys, hot_rows)
     if hot.isEmpty():
-        return _sweep_whole(base, keys, counterparty, columns, prefix)
+        return _sweep_whole(df, keys, counterparty, columns, prefix, parts, facts)
 
     hot = materialize(hot, "hot-accounts")
-    stored = materialize(base, "rolling-input")
+    stored = materialize(df, "rolling-input")
     hot_keys = hot.select(*keys)
-    cold = _sweep_whole(_join(stored, hot_keys, keys, "left_anti"), keys, counterparty, columns, prefix)
-    large = _sweep_chunked(_join(stored, hot_keys, keys, "left_semi"), keys, counterparty, columns, prefix, hot, chunk_bits)
+    cold = _sweep_whole(_join(stored, hot_keys, keys, "left_anti"), keys, counterparty, columns, prefix, parts, facts)
+    often = _join(stored, hot_keys, keys, "left_semi")
+    if facts is not None:
+        # one row per hot account
+        known = facts.withColumnRenamed(facts.columns[0], "_acc").join(F.broadcast(hot.select(account).distinct()), F.col("_acc") == F.col(account), "left_semi")
+        often = often.join(F.broadcast(known), F.col(account) == F.col("_acc"), "left").drop("_acc")
+    large = _sweep_chunked(_prepared(often), keys, counterparty, columns, prefix, hot, chunk_bits)
     return cold.unionByName(large)

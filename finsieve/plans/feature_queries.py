@@ -124,11 +124,14 @@ def ordinal_apply(spark, sf_dir):
     return E.encode(rows, encoder, ["payment_format"]).drop("payment_format")
 
 
+def _windowed(spark, sf_dir):
+    """The columns that windows need; others would be shuffled along."""
+    return FT.row_features(T.txn(spark, sf_dir)).select("row_idx", "split", "from_account", "to_account", "us", "log_paid", "cross_bank")
+
+
 def _rolled(spark, sf_dir, names):
     """Both roles' rolling columns whose name contains one of ``names``."""
-    base = FT.row_features(T.txn(spark, sf_dir)).select(
-        "row_idx", "split", "from_account", "to_account", "us", "log_paid", "cross_bank"
-    )
+    base = _windowed(spark, sf_dir)
     sent = with_rolling(base, "from_account", "to_account", "sender", ("split",), keys_from=base)
     both = with_rolling(sent, "to_account", "from_account", "receiver", ("split",), keys_from=base)
     # means come from whole numbers by one division, so they need no rounding
@@ -171,7 +174,7 @@ LEFT JOIN entity a ON t.from_account = a.account LEFT JOIN entity b ON t.to_acco
 @query("account_features", _ACCOUNT_SQL, ("txn", "sent", "got", "entity"))
 def account_features(spark, sf_dir):
     types = FT.entity_types(T.listed_accounts(spark, sf_dir))
-    return FT.account_features(T.txn(spark, sf_dir), types).select("row_idx", *ACCOUNT_FEATURES)
+    return FT.account_features(_windowed(spark, sf_dir), types).select("row_idx", *ACCOUNT_FEATURES)
 
 
 _FANS = """round(CASE WHEN s.n7 > 0 THEN least(100.0, g.n7 / (s.n7 + 1e-6)) ELSE 0.0 END, 6) AS fan_in_score,
@@ -180,9 +183,7 @@ _FANS = """round(CASE WHEN s.n7 > 0 THEN least(100.0, g.n7 / (s.n7 + 1e-6)) ELSE
 
 @query("fan_scores", f"SELECT s.row_idx, {_FANS} FROM sent s JOIN got g ON s.row_idx = g.row_idx", ("sent", "got"))
 def fan_scores(spark, sf_dir):
-    base = FT.row_features(T.txn(spark, sf_dir)).select(
-        "row_idx", "split", "from_account", "to_account", "us", "log_paid", "cross_bank"
-    )
+    base = _windowed(spark, sf_dir)
     sent = with_rolling(base, "from_account", "to_account", "sender", ("split",), keys_from=base)
     both = with_rolling(sent, "to_account", "from_account", "receiver", ("split",), keys_from=base)
     return _rounded(FT.fan_scores(both).select("row_idx", "fan_in_score", "fan_out_score"), ["fan_in_score", "fan_out_score"])

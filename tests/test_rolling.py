@@ -88,3 +88,28 @@ def test_chunks_hold_a_share_of_the_events(spark):
     # the burst leaves the shortest two windows; nothing is kept of what leaves after the last row
     assert sum(sizes) == len(rows) + sum(t + w < times[-1] for t in times for w in WINDOWS.values())
     assert max(sizes) <= 2 * 2**8
+
+
+def test_tasks_hold_a_share_of_the_rows(spark, monkeypatch):
+    """The sweep's partitions follow from the number of rows; the types of accounts are joined without another shuffle of the rows."""
+    from finsieve.operators import ordering
+    from finsieve.operators.features import account_features
+
+    monkeypatch.setattr(ordering, "TASK_ROWS", 20)
+    rows = _rows(3, 300, 0.3)
+    df = spark.createDataFrame(
+        [(i, us, acc, cp, split, amt, cross) for i, us, acc, cp, split, amt, cross in rows],
+        "row_idx bigint, us bigint, from_account string, to_account string, split string, log_paid double, cross_bank int",
+    )
+    types = spark.createDataFrame([("A", 0), ("B", 1), ("x", 1)], "account string, entity_type int")
+    for hot_rows in (10**6, 40):
+        found = account_features(df, types, hot_rows=hot_rows, chunk_bits=5)
+        kinds = {"A": 0, "B": 1, "x": 1}
+        got = {r["row_idx"]: (r["sender_entity_type"], r["receiver_entity_type"]) for r in found.collect()}
+        assert got == {r[0]: (kinds.get(r[2], 2), kinds.get(r[3], 2)) for r in rows}
+        if hot_rows > 300:
+            plan = found._jdf.queryExecution().toString()
+            plan = plan[plan.index("== Physical Plan =="):]
+            # rows by sender and by receiver, and the types by account for each
+            initial = plan[plan.rindex("== Initial Plan =="):] if "== Initial Plan ==" in plan else plan
+            assert initial.count("Exchange hashpartitioning") == 4 == initial.count(", 15), REPARTITION_BY_NUM")
