@@ -42,3 +42,17 @@ def test_weights_raise_the_scores_of_positives(spark):
         fitted = M.fit(train, "random_forest", 1, features=["a", "b"], numTrees=5, maxDepth=3)
         mean[name] = M.score(fitted, df, features=["a", "b"]).agg(F.avg("score")).first()[0]
     assert mean["weighted"] > 3 * mean["plain"]
+
+
+def test_a_fit_reads_few_partitions(spark, monkeypatch):
+    """Small scans give many partitions; each would send sums for every open node of a fit."""
+    class Seen:
+        def fit(self, rows):
+            return rows
+
+    monkeypatch.setattr(M, "get_model", lambda *a, **k: Seen())
+    df = spark.range(4000).repartition(60).select(F.lit(1).alias("label"), F.col("id").cast("double").alias("a"))
+    seen = M.fit(df, "random_forest", features=["a"])
+    assert seen.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and seen.count() == 4000
+    monkeypatch.setattr(M, "FIT_ROWS", 200)
+    assert M.fit(df, "random_forest", features=["a"]).rdd.getNumPartitions() == 20
