@@ -22,7 +22,7 @@ import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import combinations_with_replacement, product
+from itertools import combinations_with_replacement, product, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -55,8 +55,8 @@ class WordEncoder:
     #: and the parts that the tokenizer then cuts them into.
     PLAIN = r"^[\x21-\x7EÀ-ÖØ-öø-ÿ]+$"
     PARTS = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-    #: Words encoded in one call.
-    TOGETHER = 2_000
+    #: Words joined into one text for the tokenizer, which takes longer a word for long texts.
+    TOGETHER = 500
 
     def __init__(self, path: str | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -74,6 +74,7 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.starts = np.empty(0, np.int64)
         self.lengths = np.empty(0, np.int64)
         self.flat = np.empty(0, np.uint32)
 
@@ -109,17 +110,17 @@ class WordEncoder:
         texts = words.to_pylist()
         if len(self.known) + len(texts) > CACHED_WORDS:
             self._forget()
-        at = np.array([self.known.get(w, -1) for w in texts], dtype=np.int64)
+        at = np.fromiter(map(self.known.get, texts, repeat(-1)), np.int64, len(texts))
         missing = np.flatnonzero(at < 0)
         if len(missing):
             lengths, flat = self._encode(words.take(pa.array(missing)))
-            at[missing] = np.arange(len(self.lengths), len(self.lengths) + len(missing))
-            for i in missing.tolist():
-                self.known[texts[i]] = int(at[i])
+            first = len(self.lengths)
+            at[missing] = np.arange(first, first + len(missing))
+            self.known.update(zip(map(texts.__getitem__, missing.tolist()), range(first, first + len(missing)), strict=True))
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
             self.flat = np.concatenate([self.flat, flat])
-        starts = np.cumsum(self.lengths) - self.lengths
-        return starts[at], self.lengths[at], self.flat
+        return self.starts[at], self.lengths[at], self.flat
 
 
 _encoders: dict[str | None, WordEncoder] = {}

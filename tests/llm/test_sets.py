@@ -295,3 +295,23 @@ def test_one_of_each_group_keeps_columns_of_any_name(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (3, None, "z")], "doc_id long, text string, _row string")
     kept = jaccard_join.one_of_each_group(docs, jaccard_join.Similarity(words=5, percent=80))
     assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [(1, "a b c d e f", "x"), (3, None, "z")]
+
+
+def test_words_go_to_the_tokenizer_in_short_texts():
+    class Seen:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.words = tokenizer, []
+
+        def encode_batch_fast(self, texts, **options):
+            self.words += [len(x.split()) for x in texts]
+            return self.tokenizer.encode_batch_fast(texts, **options)
+
+    encoder = packing.WordEncoder(None)
+    whole = encoder.tokenizer
+    encoder.tokenizer = seen = Seen(whole)
+    words = pa.array([f"w{i}ord's" for i in range(3000)], pa.large_string())
+    for some in (words.slice(0, 1800), words.slice(1000)):
+        starts, lengths, flat = encoder.encode(some)
+        for w, a, n in zip(some.to_pylist()[::97], starts[::97], lengths[::97], strict=True):
+            assert flat[a : a + n].tolist() == whole.encode(w, add_special_tokens=False).ids
+    assert sum(seen.words) == 3000 and max(seen.words) <= 500
