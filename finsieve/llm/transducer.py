@@ -19,7 +19,10 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -66,8 +69,7 @@ class Transducer:
         self.merges = all(float(s).is_integer() for s in self.score.values())
         self.byte_of = {i: b for b, i in self.bytes.items()}
         # weights of pairs: piece -> next piece -> whether finite
-        self.pairs: dict[str, dict[str, bool]] = {}
-        self.n_pairs = 0
+        self._forget()
         self.units: dict[str, tuple[int, ...]] = {}
         worst = min(self.score.values(), default=0.0)
         self.fallback = 0.0 if self.merges else FALLBACK_WEIGHT - worst
@@ -77,6 +79,12 @@ class Transducer:
             self.id = {p: i for p, i in self.id.items() if p in spelled}
         self.longest = max(map(len, self.id), default=1)
 
+    def _forget(self) -> None:
+        self.pairs: defaultdict[str, dict[str, bool]] = defaultdict(dict)
+        self.n_pairs = 0
+        # the last unit, and at each of its positions the start and the piece of the arc into it and that piece's row of pairs
+        self.last: tuple[str, list[int], list[str], list[dict[str, bool]]] = ("", [0], [""], [self.pairs[""]])
+
     def _merged(self, text: str) -> list[str]:
         """The merge result of a short text: always the best-scored neighbouring pair, the first among equals."""
         parts = list(text)
@@ -108,14 +116,18 @@ class Transducer:
         return tuple(path[::-1])
 
     def _by_pairs(self, unit: str) -> tuple[list[int], list[str]]:
-        """Start and piece of the one arc of finite weight into every position."""
-        n, known = len(unit), self.id
-        starts, pieces = [0] * (n + 1), [""] * (n + 1)
+        """Start and piece of the one arc of finite weight into every position.
+
+        Positions of the beginning shared with the last unit are kept, so units in order take few steps.
+        """
         if self.n_pairs >= CACHED_PAIRS:
-            self.pairs, self.n_pairs = {}, 0
-        rows = [self.pairs.setdefault("", {})] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
+            self._forget()
+        last, starts, pieces, rows = self.last
+        kept = len(commonprefix((last, unit)))
+        del starts[kept + 1 :], pieces[kept + 1 :], rows[kept + 1 :]
+        known, pairs, longest = self.id, self.pairs, self.longest
+        for end in range(kept + 1, len(unit) + 1):
+            for start in range(end - 1, max(-1, end - 1 - longest), -1):
                 piece = unit[start:end]
                 if piece not in known and end - start > 1:
                     continue
@@ -125,9 +137,11 @@ class Transducer:
                     finite = row[piece] = self.follows(piece, pieces[start])
                     self.n_pairs += 1
                 if finite:
-                    starts[end], pieces[end] = start, piece
-                    rows[end] = self.pairs.setdefault(piece, {})
                     break
+            starts.append(start)
+            pieces.append(piece)
+            rows.append(pairs[piece])
+        self.last = unit, starts, pieces, rows
         return starts, pieces
 
     def _by_scores(self, unit: str) -> tuple[list[int], list[str]]:
@@ -214,11 +228,16 @@ def encode_texts(texts: pa.Array, path: str | None = None) -> tuple[np.ndarray,
     coded = words.dictionary_encode()
     # several spaces in a row, or space marks of the text's own, are units that words alone don't show
     unlike = pc.or_(pc.equal(coded.dictionary, ""), pc.match_substring(coded.dictionary, SPACE)).to_numpy(zero_copy_only=False)
-    per_word = [t.unit_ids(SPACE + w) if w else () for w in coded.dictionary.to_pylist()]
-    lengths = np.array([len(x) for x in per_word], dtype=np.int64)
-    flat = np.array([i for x in per_word for i in x], dtype=np.int64)
-    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    odd = np.unique(np.repeat(np.arange(len(texts)), counts)[unlike[codes]])
+    # in order, as words that begin alike share their steps
+    order = pc.sort_indices(coded.dictionary)
+    per_word = [t.unit_ids(SPACE + w) if w else () for w in coded.dictionary.take(order).to_pylist()]
+    lengths = np.fromiter(map(len, per_word), np.int64, len(per_word))
+    flat = np.fromiter(chain.from_iterable(per_word), np.int64, int(lengths.sum()))
+    place = np.empty(len(per_word), np.int64)
+    place[order.to_numpy()] = np.arange(len(per_word))
+    at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    codes = place[at]
+    odd = np.unique(np.repeat(np.arange(len(texts)), counts)[unlike[at]])
     own = lengths[codes]
     ids = flat[ragged((np.cumsum(lengths) - lengths)[codes], own)]
     sizes = np.bincount(np.repeat(np.arange(len(texts)), counts), weights=own, minlength=len(texts)).astype(np.int64)

@@ -315,3 +315,28 @@ def test_words_go_to_the_tokenizer_in_short_texts():
         for w, a, n in zip(some.to_pylist()[::97], starts[::97], lengths[::97], strict=True):
             assert flat[a : a + n].tolist() == whole.encode(w, add_special_tokens=False).ids
     assert sum(seen.words) == 3000 and max(seen.words) <= 500
+
+
+def test_words_that_begin_alike_share_their_steps():
+    class Counted(dict):
+        asked = 0
+
+        def __contains__(self, piece):
+            Counted.asked += 1
+            return super().__contains__(piece)
+
+    t = transducer.Transducer()
+    stem = "unbegreiflicherweise"
+    words = [stem + a + b for a in "abcdefgh" for b in "abcdefgh"]
+    t.id = Counted(t.id)
+    transducer._transducers["counted"] = t
+    try:
+        ids, sizes = transducer.encode_texts(pa.array([" ".join(reversed(words)), stem], pa.large_string()), "counted")
+    finally:
+        del transducer._transducers["counted"]
+    # the stem is walked once, not once a word
+    assert Counted.asked < 20 * len(words)
+    fresh = transducer.Transducer()
+    alone = [fresh.encode(w) for w in reversed(words)]
+    assert ids.tolist() == [i for x in alone for i in x] + fresh.encode(stem)
+    assert sizes.tolist() == [sum(map(len, alone)), len(fresh.encode(stem))]
