@@ -257,11 +257,13 @@ def jaccard_join(docs: DataFrame, similarity: Similarity = Similarity()) -> Jacc
     # n-grams that the prefixes of two groups share; sizes and positions go along in one number
     tokens = prefixes.select("group", (F.col("n") * 2**31).alias("base"), F.posexplode("prefix").alias("pos", "ngram"))
     tokens = tokens.select("ngram", "group", (F.col("base") + F.col("pos")).alias("size_pos"))
+    # stored by itself, so that the two shuffles of all n-grams are not on disk together
     shared = tokens.groupBy("ngram").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("ngram")
+    shared = materialize(shared, "shared-ngrams")
     meeting = materialize(tokens.join(shared, "ngram").distinct().withColumns({"n": F.shiftright("size_pos", 31), "pos": F.col("size_pos") % 2**31}).drop("size_pos"), "meeting")
     members = prefixes.select("group", "key", "n", *PARITY).distinct().join(rows.select("key", "set"), "key").drop("key")
     members = materialize(members, "group-members")
-    discard(prefixes)
+    discard(prefixes, shared)
     whole = spark.createDataFrame([], "set long, members array<long>")
     links = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "node long, label long")
@@ -332,16 +334,41 @@ def _open_sets(met: DataFrame, labels: DataFrame) -> DataFrame:
     return labelled.join(several, "ngram")
 
 
-def _candidates(met: DataFrame, others: DataFrame, on: list[Column], similarity: Similarity) -> DataFrame:
-    """Pairs of ``met`` (``a``) and ``others`` (``b``) that pass all filters, with ``shared`` n-grams and labels."""
-    pairs = met.alias("a").join(others.alias("b"), [*on, _may_link(similarity, "a", "b") & _may_reach(similarity, "a", "b")])
+def _counted(pairs: DataFrame, shared: Column, similarity: Similarity) -> DataFrame:
+    """The pairs of rows ``a`` and ``b`` that share enough n-grams, with their number and the labels; ``shared`` is what a row of ``pairs`` adds."""
     counted = pairs.groupBy(F.col("a.set").alias("a"), F.col("b.set").alias("b")).agg(
-        F.count(F.lit(1)).alias("shared"),
+        F.sum(shared).alias("shared"),
         *(F.first(f"{side}.{c}").alias(f"{c}_{side}") for side in "ab" for c in ("n", "label")),
     )
     return counted.filter(F.col("shared") >= similarity.matches(F.col("n_a"), F.col("n_b")))
 
 
+def _candidates(met: DataFrame, others: DataFrame, on: list[Column], similarity: Similarity) -> DataFrame:
+    """Pairs of ``met`` (``a``) and ``others`` (``b``) that pass all filters, with ``shared`` n-grams and labels."""
+    pairs = met.alias("a").join(others.alias("b"), [*on, _may_link(similarity, "a", "b") & _may_reach(similarity, "a", "b")])
+    return _counted(pairs, F.lit(1), similarity)
+
+
+def _run_pairs(met: DataFrame, similarity: Similarity) -> tuple[DataFrame, Column]:
+    """Pairs of ``met`` with itself, once for every run of n-grams that both hold side by side; and the length of the run.
+
+    Two sets that hold the same n-gram before this one meet there already. A run
+    counts up to MATCHES n-grams, no more of them are asked for.
+    """
+    along = Window.partitionBy("set").orderBy("pos", "ngram")
+    after = [f"after_{i}" for i in range(1, MATCHES)]
+    beside = {"before": F.lag("ngram").over(along)} | {c: F.lead("ngram", i).over(along) for i, c in enumerate(after, 1)}
+    met = met.withColumns(beside)
+    first = ~F.coalesce(F.col("a.before") == F.col("b.before"), F.lit(False))
+    on = [F.col("a.ngram") == F.col("b.ngram"), F.col("a.set") < F.col("b.set")]
+    pairs = met.alias("a").join(met.alias("b"), [*on, _may_link(similarity, "a", "b") & first & _may_reach(similarity, "a", "b")])
+    run, goes_on = F.lit(1), F.lit(True)
+    for c in after:
+        goes_on = goes_on & F.coalesce(F.col(f"a.{c}") == F.col(f"b.{c}"), F.lit(False))
+        run = run + goes_on.cast("int")
+    return pairs, run
+
+
 def _leader_pairs(met: DataFrame, grouped: DataFrame, similarity: Similarity, turn: int) -> DataFrame:
     """Pairs ``a, b`` of sets in different components, two at most for each set and one for two components.
 
@@ -363,7 +390,7 @@ def _leader_pairs(met: DataFrame, grouped: DataFrame, similarity: Similarity, tu
 
 def _remaining_pairs(met: DataFrame, grouped: DataFrame, similarity: Similarity) -> DataFrame:
     """All candidate pairs ``a, b`` of sets in different components."""
-    across = _candidates(met, met, [F.col("a.ngram") == F.col("b.ngram"), F.col("a.set") < F.col("b.set")], similarity).select("a", "b")
+    across = _counted(*_run_pairs(met, similarity), similarity).select("a", "b")
     a, b = grouped.alias("a"), grouped.alias("b")
     within = a.join(b, [F.col("a.group") == F.col("b.group"), F.col("a.set") < F.col("b.set"), _may_link(similarity, "a", "b")])
     return _ordered_pairs(across.unionByName(within.select(F.col("a.set").alias("a"), F.col("b.set").alias("b"))))
