@@ -451,4 +451,5 @@ def one_of_each_group(docs: DataFrame, similarity: Similarity) -> DataFrame:
     first = component.groupBy("_component").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("first"))
     dropped = component.join(first, "_component").filter("_row <> first._row").select("_row")
     dropped = materialize(dropped.select(F.col("_row").alias(row)), "near-copies")
+    discard(component, found.documents)
     return keyed.join(dropped, row, "left_anti").select(*docs.columns)

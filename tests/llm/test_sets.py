@@ -1,5 +1,6 @@
 """Copies, near copies, packing, tokens, search: small cases and brute force."""
 
+import os
 import random
 import zlib
 from collections import defaultdict
@@ -13,6 +14,7 @@ from finsieve.llm import exact_dedup, jaccard_join, packing, topk, transducer
 from finsieve.llm.batches import slices, texts_of
 from finsieve.llm.components import components
 from finsieve.llm.queries import QUERIES
+from finsieve.session import shared_dir
 
 DOCS = "doc_id long, text string, size long, keep_id string"
 
@@ -367,3 +369,14 @@ def test_pairs_meet_once_a_run(spark):
                 assert (j, i) in got
     assert got >= set(wanted) and len(wanted) > 20
     assert 3 * pairs.count() < sum(wanted.values())
+
+
+def test_stored_tables_go_when_read(spark):
+    rows = [(i, f"word{i % 5} and some other words {i % 7}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = os.path.join(shared_dir(spark), spark.sparkContext.applicationId)
+    there = {*os.listdir(folder)} if os.path.isdir(folder) else set()
+    assert exact_dedup.exact_dedup(docs).kept_documents().count() == 35
+    assert jaccard_join.one_of_each_group(docs, jaccard_join.Similarity(5, 80)).count() > 0
+    left = {x.rsplit("-", 1)[0] for x in {*os.listdir(folder)} - there}
+    assert not left & {"arrivals", "texts-of-groups", "ngram-sets", "row-components", "shared-ngrams"} and "numbered" in left
