@@ -13,7 +13,7 @@ SLICE_BYTES = 8_000_000
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of ``batch`` with at most ``limit`` bytes in ``column``."""
+    """Consecutive parts of ``batch`` with at most ``limit`` bytes in ``column``; behind the last, memory that Arrow keeps unused is freed."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)
     first = 0
@@ -22,6 +22,8 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         last = max(first + 1, int(np.searchsorted(ends, before + limit, side="right")))
         yield batch.slice(first, last - first)
         first = last
+    # a worker outlives its task, and what it keeps would be missing in the stages that follow
+    pa.default_memory_pool().release_unused()
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:

@@ -42,6 +42,8 @@ BINS, PATTERN_PIECES = 64, 3
 RANK_PARTS = 64
 #: Words whose ids a worker keeps.
 CACHED_WORDS = 500_000
+#: Bytes of text encoded at once: the arrays made of it are many times as large.
+TEXT_AT_ONCE = 2_000_000
 
 
 class WordEncoder:
@@ -143,7 +145,7 @@ def token_ids(texts: pa.Array, path: str | None = None) -> tuple[np.ndarray, np.
 def _piece_task(path: str | None, max_tokens: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TEXT_AT_ONCE):
                 ids, sizes = token_ids(texts_of(part), path)
                 ends = np.cumsum(sizes)
                 counts = -(-sizes // max_tokens)

@@ -4,6 +4,7 @@ import os
 import random
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -380,3 +381,18 @@ def test_stored_tables_go_when_read(spark):
     assert jaccard_join.one_of_each_group(docs, jaccard_join.Similarity(5, 80)).count() > 0
     left = {x.rsplit("-", 1)[0] for x in {*os.listdir(folder)} - there}
     assert not left & {"arrivals", "texts-of-groups", "ngram-sets", "row-components", "shared-ngrams"} and "numbered" in left
+
+
+def test_packing_works_on_little_text_at_once(monkeypatch):
+    words = [f"w{i % 977}" for i in range(30_000)]
+    texts = pa.array([" ".join(words[i : i + 9_000]) for i in range(0, 20_000, 200)] + [None, "", "one"])
+    docs = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), texts], names=["doc_id", "text"])
+    alone = [row for i in range(len(texts)) for b in packing._piece_task(None, 256, True)([docs.slice(i, 1)]) for row in b.to_pylist()]
+    seen, freed, whole = [], [], packing.token_ids
+    monkeypatch.setattr(packing, "token_ids", lambda some, path: seen.append(sum(len(t) for t in some.to_pylist())) or whole(some, path))
+    monkeypatch.setattr(pa, "default_memory_pool", lambda: SimpleNamespace(release_unused=lambda: freed.append(len(seen))))
+    together = [row for b in packing._piece_task(None, 256, True)([docs]) for row in b.to_pylist()]
+    assert together == alone
+    assert sum(seen) > max(seen) and max(seen) <= 2_000_000
+    # a worker outlives its task
+    assert freed == [len(seen)]
