@@ -38,6 +38,8 @@ from finsieve.session import materialize
 #: puts last by frequency. The rest is ordered by hash. A bound on the broadcast table; the order
 #: decides only how many candidates there are, never which links are found.
 ORDERED_NGRAMS = 524_288
+#: Bytes of text made into sets at once: words and n-grams take many times as much.
+TEXT_AT_ONCE = 2_000_000
 #: N-grams that two prefixes must share; prefixes are longer by one less.
 MATCHES = 3
 #: Cells whose parity is kept of every set, and the names of their numbers of 64 bits.
@@ -133,7 +135,8 @@ def _sets_task(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = ngram_sets(texts_of(part), words)
+                # counted over a slice, but words of few texts at once
+                sets = [s for some in slices(part, "text", TEXT_AT_ONCE) for s in ngram_sets(texts_of(some), words)]
                 keys = [_key(s) for s in sets]
                 first = {k: i for i, k in reversed(list(enumerate(keys)))}
                 ngrams, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *(sets[i] for i in first.values())]), return_counts=True)
@@ -160,7 +163,7 @@ def _prefix_task(similarity: Similarity, order: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ordered, frequency = order.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TEXT_AT_ONCE):
                 seen: dict[bytes, tuple[int, int, np.ndarray, int]] = {}
                 sets = ngram_sets(texts_of(part), similarity.words)
                 flat = np.concatenate([np.empty(0, np.uint64), *sets])
@@ -200,7 +203,7 @@ def _prefix_task(similarity: Similarity, order: Broadcast):
 def _members_task(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TEXT_AT_ONCE):
                 sets = ngram_sets(texts_of(part), words)
                 members = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column("set"), members], names=["set", "members"])

@@ -28,8 +28,8 @@ BINS, LENGTHS = 4096, (2, 3, 4)
 #: their hash. Each gives its whole text and one short extract.
 TRAINING_ROWS = 3_000
 EXTRACT_BYTES = 60
-#: Texts whose counts are held at once.
-TEXTS_AT_ONCE = 512
+#: Texts whose counts are held at once, and texts counted at once, which takes some 60 bytes for each of theirs.
+TEXTS_AT_ONCE, COUNTED_AT_ONCE = 512, 64
 
 #: Language families by language code (fixed values); any other code is a family of its own.
 FAMILIES = {
@@ -48,11 +48,8 @@ def has_letter(texts: pa.Array) -> np.ndarray:
     return pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
 
 
-def ngram_features(texts: pa.Array) -> np.ndarray:
-    """Square roots of the n-gram counts of every text, of length one; letter case is ignored."""
-    if not len(texts):
-        return np.zeros((0, BINS), np.float32)
-    lower = pc.utf8_lower(texts).cast(pa.large_binary())
+def _ngram_counts(lower: pa.Array) -> np.ndarray:
+    """How often every bin occurs in each of some texts' bytes."""
     lengths = pc.binary_length(lower).to_numpy(zero_copy_only=False).astype(np.int64)
     # every text is set off by spaces, so the first and last word have edges too
     flat = np.frombuffer(b" " + b"  ".join(lower.to_pylist()) + b" ", dtype=np.uint8).astype(np.uint32)
@@ -67,8 +64,18 @@ def ngram_features(texts: pa.Array) -> np.ndarray:
             inside = rows[: len(rolled)] == rows[n - 1 :]
             bins = ((rolled ^ (rolled >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(20)).astype(np.int64)
             counts += np.bincount(rows[: len(rolled)][inside] * BINS + bins[inside], minlength=len(counts)).astype(np.float32)
-    counts = np.sqrt(counts.reshape(len(lower), BINS))
-    return counts / np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1e-9)
+    return counts.reshape(len(lower), BINS)
+
+
+def ngram_features(texts: pa.Array) -> np.ndarray:
+    """Square roots of the n-gram counts of every text, of length one; letter case is ignored."""
+    lower = pc.utf8_lower(texts).cast(pa.large_binary())
+    features = np.zeros((len(lower), BINS), np.float32)
+    for first in range(0, len(lower), COUNTED_AT_ONCE):
+        features[first : first + COUNTED_AT_ONCE] = _ngram_counts(lower[first : first + COUNTED_AT_ONCE])
+    np.sqrt(features, out=features)
+    features /= np.maximum(np.linalg.norm(features, axis=1, keepdims=True), 1e-9)
+    return features
 
 
 def linear_svm(x: np.ndarray, positive: np.ndarray, cost: float = 20.0, steps: int = 150) -> np.ndarray:

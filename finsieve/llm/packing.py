@@ -89,8 +89,9 @@ class WordEncoder:
         own = words.take(pa.array(at_plain))
         texts = own.to_pylist()
         joined = [" ".join(texts[i : i + self.TOGETHER]) for i in range(0, len(texts), self.TOGETHER)]
-        found = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
-        ids = np.concatenate([np.empty(0, np.uint32), *(np.array(e.ids, dtype=np.uint32) for e in found)])
+        # the tokenizer's results are far larger than the ids taken from them
+        some = (self.tokenizer.encode_batch_fast(joined[i : i + 10], add_special_tokens=False) for i in range(0, len(joined), 10))
+        ids = np.concatenate([np.empty(0, np.uint32), *(np.array(e.ids, dtype=np.uint32) for found in some for e in found)])
         # a word ends with the last of its parts
         parts = pc.count_substring_regex(own, self.PARTS).to_numpy(zero_copy_only=False)
         ends = np.flatnonzero(self.ends[ids])

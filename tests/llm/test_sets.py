@@ -396,3 +396,17 @@ def test_packing_works_on_little_text_at_once(monkeypatch):
     assert sum(seen) > max(seen) and max(seen) <= 2_000_000
     # a worker outlives its task
     assert freed == [len(seen)]
+
+
+def test_sets_are_made_of_little_text_at_once(monkeypatch):
+    texts = pa.array([" ".join(f"w{(i * 31 + j) % 977}" for j in range(12_000)) for i in range(90)] + [None, "one"])
+    docs = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), texts], names=["doc_id", "text_hash", "text"])
+    seen, made = [], jaccard_join.ngram_sets
+    monkeypatch.setattr(jaccard_join, "ngram_sets", lambda some, words: seen.append(sum(len(t) for t in some.to_pylist())) or made(some, words))
+    rows = [row for b in jaccard_join._sets_task(4)([docs]) for row in b.to_pylist()]
+    assert max(seen) <= 2_000_000 < sum(seen) <= 8_000_000
+    assert [row["n"] for row in rows] == [len(s) for s in made(texts_of(docs), 4)]
+    # n-grams are counted over the whole slice still
+    assert [row["ngrams"] is not None for row in rows] == [True] + [False] * (len(rows) - 1)
+    members = [row for b in jaccard_join._members_task(4)([docs.rename_columns(["set", "text_hash", "text"])]) for row in b.to_pylist()]
+    assert [len(row["members"]) for row in members] == [row["n"] for row in rows] and max(seen) <= 2_000_000

@@ -274,3 +274,13 @@ def test_article_paragraphs_stay(spark):
     rows = [(i, f"http://h.example/{i}", f"<article><p>own {i}</p><p>License line</p><div>Share this page</div></article>") for i in range(15)]
     got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r["text"] for r in got} == {f"own {i}\nLicense line" for i in range(15)}
+
+
+def test_language_counts_few_texts_at_once(monkeypatch):
+    rng = random.Random(3)
+    texts = pa.array([" ".join(rng.choice(["Haus", "ñandú", "кот", "x", "a b"]) for _ in range(rng.randrange(40))) for _ in range(300)] + ["", "é"])
+    alone = np.concatenate([language_id.ngram_features(texts[i : i + 1]) for i in range(len(texts))])
+    seen, count = [], language_id._ngram_counts
+    monkeypatch.setattr(language_id, "_ngram_counts", lambda some: seen.append(len(some)) or count(some))
+    assert (language_id.ngram_features(texts) == alone).all()
+    assert sum(seen) == len(texts) and max(seen) <= 64
