@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,17 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     pa.default_memory_pool().release_unused()
 
 
+_kept: dict[str, object] = {}
+
+
+def worker_keeps(name: str, make: Callable[[], object] = object) -> object:
+    """What a worker keeps under ``name`` from task to task; what it kept under another name, for an earlier stage, goes."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     """The texts of a batch, null as empty, with 64-bit offsets."""
     whole = batch.column(column).cast(pa.large_string())

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finsieve.llm.batches import slices, texts_of
+from finsieve.llm.batches import slices, texts_of, worker_keeps
 from finsieve.session import materialize
 
 UNKNOWN = "und"
@@ -144,6 +144,7 @@ class LanguageModel:
 
 def _features_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Features of whole texts, and of a short extract of each, as bytes."""
+    worker_keeps("language")
     for batch in batches:
         for part in slices(batch, "text"):
             texts = texts_of(part)
@@ -176,11 +177,15 @@ def _machines(langs: list[str]) -> tuple[dict[str, list[str]], dict[str, list[tu
 
 def _fit_machine(key: tuple, rows: pa.Table) -> pa.Table:
     """The weights of one machine, from its rows in the order of their bytes."""
-    x, positive = rows.column("x").to_pylist(), rows.column("positive").to_numpy()
-    order = sorted(range(len(x)), key=lambda i: (not positive[i], x[i]))
-    matrix = np.empty((len(x), BINS), np.float32)
-    for at, i in enumerate(order):
-        matrix[at] = np.frombuffer(x[i], dtype=np.float16)
+    worker_keeps("language")
+    positive = rows.column("positive").to_numpy()
+    order = pc.sort_indices(rows, sort_keys=[("positive", "descending"), ("x", "ascending")]).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    matrix = np.empty((len(order), BINS), np.float32)
+    # row by row, so that nothing but the matrix is as large as the rows
+    for at, x in zip(place.tolist(), rows.column("x"), strict=True):
+        matrix[at] = np.frombuffer(x.as_buffer(), dtype=np.float16)
     plane = linear_svm(matrix, positive[order])
     return pa.table({"machine": pa.array([key[0].as_py()]), "plane": pa.array([plane.astype(np.float32).tobytes()], pa.binary())})
 
@@ -226,6 +231,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_keeps("language")
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = texts_of(part)

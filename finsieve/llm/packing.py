@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from finsieve.llm.batches import flat_words, ragged, slices, texts_of
+from finsieve.llm.batches import flat_words, ragged, slices, texts_of, worker_keeps
 from finsieve.session import materialize
 
 TOKENIZER = "word_bpe_49k.json"
@@ -126,16 +126,12 @@ class WordEncoder:
         return self.starts[at], self.lengths[at], self.flat
 
 
-_encoders: dict[str | None, WordEncoder] = {}
-
-
 def token_ids(texts: pa.Array, path: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another, each with its end id; and the length of each."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+    encoder = worker_keeps(f"words of {path}", lambda: WordEncoder(path))
     words, rows = flat_words(texts)
     coded = words.dictionary_encode()
-    starts, lengths, flat = _encoders[path].encode(coded.dictionary)
+    starts, lengths, flat = encoder.encode(coded.dictionary)
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     own = lengths[codes]
     ids = flat[ragged(starts[codes], own)]

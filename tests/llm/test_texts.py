@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from finsieve.llm import chat_format, html_extract, language_id, secret_scan, toxicity
+from finsieve.llm import batches, chat_format, html_extract, language_id, secret_scan, toxicity
 from finsieve.llm.queries import QUERIES
 
 DOCS = "doc_id long, text string, lang string, score double, lang_pred string"
@@ -284,3 +284,20 @@ def test_language_counts_few_texts_at_once(monkeypatch):
     monkeypatch.setattr(language_id, "_ngram_counts", lambda some: seen.append(len(some)) or count(some))
     assert (language_id.ngram_features(texts) == alone).all()
     assert sum(seen) == len(texts) and max(seen) <= 64
+
+
+def test_language_machine_takes_rows_in_the_order_of_their_bytes(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = [row.astype(np.float16).tobytes() for row in rng.random((40, language_id.BINS))]
+    x[7] = x[3]
+    positive = rng.random(40) < 0.4
+    parts = [pa.table({"x": pa.array(x[a:b], pa.binary()), "positive": positive[a:b]}) for a, b in ((0, 0), (0, 13), (13, 40))]
+    given = []
+    monkeypatch.setattr(language_id, "linear_svm", lambda rows, side: given.append((rows, side)) or np.zeros(language_id.BINS + 1, np.float32))
+    batches.worker_keeps("words of an earlier stage", list)
+    language_id._fit_machine((pa.scalar("m"),), pa.concat_tables(parts))
+    order = sorted(range(40), key=lambda i: (not positive[i], x[i]))
+    assert (given[0][0] == np.array([np.frombuffer(x[i], np.float16) for i in order], np.float32)).all()
+    assert given[0][1].tolist() == positive[order].tolist()
+    # the caches of the stage before are gone, its own stay
+    assert list(batches._kept) == ["language"] and batches.worker_keeps("language") is batches.worker_keeps("language")
