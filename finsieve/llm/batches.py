@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,9 +12,11 @@ import pyarrow.compute as pc
 #: Bytes of text that a task works on at once; a longer single text is a slice of its own.
 SLICE_BYTES = 8_000_000
 
+_libc = ctypes.CDLL(None)
+
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of ``batch`` with at most ``limit`` bytes in ``column``; behind the last, memory that Arrow keeps unused is freed."""
+    """Consecutive parts of ``batch`` with at most ``limit`` bytes in ``column``; behind the last, memory that Arrow and the C library keep unused is freed."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)
     first = 0
@@ -24,6 +27,8 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         first = last
     # a worker outlives its task, and what it keeps would be missing in the stages that follow
     pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
 
 
 _kept: dict[str, object] = {}

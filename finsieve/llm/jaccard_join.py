@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from finsieve.llm.batches import flat_words, slices, texts_of
+from finsieve.llm.batches import SLICE_BYTES, flat_words, slices, texts_of
 from finsieve.llm.components import components
 from finsieve.llm.names import fresh
 from finsieve.llm.scratch import discard
@@ -246,11 +246,11 @@ def jaccard_join(docs: DataFrame, similarity: Similarity = Similarity()) -> Jacc
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    sets = materialize(texts.mapInArrow(_sets_task(similarity.words), _SETS), "ngram-sets")
+    sets = materialize(texts.mapInArrow(_sets_task(similarity.words), _SETS), "ngram-sets", batch_bytes=SLICE_BYTES)
     documents = sets.select("doc_id", "text_hash", "n", "key")
     order = spark.sparkContext.broadcast(_frequent(sets))
     columns = "key binary, group long, n long, prefix array<long>, " + ", ".join(f"{p} long" for p in PARITY)
-    prefixes = materialize(texts.select("text").mapInArrow(_prefix_task(similarity, order), columns), "prefixes")
+    prefixes = materialize(texts.select("text").mapInArrow(_prefix_task(similarity, order), columns), "prefixes", batch_bytes=SLICE_BYTES)
     order.unpersist()
     # of each set its number, smallest id, and one row, by which its text is found again
     at = F.min(F.struct("text_hash", F.coalesce("doc_id", F.lit(-(2**63))).alias("id")))
@@ -417,7 +417,7 @@ def _whole_sets(texts: DataFrame, wanted: DataFrame, similarity: Similarity) ->
     near = texts.withColumns({"id": F.coalesce("doc_id", F.lit(-(2**63))), "word": F.floor(bit / 64).cast("int"), "one": F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))})
     near = near.join(F.broadcast(masks), "word").filter(F.col("mask").bitwiseAND(F.col("one")) != 0).select("text_hash", "id", "text")
     found = near.join(wanted, ["text_hash", "id"]).dropDuplicates(["set"]).select("set", "text")
-    members = materialize(found.mapInArrow(_members_task(similarity.words), "set long, members array<long>"), "members")
+    members = materialize(found.mapInArrow(_members_task(similarity.words), "set long, members array<long>"), "members", batch_bytes=SLICE_BYTES)
     discard(wanted)
     return members
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finsieve.llm.batches import slices, texts_of, worker_keeps
+from finsieve.llm.batches import SLICE_BYTES, slices, texts_of, worker_keeps
 from finsieve.session import materialize
 
 UNKNOWN = "und"
@@ -204,7 +204,7 @@ def fit_language_model(labelled: DataFrame, rows: int = TRAINING_ROWS) -> Langua
     draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2**32)) / F.lit(float(2**32))
     wanted = F.coalesce(*(F.when((F.col("lang") == lang) & (draw < share / n), True) for lang, n in counts.items()), F.lit(False))
     chosen = labelled.filter(wanted).select("text", "lang")
-    found = materialize(chosen.mapInArrow(_features_task, "lang string, x binary"), "language-training")
+    found = materialize(chosen.mapInArrow(_features_task, "lang string, x binary"), "language-training", batch_bytes=SLICE_BYTES)
     levels, of = _machines(sorted(r["lang"] for r in found.select("lang").distinct().collect()))
     sides = [(lang, machine, positive) for lang, machines in of.items() for machine, positive in machines]
     planes = {}

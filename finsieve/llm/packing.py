@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from finsieve.llm.batches import flat_words, ragged, slices, texts_of, worker_keeps
+from finsieve.llm.batches import SLICE_BYTES, flat_words, ragged, slices, texts_of, worker_keeps
 from finsieve.session import materialize
 
 TOKENIZER = "word_bpe_49k.json"
@@ -309,7 +309,7 @@ def pack(cut: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     gives no rows. Lengths must lie between 1 and ``max_tokens``.
     """
     spark = cut.sparkSession
-    stored = materialize(cut.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    stored = materialize(cut.withColumn("_row", F.monotonically_increasing_id()), "pieces", batch_bytes=SLICE_BYTES)
     part = F.pmod(F.xxhash64("_row"), F.lit(RANK_PARTS)).cast("int")
     partial = stored.filter(F.col("length") < max_tokens).withColumn("_part", part)
     # at most max_tokens x RANK_PARTS rows

@@ -151,7 +151,12 @@ def features(value: Column, left: Column, right: Column) -> dict[str, Column]:
 
 def labelled_by_rule(spark: SparkSession, rows: int = LABELLED_ROWS) -> DataFrame:
     """``before_that, before, word, label``: made findings, half of them secrets."""
-    source = spark.range(rows)
+    steps: list[dict[str, Column]] = [{}, {}, {}]
+
+    def made(step: int, name: str, x: Column) -> Column:
+        # a column of its own, stored: written out in every finding, the plan takes the driver hundreds of MB
+        steps[step][name] = x
+        return F.col(name)
 
     def drawn(salt: str, n: int) -> Column:
         return F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n))
@@ -166,26 +171,26 @@ def labelled_by_rule(spark: SparkSession, rows: int = LABELLED_ROWS) -> DataFram
     def one_of(choices: list[str], salt: str) -> Column:
         return F.element_at(F.array(*map(F.lit, choices)), (drawn(salt, len(choices)) + 1).cast("int"))
 
-    common = one_of(COMMON_WORDS, "c1")
-    other = one_of(COMMON_WORDS, "c2")
-    third = one_of(COMMON_WORDS, "c3")
-    name = one_of(["token", "secret", "api_key", "password", "access_key", "auth_token", "API_KEY", "SECRET", "TOKEN", "client_secret"], "n")
-    sign = one_of(["=", ":"], "s")
-    tail = one_of(["", "", "", ".", ",", "###", "!!", "&&&"], "t")
-    number = F.conv(hexes(14, "d"), 16, 10)
+    common = made(0, "common", one_of(COMMON_WORDS, "c1"))
+    other = made(0, "other", one_of(COMMON_WORDS, "c2"))
+    third = made(0, "third", one_of(COMMON_WORDS, "c3"))
+    name = made(0, "name", one_of(["token", "secret", "api_key", "password", "access_key", "auth_token", "API_KEY", "SECRET", "TOKEN", "client_secret"], "n"))
+    sign = made(0, "sign", one_of(["=", ":"], "s"))
+    tail = made(0, "tail", one_of(["", "", "", ".", ",", "###", "!!", "&&&"], "t"))
+    number = made(0, "number", F.conv(hexes(14, "d"), 16, 10))
 
     def spoken(n: int, salt: str) -> Column:
         letters = [one_of(list("bcdfghklmnprstvw" if i % 2 == 0 else "aeiou"), f"{salt}{i}") for i in range(n)]
         return F.concat(*letters)
 
-    any_word = F.when(drawn("a", 2) == 0, common).otherwise(spoken(6, "y"))
-    short = F.concat(any_word, F.substring(number, F.lit(1), (drawn("sd", 3) + 1).cast("int")))
-    hard = F.concat(F.initcap(any_word), one_of(list("@#$&!%_"), "q"), F.substring(number, 2, 2), spoken(3, "z"), one_of(["!", "?", "!Q", "*", "$9"], "w"))
-    pass_name = one_of(["password", "db_password", "passwd", "pwd", "DB_PASSWORD", "secret", "client_secret", "user_pwd"], "pn")
-    letters = F.translate(mixed(64, "l"), "0123456789", "qWzKxJvYhG")
+    any_word = made(1, "any_word", F.when(drawn("a", 2) == 0, common).otherwise(spoken(6, "y")))
+    short = made(2, "short", F.concat(any_word, F.substring(number, F.lit(1), (drawn("sd", 3) + 1).cast("int"))))
+    hard = made(2, "hard", F.concat(F.initcap(any_word), one_of(list("@#$&!%_"), "q"), F.substring(number, 2, 2), spoken(3, "z"), one_of(["!", "?", "!Q", "*", "$9"], "w")))
+    pass_name = made(0, "pass_name", one_of(["password", "db_password", "passwd", "pwd", "DB_PASSWORD", "secret", "client_secret", "user_pwd"], "pn"))
+    letters = made(0, "letters", F.translate(mixed(64, "l"), "0123456789", "qWzKxJvYhG"))
     link = one_of(["-", "_", ".", "-", "-"], "lk")
-    phrase = F.concat(spoken(7, "p"), link, any_word, link, spoken(5, "r"))
-    symbolic = F.concat(F.substring(letters, 1, 3), one_of(list("@#$&!%-"), "q"), F.substring(letters, 5, 4), one_of(list("!?*#^~"), "w"), F.substring(letters, 12, 3))
+    phrase = made(2, "phrase", F.concat(spoken(7, "p"), link, any_word, link, spoken(5, "r")))
+    symbolic = made(1, "symbolic", F.concat(F.substring(letters, 1, 3), one_of(list("@#$&!%-"), "q"), F.substring(letters, 5, 4), one_of(list("!?*#^~"), "w"), F.substring(letters, 12, 3)))
     json_name = F.concat(F.lit('{"id":"'), common, F.lit('","'), name, F.lit('":"'))
     empty = F.lit("")
 
@@ -244,6 +249,10 @@ def labelled_by_rule(spark: SparkSession, rows: int = LABELLED_ROWS) -> DataFram
     kinds = [(*x, 1.0) for x in secrets] + [(*x, 0.0) for x in others]
     kind = F.pmod("id", F.lit(len(kinds)))
     rows_of = F.array(*(F.struct(a.alias("before_that"), b.alias("before"), w.alias("word"), F.lit(label).alias("label")) for a, b, w, label in kinds))
+    source = spark.range(rows)
+    for columns in steps:
+        source = source.withColumns(columns)
+    source = materialize(source, "made-parts")
     return source.select(F.element_at(rows_of, (kind + 1).cast("int")).alias("x")).select("x.*")
 
 
@@ -279,7 +288,9 @@ def _labelled_candidates(labelled: DataFrame) -> DataFrame:
 def fit_forest(labelled: DataFrame) -> RandomForestClassificationModel:
     """A forest from ``labelled`` (``before_that, before, word, label``); it is learned on all rows handed in."""
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=7)
-    return forest.fit(materialize(_with_features(_labelled_candidates(labelled)).select("features", "label"), "labelled-findings"))
+    # step by step: in one plan the driver takes hundreds of MB to compile it
+    found = materialize(_labelled_candidates(materialize(labelled, "labelled-words")), "labelled-candidates")
+    return forest.fit(materialize(_with_features(found).select("features", "label"), "labelled-findings"))
 
 
 _ADDED = ("word_no", "start", "value", "left", "right", "at", "features", "score", "is_secret", "probability", "rawPrediction", "prediction")

@@ -11,11 +11,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from finsieve.llm import exact_dedup, jaccard_join, packing, topk, transducer
-from finsieve.llm.batches import slices, texts_of
+from finsieve.llm import batches, exact_dedup, jaccard_join, language_id, packing, topk, transducer
+from finsieve.llm.batches import SLICE_BYTES, slices, texts_of
 from finsieve.llm.components import components
 from finsieve.llm.queries import QUERIES
-from finsieve.session import shared_dir
+from finsieve.session import materialize, shared_dir
 
 DOCS = "doc_id long, text string, size long, keep_id string"
 
@@ -410,3 +410,43 @@ def test_sets_are_made_of_little_text_at_once(monkeypatch):
     assert [row["ngrams"] is not None for row in rows] == [True] + [False] * (len(rows) - 1)
     members = [row for b in jaccard_join._members_task(4)([docs.rename_columns(["set", "text_hash", "text"])]) for row in b.to_pylist()]
     assert [len(row["members"]) for row in members] == [row["n"] for row in rows] and max(seen) <= 2_000_000
+
+
+def test_tasks_over_texts_are_handed_slices(spark, monkeypatch):
+    """A batch of 10,000 long texts takes many times its size in an executor and its worker."""
+    bounds, stored = {}, jaccard_join.materialize
+
+    def noted(df, tag, **more):
+        bounds[tag] = more.get("batch_bytes")
+        return stored(df, tag, **more)
+
+    for module in (jaccard_join, packing, language_id):
+        monkeypatch.setattr(module, "materialize", noted)
+    docs = spark.createDataFrame([(i, " ".join(f"w{i // 2}x{j}" for j in range(40)), "en" if i % 2 else "de") for i in range(20)], "doc_id long, text string, lang string")
+    jaccard_join.jaccard_join(docs, jaccard_join.Similarity(5, 80))
+    packing.pack_documents(docs).count()
+    language_id.fit_language_model(docs)
+    assert {bounds[tag] for tag in ("ngram-sets", "prefixes", "pieces", "language-training")} == {SLICE_BYTES}
+
+
+def test_stored_tables_bound_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(parts):
+        for part in parts:
+            yield pa.RecordBatch.from_arrays([pa.array([part.num_rows]), pa.array([part.nbytes])], names=["n", "size"])
+
+    texts = spark.range(0, 3_000, 1, 1).select(F.rpad(F.col("id").cast("string"), 1_000, "x").alias("text"))
+    rows = materialize(texts.mapInArrow(sizes, "n long, size long"), "sizes", batch_bytes=200_000).collect()
+    assert sum(r["n"] for r in rows) == 3_000 and max(r["size"] for r in rows) < 210_000
+    assert spark.conf.get(key) == before
+    assert len(materialize(texts.mapInArrow(sizes, "n long, size long"), "sizes").collect()) == 1
+
+
+def test_slices_end_by_giving_memory_back(monkeypatch):
+    calls, batch = [], pa.RecordBatch.from_arrays([pa.array(["a" * 10] * 5)], names=["text"])
+    monkeypatch.setattr(batches, "_libc", SimpleNamespace(malloc_trim=calls.append))
+    assert [x.num_rows for x in slices(batch, "text", 20)] == [2, 2, 1] and calls == [0]
+    monkeypatch.setattr(batches, "_libc", SimpleNamespace())
+    assert [x.num_rows for x in slices(batch, "text", 20)] == [2, 2, 1]

@@ -301,3 +301,13 @@ def test_language_machine_takes_rows_in_the_order_of_their_bytes(monkeypatch):
     assert given[0][1].tolist() == positive[order].tolist()
     # the caches of the stage before are gone, its own stay
     assert list(batches._kept) == ["language"] and batches.worker_keeps("language") is batches.worker_keeps("language")
+
+
+def test_findings_are_made_in_steps(spark, monkeypatch):
+    """In one plan their making takes the driver hundreds of MB."""
+    tags, stored = [], secret_scan.materialize
+    monkeypatch.setattr(secret_scan, "materialize", lambda df, tag: tags.append(tag) or stored(df, tag))
+    made = secret_scan.labelled_by_rule(spark)
+    assert made.select(F.sum(F.xxhash64(*made.columns).cast("decimal(38)"))).first()[0] == 69713651401948367814
+    secret_scan.fit_forest(made)
+    assert tags == ["made-parts", "labelled-words", "labelled-candidates", "labelled-findings"]
